@@ -167,7 +167,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
             part = TaskContext.get().partitionId()
             name, data, counts = _join(folder, f"part-{part:06d}-{uuid.uuid4().hex}.zst"), writer.close(), writer.counts
             fs, at = _fs(name)
-            with fs.open_output_stream(at) as f:
+            with fs.open_output_stream(at, compression=None) as f:
                 f.write(data)
             row = [[part], [name], [len(counts)], [sum(counts)], [len(data)]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "path", "n_docs", "n_tokens", "n_bytes"])
