@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
         spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
