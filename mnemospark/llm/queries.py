@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from mnemospark.llm.common import table
+from pyspark.sql import functions as F
+
+from mnemospark.llm import byte_bpe, language_id, quality
+from mnemospark.llm.common import fold, table
 from mnemospark.llm.exact_dedup import exact_dedup
 from mnemospark.llm.packing import best_fit_packing
 from mnemospark.llm.token_output import token_output
@@ -14,10 +17,27 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark, sf_dir, accept=0.7):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= accept, 1).otherwise(0).alias("predicted"))
+
+
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, fold(4) != 2, _vocabulary("piece_bpe_32k.model"))
+    return language_id.predict(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_byte_bpe(spark, sf_dir):
+    return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -26,7 +46,17 @@ def op9_token_output(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_best_fit_packing, op9_token_output)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_language_id,
+        op4_exact_dedup,
+        op5_byte_bpe,
+        op7_best_fit_packing,
+        op9_token_output,
+    )
+}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
