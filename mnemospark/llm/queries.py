@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm import byte_bpe, language_id, quality
 from mnemospark.llm.common import fold, table
 from mnemospark.llm.exact_dedup import exact_dedup
+from mnemospark.llm.near_dedup import near_dedup
 from mnemospark.llm.packing import best_fit_packing
 from mnemospark.llm.token_output import token_output
 
@@ -38,6 +39,10 @@ def op5_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -53,6 +58,7 @@ QUERIES = {
         op2_language_id,
         op4_exact_dedup,
         op5_byte_bpe,
+        op6_minhash_near_dedup,
         op7_best_fit_packing,
         op9_token_output,
     )
