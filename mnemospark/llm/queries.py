@@ -9,6 +9,7 @@ from mnemospark.llm.common import fold, table
 from mnemospark.llm.exact_dedup import exact_dedup
 from mnemospark.llm.near_dedup import near_dedup
 from mnemospark.llm.packing import best_fit_packing
+from mnemospark.llm.syncmers import edited_fingerprints
 from mnemospark.llm.token_output import token_output
 
 
@@ -47,6 +48,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op8_syncmer_fingerprints(spark, sf_dir):
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
 
@@ -60,6 +65,7 @@ QUERIES = {
         op5_byte_bpe,
         op6_minhash_near_dedup,
         op7_best_fit_packing,
+        op8_syncmer_fingerprints,
         op9_token_output,
     )
 }
