@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm import byte_bpe, language_id, quality
 from mnemospark.llm.common import fold, table
 from mnemospark.llm.exact_dedup import exact_dedup
+from mnemospark.llm.maxent_lm import score_documents
 from mnemospark.llm.near_dedup import near_dedup
 from mnemospark.llm.packing import best_fit_packing
 from mnemospark.llm.syncmers import edited_fingerprints
@@ -56,6 +57,11 @@ def op9_token_output(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op10_maxent_lm(spark, sf_dir):
+    scored = score_documents(table(spark, sf_dir, "documents"), fold(10) != 0)
+    return scored.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +73,7 @@ QUERIES = {
         op7_best_fit_packing,
         op8_syncmer_fingerprints,
         op9_token_output,
+        op10_maxent_lm,
     )
 }
 
