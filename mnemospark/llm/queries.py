@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm import byte_bpe, language_id, quality
 from mnemospark.llm.common import fold, table
 from mnemospark.llm.exact_dedup import exact_dedup
+from mnemospark.llm.html_text import extract
 from mnemospark.llm.maxent_lm import score_documents
 from mnemospark.llm.near_dedup import near_dedup
 from mnemospark.llm.packing import best_fit_packing
@@ -33,6 +34,10 @@ def op2_language_id(spark, sf_dir):
     return language_id.predict(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_html_suffix_array(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -67,6 +72,7 @@ QUERIES = {
     for f in (
         op1_quality_classifier,
         op2_language_id,
+        op3_html_suffix_array,
         op4_exact_dedup,
         op5_byte_bpe,
         op6_minhash_near_dedup,
