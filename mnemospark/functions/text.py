@@ -18,7 +18,7 @@ def kg_normalise(x: Column) -> Column:
 def qa_normalise(x: Column) -> Column:
     """Answers: lower case, no ASCII punctuation, no articles, single spaces."""
     bare = F.regexp_replace(F.lower(x), _ASCII_PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "), r"\s+", " "))
 
 
 def label_normalise(x: Column) -> Column:

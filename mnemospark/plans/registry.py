@@ -28,3 +28,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL
+
+
+from mnemospark.plans import time_queries  # noqa: E402, F401  (registers its queries)
+from mnemospark.plans import eval_queries  # noqa: E402, F401
+from mnemospark.plans import graph_queries  # noqa: E402, F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic retrieval: seeds, ranks over the fact graph, the best triples of each question."""
+    return _QUERIES["semantic_retrieve"](spark, sf_dir)

@@ -1 +1 @@
-
+"""Structured Streaming: resumable logs, incremental stores and windows."""
