@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mnemospark.llm.common import text_of
+from mnemospark.llm.common import text_of, texts_of
 
 CACHE_BOUND = 1_000_000
 LONGEST = 64  # longer slices are not kept
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [x for part in _groups(b.column(1).to_pylist()) for x in vocab.encode_batch(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -327,4 +327,4 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                     text_sha.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, DIGESTS)
+    return texts_of(docs).mapInArrow(run, DIGESTS)

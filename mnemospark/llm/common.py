@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import shared_dir, written
 
-__all__ = ["fold", "shared_dir", "table", "text_of", "written"]
+__all__ = ["fold", "shared_dir", "table", "text_of", "texts_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +21,8 @@ def fold(k: int, doc_id: str = "doc_id") -> Column:
 
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id long, text) of documents; null text is empty. All else, whatever its name, stays behind."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of, written
+from mnemospark.llm.common import text_of, written, texts_of
 
 UNDETERMINED = "und"
 RUN = 24  # longer letter runs are cut here
@@ -272,4 +272,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 scores += score.tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return texts_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")

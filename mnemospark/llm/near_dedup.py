@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of, written
+from mnemospark.llm.common import text_of, written, texts_of
 from mnemospark.llm.components import components
 
 K = 5  # words in a shingle
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, longs), pa.array(sig, longs)], names=["doc_id", "n_shingles", "node", "bands", "sig"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, SIGNED)
+    return texts_of(docs).mapInArrow(run, SIGNED)
 
 
 def merged(linked) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of, written
+from mnemospark.llm.common import text_of, written, texts_of
 from mnemospark.llm.tokens import word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
             cols = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, PIECES)
+    return texts_of(docs).mapInArrow(cut, PIECES)
 
 
 class Packing:

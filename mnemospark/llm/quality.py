@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of
+from mnemospark.llm.common import text_of, texts_of
 
 FEATURES = [
     "log_chars", "log_words", "mean_word", "long_words", "upper", "digit", "punct", "symbol", "space", "non_ascii",
@@ -173,7 +173,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
             x = [features(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, bound: int = 20_000, salt: int = 11, **how) -> AdditiveModel:
@@ -207,4 +207,4 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             x = np.array([features(t.as_py()) for t in b.column(1)]).reshape(len(b), len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(x), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, score double")
+    return texts_of(docs).mapInArrow(run, "doc_id long, score double")

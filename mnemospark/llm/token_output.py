@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import shared_dir, text_of
+from mnemospark.llm.common import shared_dir, text_of, texts_of
 from mnemospark.llm.tokens import byte_encoder
 
 #: Fixed values of the public zstd seekable format.
@@ -172,7 +172,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
             row = [[part], [name], [len(counts)], [sum(counts)], [len(data)]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "path", "n_docs", "n_tokens", "n_bytes"])
 
-    rows = docs.select("doc_id", text_of().alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST)
+    rows = texts_of(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST)
     rows.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
