@@ -116,7 +116,7 @@ def id_list(raw: Column, valid: Column) -> Column:
 
 def metric_block(log: Column, names: list[str]) -> Column:
     """map of metrics 'name: value' from the last block of a scorer's log; absent names have no entry."""
-    pairs = [F.struct(F.lit(n).alias("key"), F.element_at(F.regexp_extract_all(log, F.lit(rf"(?m)^\s*{n}\s*[:=]\s*([-+]?\d+(?:\.\d+)?)"), F.lit(1)), -1).cast("double").alias("value")) for n in names]
+    pairs = [F.struct(F.lit(n).alias("key"), F.try_element_at(F.regexp_extract_all(log, F.lit(rf"(?m)^\s*{n}\s*[:=]\s*([-+]?\d+(?:\.\d+)?)"), F.lit(1)), F.lit(-1)).cast("double").alias("value")) for n in names]
     some = F.filter(F.array(*pairs), lambda e: e["value"].isNotNull())
     return F.map_from_entries(some)
 

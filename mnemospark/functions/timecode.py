@@ -19,12 +19,12 @@ def zero_fill(col: Column, width: int = 8) -> Column:
 
 def day_number(date: Column) -> Column:
     """The digits of DAY7 or day12."""
-    return F.regexp_extract(date, r"(\d+)", 1).cast("long")
+    return F.regexp_extract(date, r"(\d+)", 1).try_cast("long")
 
 
 def time_code(date: Column, time: Column) -> Column:
     """day and HHMMSSFF as one long."""
-    return F.concat(day_number(date).cast("string"), zero_fill(time)).cast("long")
+    return F.concat(day_number(date).cast("string"), zero_fill(time)).try_cast("long")
 
 
 def code_seconds(code: Column) -> Column:

@@ -82,7 +82,7 @@ def read_subtitles(spark: SparkSession, path: str, last_line: bool = False) -> D
 def translated_captions(rows: DataFrame) -> DataFrame:
     """JSONL rows (custom_id, text): the last two '-' parts of custom_id are start and end."""
     parts = F.split("custom_id", "-")
-    return rows.select(F.element_at(parts, -2).alias("start_time"), F.element_at(parts, -1).alias("end_time"), "text")
+    return rows.select(F.try_element_at(parts, F.lit(-2)).alias("start_time"), F.try_element_at(parts, F.lit(-1)).alias("end_time"), "text")
 
 
 def read_openie(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
