@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mnemospark.llm.common import text_of, texts_of
+from mnemospark.llm.common import texts_of
 
 CACHE_BOUND = 1_000_000
 LONGEST = 64  # longer slices are not kept

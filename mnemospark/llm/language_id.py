@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of, written, texts_of
+from mnemospark.llm.common import text_of, texts_of, written
 
 UNDETERMINED = "und"
 RUN = 24  # longer letter runs are cut here

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of, written, texts_of
+from mnemospark.llm.common import text_of, texts_of, written
 from mnemospark.llm.components import components
 
 K = 5  # words in a shingle

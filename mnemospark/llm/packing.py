@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of, written, texts_of
+from mnemospark.llm.common import texts_of, written
 from mnemospark.llm.tokens import word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import shared_dir, text_of, texts_of
+from mnemospark.llm.common import shared_dir, texts_of
 from mnemospark.llm.tokens import byte_encoder
 
 #: Fixed values of the public zstd seekable format.
