@@ -124,3 +124,74 @@ def metric_block(log: Column, names: list[str]) -> Column:
 def first_person(text: Column, name: str) -> Column:
     """'Name: ' goes, "Name's" becomes my, Name becomes I."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, rf"{name}:\s*", ""), rf"{name}'s\b", "my"), rf"\b{name}\b", "I")
+
+
+def inline_choices(question: Column, letters: str = "ABCD") -> Column:
+    """map letter -> text of '(A) … (B) …' inside a question; null unless all letters stand there, in order, with text."""
+    pattern = r"\s*".join(rf"\({c}\)\s*(.+?)" for c in letters) + r"\s*$"
+    whole = rf"(?s)^.*?{pattern}"
+    parts = F.array(*[F.trim(F.regexp_extract(question, whole, k + 1)) for k in range(len(letters))])
+    return F.when(question.rlike(whole) & ~F.array_contains(parts, ""), F.map_from_arrays(F.array(*[F.lit(c) for c in letters]), parts))
+
+
+def task_bucket(qa_type: Column, prefixes: dict[str, str], other: str = "other") -> Column:
+    """The bucket of the first prefix that a task type has."""
+    out = F.lit(other)
+    for prefix, bucket in reversed(prefixes.items()):
+        out = F.when(qa_type.startswith(prefix), bucket).otherwise(out)
+    return out
+
+
+#: Unicode punctuation and its plain form.
+PLAIN_PUNCTUATION = {"，": ",", "。": ".", "、": ",", "„": '"', "”": '"', "“": '"', "«": '"', "»": '"', "１": '"', "」": '"', "「": '"', "《": '"', "》": '"', "´": "'", "∶": ":", "：": ":", "？": "?", "！": "!", "（": "(", "）": ")", "；": ";", "–": "-", "—": " - ", "．": ". ", "～": "~", "’": "'", "…": "...", "━": "-", "〈": "<", "〉": ">", "【": "[", "】": "]", "％": "%", "►": "-"}
+
+
+def plain_punctuation(x: Column) -> Column:
+    """Unicode punctuation as ASCII: single characters in one translate, longer replacements after it."""
+    short = {k: v for k, v in PLAIN_PUNCTUATION.items() if len(v) == 1}
+    out = F.translate(x, "".join(short), "".join(short.values()))
+    for k, v in PLAIN_PUNCTUATION.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
+def extracted_entities(raw: Column) -> Column:
+    """array<string> of '"named_entities": [...]' in a reply; empty where it is not there or broken."""
+    got = F.from_json(F.regexp_extract(raw, r'(?s)"named_entities"\s*:\s*(\[[^\]]*\])', 1), "array<string>")
+    return F.coalesce(F.array_distinct(got), F.array().cast("array<string>"))
+
+
+def extracted_triples(raw: Column) -> Column:
+    """Valid triples of '"triples": [[...], ...]' in a reply; empty where it is not there or broken."""
+    got = F.from_json(F.regexp_extract(raw, r'(?s)"triples"\s*:\s*(\[\s*(?:\[[^\]]*\]\s*,?\s*)*\])', 1), "array<array<string>>")
+    return F.coalesce(valid_triples(got), F.array().cast("array<array<string>>"))
+
+
+def render(template: str, **columns: Column) -> Column:
+    """A prompt template with ${name} or {name} places filled from columns; null fills as empty text."""
+    import re
+
+    parts = re.split(r"\$?\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(columns[p].cast("string"), F.lit("")) if k % 2 and p in columns else F.lit(p) for k, p in enumerate(parts)])
+
+
+def caption_line(start: Column, end: Column, text: Column) -> Column:
+    """'[start - end] text' with display times."""
+    from mnemospark.functions.timecode import display
+
+    return F.concat(F.lit("["), display(start), F.lit(" - "), display(end), F.lit("] "), text)
+
+
+def triple_line(s: Column, p: Column, o: Column) -> Column:
+    return F.concat(F.lit("("), F.concat_ws(", ", s, p, o), F.lit(")"))
+
+
+def last_turn(turns: Column, role: str) -> Column:
+    """The text of the last turn of a role in array<struct<role, text>>."""
+    return F.try_element_at(F.filter(turns, lambda t: t["role"] == role), F.lit(-1))["text"]
+
+
+def final_answer(reply: Column) -> Column:
+    """What follows the last 'Answer:'; the whole reply where there is none."""
+    return F.trim(F.element_at(F.split(reply, "Answer:"), -1))

@@ -33,6 +33,7 @@ def oracle_sql() -> dict[str, str]:
 from mnemospark.plans import time_queries  # noqa: E402, F401  (registers its queries)
 from mnemospark.plans import eval_queries  # noqa: E402, F401
 from mnemospark.plans import graph_queries  # noqa: E402, F401
+from mnemospark.plans import record_queries  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
