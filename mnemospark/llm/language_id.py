@@ -3,7 +3,7 @@
 Each language has a probability for every piece of a fixed public vocabulary. A text's likelihood in a language is
 that of its letter runs, and a run's likelihood is the sum over all ways to cut it into pieces, which a forward
 recursion over its letters gives. Probabilities come from expectation maximisation: forward and backward sums give
-the expected count of each piece in the training words, and the counts give the next probabilities.
+the expected count of each piece in the training words, and the counts give the next probabilities. In scoring, one run in a hundred may come from any language.
 
 Training reads a bounded sample, ``sample`` documents of each language, picked by a hash of the id; its words are
 counted by Spark, one task for each language runs the expectation maximisation, and the driver receives one table
@@ -29,6 +29,7 @@ from mnemospark.llm.common import text_of, texts_of, written
 UNDETERMINED = "und"
 RUN = 24  # longer letter runs are cut here
 FLOOR = 1e-7
+FOREIGN = 0.01
 CACHE_BOUND = 600_000
 GROUP_CHARS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -110,6 +111,16 @@ def log_likelihood(pieces: Pieces, words: list[str], prob: np.ndarray) -> np.nda
     return out
 
 
+def tolerant(ll: np.ndarray) -> np.ndarray:
+    """Each run's likelihood where a share FOREIGN of a text's runs may come from any language.
+
+    So a run moves the odds of two languages by a bounded factor, and a quoted passage does not outvote its text.
+    """
+    top = ll.max(axis=1, keepdims=True)
+    any_ = top + np.log(np.exp(ll - top).mean(axis=1, keepdims=True))
+    return np.logaddexp(ll + np.log(1 - FOREIGN), any_ + np.log(FOREIGN))
+
+
 def expectation_maximisation(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int, smooth: float) -> np.ndarray:
     """Piece probabilities of one language."""
     prob = np.full(pieces.size, 1.0 / pieces.size)
@@ -168,7 +179,7 @@ class Model:
         if runs:
             names = list(dict.fromkeys(runs))
             at = {r: k for k, r in enumerate(names)}
-            ll = log_likelihood(pieces_of(self.path), names, self.prob)[[at[r] for r in runs]]
+            ll = tolerant(log_likelihood(pieces_of(self.path), names, self.prob))[[at[r] for r in runs]]
             np.add.at(rows[:, :-1], owner, ll)
             np.add.at(rows[:, -1], owner, 1)
         begin = len(self.index)
