@@ -68,12 +68,13 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, ro
     loose = written(p.join(share.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("query_id", "id"), "ppr-loose")
     any_loose = not loose.isEmpty()
     for k in range(rounds):
-        moved = rank.join(share, rank["id"] == share["src"]).groupBy("query_id", F.col("dst").alias("id")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("part"))
+        moved = rank.join(share, rank["id"] == share["src"]).select("query_id", F.col("dst").alias("id"), (F.col("rank") * F.col("share") * damping).alias("part"))
         if any_loose:
             lost = rank.join(loose, ["query_id", "id"]).groupBy("query_id").agg(F.sum("rank").alias("lost"))
             home = p.join(lost, "query_id", "left").select("query_id", "id", (F.col("p") * (1 - damping + damping * F.coalesce("lost", F.lit(0.0)))).alias("part"))
         else:
             home = p.select("query_id", "id", (F.col("p") * (1 - damping)).alias("part"))
+        # One shuffle a round: both parts are summed together, in part before it.
         rank = moved.unionByName(home).groupBy("query_id", "id").agg(F.sum("part").alias("rank"))
         if k % cut == cut - 1 and k < rounds - 1:
             rank = written(rank, "ppr-ranks")

@@ -69,13 +69,20 @@ def token_f1(rows: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
     return each.groupBy(key).agg(F.max(f1).alias("f1"))
 
 
-def percentile_by_index(df: DataFrame, value: str, ps: list[float]) -> DataFrame:
+def percentile_by_index(df: DataFrame, value: str, ps: list[float], buckets: int = 1024) -> DataFrame:
     """(p, value): the element int(p * (n - 1)) of the sorted values, not interpolated.
 
-    Equal values are counted first, so what is ranked is one row for each distinct value.
+    Equal values are counted first; counts of value ranges, a fixed number of rows, tell which range holds each place, and
+    only those ranges are sorted, apart from each other.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select("v", F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    asked = run.withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps])))
-    return asked.filter(F.col("upto") > F.floor(F.col("p") * (F.col("n") - 1))).groupBy("p").agg(F.min("v").alias("value"))
+    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
+    width = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / buckets).otherwise(1.0)
+    placed = counts.join(F.broadcast(ends)).withColumn("b", F.floor((F.col("v") - F.col("low")) / width))  # ends: one row
+    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = placed.groupBy("b", "n").agg(F.sum("c").alias("own")).withColumn("upto", F.sum("own").over(w))
+    asked = ranges.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("at", F.floor(F.col("p") * (F.col("n") - 1)))
+    here = asked.filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("own") <= F.col("at"))).select("p", "b", "at", (F.col("upto") - F.col("own")).alias("before"))
+    inside = placed.select("b", "v", "c").join(F.broadcast(here), "b")  # here: one row for each p
+    run = inside.withColumn("run", F.col("before") + F.sum("c").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    return run.filter(F.col("run") > F.col("at")).groupBy("p").agg(F.min("v").alias("value"))

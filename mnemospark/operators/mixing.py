@@ -22,7 +22,7 @@ def round_robin(df: DataFrame, source: str, order: list[str], stop: str = "all_e
     numbered = df.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(*order)).cast("long") - 1)
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
     seats = sizes.select(source, (F.row_number().over(Window.orderBy(source)) - 1).cast("int").alias("seat"), F.min("_n").over(Window.partitionBy()).alias("_least"))
-    out = numbered.join(F.broadcast(seats), source)
+    out = numbered.join(seats, source)
     return (out.filter(F.col("turn") < F.col("_least")) if stop == "first_exhausted" else out).drop("_least")
 
 

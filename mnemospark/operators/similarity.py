@@ -16,14 +16,14 @@ def top_k(df: DataFrame, query: list[float], k: int, vector: str = "embedding",
     return df.withColumn("score", F.round(cosine(F.col(vector), q), 6)).orderBy(F.desc("score"), key).limit(k)
 
 
-def top_k_join(queries: DataFrame, keys: DataFrame, k: int, least: float | None = None, blocks: int = 8, query_block: int = 2000, skip_self: bool = False) -> DataFrame:
+def top_k_join(queries: DataFrame, keys: DataFrame, k: int, least: float | None = None, blocks: int | None = None, query_block: int = 2000, key_block: int = 20_000, skip_self: bool = False) -> DataFrame:
     """For each query (query_id, vector) its k best keys (key_id, vector) by cosine: query_id, key_id, score, rank.
 
-    Both sides are dealt to blocks; a task holds one block of keys and one of queries and returns each query's best k
+    Both sides are dealt to blocks (about query_block and key_block rows); a task holds one block of keys and one of queries and returns each query's best k
     from them by matrix product, so what is shuffled is k rows a query and block, never all pairs. Ties go to the
     smaller key id, on scores rounded to six places.
     """
-    n_blocks = max(blocks, 1)
+    n_blocks = blocks or max(8, -(-keys.count() // key_block))
     q_blocks = max(1, -(-queries.count() // query_block))
     left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("kb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "vector")
     right = keys.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("key_id"), F.lit(n_blocks)).cast("int").alias("kb"), F.lit(1).alias("side"), F.col("key_id").alias("id"), "vector")

@@ -255,3 +255,12 @@ def test_providers(spark):
     assert ScriptedGenerator([(r"say (\w+)", r"\1!")]).generate(["say hi", "x"]) == ["hi!", "Unable to generate answer"]
     v = HashEmbedder(16).embed(["one two", "one two", ""])
     assert (v[0] == v[1]).all() and abs(np.linalg.norm(v[0]) - 1) < 1e-9 and not v[2].any()
+
+
+def test_written_tables_can_be_dropped(spark):
+    from mnemospark.session import drop_written, shared_dir, written
+
+    drop_written(spark)
+    t = written(spark.range(3).toDF("a"), "kept")
+    assert t.count() == 3 and shared_dir(spark).rpartition("/")[2] in t.inputFiles()[0]
+    assert drop_written(spark) == 1 and drop_written(spark) == 0
