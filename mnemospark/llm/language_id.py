@@ -30,6 +30,7 @@ UNDETERMINED = "und"
 RUN = 24  # longer letter runs are cut here
 FLOOR = 1e-7
 FOREIGN = 0.01
+MOST_LANGUAGES = 1000  # a model has so many at most, the most frequent ones
 CACHE_BOUND = 600_000
 GROUP_CHARS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -217,7 +218,8 @@ class Model:
 def fit(docs: DataFrame, train: Column, path: str, sample: int = 1500, rounds: int = 4, smooth: float = 0.05, salt: int = 7) -> Model:
     """Learns from the rows of docs (doc_id, text, lang) where train holds; at most about sample documents a language."""
     known = docs.filter(train & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    share = known.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    share = sizes.select("lang", (F.lit(float(sample)) / F.col("n")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) / 1_000_003
     chosen = known.join(F.broadcast(share), "lang").filter(draw < F.col("share"))
     words = (
