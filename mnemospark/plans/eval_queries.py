@@ -17,7 +17,7 @@ _LOG = f"""{EVENTS_SQL}, log AS (SELECT user_id AS key, event_id AS seq, CASE WH
   CASE WHEN event_id % 11 = 0 THEN 'Unable to generate answer' WHEN event_id % 13 = 0 THEN ' ' ELSE chr((65 + event_id % 4)::INT) END AS answer, value FROM ev),
 last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"""
 _OK = "(status = 'success' AND trim(answer) <> '' AND trim(answer) <> 'Unable to generate answer')"
-_QUESTIONS = "questions AS (SELECT c_custkey AS key FROM customer WHERE c_custkey < 400)"
+_QUESTIONS = "questions AS (SELECT c_custkey AS key FROM customer)"
 
 
 def _log(spark, sf_dir):
@@ -27,7 +27,7 @@ def _log(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter("c_custkey < 400").select(F.col("c_custkey").alias("key"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
 
 
 def _ok():
@@ -255,11 +255,11 @@ def vector_minmax_dense(spark, sf_dir):
     return vec.min_max(r, "score", ["query_id"], "norm").select("query_id", "doc_id", F.round("norm", 5).alias("norm"))
 
 
-@query("similarity_join_top20", f"WITH e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), x AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, round(list_cosine_similarity(q.v, k.v), 6) AS score FROM e q JOIN e k ON k.vec_id % 2 = 1 AND q.vec_id % 2 = 0), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS rank FROM x WHERE score >= 0.2) SELECT query_id, key_id, score, rank FROM y WHERE rank <= 20")
+@query("similarity_join_top20", f"WITH e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), x AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, round(list_cosine_similarity(q.v, k.v), 6) AS score FROM e q JOIN e k ON k.label >= 5 AND q.label < 5), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS rank FROM x WHERE score >= 0.2) SELECT query_id, key_id, score, rank FROM y WHERE rank <= 20")
 def similarity_join_top20(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     v = F.transform("embedding", lambda x: x.cast("double")).alias("vector")
-    return top_k_join(e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), v), e.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("key_id"), v), 20, 0.2).select("query_id", "key_id", "score", F.col("rank").cast("long").alias("rank"))
+    return top_k_join(e.filter("label < 5").select(F.col("vec_id").alias("query_id"), v), e.filter("label >= 5").select(F.col("vec_id").alias("key_id"), v), 20, 0.2).select("query_id", "key_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("knn_threshold_edges", f"WITH e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), x AS (SELECT q.vec_id AS src, k.vec_id AS dst, round(list_cosine_similarity(q.v, k.v), 6) AS weight FROM e q JOIN e k ON q.vec_id <> k.vec_id) SELECT src, dst, weight FROM x WHERE weight >= 0.25 QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 101")

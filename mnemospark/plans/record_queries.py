@@ -63,10 +63,10 @@ def label_accuracy(spark, sf_dir):
     return records.label_accuracy(x, ["purchase", "click"])
 
 
-@query("fill_to_k", f"WITH {EVENTS_SQL}, r AS (SELECT user_id, event_id, value FROM ev), p AS (SELECT user_id, event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE 1 END AS pr, CASE WHEN event_id % 9 = 0 THEN event_id::DOUBLE ELSE -value END AS o FROM r) SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY pr, o, event_id) AS rank FROM p) WHERE rank <= 5")
+@query("fill_to_k", f"WITH {EVENTS_SQL}, r AS (SELECT user_id, event_id, value, event_type FROM ev), p AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS pr, CASE WHEN event_type = 'purchase' THEN event_id::DOUBLE ELSE -value END AS o FROM r) SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY pr, o, event_id) AS rank FROM p) WHERE rank <= 5")
 def fill_to_k(spark, sf_dir):
     e = clock_events(spark, sf_dir)
-    selected = e.filter("event_id % 9 = 0").select("user_id", "event_id", F.col("event_id").alias("place"))
+    selected = e.filter("event_type = 'purchase'").select("user_id", "event_id", F.col("event_id").alias("place"))
     out = records.fill_to_k(selected, e.select("user_id", "event_id", F.col("value").alias("score")), "user_id", "event_id", 5)
     return out.select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
 

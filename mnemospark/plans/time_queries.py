@@ -62,15 +62,15 @@ def asof_filter_index(spark, sf_dir, until=15_12000000):
 
 @query(
     "asof_snapshot",
-    """WITH snap AS (SELECT DISTINCT o_orderpriority AS k, o_orderdate AS ts FROM orders WHERE o_orderkey % 5 = 0),
+    """WITH snap AS (SELECT DISTINCT o_orderpriority AS k, o_orderdate AS ts FROM orders WHERE o_orderstatus = 'F'),
     q AS (SELECT o_orderkey, o_orderpriority AS k, o_orderdate AS at FROM orders)
     SELECT q.o_orderkey, s.ts AS snapshot FROM q ASOF LEFT JOIN snap s ON q.k = s.k AND q.at >= s.ts""",
 )
 def asof_snapshot(spark, sf_dir):
-    """Every order with the latest snapshot of its priority; snapshots are a fifth of the orders' dates."""
+    """Every order with the latest snapshot of its priority; snapshots are the dates of finished orders."""
     o = table(spark, sf_dir, "orders")
     q = o.select("o_orderkey", F.col("o_orderpriority").alias("k"), F.col("o_orderdate").alias("at"))
-    s = o.filter(F.col("o_orderkey") % 5 == 0).select(F.col("o_orderpriority").alias("k"), F.col("o_orderdate").alias("ts"))
+    s = o.filter(F.col("o_orderstatus") == "F").select(F.col("o_orderpriority").alias("k"), F.col("o_orderdate").alias("ts"))
     return intervals.asof_backward(q, s, "at", "ts", ["k"]).select("o_orderkey", "snapshot")
 
 
@@ -99,15 +99,15 @@ def segment_overlap_halfopen(spark, sf_dir):
 
 @query(
     "point_in_segment",
-    f"""WITH {_CAPTIONS}, iv AS (SELECT event_id AS ordinal, d, sec AS i_start, sec + 30 AS i_end FROM cap WHERE event_id % 7 = 0),
-    p AS (SELECT event_id, d, sec FROM cap WHERE event_id % 2 = 1),
+    f"""WITH {_CAPTIONS}, iv AS (SELECT event_id AS ordinal, d, sec AS i_start, sec + 30 AS i_end FROM cap WHERE event_type = 'purchase'),
+    p AS (SELECT event_id, d, sec FROM cap),
     h AS (SELECT p.event_id, min(ordinal) AS ordinal FROM p JOIN iv ON p.d = iv.d AND p.sec BETWEEN i_start AND i_end GROUP BY 1)
     SELECT p.event_id, coalesce(iv.i_start, 0) AS i_start, coalesce(iv.i_end, 0) AS i_end FROM p LEFT JOIN h USING (event_id) LEFT JOIN iv ON h.ordinal = iv.ordinal""",
 )
 def point_in_segment(spark, sf_dir):
     c = _captions(spark, sf_dir)
-    iv = c.filter(F.col("event_id") % 7 == 0).select(F.col("event_id").alias("ordinal"), "d", F.col("sec").alias("i_start"), (F.col("sec") + 30).alias("i_end"))
-    p = c.filter(F.col("event_id") % 2 == 1).select("event_id", "d", "sec")
+    iv = c.filter(F.col("event_type") == "purchase").select(F.col("event_id").alias("ordinal"), "d", F.col("sec").alias("i_start"), (F.col("sec") + 30).alias("i_end"))
+    p = c.select("event_id", "d", "sec")
     hit = intervals.containing_interval(p, iv, "sec", ("i_start", "i_end"), 30, "ordinal", ["event_id"], ["d"])
     return hit.select("event_id", F.coalesce("i_start", F.lit(0)).alias("i_start"), F.coalesce("i_end", F.lit(0)).alias("i_end"))
 
