@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mnemospark.llm.common import texts_of
+from mnemospark.llm.common import hold, text_groups, texts_of
 
-CACHE_BOUND = 1_000_000
+CACHE_BOUND = 600_000
 LONGEST = 64  # longer slices are not kept
 MATRIX_LONGEST = 48  # bytes; longer slices are merged one at a time
 BLOCK = 256
@@ -278,23 +278,18 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 BATCH_CHARS = 1_000_000
 
 
-def _groups(texts: list[str]):
-    """Runs of texts of about BATCH_CHARS, so that arrays stay bounded however long a batch is."""
-    begin, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= BATCH_CHARS or k == len(texts) - 1:
-            yield texts[begin : k + 1]
-            begin, size = k + 1, 0
+def _vocabulary(path: str) -> Vocabulary:
+    hold("byte bpe", vocabulary.cache_clear)
+    return vocabulary(path)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids: the token ids of every text."""
 
     def run(batches):
-        vocab = vocabulary(path)
+        vocab = _vocabulary(path)
         for b in batches:
-            ids = [x for part in _groups(b.column(1).to_pylist()) for x in vocab.encode_batch(part)]
+            ids = [x for part in text_groups((t.as_py() for t in b.column(1)), BATCH_CHARS) for x in vocab.encode_batch(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -304,7 +299,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, bytes: what the ids of (doc_id, ids) stand for."""
 
     def run(batches):
-        vocab = vocabulary(path)
+        vocab = _vocabulary(path)
         for b in batches:
             data = [vocab.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["doc_id", "bytes"])
@@ -316,11 +311,11 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes every text, decodes the ids, and returns counts and digests of both, in one pass without shuffles."""
 
     def run(batches):
-        vocab = vocabulary(path)
+        vocab = _vocabulary(path)
         names = vocab.names
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for part in _groups(b.column(1).to_pylist()):
+            for part in text_groups((t.as_py() for t in b.column(1)), BATCH_CHARS):
                 for ids in vocab.encode_batch(part):
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())

@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.session import shared_dir, written
 
-__all__ = ["fold", "shared_dir", "table", "text_of", "texts_of", "written"]
+__all__ = ["fold", "hold", "shared_dir", "table", "text_groups", "text_of", "texts_of", "written"]
+
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(owner: str, release: Callable[[], object]) -> None:
+    """In a worker: owner's cache is the one in use; the caches of other operators are released.
+
+    Workers outlive tasks and stages, so without this a pipeline's worker would hold the caches of all its operators.
+    """
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = release
+
+
+def text_groups(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
+    """Lists of texts of about chars code points, so that work on a batch stays bounded; a longer text is its own."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

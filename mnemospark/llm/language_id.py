@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of, texts_of, written
+from mnemospark.llm.common import hold, text_groups, text_of, texts_of, written
 
 UNDETERMINED = "und"
 RUN = 24  # longer letter runs are cut here
 FLOOR = 1e-7
 FOREIGN = 0.01
 MOST_LANGUAGES = 1000  # a model has so many at most, the most frequent ones
-CACHE_BOUND = 600_000
+CACHE_BOUND = 400_000
 GROUP_CHARS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -245,15 +245,6 @@ def fit(docs: DataFrame, train: Column, path: str, sample: int = 1500, rounds: i
     return Model(path, [r.lang for r in rows], prob)
 
 
-def groups(texts: list[str]):
-    begin, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= GROUP_CHARS or k == len(texts) - 1:
-            yield texts[begin : k + 1]
-            begin, size = k + 1, 0
-
-
 _LIVE: dict[bytes, Model] = {}
 
 
@@ -262,6 +253,7 @@ def live(packed: bytes) -> Model:
     import hashlib
     import pickle
 
+    hold("language", _LIVE.clear)
     key = hashlib.sha256(packed).digest()
     if key not in _LIVE:
         _LIVE.clear()
@@ -279,7 +271,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = live(packed.value)
         for b in batches:
             langs, scores = [], []
-            for part in groups(b.column(1).to_pylist()):
+            for part in text_groups((t.as_py() for t in b.column(1)), GROUP_CHARS):
                 lang, score = m.predict(part)
                 langs += lang
                 scores += score.tolist()

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of, texts_of, written
+from mnemospark.llm.common import hold, text_of, texts_of, written
 from mnemospark.llm.components import components
 
 K = 5  # words in a shingle
-CACHE_BOUND = 500_000
+CACHE_BOUND = 400_000
 BITMAP_BITS = 1 << 24
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _WORDS: dict[bytes, int] = {}
@@ -128,6 +128,7 @@ def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches):
         import xxhash
 
+        hold("near dedup", _WORDS.clear)
         for b in batches:
             n, node, bands, sig = [], [], [], []
             for t in b.column(1):
@@ -284,6 +285,7 @@ def family_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     def run(batches):
         import xxhash
 
+        hold("near dedup", _WORDS.clear)
         bits = wanted.value
         for b in batches:
             at = np.asarray(b.column(1)) % BITMAP_BITS

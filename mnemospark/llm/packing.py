@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import texts_of, written
-from mnemospark.llm.tokens import word_encoder
+from mnemospark.llm.tokens import words
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encoder = word_encoder(tokenizer)
+        encoder = words(tokenizer)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of, texts_of
+from mnemospark.llm.common import hold, text_of, texts_of
 
 FEATURES = [
     "log_chars", "log_words", "mean_word", "long_words", "upper", "digit", "punct", "symbol", "space", "non_ascii",
@@ -203,6 +203,7 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        hold("quality", dict)
         for b in batches:
             x = np.array([features(t.as_py()) for t in b.column(1)]).reshape(len(b), len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(x), pa.float64())], names=["doc_id", "score"])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm import language_id, quality
-from mnemospark.llm.common import fold, text_of
+from mnemospark.llm.common import fold, hold, text_groups, text_of
 from mnemospark.llm.exact_dedup import exact_dedup
 from mnemospark.llm.near_dedup import near_dedup
 
@@ -41,7 +41,7 @@ def keep_known_language(docs: DataFrame, vocabulary: str, least: float = 0.5) ->
 
     def keep(texts):
         m, out = language_id.live(packed.value), []
-        for part in language_id.groups(texts):
+        for part in text_groups(texts, language_id.GROUP_CHARS):
             langs, score = m.predict(part)
             out += [k != language_id.UNDETERMINED and s >= least for k, s in zip(langs, score.tolist(), strict=True)]
         return out
@@ -52,7 +52,12 @@ def keep_known_language(docs: DataFrame, vocabulary: str, least: float = 0.5) ->
 def keep_good_quality(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """Rejects documents that score under least."""
     shared = docs.sparkSession.sparkContext.broadcast(quality.fit(docs, labels, fold(4) != 2))
-    return _filtered(docs, lambda texts: shared.value.score(np.array([quality.features(t) for t in texts]).reshape(len(texts), -1)) >= least)
+
+    def keep(texts):
+        hold("quality", dict)
+        return shared.value.score(np.array([quality.features(t) for t in texts]).reshape(len(texts), len(quality.FEATURES))) >= least
+
+    return _filtered(docs, keep)
 
 
 def _fresh(docs: DataFrame, stem: str) -> str:

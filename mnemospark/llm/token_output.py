@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import shared_dir, texts_of
-from mnemospark.llm.tokens import byte_encoder
+from mnemospark.llm.tokens import byte_words
 
 #: Fixed values of the public zstd seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     end = np.array([end_id], "<u2").tobytes()
 
     def write(batches):
-        encoder, writer = byte_encoder(tokenizer), Writer()
+        encoder, writer = byte_words(tokenizer), Writer()
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 writer.add(doc_id, encoder.encode(text.as_py()) + end)

@@ -13,7 +13,9 @@ import re
 
 import numpy as np
 
-CACHE_BOUND = 1_000_000
+from mnemospark.llm.common import hold
+
+CACHE_BOUND = 500_000
 LONGEST = 64  # longer chunks are not kept
 
 
@@ -89,6 +91,16 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def words(path: str) -> WordEncoder:
+    hold("words", word_encoder.cache_clear)
+    return word_encoder(path)
+
+
 @functools.lru_cache(maxsize=4)
 def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
+
+
+def byte_words(path: str) -> ByteEncoder:
+    hold("byte words", byte_encoder.cache_clear)
+    return byte_encoder(path)
