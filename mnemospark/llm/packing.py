@@ -21,19 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import texts_of, written
-from mnemospark.llm.tokens import words
+from mnemospark.llm.tokens import CACHE_BOUND, words
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """One row for each piece of each document."""
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, cache: int = CACHE_BOUND) -> DataFrame:
+    """One row for each piece of each document. cache: words whose ids a worker keeps (memory for time, not results)."""
     names = [x.split()[0] for x in PIECES.split(", ")]
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encoder = words(tokenizer)
+        encoder = words(tokenizer, cache)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -208,10 +208,10 @@ def pack(pieces: DataFrame, capacity: int, shard_rows: int = 16_384, islands: in
     return done
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, **how) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, cache: int = CACHE_BOUND, **how) -> DataFrame:
     """Tokenises and packs every row of docs (doc_id, text).
 
     Defined results: null and empty text is the end id alone, one piece of length 1. Rows that share a doc_id are
     packed each. Further columns are ignored.
     """
-    return pack(token_pieces(docs, tokenizer, end_id, capacity), capacity, **how)
+    return pack(token_pieces(docs, tokenizer, end_id, capacity, cache), capacity, **how)

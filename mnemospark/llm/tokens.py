@@ -15,7 +15,7 @@ import numpy as np
 
 from mnemospark.llm.common import hold
 
-CACHE_BOUND = 500_000
+CACHE_BOUND = 1_000_000  # chunks that a worker keeps, up to about 0.6 GB
 LONGEST = 64  # longer chunks are not kept
 
 
@@ -86,14 +86,14 @@ class ByteEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, bound: int = CACHE_BOUND) -> WordEncoder:
     """One for each worker process, whatever the number of its tasks."""
-    return WordEncoder(path)
+    return WordEncoder(path, bound=bound)
 
 
-def words(path: str) -> WordEncoder:
+def words(path: str, bound: int = CACHE_BOUND) -> WordEncoder:
     hold("words", word_encoder.cache_clear)
-    return word_encoder(path)
+    return word_encoder(path, bound)
 
 
 @functools.lru_cache(maxsize=4)
