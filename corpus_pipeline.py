@@ -27,7 +27,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    # A smaller cache than the operator's own: these workers run beside a heap that earlier stages have grown.
+    return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, cache=500_000)
 
 
 STAGES = [("language", language), ("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("packing", packing)]
