@@ -245,6 +245,21 @@ def test_suffix_array_removes_repeated_blocks_without_markup_hints():
     assert html_text.main_texts(pages[:2])[0].endswith(shared)  # on two pages it is not repeated enough
 
 
+def _plain_page(k, shared):
+    own = " ".join(f"own{k}x{j}" for j in range(30))
+    return own, f"<div><p>{own}</p></div><div><p>{shared}</p></div>"
+
+
+def test_repeats_count_over_all_chunks_of_a_host(spark):
+    shared = " ".join(f"terms{j}" for j in range(24))
+    rows = [(k, f"http://big.x/{k}", _plain_page(k, shared if k % 10 == 0 else f"end of page {k}")[1]) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = dict(zip(range(60), html_text.main_texts([h for _, _, h in rows]), strict=True))
+    assert all(shared not in x for x in want.values())
+    for chunk_bytes in (4_000_000, 2000, 1):
+        assert {r.page_id: r.text for r in html_text.extract(df, chunk_bytes=chunk_bytes).collect()} == want
+
+
 def test_op3_text_of_articles(spark, sf):
     import html
 
