@@ -260,6 +260,21 @@ def test_repeats_count_over_all_chunks_of_a_host(spark):
         assert {r.page_id: r.text for r in html_text.extract(df, chunk_bytes=chunk_bytes).collect()} == want
 
 
+def test_rows_of_one_page_do_not_cover_each_other(spark):
+    pages = [_plain_page(k, f"last words of {k}") for k in range(4)]
+    text = [f"{own}\nlast words of {k}" for k, (own, _) in enumerate(pages)]
+    source = [h for _, h in pages]
+    later = [source[2].replace("last words of 2", f"edit {j} of 2") for j in range(3)]
+    rows = [(1, "http://a.x/1", source[0])] * 3 + [(10 + j, f"http://a.x/copy{j}", source[1]) for j in range(3)]
+    rows += [(20, f"http://a.x/version{j}", h) for j, h in enumerate(later)] + [(21, "http://a.x/21", later[0]), (22, "http://a.x/22", later[1]), (30, "http://a.x/30", source[3])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((r.page_id, r.url, r.text) for r in html_text.extract(df).collect())
+    edit = [f"{pages[2][0]}\nedit {j} of 2" for j in range(3)]
+    want = [(1, "http://a.x/1", text[0])] * 3 + [(10 + j, f"http://a.x/copy{j}", text[1]) for j in range(3)]
+    want += [(20, f"http://a.x/version{j}", edit[j]) for j in range(3)] + [(21, "http://a.x/21", edit[0]), (22, "http://a.x/22", edit[1]), (30, "http://a.x/30", text[3])]
+    assert got == collections.Counter(want)
+
+
 def test_op3_text_of_articles(spark, sf):
     import html
 
