@@ -3,14 +3,14 @@
 A text becomes a row of tokens: words, and each CJK character by itself. Of its k-token windows (after k-1 leading
 pads, so short texts have windows too) those stay whose least s-token substring lies at the window's first or last
 place: closed syncmers. The choice looks at nothing but the window itself, so an edit changes only the anchors that
-touch it, and equal passages keep their anchors wherever they stand. A fingerprint is the ``size`` smallest anchor
-hashes (32 bits each) as hexadecimal text, an unbiased sketch: the share of common anchors among the smallest of two
-sketches' union estimates the share of common syncmers of the two texts.
+touch it, and equal passages keep their anchors wherever they stand. The likeness of two texts is exact: the distinct
+syncmers (64 bits each) that both have, as a share of those that either has. The printed fingerprint is a short form
+that no likeness is made from: the ``size`` smallest anchor hashes (32 bits each) as hexadecimal text.
 
-Each text is hashed once, in the scan. The next document by id comes from buckets of neighbouring ids: one shuffle
-deals texts to buckets of about ``per_bucket`` ids, the first document of each bucket goes to the bucket before it as
-well, and lead() finds the neighbour inside the bucket. There are at most ``MOST_BUCKETS`` buckets, which bounds the
-broadcast table of first ids.
+The next document by id comes from buckets of neighbouring ids: one shuffle deals texts to buckets of about
+``per_bucket`` ids, the first document of each bucket goes to the bucket before it as well, and lead() finds the
+neighbour inside the bucket. Each text is hashed once, after that shuffle, so anchors are never shuffled. There are at
+most ``MOST_BUCKETS`` buckets, which bounds the broadcast table of first ids.
 
 Defined results: null counts as empty; an empty text has the empty fingerprint, likeness 1 to another empty one and
 0 to any other. Null doc_ids come first. Rows that share a doc_id follow each other in the order of a hash of their
@@ -68,25 +68,36 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
     return F.filter(numbered, lambda x: x["hash"].isNotNull())
 
 
-def sketch(text: Column, size: int = SIZE) -> Column:
+def distinct_anchors(text: Column) -> Column:
+    """The hashes of all syncmers of a text, each once."""
+    return F.array_distinct(F.filter(anchors(text), lambda h: h.isNotNull()))
+
+
+def short_form(all_anchors: Column, size: int = SIZE) -> Column:
     """The smallest distinct anchors, 32 bits each, ascending."""
-    short = F.transform(F.filter(anchors(text), lambda h: h.isNotNull()), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    short = F.transform(all_anchors, lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     return F.slice(F.sort_array(F.array_distinct(short)), 1, size)
 
 
+def sketch(text: Column, size: int = SIZE) -> Column:
+    return short_form(distinct_anchors(text), size)
+
+
 def as_text(sk: Column) -> Column:
     return F.array_join(F.transform(sk, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
 
 
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """Share of the smallest anchors of both sketches together that both have."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    share = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.greatest(F.size(u), F.lit(1)))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the distinct anchors of a and b together that both have."""
+    share = let(F.size(F.array_intersect(a, b)), lambda both: both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(share)
 
 
-def with_next(rows: DataFrame, columns: list[str], per_bucket: int = 512) -> DataFrame:
-    """rows (doc_id, text, ...) with next_<column> from the next document by ascending doc_id; after the last, the first."""
+def with_next(rows: DataFrame, columns: list[str], made: dict[str, Column], per_bucket: int = 512) -> DataFrame:
+    """rows (doc_id, text, ...) with next_<column> from the next document by ascending doc_id; after the last, the first.
+
+    made: columns that are added to rows after the shuffle; columns may name them.
+    """
     spark = rows.sparkSession
     low, high, n, nulls = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     low, high = low or 0, high or 0
@@ -100,6 +111,7 @@ def with_next(rows: DataFrame, columns: list[str], per_bucket: int = 512) -> Dat
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("also").alias("bucket"), F.lit(True).alias("guest"))
     dealt = marked.withColumn("seat", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, guest)))).drop("also")
+    dealt = dealt.repartition("seat.bucket").withColumns(made)
     near = Window.partitionBy("seat.bucket").orderBy("seat.guest", F.col("doc_id").asc_nulls_first(), "tie")
     return dealt.select("*", *[F.lead(c).over(near).alias(f"next_{c}") for c in columns]).filter(~F.col("seat.guest")).drop("seat", "tie")
 
@@ -112,17 +124,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited form (last quarter from the next document's beginning)."""
     text = text_of()
-    rows = docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), sketch(text).alias("sketch"), F.xxhash64(text).alias("tie"))
-    near = with_next(rows, ["text", "sketch"])
+    rows = docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.xxhash64(text).alias("tie"))
+    near = with_next(rows, ["text", "anchors"], {"anchors": distinct_anchors(F.col("text"))})
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
-    edited = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
+    edited = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "anchors", "next_anchors", distinct_anchors(F.col("edited")).alias("edited_anchors"))
     return edited.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(short_form(F.col("anchors"))).alias("fingerprint"),
+        as_text(short_form(F.col("edited_anchors"))).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )

@@ -296,6 +296,20 @@ def test_syncmers_equal_a_plain_loop(spark):
     assert [x.place for x in got] == places
 
 
+def test_likenesses_are_exact_on_long_texts(spark):
+    rng = random.Random(4)
+    passage = [f"shared{j}" for j in range(20)]
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(6000)] + passage) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edited = [t[: len(t) - len(t) // 4] + texts[(k + 1) % 3][: len(t) // 4] for k, t in enumerate(texts)]
+    sets = [[{x.hash for x in r.s} for r in spark.createDataFrame(list(enumerate(x)), "k int, t string").select("k", syncmers.syncmers(F.col("t")).alias("s")).orderBy("k").collect()] for x in (texts, edited)]
+    share = lambda a, b: len(a & b) / len(a | b)
+    for r in syncmers.edited_fingerprints(df).collect():
+        k = r.doc_id
+        assert r.near_edited == share(sets[0][k], sets[1][k])
+        assert r.near_next == share(sets[0][k], sets[0][(k + 1) % 3]) > 0
+
+
 def test_op8_edits_and_neighbours(spark, sf, docs):
     got = {r.doc_id: r for r in QUERIES["op8_syncmer_fingerprints"](spark, sf).collect()}
     t = [x or "" for x in docs.text]
