@@ -13,7 +13,8 @@
    100*|A and B| >= threshold*|A or B| are merged, again one row for each member at most.
 5. Components of the confirmed links, with all copies of a class, give component_id.
 
-The chance that two nodes at the threshold never meet is (1 - 0.85^5)^20, below 1e-5. Nothing is capped.
+Bands and rows follow from the threshold, so that the chance that two nodes at it never meet is below 1e-5
+(``scheme_for``): (1 - 0.85^5)^20 = 8.1e-6 at 85, (1 - 0.8^4)^25 = 1.9e-6 at 80. Nothing is capped.
 
 Defined results: null or empty text, or text without words, has an empty set, n_shingles 0, and is alone (its own
 doc_id is its component). Rows that share a doc_id are separate rows; equal sets still link them. A null doc_id
@@ -119,6 +120,15 @@ class Scheme:
         return ((1 - differ / self.perms) - chance) / (1 - chance)
 
 
+def scheme_for(percent: int, perms: int = 100, miss: float = 1e-5) -> Scheme:
+    """The longest bands of about perms minima whose chance to miss a pair at percent is below miss."""
+    p = percent / 100
+    for rows in range(5, 0, -1):
+        if (1 - p**rows) ** (perms // rows) < miss:
+            return Scheme(perms // rows, rows)
+    return Scheme(int(np.log(miss) / np.log(1 - p)) + 1, 1)
+
+
 SIGNED = "doc_id long, n_shingles long, node binary, bands array<long>, sig array<long>"
 
 
@@ -318,7 +328,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, scheme: Scheme | None = None,
 
     percent: documents link when 100*|A and B| >= percent*|A or B|. elements: shingles in a block of a family.
     """
-    scheme = scheme or Scheme()
+    scheme = scheme or scheme_for(percent)
     p = percent / 100
     agree = p + (1 - p) * 0.5**scheme.bits
     loose = p - 6 * (agree * (1 - agree) / scheme.perms) ** 0.5 / (1 - 0.5**scheme.bits)

@@ -171,6 +171,17 @@ def test_group_of_near_copies_with_small_blocks(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_pairs_at_the_threshold_share_a_band():
+    scheme = near_dedup.scheme_for(80)
+    for k in range(12_000):
+        words = [f"w{k}x{j}" for j in range(12)]
+        one, two = (near_dedup.shingles(" ".join([*words, last])) for last in ("left", "right"))
+        assert len(np.intersect1d(one, two)) == 8 and len(np.union1d(one, two)) == 10
+        assert (scheme.band_keys(scheme.minima(one)) == scheme.band_keys(scheme.minima(two))).any()
+    same = near_dedup.scheme_for(85)
+    assert (same.bands, same.rows) == (20, 5)
+
+
 def test_bit_estimate_is_unbiased():
     scheme, rng = near_dedup.Scheme(), np.random.default_rng(8)
     errors = []
