@@ -1,8 +1,8 @@
-"""Exact dedup by a tree merge of sorted digest runs, DataFrame functions only.
+"""Exact dedup by a tree of hash aggregates over digest runs, DataFrame functions only.
 
 Every document becomes one digest row (SHA-256, byte length, an independent 64-bit check), dealt to one of
-``runs`` leaf runs. A round sends ``fan_in`` neighbouring runs to one parent, where Spark's sort and aggregate
-merges them: one row stays for each text, with the identifier that wins and the number of copies. After
+``runs`` leaf runs. A round sends ``fan_in`` neighbouring runs to one parent, where a hash aggregate by (run, key)
+stands in for a merge of sorted runs: one row stays for each text, with the identifier that wins and the number of copies. After
 log(runs) rounds the root holds one row for each text, and each document reads its group there.
 
 The text itself never moves: a shuffle carries about 60 bytes a row, and after the first round one row for each
