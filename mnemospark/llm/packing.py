@@ -1,18 +1,21 @@
 """Best-fit packing by a grouping genetic algorithm on distributed islands.
 
 Documents become token pieces (only those over the capacity are cut); the piece table is written once, about 45
-bytes a row. Pieces are dealt to shards of bounded size, and ``islands`` tasks evolve each shard apart: a population
-of packings, where crossover injects the well-filled bins of one parent whole into the other, removes bins with
-pieces that would then be there twice, and puts displaced pieces back by best-fit decreasing. After an epoch each
-island sends its elite, the bin of each piece, to the next island of the shard's ring, where it joins the population.
-The best packing of each shard stays; bins filled under ``weak`` of the capacity, from all shards, are dealt out again
-and packed by the same algorithm, until that saves nothing or they fit one shard.
+bytes a row. Pieces are dealt to shards of bounded size, and ``islands`` tasks evolve each shard apart. A population
+begins with groupings of pieces in random order, next fit with a few open bins, so no member is a finished packing;
+crossover injects the well-filled bins of one parent whole into the other, removes bins with pieces that would then be
+there twice, dissolves the other's least filled bins, and puts the displaced pieces back by best-fit decreasing. A child
+replaces the worst member unless it is worse. After an epoch each island sends its elite, the bin of each piece, to the
+next island of the shard's ring, where it joins a new population. The best packing of each shard stays; bins filled
+under ``weak`` of the capacity, from all shards, are dealt out again and packed by the same algorithm, until that saves
+no bin or they fit one shard.
 
 All pieces of a run are placed exactly once. A shard's size is bounded, so tasks do not grow with the input.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -55,6 +58,20 @@ class Packing:
         self.bins: list[list[int]] = []
         self.fill: list[int] = []
 
+    def scatter(self, pieces, open_bins: int = 8) -> None:
+        """Pieces in the given order into the first of the last open_bins bins that has room, else a new bin."""
+        cap, sizes, bins, fill = self.capacity, self.sizes, self.bins, self.fill
+        for p in pieces:
+            need = sizes[p]
+            for k in range(max(0, len(bins) - open_bins), len(bins)):
+                if fill[k] + need <= cap:
+                    bins[k].append(p)
+                    fill[k] += need
+                    break
+            else:
+                bins.append([p])
+                fill.append(need)
+
     def put(self, pieces) -> None:
         """Best fit of pieces, in the given order."""
         cap, sizes, bins, fill = self.capacity, self.sizes, self.bins, self.fill
@@ -104,20 +121,26 @@ class Packing:
         return out
 
 
-def crossover(a: Packing, b: Packing, rng, full: float = 0.995, share: float = 0.5) -> Packing:
-    """Injects well-filled bins of b whole into a; displaced pieces go back by best-fit decreasing."""
-    good = [k for k, f in enumerate(b.fill) if f >= full * b.capacity]
-    good = [good[i] for i in rng.permutation(len(good))[: max(1, int(share * len(good)))]] if good else []
+def crossover(a: Packing, b: Packing, rng, share: float = 0.5, dissolved: float = 0.1) -> Packing:
+    """Injects a share of b's bins, the best filled ones likelier, whole into a; displaced pieces go back by best-fit decreasing.
+
+    Bins of a that hold an injected piece are removed, and so are the dissolved share of a's least filled bins: their
+    other pieces are displaced.
+    """
+    filled = np.array(b.fill)
+    good = np.argsort(-(filled + rng.uniform(0, 0.02 * a.capacity, len(filled))), kind="stable")[: max(1, int(share * len(filled)))]
     child = Packing(a.sizes, a.capacity)
     child.bins = [list(b.bins[k]) for k in good]
     child.fill = [b.fill[k] for k in good]
     taken = np.zeros(len(a.sizes), bool)
-    for x in child.bins:
-        taken[x] = True
+    taken[[p for x in child.bins for p in x]] = True
+    weakest = sorted(a.fill)[int(dissolved * len(a.fill))] if a.fill else 0
     displaced = []
-    weakest = min(a.fill, default=0)
-    for x, f in zip(a.bins, a.fill, strict=True):
-        if taken[x].any() or f == weakest:
+    owner = a.labels()
+    hit = np.zeros(len(a.bins), bool)
+    hit[owner[taken]] = True
+    for k, (x, f) in enumerate(zip(a.bins, a.fill, strict=True)):
+        if hit[k] or f <= weakest and f < a.capacity:
             displaced += [p for p in x if not taken[p]]
         else:
             child.bins.append(list(x))
@@ -126,14 +149,13 @@ def crossover(a: Packing, b: Packing, rng, full: float = 0.995, share: float = 0
     return child
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elite=None, population: int = 3, generations: int = 4) -> Packing:
+def evolve(sizes: list[int], capacity: int, seed: int, elite=None, population: int = 4, generations: int = 8) -> Packing:
     """One island's epoch. elite: the bin of each piece in a packing that migrated here."""
     rng = np.random.default_rng(seed)
-    base = np.array(sizes, np.float64)
     pop = []
-    for k in range(population):
+    for _ in range(population):
         one = Packing(sizes, capacity)
-        one.put(np.argsort(-(base if k == 0 and seed % 2 == 0 else base * rng.uniform(0.9, 1.1, len(base))), kind="stable").tolist())
+        one.scatter(rng.permutation(len(sizes)).tolist())
         pop.append(one)
     if elite is not None:
         pop.append(Packing.of(sizes, capacity, elite))
@@ -143,7 +165,8 @@ def evolve(sizes: list[int], capacity: int, seed: int, elite=None, population: i
         if len(pop[0].bins) <= floor:
             break
         i = int(rng.integers(1, len(pop)))
-        pop[-1] = max(crossover(pop[0], pop[i], rng), crossover(pop[i], pop[0], rng), key=Packing.fitness)
+        child = max(crossover(pop[0], pop[i], rng), crossover(pop[i], pop[0], rng), key=Packing.fitness)
+        pop[-1] = max(child, pop[-1], key=Packing.fitness)
     return max(pop, key=Packing.fitness)
 
 
@@ -187,25 +210,28 @@ def _islands(pieces: DataFrame, shards: int, capacity: int, islands: int, epochs
     return chosen.groupBy("shard").applyInPandas(place, PLACED)
 
 
-def pack(pieces: DataFrame, capacity: int, shard_rows: int = 16_384, islands: int = 2, epochs: int = 2, weak: float = 0.98, rounds: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, shard_rows: int = 16_384, islands: int = 2, epochs: int = 2, weak: float = 0.98) -> DataFrame:
     """Places every row of pieces (PIECES columns); returns PLACED rows.
 
     Defined results: an empty table gives an empty result; rows that are alike are placed each; lengths lie
     between 1 and capacity.
     """
-    done, left = None, written(pieces, "pieces")
-    for number in range(rounds):
+    done, left, before, last = None, written(pieces, "pieces"), None, None
+    for number in itertools.count():
         n = left.count()
         shards = max(1, -(-n // shard_rows))
         placed = written(_islands(left, shards, capacity, islands if n > 1 else 1, epochs, number + 1, number), "placed")
-        if shards == 1 or number == rounds - 1:
-            return placed if done is None else done.unionByName(placed)
+        whole = placed if done is None else done.unionByName(placed)
         fill = placed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-        loose = fill.filter(F.col("fill") < weak * capacity).select("sequence_id")
+        if last is not None and fill.count() >= before:
+            return last  # dealing the weak bins out again saved nothing
+        if shards == 1:
+            return whole
+        last, loose = whole, fill.filter(F.col("fill") < weak * capacity).select("sequence_id")
         firm = placed.join(loose, "sequence_id", "left_anti")
         done = firm if done is None else done.unionByName(firm)
         left = placed.join(loose, "sequence_id", "left_semi").select(*[x.split()[0] for x in PIECES.split(", ")])
-    return done
+        before = loose.count()
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, cache: int = CACHE_BOUND, **how) -> DataFrame:

@@ -3,6 +3,9 @@
 Both vocabularies used here never merge across white space, so a text's ids are the ids of its chunks. A chunk is
 encoded once by the tokenizers library and kept as packed little-endian ids; the cache stops growing at ``bound``
 entries (words beyond it are encoded each time), which bounds a worker's memory.
+
+Strings of special tokens in a text are ordinary text, as the vocabularies' own description loads them; with
+``special=True`` they become their ids, as the library does when it is loaded without that setting.
 """
 
 from __future__ import annotations
@@ -19,15 +22,21 @@ CACHE_BOUND = 1_000_000  # chunks that a worker keeps, up to about 0.6 GB
 LONGEST = 64  # longer chunks are not kept
 
 
-def _library(path: str):
+def _library(path: str, special: bool = False):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = not special
     return t
 
 
+def _special(lib):
+    """Finds special tokens' strings, in any case, since a vocabulary may fold it; None: there are none."""
+    names = [re.escape(t.content) for t in lib.get_added_tokens_decoder().values()]
+    return re.compile("|".join(names), re.I) if names else None
+
+
 class _Chunks(dict):
     """chunk -> packed ids; prefix stands before each chunk when it is encoded."""
 
@@ -35,9 +44,11 @@ class _Chunks(dict):
         super().__init__()
         self.tokenizer, self.dtype, self.prefix, self.bound = tokenizer, dtype, prefix, bound
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(self.prefix + chunk, add_special_tokens=False).ids
-        out = np.array(ids, self.dtype).tobytes()
+        out = self.whole(self.prefix + chunk)
         if len(self) < self.bound and len(chunk) <= LONGEST:
             self[chunk] = out
         return out
@@ -46,11 +57,15 @@ class _Chunks(dict):
 class WordEncoder:
     """For vocabularies that drop white space (word BPE)."""
 
-    def __init__(self, path: str, dtype: str = "<u4", bound: int = CACHE_BOUND):
-        self.chunks = _Chunks(_library(path), dtype, "", bound)
+    def __init__(self, path: str, dtype: str = "<u4", bound: int = CACHE_BOUND, special: bool = False):
+        lib = _library(path, special)
+        self.chunks = _Chunks(lib, dtype, "", bound)
         self.chunks[""] = b""
+        self.special = _special(lib) if special else None
 
     def encode(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            return self.chunks.whole(text)
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -61,8 +76,9 @@ _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 class ByteEncoder:
     """For byte-level vocabularies, where a single space belongs to the word after it."""
 
-    def __init__(self, path: str, dtype: str = "<u2", bound: int = CACHE_BOUND):
-        lib = _library(path)
+    def __init__(self, path: str, dtype: str = "<u2", bound: int = CACHE_BOUND, special: bool = False):
+        lib = _library(path, special)
+        self.special = _special(lib) if special else None
         self.spaced, self.bare = _Chunks(lib, dtype, " ", bound), _Chunks(lib, dtype, "", bound)
         self.newline = self.bare["\n"]
 
@@ -73,6 +89,8 @@ class ByteEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.special and self.special.search(text):
+            return self.bare.whole(text)
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1].isspace():
             return self._by_runs(text)
         lines = text.split("\n")
