@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import shared_dir, written
 
-__all__ = ["fold", "hold", "shared_dir", "table", "text_groups", "text_of", "texts_of", "written"]
+__all__ = ["fold", "hold", "join_by_size", "shared_dir", "table", "text_groups", "text_of", "texts_of", "written"]
 
 _HELD: dict[str, Callable[[], object]] = {}
 
@@ -53,3 +53,16 @@ def text_of(col: str = "text") -> Column:
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id long, text) of documents; null text is empty. All else, whatever its name, stays behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+
+
+def join_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, limit: int = 10_000, most: int = 50_000) -> DataFrame:
+    """rows with the columns of their group; groups has one row a key, whose number of rows is in column size.
+
+    A key of more than limit rows would send them all to one task, so such groups are broadcast to where the rows are:
+    with limit raised to a share of all rows, there are at most ``most`` of them at any scale. All other rows meet
+    their group in a shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > max(limit, -(-total // most))
+    cold = rows.join(F.broadcast(groups.filter(hot).select(*keys)), keys, "left_anti").join(groups.filter(~hot).drop(size), keys)
+    return cold.unionByName(rows.join(F.broadcast(groups.filter(hot).drop(size)), keys))

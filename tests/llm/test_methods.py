@@ -285,6 +285,37 @@ def test_suffix_array_removes_repeated_blocks_without_markup_hints():
     assert html_text.main_texts(pages[:2])[0].endswith(shared)  # on two pages it is not repeated enough
 
 
+def test_no_element_of_an_article_goes_by_part_of_its_class():
+    page = '<article><h1 class="article-header">Title</h1><p class="search-note">kept words</p><div class="comments"><p>me too</p></div><nav>up</nav></article>'
+    assert html_text.main_texts([page]) == ["Title\nkept words"]
+
+
+def test_the_array_decides_containers_that_it_has_seen(spark):
+    """Adverts of a few texts, some of them rare, and a box whose texts are all unique, on 150 pages and on 20."""
+    rng = random.Random(7)
+    adverts = [" ".join(f"buy{k}x{j}" for j in range(6)) for k in range(12)]
+
+    def page(k):
+        own = " ".join(f"own{k}x{j}" for j in range(rng.randint(3, 40)))
+        advert = f"rare{k} offer{k} today{k}" if k % 9 == 0 else rng.choice(adverts)
+        return own, f'<nav><a>home</a></nav><div class="ad">{advert}</div><div class="widget box">box{k} of{k} words{k}</div><article><p>{own}</p></article>'
+
+    for n, with_box in ((150, True), (20, False)):
+        made = [page(k) for k in range(n)]
+        want = [f"box{k} of{k} words{k}\n{own}" if with_box else own for k, (own, _) in enumerate(made)]
+        df = spark.createDataFrame([(k, f"http://a.x/{k}", h) for k, (_, h) in enumerate(made)], "page_id long, url string, html string")
+        assert html_text.main_texts([h for _, h in made]) == want
+        for chunk_bytes in (2_000_000, 500):
+            assert [r.text for r in html_text.extract(df, chunk_bytes=chunk_bytes).orderBy("page_id").collect()] == want
+
+
+def test_without_the_array_adverts_stay(monkeypatch):
+    made = [f'<div class="ad">buy this now from us {k % 5}</div><article><p>own words {k}</p></article>' for k in range(140)]
+    assert html_text.main_texts(made) == [f"own words {k}" for k in range(140)]
+    monkeypatch.setattr(html_text, "spread", lambda starts, depth, size: np.zeros(size, bool))
+    assert all("buy" in t for t in html_text.main_texts(made))
+
+
 def _plain_page(k, shared):
     own = " ".join(f"own{k}x{j}" for j in range(30))
     return own, f"<div><p>{own}</p></div><div><p>{shared}</p></div>"
@@ -296,7 +327,7 @@ def test_repeats_count_over_all_chunks_of_a_host(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = dict(zip(range(60), html_text.main_texts([h for _, _, h in rows]), strict=True))
     assert all(shared not in x for x in want.values())
-    for chunk_bytes in (4_000_000, 2000, 1):
+    for chunk_bytes in (4_000_000, 600, 1):
         assert {r.page_id: r.text for r in html_text.extract(df, chunk_bytes=chunk_bytes).collect()} == want
 
 
