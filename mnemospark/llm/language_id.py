@@ -2,7 +2,7 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A text's likelihood in a language is
 that of its letter runs, and a run's likelihood is the sum over all ways to cut it into pieces, which a forward
-recursion over its letters gives. Probabilities come from expectation maximisation: forward and backward sums give
+recursion over its letters gives, however long the run. Probabilities come from expectation maximisation: forward and backward sums give
 the expected count of each piece in the training words, and the counts give the next probabilities. In scoring, one run in a hundred may come from any language.
 
 Training reads a bounded sample, ``sample`` documents of each language, picked by a hash of the id; its words are
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import hold, text_groups, text_of, texts_of, written
+from mnemospark.llm.common import hold, join_by_size, text_groups, text_of, texts_of, written
 
 UNDETERMINED = "und"
-RUN = 24  # longer letter runs are cut here
+STEPS = 24  # letters between two rescalings of the forward sums
+LONG = 2048  # longer runs are scored in blocks side by side
 FLOOR = 1e-7
 FOREIGN = 0.01
-MOST_LANGUAGES = 1000  # a model has so many at most, the most frequent ones
 CACHE_BOUND = 400_000
 GROUP_CHARS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -49,8 +49,7 @@ class Pieces:
             body = piece.lstrip("▁")
             if model.is_control(k) or model.is_byte(k) or model.is_unknown(k) or not (body.isalpha() or piece == "▁"):
                 continue
-            if len(piece) <= RUN:
-                seen.setdefault("▁" * (piece[0] == "▁") + body)
+            seen.setdefault("▁" * (piece[0] == "▁") + body)
         self.pieces = list(seen)
         self.size = len(self.pieces)
         self.by_length = []
@@ -81,26 +80,75 @@ class Pieces:
         return out
 
 
-def forward(spans, n: int, prob: np.ndarray) -> np.ndarray:
-    """alpha[position, word, language]: the summed probability of all segmentations of the first letters."""
+def forward(spans, n: int, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[position, word, language]: the summed probability of all segmentations of the first letters.
+
+    It comes with the logarithm of its scale: every STEPS letters the sums that later ones need are divided by the
+    greatest of them, so runs of any length keep their precision.
+    """
     count, langs = spans[0].shape[0], prob.shape[1]
     alpha = np.zeros((n + 1, count, langs))
+    scale = np.zeros((n + 1, count, langs) if n > STEPS else (1, 1, 1))
     alpha[0] = 1
     for j in range(1, n + 1):
         for m in range(1, min(j, len(spans)) + 1):
             if spans[m - 1] is not None:
                 p = prob[spans[m - 1][:, j - m]]
                 alpha[j] += alpha[j - m] * (np.maximum(p, FLOOR) if m == 1 else p)
-    return alpha
+        if n > STEPS:
+            scale[j] = scale[j - 1]
+            if j % STEPS == 0:
+                near = slice(max(0, j - len(spans) + 1), j + 1)
+                top = alpha[near].max(axis=0)
+                alpha[near] /= top
+                scale[near] += np.log(top)
+    return alpha, scale
+
+
+def log_of_long(spans, n: int, prob: np.ndarray) -> np.ndarray:
+    """log of the summed probability of all segmentations of one long run, by language.
+
+    The recursion is linear in its last sums, so a block of letters is a matrix between them. All blocks are run side by
+    side, from each unit vector, and their matrices are then chained: the same sum, in about sqrt(n) steps.
+    """
+    reach, langs = len(spans), prob.shape[1]
+    size = max(reach, int(n**0.5))
+    begin = n - n // size * size
+    head, head_scale = forward([None if x is None else x[:, : max(1, begin)] for x in spans], begin, prob) if begin else (np.ones((1, 1, langs)), np.zeros((1, 1, langs)))
+    state = np.zeros((reach, langs))
+    for k in range(min(reach, begin + 1)):
+        state[k] = head[begin - k, 0] * np.exp((head_scale[begin - k] - head_scale[begin])[0] if begin > STEPS else 0.0)
+    log_sum = head_scale[-1, 0].copy()
+    starts = np.arange(begin, n, size)
+    window = [np.repeat(np.eye(reach)[k][None, :, None], langs, 2) * np.ones((len(starts), 1, 1)) for k in range(reach)]  # [k]: sums k letters back
+    scale = np.zeros((len(starts), langs))
+    for j in range(1, size + 1):
+        new = np.zeros_like(window[0])
+        for m, ids in enumerate(spans, 1):
+            if ids is not None:
+                at = starts + j - m
+                p = prob[ids[0, np.maximum(at, 0)]]
+                new += window[m - 1] * np.where(at[:, None] >= 0, np.maximum(p, FLOOR) if m == 1 else p, 0.0)[:, None, :]
+        window = [new, *window[:-1]]
+        if j % STEPS == 0 or j == size:
+            top = np.max([w.max(axis=1) for w in window], axis=0)
+            window = [w / top[:, None, :] for w in window]
+            scale += np.log(top)
+    for k in range(len(starts)):
+        state = np.array([(w[k] * state).sum(axis=0) for w in window])
+        top = state.max(axis=0)
+        state, log_sum = state / top, log_sum + scale[k] + np.log(top)
+    return np.log(state[0]) + log_sum
 
 
 def by_length(words):
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         groups.setdefault(len(w), []).append(k)
-    for ks in groups.values():
-        for a in range(0, len(ks), 4096):
-            part = ks[a : a + 4096]
+    for n, ks in groups.items():
+        step = max(1, min(4096, 200_000 // n))
+        for a in range(0, len(ks), step):
+            part = ks[a : a + step]
             yield part, [words[k] for k in part]
 
 
@@ -108,7 +156,12 @@ def log_likelihood(pieces: Pieces, words: list[str], prob: np.ndarray) -> np.nda
     """log of each word's marginal in each language; prob has a last row of zeros."""
     out = np.empty((len(words), prob.shape[1]))
     for ks, same in by_length(words):
-        out[ks] = np.log(forward(pieces.spans(same), len(same[0]), prob)[-1])
+        n = len(same[0])
+        if n > LONG:
+            out[ks] = [log_of_long(pieces.spans([w]), n, prob) for w in same]
+        else:
+            alpha, scale = forward(pieces.spans(same), n, prob)
+            out[ks] = np.log(alpha[-1]) + scale[-1]
     return out
 
 
@@ -129,19 +182,15 @@ def expectation_maximisation(pieces: Pieces, words: list[str], counts: np.ndarra
     for _ in range(rounds):
         table, expected = np.append(prob, 0.0)[:, None], np.zeros(pieces.size + 1)
         for ks, spans, n in groups:
-            alpha = forward(spans, n, table)[..., 0]
-            beta = np.zeros_like(alpha)
-            beta[n] = 1
-            for i in range(n - 1, -1, -1):
-                for m in range(1, min(n - i, len(spans)) + 1):
-                    if spans[m - 1] is not None:
-                        p = table[spans[m - 1][:, i], 0]
-                        beta[i] += beta[i + m] * (np.maximum(p, FLOOR) if m == 1 else p)
+            alpha, up = (x[..., 0] for x in forward(spans, n, table))
+            beta, down = (x[::-1, ..., 0] for x in forward([None if x is None else x[:, ::-1] for x in spans], n, table))
             weight = counts[ks] / alpha[n]
             for m, ids in enumerate(spans, 1):
                 if ids is not None:
                     p = table[ids, 0]
                     post = alpha[: n - m + 1].T * (np.maximum(p, FLOOR) if m == 1 else p) * beta[m:].T * weight[:, None]
+                    if n > STEPS:
+                        post *= np.exp((up[: n - m + 1] + down[m:] - up[n]).T)
                     expected += np.bincount(ids.ravel(), post.ravel(), pieces.size + 1)
         prob = (expected[:-1] + smooth) / (expected[:-1].sum() + smooth * pieces.size)
     return prob
@@ -173,9 +222,8 @@ class Model:
         runs, owner = [], []
         for k, c in enumerate(chunks):
             for r in regex.findall(r"\p{L}+", c.lower()):
-                for a in range(0, len(r), RUN - 1):
-                    runs.append("▁" * (a == 0) + r[a : a + RUN - 1])
-                    owner.append(k)
+                runs.append("▁" + r)
+                owner.append(k)
         rows = np.zeros((len(chunks), len(self.langs) + 1))
         if runs:
             names = list(dict.fromkeys(runs))
@@ -218,10 +266,9 @@ class Model:
 def fit(docs: DataFrame, train: Column, path: str, sample: int = 1500, rounds: int = 4, smooth: float = 0.05, salt: int = 7) -> Model:
     """Learns from the rows of docs (doc_id, text, lang) where train holds; at most about sample documents a language."""
     known = docs.filter(train & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    share = sizes.select("lang", (F.lit(float(sample)) / F.col("n")).alias("share"))
+    share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", "n", (F.lit(float(sample)) / F.col("n")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) / 1_000_003
-    chosen = known.join(F.broadcast(share), "lang").filter(draw < F.col("share"))
+    chosen = join_by_size(known, share, ["lang"], "n").filter(draw < F.col("share"))
     words = (
         chosen.select("lang", F.explode(F.split(F.lower(text_of()), r"[^\p{L}]+")).alias("word"))
         .filter(F.col("word") != "")
@@ -233,8 +280,8 @@ def fit(docs: DataFrame, train: Column, path: str, sample: int = 1500, rounds: i
         pieces = pieces_of(path)
         totals: dict[str, float] = {}
         for w, c in zip(pdf["word"], pdf["count"], strict=True):
-            for a in range(0, len(w), RUN - 1):
-                part = "▁" * (a == 0) + w[a : a + RUN - 1]
+            for a in range(0, len(w), LONG - 1):  # in training alone, a longer run is counted in parts
+                part = "▁" * (a == 0) + w[a : a + LONG - 1]
                 totals[part] = totals.get(part, 0) + c
         prob = expectation_maximisation(pieces, list(totals), np.array(list(totals.values()), float), rounds, smooth)
         return pd.DataFrame({"lang": key[0], "prob": [prob.tolist()]})

@@ -249,6 +249,75 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(row), total)
 
 
+def _log_sum_of_cuts(pieces, word, prob):
+    """Plain forward sum in logarithms, one letter at a time."""
+    at = {p: k for k, p in enumerate(pieces.pieces)}
+    longest = max(map(len, pieces.pieces))
+    out = [np.zeros(prob.shape[1])]
+    for j in range(1, len(word) + 1):
+        terms = [np.full(prob.shape[1], -np.inf)]
+        for m in range(1, min(j, longest) + 1):
+            p = prob[at.get(word[j - m : j], pieces.size)]
+            terms.append(out[j - m] + np.log(np.maximum(p, language_id.FLOOR if m == 1 else 1e-300)))
+        out.append(np.logaddexp.reduce(terms))
+    return out[-1]
+
+
+def test_forward_sums_runs_of_any_length():
+    pieces = language_id.pieces_of(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    prob = rng.random((pieces.size, 2)) ** 3 / pieces.size
+    table = np.vstack([prob, np.zeros((1, 2))])
+    letters = "etaoinshrdluqzxß漢字"
+    words = ["▁" + "".join(rng.choice(list(letters), n)) for n in (23, 24, 30, 100, 2047, 2048, 5000)]
+    got = language_id.log_likelihood(pieces, words, table)
+    assert np.allclose(got, [_log_sum_of_cuts(pieces, w, table) for w in words], rtol=1e-9)
+
+
+def test_expected_counts_of_a_long_run():
+    """A run of 60 letters twice as one word: expected counts are those of the gradient of its log sum."""
+    pieces = language_id.pieces_of(P.path("piece_bpe_32k.model"))
+    word = "▁" + "thereandhouse" * 5
+    got = language_id.expectation_maximisation(pieces, [word], np.array([2.0]), 1, 0.0)
+    flat = np.append(np.full(pieces.size, 1.0 / pieces.size), 0.0)[:, None]
+    used = [p for p in pieces.pieces if p in word]
+    for p in used[:12]:
+        k = pieces.pieces.index(p)
+        up = flat.copy()
+        up[k] *= 1 + 1e-5
+        slope = (_log_sum_of_cuts(pieces, word, up) - _log_sum_of_cuts(pieces, word, flat))[0] / np.log1p(1e-5)
+        share = got[k] * 1.0
+        assert math.isclose(share, slope / _total_pieces(pieces, word, flat), rel_tol=1e-3, abs_tol=1e-9)
+
+
+def _total_pieces(pieces, word, flat):
+    """Expected number of pieces in a segmentation of word."""
+    total = 0.0
+    for p in {word[i:j] for i in range(len(word)) for j in range(i + 1, len(word) + 1)} & set(pieces.pieces):
+        up = flat.copy()
+        up[pieces.pieces.index(p)] *= 1 + 1e-5
+        total += (_log_sum_of_cuts(pieces, word, up) - _log_sum_of_cuts(pieces, word, flat))[0] / np.log1p(1e-5)
+    return total
+
+
+def test_op2_equals_its_model_on_every_document(spark, sf, docs):
+    """The query against the model's rule, word by word without caches or batches."""
+    import regex
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(table, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, P.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in QUERIES["op2_language_id"](spark, sf).collect()}
+    pieces = language_id.pieces_of(P.path("piece_bpe_32k.model"))
+    for i, t in list(zip(docs.doc_id, docs.text, strict=True))[::4]:
+        runs = ["▁" + r for w in (t or "").split() for r in regex.findall(r"\p{L}+", w.lower())]
+        if not runs:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        ll = language_id.tolerant(language_id.log_likelihood(pieces, runs, model.prob)).sum(axis=0)
+        p = np.exp(ll - ll.max())
+        assert got[i].lang_pred == model.langs[int(p.argmax())] and math.isclose(got[i].score, p.max() / p.sum(), rel_tol=1e-6)
+
+
 def test_op2_held_out(spark, sf, docs):
     lang = dict(zip(docs.doc_id, docs.lang, strict=True))
     got = [r for r in QUERIES["op2_language_id"](spark, sf).collect() if r.held_out]
