@@ -4,20 +4,26 @@ Tokens are words (A-Z lower-cased) and one end for each text. The probability of
 context times its share of the class:
 
 * Classes come from the exact counts of all training tokens: the most frequent tokens have a class each, the most
-  frequent word endings share one each, other endings share the rest by hash.
-* P(class | context) is a maximum-entropy model over hashed features of the context: the class before (n-gram), the
-  class two before (skip), and both together hashed into ``pairs`` buckets. It is factored: a softmax over groups of
-  classes, then one over the classes of the group.
+  frequent word endings share one each, other endings share the rest by hash. They only factor the softmax.
+* P(class | context) is a softmax over groups of classes times one over the classes of the group. The first has
+  features of the words themselves: the word before (n-gram), the word two before (skip), and both together (trigram
+  with the outcome), hashed into buckets; and, like the second, features of their classes: the class before, the class
+  two before, both together. The number of buckets follows the training tokens (``buckets_for``): a power of two of
+  about four times the root of their number, so the model grows with the corpus, and the weights that are summed and
+  sent around grow far slower than the data.
 * Inside a class a token has (c + 0.1) / (N_class + 0.1 * (V_class + 1)), unseen tokens sharing the last part; a
   class of one token gives 1. So the probabilities of a class sum to one as the baseline's do over all tokens.
 
-Training counts every training text: one pass gives exact token counts, a second one the counts of
-(class two before, class before, class), which are all that the model's gradient needs. The gradient is computed in
-``train_parts`` tasks over those counts and added on the driver, ``rounds`` times: observed minus expected feature
-counts, scaled by the expected ones. Scoring is a third pass, in batches of the distinct contexts that occur.
+Training reads every training text: one pass gives exact token counts, a second one turns all texts into arrays of
+classes and word hashes, which the later passes read instead of the texts. The class features are trained first, on
+the counts of (class two before, class before, class); then the word features, on all positions of all training texts.
+A round of either is distributed: tasks send slices of observed and expected counts by (feature, outcome), slices
+of all tasks are summed on the executors, and the driver takes one sum and makes the gradient step: observed minus
+expected, scaled by the expected. Scoring is one pass over the arrays, in batches, with sparse gathers of the active
+features' weights.
 
 Counts of at most ``head`` of the most frequent tokens go to the workers (a bounded table); every other token of a document
-meets its exact count in a shuffle join of 64-bit token hashes, summed in part before the shuffle by document.
+meets its exact count in a shuffle join of 64-bit token hashes, one row for each distinct token of a document.
 
 Defined results: null and empty text is one end token. Without training texts all counts are 0 and the base score is
 0. Rows that share a doc_id are scored each; further columns are ignored; an empty table gives an empty result.
@@ -26,19 +32,20 @@ Defined results: null and empty text is one end token. Without training texts al
 from __future__ import annotations
 
 import pickle
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import hold, text_of, texts_of, written
+from mnemospark.llm.common import hold, text_of, written
 
 CACHE_BOUND = 500_000
 GROUP_TOKENS = 500_000
 SUFFIXES = 4096
 GROUPS, PER_GROUP = 8, 16
-CLASSES = GROUPS * PER_GROUP
+CLASSES = GROUPS * PER_GROUP  # class c is in group c % GROUPS, so the most frequent tokens lie in different groups
 OWN, ENDINGS = 60, 60  # classes of single tokens and of single endings; the others share the rest
 END = b""
 
@@ -155,36 +162,90 @@ class Classes:
         return F.coalesce(F.element_at(own, F.col("hash")), F.element_at(table, F.col("suffix") + 1))
 
 
-def class_trigrams(docs: DataFrame, classes: Classes) -> DataFrame:
-    """(cell, n): how often each (class two before, class before, class) occurs; a text begins after two ends."""
+ENCODED = "doc_id long, learn boolean, n_tokens long, head_log double, head_known long, tail array<struct<hash long, k long>>, classes binary, hashes binary"
+
+
+def encode(docs: DataFrame, training: Column, lexicon: "HeadCounts") -> DataFrame:
+    """ENCODED rows of every text: its classes, its word hashes (32 bits), and what the head counts give."""
+    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(lexicon))
+    tail_type = pa.list_(pa.struct([("hash", pa.int64()), ("k", pa.int64())]))
 
     def run(batches):
-        lex, total = Lexicon([classes.of]), np.zeros(CLASSES**3, np.int32)
+        s, lex = _live(packed.value)
         for b in batches:
-            for group in _groups(t.as_py() for t in b.column(0)):
-                flat = [w for ws in group for w in ws]
-                n = lex.numbers(flat)
-                c = lex.values(0, np.int64)[n]
-                one, two = context(c, np.cumsum([len(ws) for ws in group])[:-1], classes)
-                cells, n_cells = np.unique((two * CLASSES + one) * CLASSES + c, return_counts=True)
-                total[cells] += n_cells.astype(np.int32)
+            cols = [[] for _ in range(6)]
+            for group in _groups(t.as_py() for t in b.column(2)):
+                size = np.array([len(ws) for ws in group])
+                stop = np.cumsum(size)
+                begin = stop - size
+                n = lex.numbers([w for ws in group for w in ws])
+                c, count, hashes = lex.values(0, np.uint8)[n], lex.values(1, np.int64)[n], lex.values(2, np.int64)[n]
+                short = hashes.astype(np.uint32)
+                head = count >= 0
+                head_log = np.where(head, np.log10(np.maximum(count, 0) + 0.1), 0.0)
+                cols[0] += size.tolist()
+                cols[1] += np.add.reduceat(head_log, begin).tolist()
+                cols[2] += np.add.reduceat((count > 0).astype(np.int64), begin).tolist()
+                for p, q in zip(begin, stop, strict=True):
+                    cols[3].append(np.unique(hashes[p:q][~head[p:q]], return_counts=True))
+                    cols[4].append(c[p:q].tobytes())
+                    cols[5].append(short[p:q].tobytes())
                 lex.trim()
+            flat = [np.concatenate([np.zeros(0, np.int64), *(t[k] for t in cols[3])]) for k in (0, 1)]
+            ends = np.cumsum([0, *(len(t[0]) for t in cols[3])]).astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1])], ["hash", "k"])).cast(tail_type)
+            types = (pa.int64(), pa.float64(), pa.int64())
+            made = [b.column(0), b.column(1), *[pa.array(v, t) for v, t in zip(cols[:3], types, strict=True)], tail, pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in ENCODED.replace("struct<hash long, k long>", "s").split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("learn"), text_of().alias("text")).mapInArrow(run, ENCODED)
+
+
+def positions(batch_classes, batch_hashes, end_class: int):
+    """Arrays over all positions of some texts, about GROUP_TOKENS at a time: text sizes, class, class context, word buckets' hashes."""
+    held, size = [], 0
+
+    def made():
+        sizes = np.array([len(c) for c, _ in held])
+        c = np.frombuffer(b"".join(c for c, _ in held), np.uint8).astype(np.int64)
+        h = np.frombuffer(b"".join(h for _, h in held), "<u4")
+        begins = np.cumsum(sizes)[:-1]
+        one, two = before(c, begins, end_class)
+        return sizes, c, two * CLASSES + one, before(h, begins, np.uint32(0))
+
+    for c, h in zip(batch_classes, batch_hashes, strict=True):
+        held.append((c, h))
+        size += len(c)
+        if size >= GROUP_TOKENS:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
+def class_trigrams(encoded: DataFrame, end_class: int) -> DataFrame:
+    """(cell, n): how often each (class two before, class before, class) occurs in training texts."""
+
+    def run(batches):
+        total = np.zeros(CLASSES**3, np.int64)
+        for b in batches:
+            for _, c, ctx, _ in positions(b.column(0).to_pylist(), b.column(1).to_pylist(), end_class):
+                total += np.bincount(ctx * CLASSES + c, minlength=len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
-    return docs.select(text_of().alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return encoded.filter("learn").select("classes", "hashes").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def context(c: np.ndarray, begins: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Classes one and two before each position; ends stand before every text."""
-    end = classes.of(END)
-    one, two = np.empty_like(c), np.empty_like(c)
-    one[1:], two[2:] = c[:-1], c[:-2]
+def before(x: np.ndarray, begins: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
+    """The values one and two places before each; end stands before every text."""
+    one, two = np.empty_like(x), np.empty_like(x)
+    one[1:], two[2:] = x[:-1], x[:-2]
     one[:1], two[:2] = end, end
     one[begins] = end
     two[begins] = end
     after = begins + 1
-    two[after[after < len(c)]] = end
+    two[after[after < len(x)]] = end
     return one, two
 
 
@@ -207,13 +268,22 @@ class MaxEnt:
     def log_outcomes(self, ctx: np.ndarray) -> np.ndarray:
         """log P(group | context) and log P(class | group, context), side by side."""
         z = self.w[self.features(ctx)].sum(axis=1)
-        g, k = z[:, :GROUPS], z[:, GROUPS:].reshape(-1, GROUPS, PER_GROUP)
-        norm = lambda v: v - v.max(axis=-1, keepdims=True) - np.log(np.exp(v - v.max(axis=-1, keepdims=True)).sum(axis=-1, keepdims=True))
+        g, k = z[:, :GROUPS], z[:, GROUPS:].reshape(-1, PER_GROUP, GROUPS)
+        norm = lambda v: v - v.max(axis=1, keepdims=True) - np.log(np.exp(v - v.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
         return np.hstack([norm(g), norm(k).reshape(len(ctx), CLASSES)])
 
     def log_classes(self, ctx: np.ndarray) -> np.ndarray:
         out = self.log_outcomes(ctx)
-        return np.repeat(out[:, :GROUPS], PER_GROUP, axis=1) + out[:, GROUPS:]
+        return np.tile(out[:, :GROUPS], PER_GROUP) + out[:, GROUPS:]
+
+    def group_logits(self) -> np.ndarray:
+        """What the class features give to each group, for every context of two classes."""
+        ctx = np.arange(CLASSES**2)
+        return sum(self.w[f][:, :GROUPS] for f in self.features(ctx).T).astype(np.float32)
+
+    def log_in_group(self) -> np.ndarray:
+        """log P(class | its group, context) for every context of two classes."""
+        return np.vstack([self.log_outcomes(np.arange(a, a + 2048))[:, GROUPS:] for a in range(0, CLASSES**2, 2048)])
 
     def observed_expected(self, cells: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Observed and expected counts of (feature row, outcome), and -log likelihood in the last place."""
@@ -221,15 +291,15 @@ class MaxEnt:
         c = cells % CLASSES
         feats, log_p = self.features(ctx), self.log_outcomes(ctx)
         seen = np.zeros((len(ctx), GROUPS + CLASSES))
-        np.add.at(seen, (at, c // PER_GROUP), n)
+        np.add.at(seen, (at, c % GROUPS), n)
         np.add.at(seen, (at, GROUPS + c), n)
         p = np.exp(log_p)
-        want = np.hstack([p[:, :GROUPS] * seen[:, :GROUPS].sum(axis=1, keepdims=True), p[:, GROUPS:] * np.repeat(seen[:, :GROUPS], PER_GROUP, axis=1)])
+        want = np.hstack([p[:, :GROUPS] * seen[:, :GROUPS].sum(axis=1, keepdims=True), p[:, GROUPS:] * np.tile(seen[:, :GROUPS], PER_GROUP)])
         both = np.zeros((2, self.rows, GROUPS + CLASSES))
         for k in range(self.ACTIVE):
             np.add.at(both[0], feats[:, k], seen)
             np.add.at(both[1], feats[:, k], want)
-        loss = -float((n * (log_p[at, c // PER_GROUP] + log_p[at, GROUPS + c])).sum())
+        loss = -float((n * (log_p[at, c % GROUPS] + log_p[at, GROUPS + c])).sum())
         return np.append(both.ravel(), loss)
 
     def step(self, total: np.ndarray, rate: float, prior: float = 2.0) -> None:
@@ -241,40 +311,126 @@ class MaxEnt:
         self.w += rate / self.ACTIVE * np.clip((seen - want) / (want + prior), -0.9, 4.0) - 0.0002 * self.w
 
 
-def train(trigrams: DataFrame, rounds: int = 14, parts: int = 6) -> MaxEnt:
-    """Gradient rounds over written (cell, n) rows, parts tasks a round; each sends one gradient of fixed size."""
+def summed(parts: DataFrame, vector, length: int, slices: int = 16) -> np.ndarray | None:
+    """The sum over all tasks of vector(batches of a task), a float array of some length or None, added on the executors.
+
+    Each task sends slices of its vector; slices of one number meet in a shuffle, so the driver takes one vector.
+    """
+    step = -(-length // slices)
+
+    def run(batches):
+        v = vector(batches)
+        if v is not None:
+            cut = [v[a : a + step].astype(np.float32).tobytes() for a in range(0, length, step)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=["slice", "v"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                v = np.frombuffer(v.as_py(), np.float32).astype(float)
+                total[k] = total[k] + v if k in total else v
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "v"])
+
+    kind = "slice int, v binary"
+    got = {r.slice: np.frombuffer(r.v) for r in parts.mapInArrow(run, kind).repartition(slices, "slice").mapInArrow(add, kind).collect()}
+    return np.concatenate([got[k] for k in sorted(got)]) if got else None
+
+
+def train(trigrams: DataFrame, rounds: int = 14, cells_a_task: int = 100_000) -> MaxEnt:
+    """Gradient rounds of the class features over (cell, n) rows."""
     model = MaxEnt()
-    held = written(trigrams.withColumn("part", F.pmod(F.floor(F.col("cell") / CLASSES), F.lit(parts)).cast("int")).repartition(parts, "part"), "class-trigrams")
+    held = written(trigrams, "class-trigrams")
+    parts = max(1, -(-held.count() // cells_a_task))
+    held = written(held.repartition(parts, F.floor(F.col("cell") / CLASSES)), "class-trigrams")
     sc = held.sparkSession.sparkContext
 
-    for k in range(rounds):
+    for _ in range(rounds):
         now = sc.broadcast(pickle.dumps(model))
 
         def gradient(batches):
             got = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
             if got:
                 cells, n = (np.concatenate(x) for x in zip(*got, strict=True))
-                g = pickle.loads(now.value).observed_expected(cells.astype(np.int64), n.astype(float))
-                yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.float32).tobytes()], pa.binary())], names=["g"])
+                return pickle.loads(now.value).observed_expected(cells.astype(np.int64), n.astype(float))
 
-        total = 0.0
-        for r in held.select("cell", "n").mapInArrow(gradient, "g binary").toLocalIterator():
-            total = total + np.frombuffer(r.g, np.float32).astype(float)
-        if isinstance(total, float):
+        total = summed(held.select("cell", "n"), gradient, 2 * model.w.size + 1)
+        if total is None:
             break
         model.step(total, 1.0)
         now.unpersist()
     return model
 
 
-class Scorer:
-    """What a worker needs: classes, model, head counts and class denominators."""
+def buckets_for(tokens: int) -> int:
+    """Buckets of word features: a power of two, about four times the root of the training tokens."""
+    return 1 << max(10, int(np.ceil(np.log2(4 * max(1, tokens) ** 0.5))))
+
 
-    def __init__(self, classes: Classes, model: MaxEnt, head_hash: np.ndarray, head_c: np.ndarray, denominators: np.ndarray):
+class WordFeatures:
+    """Weights by bucket and group of hashed words before: n-gram, skip, and both together."""
+
+    ACTIVE = 3
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.w = np.zeros((buckets, GROUPS), np.float32)
+
+    def rows(self, words: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """The active buckets, from the hashes of the words one and two before."""
+        one, two = (x.astype(np.uint64) for x in words)
+        keys = (one * np.uint64(0x9E3779B97F4A7C15), two * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1), (one * np.uint64(0xD6E8FEB86659FD93) ^ two) * np.uint64(0xA0761D6478BD642F) + np.uint64(2))
+        shift = np.uint64(64 - self.buckets.bit_length() + 1)
+        return [(k >> shift).astype(np.int64) for k in keys]
+
+    def log_groups(self, z: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """log P(group | context); z: what the class features give."""
+        for r in rows:
+            z = z + self.w[r]
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def step(self, seen: np.ndarray, want: np.ndarray, rate: float = 1.0, prior: float = 4.0) -> None:
+        self.w += (rate / self.ACTIVE * np.clip((seen - want) / (want + prior), -0.9, 4.0)).astype(np.float32)
+
+
+def train_words(encoded: DataFrame, model: MaxEnt, end_class: int, tokens: int, rounds: int = 2) -> WordFeatures:
+    """Gradient rounds of the word features over all positions of the training texts; the class features stand."""
+    words = WordFeatures(buckets_for(tokens))
+    z = model.group_logits()
+    sc = encoded.sparkSession.sparkContext
+    learn = encoded.filter("learn").select("classes", "hashes")
+    for _ in range(rounds):
+        now = sc.broadcast(pickle.dumps((words, z)))
+
+        def gradient(batches):
+            words, z = pickle.loads(now.value)
+            seen, want, any_ = np.zeros(words.w.size), np.zeros((GROUPS, words.buckets)), False
+            for b in batches:
+                for _, c, ctx, before_ in positions(b.column(0).to_pylist(), b.column(1).to_pylist(), end_class):
+                    rows, any_ = words.rows(before_), True
+                    p = np.exp(words.log_groups(z[ctx], rows)).T.copy()
+                    for r in rows:
+                        seen += np.bincount(r * GROUPS + c % GROUPS, minlength=len(seen))
+                        for g in range(GROUPS):
+                            want[g] += np.bincount(r, p[g], words.buckets)
+            return np.append(seen, want.T.ravel()) if any_ else None
+
+        total = summed(learn, gradient, 2 * words.w.size)
+        if total is None:
+            break
+        words.step(*total.reshape(2, words.buckets, GROUPS))
+        now.unpersist()
+    return words
+
+
+class HeadCounts:
+    """What reading the texts needs: classes, and the counts of the most frequent tokens."""
+
+    def __init__(self, classes: Classes, head_hash: np.ndarray, head_c: np.ndarray):
         order = np.argsort(head_hash)
-        self.classes, self.model, self.head_hash, self.head_c = classes, model, head_hash[order], head_c[order]
-        self.log_denominators = np.log10(denominators)
-        self.table = None
+        self.classes, self.head_hash, self.head_c = classes, head_hash[order], head_c[order]
 
     def count(self, w: bytes) -> int:
         """The training count of a head token; -1: not one."""
@@ -282,22 +438,11 @@ class Scorer:
         at = int(np.searchsorted(self.head_hash, h))
         return int(self.head_c[at]) if at < len(self.head_hash) and self.head_hash[at] == h else -1
 
-    def log10_classes(self, ctx: np.ndarray) -> np.ndarray:
-        """log10 P(class | context), batches of distinct contexts; each context's row is kept."""
-        if self.table is None:
-            self.table, self.done = np.zeros((CLASSES**2, CLASSES), np.float32), np.zeros(CLASSES**2, bool)
-        new = np.unique(ctx[~self.done[ctx]])
-        for a in range(0, len(new), 2048):
-            part = new[a : a + 2048]
-            self.table[part] = self.model.log_classes(part) / np.log(10)
-        self.done[new] = True
-        return self.table
-
 
 _LIVE: dict = {}
 
 
-def _live(packed: bytes) -> tuple[Scorer, Lexicon]:
+def _live(packed: bytes) -> tuple[HeadCounts, Lexicon]:
     import hashlib
 
     hold("language model", _LIVE.clear)
@@ -309,39 +454,36 @@ def _live(packed: bytes) -> tuple[Scorer, Lexicon]:
     return _LIVE[key]
 
 
-SCORED = "doc_id long, n_tokens long, head_log double, head_known long, class_log double, tail array<long>"
+class Scorer:
+    """log10 P of the class of each position and of its token's share of the class, but for the token's own count."""
 
+    def __init__(self, model: MaxEnt, words: WordFeatures, denominators: np.ndarray, end_class: int):
+        self.words, self.end_class = words, end_class
+        self.group_z = model.group_logits()
+        self.in_group = model.log_in_group().astype(np.float32)
+        self.log_denominators = np.log10(denominators)
 
-def score_rows(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """SCORED rows: what head counts and the class model give, and the hashes of the other tokens."""
-    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(scorer))
+    def log10_classes(self, c: np.ndarray, ctx: np.ndarray, before_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """log10 P(class | context) at each position."""
+        groups = self.words.log_groups(self.group_z[ctx], self.words.rows(before_))
+        return (groups[np.arange(len(c)), c % GROUPS] + self.in_group[ctx, c]) / np.log(10)
+
+
+def score_rows(encoded: DataFrame, scorer: Scorer) -> DataFrame:
+    """class_log of every encoded row, with what the head counts gave."""
+    packed = encoded.sparkSession.sparkContext.broadcast(pickle.dumps(scorer))
+    names = ["row", "doc_id", "n_tokens", "head_log", "head_known"]
 
     def run(batches):
-        s, lex = _live(packed.value)
+        s = pickle.loads(packed.value)
         for b in batches:
-            rows = [[] for _ in range(5)]
-            for group in _groups(t.as_py() for t in b.column(1)):
-                size = np.array([len(ws) for ws in group])
-                stop = np.cumsum(size)
-                n = lex.numbers([w for ws in group for w in ws])
-                c, count = lex.values(0, np.int64)[n], lex.values(1, np.int64)[n]
-                one, two = context(c, stop[:-1], s.classes)
-                ctx = two * CLASSES + one
-                class_log = s.log10_classes(ctx)[ctx, c].astype(float) - s.log_denominators[c]
-                head = count >= 0
-                head_log = np.where(head, np.log10(np.maximum(count, 0) + 0.1), 0.0)
-                begin = stop - size
-                hashes = lex.values(2, np.int64)[n]
-                rows[0] += size.tolist()
-                rows[1] += np.add.reduceat(head_log, begin).tolist()
-                rows[2] += np.add.reduceat((count > 0).astype(np.int64), begin).tolist()
-                rows[3] += np.add.reduceat(class_log, begin).tolist()
-                rows[4] += [hashes[a:z][~head[a:z]] for a, z in zip(begin, stop, strict=True)]
-                lex.trim()
-            types = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(r, t) for r, t in zip(rows, types, strict=True)]], names=[x.split()[0] for x in SCORED.split(", ")])
+            out = []
+            for sizes, c, ctx, before_ in positions(b.column(5).to_pylist(), b.column(6).to_pylist(), s.end_class):
+                log = s.log10_classes(c, ctx, before_) - s.log_denominators[c]
+                out += np.add.reduceat(log, np.cumsum(sizes) - sizes).tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.float64())], names=[*names, "class_log"])
 
-    return texts_of(docs).mapInArrow(run, SCORED)
+    return encoded.select(*names, "classes", "hashes").mapInArrow(run, "row long, doc_id long, n_tokens long, head_log double, head_known long, class_log double")
 
 
 def head_threshold(counts: DataFrame, head: int) -> int:
@@ -356,10 +498,21 @@ def head_threshold(counts: DataFrame, head: int) -> int:
     return out
 
 
-def score_documents(docs: DataFrame, training: Column, head: int = 200_000, rounds: int = 14) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text of docs; learns where training holds."""
-    learn = docs.filter(training)
-    counts = written(count_tokens(learn), "token-counts")
+class Fitted(NamedTuple):
+    """All that training gives: exact counts (a table), their sum and number, and the model."""
+
+    counts: DataFrame
+    n: int
+    v: int
+    least: int  # head tokens have this count or more
+    encoded: DataFrame
+    classes: Classes
+    scorer: Scorer
+
+
+def fit(docs: DataFrame, training: Column, head: int = 200_000, rounds: int = 14, word_rounds: int = 2) -> Fitted:
+    """Learns from the rows of docs (doc_id, text) where training holds; all rows are encoded."""
+    counts = written(count_tokens(docs.filter(training)), "token-counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     own = [r.hash for r in counts.orderBy(F.desc("c"), "hash").limit(OWN).collect()]
     rest = counts.filter(~F.col("hash").isin(own)) if own else counts
@@ -370,12 +523,22 @@ def score_documents(docs: DataFrame, training: Column, head: int = 200_000, roun
         denominators[r.k] = r.n + 0.1 if r.k < OWN else r.n + 0.1 * (r.v + 1)
     least = head_threshold(counts, head)
     top = counts.filter(F.col("c") >= least).select("hash", "c").toPandas()  # at most head rows of two numbers
-    model = train(class_trigrams(learn, classes), rounds)
-    scorer = Scorer(classes, model, top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64), denominators)
-    rows = written(score_rows(docs, scorer).withColumn("row", F.monotonically_increasing_id()), "scored-rows")
-    rare = counts.filter(F.col("c") < least).select("hash", "c")
-    tail = rows.select("row", F.explode("tail").alias("hash")).join(rare, "hash", "left")
-    of_row = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("tail_log"), F.count("c").alias("tail_known"))
+    rows = encode(docs, training, HeadCounts(classes, top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
+    encoded = written(rows.withColumn("row", F.monotonically_increasing_id()), "encoded-texts")
+    end_class = classes.of(END)
+    model = train(class_trigrams(encoded, end_class), rounds)
+    words = train_words(encoded, model, end_class, n, word_rounds)
+    return Fitted(counts, n, v, least, encoded, classes, Scorer(model, words, denominators, end_class))
+
+
+def score_documents(docs: DataFrame, training: Column, **how) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text of docs; learns where training holds."""
+    fitted = fit(docs, training, **how)
+    n, v = fitted.n, fitted.v
+    rows = written(score_rows(fitted.encoded, fitted.scorer), "scored-rows")
+    rare = fitted.counts.filter(F.col("c") < fitted.least).select("hash", "c")
+    tail = fitted.encoded.select("row", F.explode("tail").alias("t")).select("row", "t.hash", "t.k").join(rare, "hash", "left")
+    of_row = tail.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("tail_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("tail_known"))
     s1 = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
     return rows.join(of_row, "row", "left").select(
         "doc_id",

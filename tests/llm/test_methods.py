@@ -378,6 +378,15 @@ def test_the_array_decides_containers_that_it_has_seen(spark):
             assert [r.text for r in html_text.extract(df, chunk_bytes=chunk_bytes).orderBy("page_id").collect()] == want
 
 
+def test_many_rulings_meet_their_rows_in_a_shuffle(spark, monkeypatch):
+    shared = " ".join(f"terms{j}" for j in range(24))
+    rows = [(k, f"http://big.x/{k}", _plain_page(k, shared)[1]) for k in range(12)] + [(k, "http://b.x/", f"<p>only {k}</p>") for k in range(12, 15)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few = sorted(map(tuple, html_text.extract(df).collect()))
+    monkeypatch.setattr(html_text, "MOST_BROADCAST", 3)
+    assert sorted(map(tuple, html_text.extract(df).collect())) == few and not any(shared in r[2] for r in few)
+
+
 def test_without_the_array_adverts_stay(monkeypatch):
     made = [f'<div class="ad">buy this now from us {k % 5}</div><article><p>own words {k}</p></article>' for k in range(140)]
     assert html_text.main_texts(made) == [f"own words {k}" for k in range(140)]
@@ -498,6 +507,64 @@ def test_class_model_is_a_distribution():
     assert np.allclose(p.sum(axis=1), 1)
 
 
+def test_language_model_equals_a_plain_scorer(spark):
+    """Every score by loops over tokens, classes and features; and the probabilities of all tokens sum to one."""
+    rng = random.Random(9)
+    words = [f"W{k}{rng.choice(['ing', 'ed', 'os', 'en'])}" for k in range(150)]
+    texts = [" ".join(words[min(int(rng.expovariate(0.03)), 149)] for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "never seen words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted = maxent_lm.fit(df, F.col("doc_id") < 50, head=20)
+    got = {r.doc_id: r.score for r in maxent_lm.score_documents(df, F.col("doc_id") < 50, head=20).collect()}
+    tok = lambda t: [w.lower().encode() for w in (t or "").split()] + [maxent_lm.END]
+    count = collections.Counter(w for t in texts[:50] for w in tok(t))
+    of = fitted.classes.of
+    sums, kinds = collections.Counter(), collections.Counter()
+    for w, c in count.items():
+        sums[of(w)] += c
+        kinds[of(w)] += 1
+    s = fitted.scorer
+
+    def class_odds(one, two):
+        """P(class) after the words one and two before, feature by feature."""
+        h = [np.array([maxent_lm.token_hash(w) if w is not None else 0]).astype(np.uint32) for w in (one, two)]
+        c1, c2 = (of(maxent_lm.END if w is None else w) for w in (one, two))
+        ctx = c2 * maxent_lm.CLASSES + c1
+        z = np.array(s.group_z[ctx], float)
+        for bucket in s.words.rows(tuple(h)):
+            z = z + s.words.w[bucket[0]]
+        groups = np.exp(z) / np.exp(z).sum()
+        return [groups[k % maxent_lm.GROUPS] * math.exp(s.in_group[ctx, k]) for k in range(maxent_lm.CLASSES)]
+
+    def share(w):
+        k = of(w)
+        return (count[w] + 0.1) / (sums[k] + (0.1 if k < maxent_lm.OWN else 0.1 * (kinds[k] + 1)))
+
+    for i, t in enumerate(texts):
+        total, one, two = 0.0, None, None
+        for w in tok(t):
+            total += math.log10(class_odds(one, two)[of(w)] * share(w))
+            one, two = w, one
+        assert math.isclose(got[i], total, rel_tol=1e-4, abs_tol=1e-4)
+    odds = class_odds(tok(texts[3])[0], None)
+    unseen = sum(p * 0.1 / (sums[k] + 0.1 * (kinds[k] + 1)) for k, p in enumerate(odds) if k >= maxent_lm.OWN)
+    empty = sum(p for k, p in enumerate(odds) if k < maxent_lm.OWN and not sums[k])
+    assert math.isclose(sum(odds[of(w)] * share(w) for w in count) + unseen + empty, 1, rel_tol=1e-4)
+
+
+def test_word_features_grow_with_the_corpus():
+    assert [maxent_lm.buckets_for(n) for n in (0, 10**5, 10**7, 10**9)] == [1024, 2048, 16384, 131072]
+
+
+def test_word_features_learn_what_classes_cannot(spark):
+    """The word before tells the next group, whatever the classes: held-out texts gain by the word features."""
+    rng = random.Random(2)
+    firsts = [f"q{k}xyz" for k in range(150)]  # most are of one class: they share an ending
+    texts = [" ".join(f"{firsts[j]} {'aa' if j % 2 else 'bb'}" for j in rng.choices(range(150), k=40)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total = lambda n: sum(r.score for r in maxent_lm.score_documents(df, F.col("doc_id") < 160, word_rounds=n).collect() if r.doc_id >= 160)
+    assert total(6) > total(0) + 40
+
+
 def test_op4_sql_twin(spark, sf):
     import duckdb
 
