@@ -7,10 +7,12 @@ touch it, and equal passages keep their anchors wherever they stand. The likenes
 syncmers (64 bits each) that both have, as a share of those that either has. The printed fingerprint is a short form
 that no likeness is made from: the ``size`` smallest anchor hashes (32 bits each) as hexadecimal text.
 
-The next document by id comes from buckets of neighbouring ids: one shuffle deals texts to buckets of about
-``per_bucket`` ids, the first document of each bucket goes to the bucket before it as well, and lead() finds the
-neighbour inside the bucket. Each text is hashed once, after that shuffle, so anchors are never shuffled. There are at
-most ``MOST_BUCKETS`` buckets, which bounds the broadcast table of first ids.
+The next document by id comes from buckets of neighbouring rows in the order of (doc_id, hash of the text). Their bounds
+are quantiles of the keys themselves, so outliers, null ids and ids that repeat make no bucket larger than others: a
+sample of the keys gives cuts, and the least key of each bucket is its first row. One shuffle deals texts to buckets,
+found by binary search in the sorted first keys (at most ``MOST_BUCKETS`` of two numbers each); the first row of each bucket goes to
+the bucket before it as well, and lead() finds the neighbour inside the bucket. Each text is hashed once, after that
+shuffle, so anchors are never shuffled.
 
 Defined results: null counts as empty; an empty text has the empty fingerprint, likeness 1 to another empty one and
 0 to any other. Null doc_ids come first. Rows that share a doc_id follow each other in the order of a hash of their
@@ -19,13 +21,15 @@ text. A single document is its own next. An empty table gives an empty result; f
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import text_of
+from mnemospark.llm.common import text_of, written
 
 K, S, SIZE = 5, 2, 128
-MOST_BUCKETS = 1_000_000
+MOST_BUCKETS = 65_536
 _CJK = r"[⺀-鿿가-힯豈-﫿]"
 
 
@@ -93,24 +97,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(share)
 
 
+def place(key: Column, bounds: list, of: str) -> Column:
+    """How many of the sorted bounds, rows of type of, are at most key: a binary search."""
+    table = F.from_json(F.lit(json.dumps(bounds)), f"array<{of}>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
+
+
+KEY = "struct<doc_id: bigint, tie: bigint>"
+
+
+def bucket_firsts(keys: DataFrame, per_bucket: int, draws: int = 4) -> list[dict]:
+    """The least key of each bucket, ascending; keys has one column, key."""
+    n = keys.count()
+    buckets = max(1, min(MOST_BUCKETS, -(-n // per_bucket)))
+    drawn = keys.filter(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(max(1, n // (draws * buckets)))) == 0).distinct()
+    cuts = [r.key.asDict() for r in drawn.orderBy("key").collect()][draws - 1 :: draws]  # about as many as buckets
+    firsts = keys.groupBy(place(F.col("key"), cuts, KEY).alias("at")).agg(F.min("key").alias("key"))
+    return sorted((r.key.asDict() for r in firsts.collect()), key=lambda k: (k["doc_id"] is not None, k["doc_id"], k["tie"]))
+
+
 def with_next(rows: DataFrame, columns: list[str], made: dict[str, Column], per_bucket: int = 512) -> DataFrame:
-    """rows (doc_id, text, ...) with next_<column> from the next document by ascending doc_id; after the last, the first.
+    """rows (doc_id, tie, ...) with next_<column> from the next row by ascending (doc_id, tie); after the last, the first.
 
     made: columns that are added to rows after the shuffle; columns may name them.
     """
-    spark = rows.sparkSession
-    low, high, n, nulls = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, min(MOST_BUCKETS, -(-n // per_bucket)))))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / width)).cast("long")
-    firsts = rows.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
-    order = Window.orderBy("bucket")  # at most MOST_BUCKETS rows of two numbers
-    before = firsts.select("first_id", F.lag("bucket").over(order).alias("prev"), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("final"))
-    before = before.select(F.col("first_id"), F.coalesce("prev", "final").alias("also"))
-    marked = rows.join(F.broadcast(before), rows["doc_id"].eqNullSafe(before["first_id"]), "left").drop("first_id")
-    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("also").alias("bucket"), F.lit(True).alias("guest"))
-    dealt = marked.withColumn("seat", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, guest)))).drop("also")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("tie"))
+    firsts = bucket_firsts(written(rows.select(key.alias("key")), "fingerprint-keys"), per_bucket)
+    at = rows.withColumn("bucket", place(key, firsts, KEY))
+    is_first = F.get(F.from_json(F.lit(json.dumps(firsts)), f"array<{KEY}>"), F.col("bucket") - 1).eqNullSafe(key)
+    own = F.struct("bucket", F.lit(False).alias("guest"))
+    guest = F.struct(F.when(F.col("bucket") > 1, F.col("bucket") - 1).otherwise(F.lit(max(1, len(firsts)))).alias("bucket"), F.lit(True).alias("guest"))
+    dealt = at.withColumn("seat", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own)))).drop("bucket")
     dealt = dealt.repartition("seat.bucket").withColumns(made)
     near = Window.partitionBy("seat.bucket").orderBy("seat.guest", F.col("doc_id").asc_nulls_first(), "tie")
     return dealt.select("*", *[F.lead(c).over(near).alias(f"next_{c}") for c in columns]).filter(~F.col("seat.guest")).drop("seat", "tie")

@@ -84,6 +84,27 @@ def test_chunked_encoding_equals_library():
             assert np.frombuffer(e.encode(t), dtype).tolist() == want, repr(t)
 
 
+def test_files_are_bounded_and_reads_touch_one_document(spark, tmp_path, monkeypatch):
+    from mnemospark.llm import token_output
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 5, k]), " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(0, 30)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_output.write_tokens(df, P.path("byte_bpe_50k.json"), 2, folder=f"file://{tmp_path}/t", parts=3)
+    read = token_output.read_tokens(manifest).orderBy("start").collect()
+    tie = {r.text: r.t for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0], tie[r[1]]))
+    ids = [np.array([*x, 2], "<u4") for x in _library_ids("byte_bpe_50k.json", [t for _, t in order])]
+    starts = np.cumsum([0, *map(len, ids)])
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in read] == [(i, s, len(x), zlib.crc32(x.tobytes())) for (i, _), s, x in zip(order, starts, ids, strict=False)]
+    one = manifest.orderBy("part").first()
+    frames = []
+    with open(one.path.replace("file://", ""), "rb") as f:
+        r = Reader(f, one.n_bytes)
+        monkeypatch.setattr(r, "frame", lambda k, real=r.frame: frames.append(k) or real(k))
+        assert r.tokens(4).tolist() == ids[4].tolist() and frames == [4]
+
+
 def test_seek_table_reads_single_documents(tmp_path):
     rng = np.random.default_rng(0)
     lengths = [0, 5, 200_000, 1, 70_000, 0, 3]
@@ -459,6 +480,25 @@ def test_likenesses_are_exact_on_long_texts(spark):
         assert r.near_next == share(sets[0][k], sets[0][(k + 1) % 3]) > 0
 
 
+def test_next_row_with_outliers_nulls_and_repeats(spark):
+    """Small buckets over ids with an outlier, null ids, an id that repeats, and rows that are alike."""
+    rng = random.Random(6)
+    ids = [*range(60), 10**15, *[None] * 20, *[30] * 25]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)] + [(7, "twin"), (7, "twin"), (7, "twin")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    tie = {r.text: r.tie for r in df.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0], tie[r[1]]))
+    want = collections.Counter((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+    for per_bucket in (4, 1000):
+        got = syncmers.with_next(df, ["text"], {}, per_bucket=per_bucket)
+        assert collections.Counter((r.doc_id, r.text, r.next_text) for r in got.collect()) == want
+    keys = df.select(F.struct("doc_id", "tie").alias("key"))
+    firsts = syncmers.bucket_firsts(keys, 4)
+    sizes = keys.groupBy(syncmers.place(F.col("key"), firsts, syncmers.KEY)).count().agg(F.max("count")).first()[0]
+    assert len(firsts) > 10 and sizes <= 24
+
+
 def test_op8_edits_and_neighbours(spark, sf, docs):
     got = {r.doc_id: r for r in QUERIES["op8_syncmer_fingerprints"](spark, sf).collect()}
     t = [x or "" for x in docs.text]
