@@ -1,193 +1,271 @@
-"""Parsers of model output that need more than regular expressions over columns, as Arrow-batched UDFs."""
+"""Model output brought to its contract, as column expressions over a small scanner.
+
+``scan`` reads a text into tokens (numbers, words, single marks), and ``shape`` writes a token row as one character a
+token: N a number, U a unit of seconds, l a single letter, w another word, marks as they are. What a contract asks for is
+then a place where the shape reads as it should, whatever the spacing: ``N-NU`` is a span of time.
+"""
 
 from __future__ import annotations
 
+import ast
 import difflib
 import json
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StringType
+
+from mnemospark.functions.text import answer_normalise
 
-_NUM = r"\d+(?:\.\d+)?"
-_SPAN = rf"({_NUM})\s*-\s*({_NUM})\s*(?:seconds?|secs?)\.?"
-_BOX = rf"({_NUM})\s*(?:seconds?|secs?)\s*:\s*\[\s*({_NUM})\s*,\s*({_NUM})\s*,\s*({_NUM})\s*,\s*({_NUM})\s*\]"
+_TOKEN = r"[0-9]+(?:\.[0-9]+)?|[A-Za-z]+|[^\sA-Za-z0-9]"
+_UNITS = ("second", "seconds", "sec", "secs")
+_BLANK = " \t\r\n\f\x0b"
 
 #: The rated aspects of the two assessment tasks, in the order of their output.
 SKILLS = ["Respect for tissue", "Suture/needle handling", "Time and motion", "Flow of operation", "Overall performance", "Quality of final product"]
 SAFETY_VIEWS = ["Two structures", "Cystic plate", "Hepatocystic triangle"]
 
 
-def _forward(pairs):
-    return [p for p in pairs if float(p[0]) <= float(p[1])]
+def _once(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _spans(text: str) -> str | None:
-    found = _forward(re.findall(_SPAN, text, re.I))
-    return ", ".join("-".join(p) for p in found) + " seconds." if found else None
+def scan(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
-def _boxes(text: str) -> str | None:
-    return "\n".join(f"{t} seconds: [{', '.join(xy)}]" for t, *xy in re.findall(_BOX, text, re.I)) or None
+def shape(tokens: Column) -> Column:
+    def kind(t: Column) -> Column:
+        first = F.substring(t, 1, 1)
+        word = F.when(F.lower(t).isin(*_UNITS), "U").when(F.length(t) == 1, "l").otherwise("w")
+        return F.when(first.between("0", "9"), "N").when(F.lower(first).between("a", "z"), word).otherwise(t)
 
+    return F.array_join(F.transform(tokens, kind), "")
 
-def _events(text: str) -> str | None:
-    lines = [re.fullmatch(rf"\s*{_SPAN}\s*:\s*([^:\n]+?)\s*:\s*([^\n]+?)\s*", x, re.I) for x in text.split("\n")]
-    kept = [m.groups() for m in lines if m and float(m[1]) <= float(m[2])]
-    return "\n".join(f"{a}-{b} seconds: {label.strip()}: {told.strip()}" for a, b, label, told in kept) or None
 
+def places(tokens: Column, like: str) -> Column:
+    """The token rows of all places whose shape is like."""
+    n = len(like)
 
-def _rated(names: list[str], digit: str, suffix: str) -> Callable[[str], str | None]:
-    def rate(text: str) -> str | None:
-        got = [re.search(rf"{re.escape(n)}\s*:\s*{digit}", text, re.I) for n in names]
-        return ", ".join(f"{n}: {m[1]}{suffix}" for n, m in zip(names, got, strict=True)) if all(got) else None
+    def of(s: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)))
+        return F.transform(F.filter(starts, lambda i: F.substring(s, i, F.lit(n)) == like), lambda i: F.slice(tokens, i, F.lit(n)))
 
-    return rate
+    return _once(shape(tokens), of)
 
 
-def _action(text: str) -> str | None:
-    first = (re.sub(r"(?i)^next action\s*:\s*", "", text).splitlines() or [""])[0]
-    return first.strip().strip(" `\"'").rstrip(".").strip() or None
+def _trim(x: Column, marks: str = "") -> Column:
+    return F.btrim(x, F.lit(_BLANK + marks))
 
 
-def _prose(text: str) -> str | None:
-    return " ".join(re.sub(r"(?i)^(?:summary|description)\s*:\s*", "", text).split()) or None
+def _some(x: Column) -> Column:
+    return F.when(x != "", x)
 
 
-#: Task family (a name, or a prefix ending in *) and what makes a response fit its contract.
-CONTRACTS: dict[str, Callable[[str], str | None]] = {
-    "tal": _spans,
-    "stg": _boxes,
-    "dense_captioning*": _events,
-    "skill_assessment": _rated(SKILLS, r"([1-5])\s*/\s*5", "/5"),
-    "cvs_assessment": _rated(SAFETY_VIEWS, r"([0-2])(?=\D|$)", ""),
-    "next_action": _action,
-    "video_summary*": _prose,
-    "region_caption*": _prose,
-}
+def _lines_of(rows: Column) -> Column:
+    return _some(F.array_join(rows, "\n"))
+
+
+def without_label(text: Column, *labels: str) -> Column:
+    """The text after its first colon where one of labels stands before it."""
+    head = F.lower(_trim(F.substring_index(text, ":", 1)))
+    return F.when(F.contains(text, F.lit(":")) & head.isin(*labels), _trim(F.substring(text, F.instr(text, ":") + 1, F.length(text)))).otherwise(text)
+
+
+def without_fences(text: Column) -> Column:
+    """Code fences go, with the language named at the beginning of one; what they hold stays."""
+    parts = F.transform(F.split(text, "```"), lambda part, k: F.when(k % 2 == 1, F.regexp_replace(part, r"^\w+(?=\s|$)", "")).otherwise(part))
+    return _trim(F.array_join(parts, ""))
+
+
+def _in_order(a: Column, b: Column) -> Column:
+    return a.cast("double") <= b.cast("double")
+
+
+def spans(text: Column) -> Column:
+    """'a-b, c-d seconds.' from all spans of time that do not run backwards."""
+    found = F.filter(places(scan(text), "N-NU"), lambda t: _in_order(t[0], t[2]))
+    return F.concat(_some(F.array_join(F.transform(found, lambda t: F.concat(t[0], F.lit("-"), t[2])), ", ")), F.lit(" seconds."))
+
 
+def boxes(text: Column) -> Column:
+    """A line 't seconds: [a, b, c, d]' for each box with its time."""
+    line = lambda t: F.concat(t[0], F.lit(" seconds: ["), F.concat_ws(", ", t[4], t[6], t[8], t[10]), F.lit("]"))
+    return _lines_of(F.transform(places(scan(text), "NU:[N,N,N,N]"), line))
 
-def repair_prediction(qa_type: str, response: str | None) -> str | None:
-    """A response that meets its task's contract, or None where repair would be a guess."""
-    text = re.sub(r"(?m)^\s*```(?:\w+)?\s*|\s*```\s*$", "", (response or "").strip())
-    text = re.sub(r"(?i)^(?:answer|response|prediction)\s*:\s*", "", text).strip()
-    rule = next((f for k, f in CONTRACTS.items() if qa_type == k or k[-1] == "*" and qa_type.startswith(k[:-1])), lambda x: x)
-    return rule(text) if text else None
 
+def events(text: Column) -> Column:
+    """A line 'a-b seconds: label: description' for each line that has the three parts."""
 
-def _plain(text: str) -> str:
-    return text.lower().strip().rstrip(".,)")
+    def line(parts: Column) -> Column:
+        span, label, told = scan(parts[0]), _trim(parts[1]), _trim(parts[2])
+        fits = shape(span).isin("N-NU", "N-NU.") & _in_order(span[0], span[2]) & (label != "") & (told != "")
+        return F.when(fits, F.concat(span[0], F.lit("-"), span[2], F.lit(" seconds: "), label, F.lit(": "), told))
+
+    lines = F.transform(F.split(text, "\n"), lambda x: F.split(x, ":", 3))
+    return _lines_of(F.filter(F.transform(F.filter(lines, lambda p: F.size(p) == 3), line), lambda x: x.isNotNull()))
+
+
+def ratings(text: Column, names: list[str], marks: list[str], out_of: str = "") -> Column:
+    """'name: mark, ...' in the order of names, where all of them have one of marks (and '/ out_of' after it)."""
+    flat = F.regexp_replace(F.lower(text), r"\s*:\s*", ":")
+
+    def rating(name: str) -> Column:
+        after = F.slice(F.split(flat, rf"\Q{name.lower()}:\E"), 2, 1_000_000)
+        ends = F.transform(after, lambda x: F.slice(scan(x), 1, 3))
+        fits = lambda t: F.get(t, 0).isin(*marks) & ((F.get(t, 1) == "/") & (F.get(t, 2) == out_of) if out_of else F.lit(True))
+        return F.get(F.filter(ends, fits), 0)[0]
+
+    got = [rating(n) for n in names]
+    shown = [F.concat(F.lit(f"{n}: "), g, F.lit(f"/{out_of}" if out_of else "")) for n, g in zip(names, got, strict=True)]
+    every = got[0].isNotNull()
+    for g in got[1:]:
+        every = every & g.isNotNull()
+    return F.when(every, F.concat_ws(", ", *shown))
+
+
+def action(text: Column) -> Column:
+    """The first line without its label, quotes and closing dots."""
+    first = _trim(F.substring_index(without_label(text, "next action"), "\n", 1), "`\"'")
+    return _some(_trim(F.rtrim(first, F.lit("."))))
+
+
+def prose(text: Column) -> Column:
+    """One line without its label."""
+    return _some(_trim(F.regexp_replace(without_label(text, "summary", "description"), r"\s+", " ")))
+
+
+#: The task families, by whole name or (with *) by prefix, in the order in which they are tried.
+CONTRACTS = {
+    "tal": spans,
+    "stg": boxes,
+    "dense_captioning*": events,
+    "skill_assessment": lambda text: ratings(text, SKILLS, ["1", "2", "3", "4", "5"], "5"),
+    "cvs_assessment": lambda text: ratings(text, SAFETY_VIEWS, ["0", "1", "2"]),
+    "next_action": action,
+    "video_summary*": prose,
+    "region_caption*": prose,
+}
 
 
-_CHOICE = re.compile(r"\b(?:(?:final|correct)\s+)?answer(?:\s+is\s+|\s*[:\-]\s*)\(?([A-Z])\)?|^[^\S\n]*\(?([A-Z])\)?\.?[^\S\n]*$", re.I | re.M)
+def is_family(qa_type: Column, family: str) -> Column:
+    return qa_type.startswith(family[:-1]) if family.endswith("*") else qa_type == family
 
 
-def choice_letter(response: str | None, choices: dict[str, str]) -> str | None:
-    """The choice a response names: its whole text, else the last marked or stand-alone letter that is valid."""
-    text, valid = response or "", {k.upper(): v for k, v in choices.items()}
-    whole = _plain(text)
-    for letter, choice in valid.items():
-        if whole in {_plain(choice), _plain(f"{letter}. {choice}"), _plain(f"({letter}) {choice}")}:
-            return letter
-    named = [(m[1] or m[2]).upper() for m in _CHOICE.finditer(text)]
-    return next((x for x in reversed(named) if x in valid), None)
+def repair_prediction(qa_type: Column, response: Column) -> Column:
+    """A response that meets its task's contract, or null where repair would be a guess."""
 
+    def of(text: Column) -> Column:
+        out = None
+        for family, rule in CONTRACTS.items():
+            out = F.when(is_family(qa_type, family), rule(text)) if out is None else out.when(is_family(qa_type, family), rule(text))
+        return F.when(text != "", out.otherwise(text))
 
-def repair_json(text: str | None) -> str | None:
-    """Valid JSON stays; else what follows the last comma goes and what is open is closed."""
-    if text is None:
-        return None
-    try:
-        json.loads(text)
-        return text
-    except ValueError:
-        pass
-    head = text.rpartition(",")[0] or text
-    bare = re.sub(r'"(?:\\.|[^"\\])*(?:"|$)', "", head, flags=re.S)  # brackets inside strings do not count
-    closers = {"{": "}", "[": "]"}
-    open_ = ""
-    for c in re.findall(r"[{}\[\]]", bare):
-        if c in closers:
-            open_ += c
-        elif open_ and closers[open_[-1]] == c:
-            open_ = open_[:-1]
-    return head + "".join(closers[c] for c in reversed(open_))
+    return _once(without_label(without_fences(F.coalesce(response, F.lit(""))), "answer", "response", "prediction"), of)
 
 
-def json_payload(text: str | None) -> str | None:
-    """The JSON object or array in a model's reply: inside a fence, or from the first to the last bracket."""
-    if text is None:
-        return None
-    fence = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
-    body = fence[1] if fence else text
-    found = re.search(r"\{.*\}|\[.*\]", body, re.S)
-    return found[0] if found else body.strip() or None
+def is_repairable(qa_type: Column, status: Column, response: Column) -> Column:
+    """A record that is done: its call succeeded and its response can be brought to its contract."""
+    return (status == "success") & repair_prediction(qa_type, response).isNotNull()
 
 
-def sections(text: str | None) -> dict[str, str]:
-    """'[[ ## name ## ]]' sections of a reply as a map."""
-    parts = re.split(r"\[\[ ## (\w+) ## \]\]", text or "")
-    return {k: v.strip() for k, v in zip(parts[1::2], parts[2::2], strict=False)}
+_ALONE = [f"{a}l{b}{c}" for a in ("", "(") for b in ("", ")") for c in ("", ".")]
 
 
-def unescape(text: str | None) -> str | None:
-    r"""\uXXXX escapes as characters; surrogate pairs join, lone ones stay as they are."""
-    if text is None:
-        return None
-    joined = re.sub(r"(?:\\u[0-9a-fA-F]{4})+", lambda m: bytes.fromhex(m[0].replace("\\u", "")).decode("utf-16-be", "replace"), text)
-    return joined
+def choice_letter(response: Column, choices: Column) -> Column:
+    """The choice that a response names; choices: map<letter, text>.
 
+    Its whole text may be a choice, with or without the letter. Else it is the last valid letter that stands alone on
+    a line or begins the word after 'answer is', 'answer:' or 'answer -'.
+    """
+    listed = F.map_entries(choices)
+    whole = answer_normalise(F.coalesce(response, F.lit("")))
+    spelled = lambda e: [answer_normalise(x) for x in (e["value"], F.concat(F.upper(e["key"]), F.lit(". "), e["value"]), F.concat(F.lit("("), F.upper(e["key"]), F.lit(") "), e["value"]))]
+    exact = F.filter(listed, lambda e: whole.isin(*spelled(e)))
 
-def nearest(text: str, candidates: list[str]) -> str | None:
-    found = difflib.get_close_matches(text, candidates, n=1, cutoff=0.0)
-    return found[0] if found else None
+    def named(line: Column) -> Column:
+        def of(t: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t), F.lit(1)) - 1), lambda i: (F.lower(F.get(t, i)) == "answer") & F.lower(F.get(t, i + 1)).isin("is", ":", "-"))
+            marked = F.transform(at, lambda i: F.when(F.get(t, i + 2) == "(", F.get(t, i + 3)).otherwise(F.get(t, i + 2)))
+            return F.when(shape(t).isin(*_ALONE), F.filter(t, lambda x: x.rlike("^[A-Za-z]$"))).otherwise(marked)
 
+        return _once(scan(line), of)
 
+    letters = F.flatten(F.transform(F.split(F.coalesce(response, F.lit("")), r"[\r\n]+"), named))
+    valid = F.transform(F.map_keys(choices), lambda k: F.upper(k))
+    firsts = F.filter(F.transform(letters, lambda x: F.upper(F.substring(x, 1, 1))), lambda x: F.array_contains(valid, x))
+    last = F.get(firsts, F.size(firsts) - 1)
+    return F.coalesce(F.upper(F.get(exact, 0)["key"]), last)
 
-def _wrap_one(f):
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([f(None if pd.isna(x) else x) for x in s], dtype=object)
 
-    return run
+def repair_json(text: Column) -> Column:
+    """Valid JSON stays; else what follows the last comma goes and the brackets that are open there are closed."""
+    head = _once(F.split(text, ","), lambda parts: F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), ","))
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
 
+    def read(state: Column, c: Column) -> Column:
+        inside, escaped = state["quoted"], state["escaped"]
+        last = F.right(state["open"], F.lit(1))
+        closes = (c == last) & c.isin("}", "]")
+        stack = F.when(inside, state["open"]).when(c == "{", F.concat(state["open"], F.lit("}"))).when(c == "[", F.concat(state["open"], F.lit("]")))
+        stack = stack.when(closes, F.left(state["open"], F.length(state["open"]) - 1)).otherwise(state["open"])
+        quoted = F.when((c == '"') & ~escaped, ~inside).otherwise(inside)
+        return F.struct(stack.alias("open"), quoted.alias("quoted"), (inside & (c == "\\") & ~escaped).alias("escaped"))
 
-def repair_prediction_col(qa_type: Column, response: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(kinds: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([repair_prediction(k or "", t) for k, t in zip(kinds, texts, strict=True)], dtype=object)
+    closers = F.aggregate(F.split(head, ""), start, read, lambda s: F.reverse(s["open"]))
+    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.concat(head, closers))
 
-    return run(qa_type, response)
 
+def json_payload(text: Column) -> Column:
+    """The JSON object or array in a reply: inside a fence, or from the first opening to the last closing bracket."""
 
-def choice_letter_col(response: Column, choices: Column) -> Column:
-    """choices: array<struct<key, value>> (map_entries)."""
+    def of(body: Column) -> Column:
+        outer = F.regexp_extract(body, r"(?s)[{\[].*[}\]]", 0)
+        return F.coalesce(_some(outer), _some(_trim(body)))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, options: pd.Series) -> pd.Series:
-        return pd.Series([choice_letter(t, {e["key"]: e["value"] for e in o}) for t, o in zip(texts, options, strict=True)], dtype=object)
+    return _once(F.when(F.contains(text, F.lit("```")), without_fences(F.regexp_extract(text, r"(?s)```.*", 0))).otherwise(text), of)
 
-    return run(response, choices)
 
+@F.pandas_udf(StringType())
+def json_of_literal(payloads: pd.Series) -> pd.Series:
+    """Payloads as JSON; one that is no JSON but a literal of Python's is written as JSON, anything else is null."""
 
-def nearest_col(text: Column, candidates: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, options: pd.Series) -> pd.Series:
-        return pd.Series([nearest(t, list(o)) for t, o in zip(texts, options, strict=True)], dtype=object)
+    def one(x):
+        if pd.isna(x):
+            return None
+        try:
+            json.loads(x)
+            return x
+        except ValueError:
+            pass
+        try:
+            return json.dumps(ast.literal_eval(x), ensure_ascii=False)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
 
-    return run(text, candidates)
+    return pd.Series([one(x) for x in payloads], dtype=object)
 
 
-def repair_json_col(c: Column) -> Column:
-    return _wrap_one(repair_json)(c)
+def sections(text: Column) -> Column:
+    """'[[ ## name ## ]]' sections of a reply as a map; of equal names the last stays."""
+    parts = F.slice(F.split(text, r"\[\[ ## "), 2, 1_000_000)
+    named = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit(" ## ]]"))), lambda p: F.struct(F.substring_index(p, " ## ]]", 1).alias("k"), _trim(F.substring(p, F.instr(p, " ## ]]") + 6, F.length(p))).alias("v")))
+    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named) - i - 1, F.lit(0))), lambda later: later["k"] == e["k"]))
+    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
 
-def json_payload_col(c: Column) -> Column:
-    return _wrap_one(json_payload)(c)
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    r"""\uXXXX escapes as characters; surrogate pairs join."""
+    run = re.compile(r"(?:\\u[0-9a-fA-F]{4})+")
+    return texts.map(lambda x: run.sub(lambda m: bytes.fromhex(m[0].replace("\\u", "")).decode("utf-16-be", "replace"), x), na_action="ignore")
 
 
-def unescape_col(c: Column) -> Column:
-    return _wrap_one(unescape)(c)
+@F.pandas_udf(StringType())
+def nearest(texts: pd.Series, candidates: pd.Series) -> pd.Series:
+    """The candidate that is most alike by difflib's ratio, whatever its likeness."""
+    found = [difflib.get_close_matches(t, [c for c in cs if c is not None], n=1, cutoff=0.0) if t is not None and cs is not None else [] for t, cs in zip(texts, candidates, strict=True)]
+    return pd.Series([f[0] if f else None for f in found], dtype=object)

@@ -203,15 +203,31 @@ def agent_rounds(spark, sf_dir):
     return answer(q, m, emb, AgentGenerator()).select("question_id", "num_rounds", F.size("retrieved").alias("n_items"), F.sha2(F.col("context").cast("binary"), 256).alias("context_sha"))
 
 
-@query("prediction_repair")
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LABELLED = lambda x, labels: f"CASE WHEN contains({x}, ':') AND lower(trim(split_part({x}, ':', 1), {_BLANK})) IN ({labels}) THEN trim(substr({x}, strpos({x}, ':') + 1), {_BLANK}) ELSE {x} END"
+
+
+@query(
+    "prediction_repair",
+    rf"""WITH c AS (SELECT conv_id, turn, trim(coalesce(text, ''), {_BLANK}) AS t, coalesce(text, '') AS raw FROM conversations),
+    a AS (SELECT *, {_LABELLED("t", "'answer', 'response', 'prediction'")} AS u FROM c),
+    b AS (SELECT *, {_LABELLED("u", "'next action'")} AS act, {_LABELLED("u", "'summary', 'description'")} AS prose FROM a)
+    SELECT conv_id, turn,
+      CASE turn % 4 WHEN 0 THEN CASE WHEN turn <= 9.5 THEN turn::VARCHAR || '-9.5 seconds.' END
+        WHEN 1 THEN nullif(trim(rtrim(trim(split_part(act, chr(10), 1), {_BLANK} || '`"' || chr(39)), '.'), {_BLANK}), '')
+        WHEN 2 THEN nullif(trim(regexp_replace(prose, '\s+', ' ', 'g'), {_BLANK}), '')
+        ELSE nullif(u, '') END AS prediction,
+      '{{"a": ["' || regexp_replace(raw, '[\\"\n\r\t]', ' ', 'g') || '"]}}' AS json
+    FROM b""",
+)
 def prediction_repair(spark, sf_dir):
-    from mnemospark.functions.repair import repair_json_col, repair_prediction_col
+    from mnemospark.functions.repair import repair_json, repair_prediction
 
     c = table(spark, sf_dir, "conversations")
     kind = F.get(F.array(*[F.lit(k) for k in ("tal", "next_action", "video_summary_gpt", "other")]), (F.col("turn") % 4).cast("int"))
     text = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("at "), F.col("turn").cast("string"), F.lit(" - 9.5 seconds"))).otherwise(F.col("text"))
     broken = F.concat(F.lit('{"a": ["'), F.regexp_replace(F.coalesce("text", F.lit("")), r'[\\"\n\r\t]', " "), F.lit('", "b"'))
-    return c.select("conv_id", "turn", repair_prediction_col(kind, text).alias("prediction"), repair_json_col(broken).alias("json"))
+    return c.select("conv_id", "turn", repair_prediction(kind, text).alias("prediction"), repair_json(broken).alias("json"))
 
 
 @query("subtitle_parse", f"WITH {EVENTS_SQL} SELECT user_id::VARCHAR AS path, count(*) AS cues, sum(sec)::DOUBLE AS start_sum FROM ev GROUP BY user_id")
