@@ -24,11 +24,13 @@ def get_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where unset (tests), one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or, where unset on a local master (tests), one of our own."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = known.get() if known.isDefined() else None
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
         spark.sparkContext.setCheckpointDir(path)
@@ -47,10 +49,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Deletes this process's intermediate tables, once no DataFrame made from them is wanted any more."""
-    n = len(_WRITTEN)
-    while _WRITTEN:
+def drop_written(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes this process's intermediate tables but the first keep, once no DataFrame made from them is wanted any more."""
+    n = 0
+    while len(_WRITTEN) > keep:
         at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        n += 1
     return n
+
+
+def finished(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df as a written table; the intermediate tables written after mark() gave since, which df was made from, go."""
+    out = written(df, name)
+    path = _WRITTEN.pop()
+    drop_written(df.sparkSession, since)
+    _WRITTEN.append(path)
+    return out
+
+
+def mark() -> int:
+    return len(_WRITTEN)

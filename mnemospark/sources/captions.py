@@ -79,10 +79,10 @@ def read_subtitles(spark: SparkSession, path: str, last_line: bool = False) -> D
     return parse_subtitles(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"), last_line)
 
 
-def translated_captions(rows: DataFrame) -> DataFrame:
-    """JSONL rows (custom_id, text): the last two '-' parts of custom_id are start and end."""
+def translated_captions(rows: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """JSONL rows (custom_id, text, keep): the last two '-' parts of custom_id are start and end."""
     parts = F.split("custom_id", "-")
-    return rows.select(F.try_element_at(parts, F.lit(-2)).alias("start_time"), F.try_element_at(parts, F.lit(-1)).alias("end_time"), "text")
+    return rows.select(*keep, F.try_element_at(parts, F.lit(-2)).alias("start_time"), F.try_element_at(parts, F.lit(-1)).alias("end_time"), "text")
 
 
 def read_openie(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -76,10 +76,18 @@ def frame_indices(total: Column, native_fps: Column, fps: float, most: int) -> C
     return F.when(total <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(spread))
 
 
-def load_config(path: str) -> dict:
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, on whatever file system path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def parse_config(text: str) -> dict:
     """Dataset configuration from YAML, or JSON where no YAML library is installed."""
-    with open(path) as f:
-        text = f.read()
     try:
         import yaml
     except ImportError:
@@ -87,3 +95,7 @@ def load_config(path: str) -> dict:
 
         return json.loads(text)
     return yaml.safe_load(text)
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    return parse_config(spark.read.text(path, wholetext=True).first().value)

@@ -24,17 +24,55 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_once(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Writes unless a readable result is there already."""
+def write_in_order(df: DataFrame, ordinal: str, path: str) -> None:
+    """JSON lines whose files, by name, hold the rows in the order of ordinal."""
+    df.orderBy(ordinal).write.mode("overwrite").json(path)
+
+
+def is_readable(df: DataFrame) -> bool:
+    """Whether every file of a table can be read to its end and there are rows."""
     try:
-        if not df.sparkSession.read.format(fmt).load(path).isEmpty():
+        return df.count() > 0
+    except Exception as e:
+        if any(k in str(e) for k in ("PATH_NOT_FOUND", "UNABLE_TO_INFER", "FAILED_READ_FILE", "MALFORMED_RECORD", "corrupt", "Corrupt")):
+            return False
+        raise
+
+
+def write_once(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """Writes unless a whole readable result is there already."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        reader = spark.read.schema(df.schema).format(fmt)
+        if fmt == "json":
+            reader = reader.option("mode", "FAILFAST")
+        if is_readable(reader.load(path).withColumn("_all", F.xxhash64("*")).filter("_all is not null")):
             return
-    except Exception as e:  # unreadable or absent: make it again
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e) and "corrupt" not in str(e).lower():
-            raise
     df.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_report(spark: SparkSession, rows: DataFrame, title: str, path: str) -> None:
+    """A small aggregate as report.json, report.md and report.html."""
+    from mnemospark.sources.files import put_file
+
+    pages = render_report(rows, title)
+    for kind, name in (("json", "json"), ("markdown", "md"), ("html", "html")):
+        put_file(spark, f"{path}/report.{name}", pages[kind])
+
+
+def write_submission(asked: DataFrame, log: DataFrame, key: str, seq: str, about: dict[str, str], path: str) -> None:
+    """submission (key, answer) of the successful latest records, missing (key) of the others, and a manifest of the run."""
+    from mnemospark.operators.evallog import merged, successful
+    from mnemospark.session import written
+
+    whole = written(merged(asked, log, key, seq).withColumn("_ok", successful(F.col("status"), F.col("answer"))), "submission")
+    whole.filter("_ok").select(key, "answer").write.mode("overwrite").json(f"{path}/submission")
+    whole.filter("not _ok").select(key).write.mode("overwrite").json(f"{path}/missing")
+    facts = [F.lit(v).alias(k) for k, v in about.items()]
+    whole.agg(F.count(F.lit(1)).alias("expected"), F.count_if("_ok").alias("answered")).select(*facts, "expected", "answered").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
 def corpus_statistics(docs: DataFrame) -> DataFrame:
     """avg_ent_chars, avg_ent_words over all extracted entities, four places."""
     e = docs.select(F.explode("extracted_entities").alias("e"))

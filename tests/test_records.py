@@ -81,7 +81,7 @@ def test_files(spark, tmp_path):
     files.write_graph(v, v, str(tmp_path / "g"))
     assert files.read_graph(spark, str(tmp_path / "g"))[0].count() == 1
     (tmp_path / "conf.json").write_text('{"a": {"b": 1}}')
-    assert files.load_config(str(tmp_path / "conf.json"))["a"]["b"] == 1
+    assert files.read_config(spark, str(tmp_path / "conf.json"))["a"]["b"] == 1
     r = spark.range(1).select(files.frame_times(F.lit(5.0), F.lit(20.0), F.lit(10.0), 1.0, 3).alias("t"), files.segment_seconds(F.lit(0.0), F.lit(5.0), 2.0).alias("s"), files.frame_indices(F.lit(100), F.lit(25.0), 1.0, 64).alias("i")).first()
     assert r.t == [5.0, 7.5, 10.0] and r.s == [0.0, 2.0, 4.0] and r.i == [0, 33, 66, 99]
 
