@@ -31,6 +31,7 @@ Defined results: null and empty text is one end token. Without training texts al
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from typing import NamedTuple
 
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import hold, text_of, written
 
 CACHE_BOUND = 500_000
-GROUP_TOKENS = 500_000
+GROUP_TOKENS, POSITIONS = 500_000, 250_000
 SUFFIXES = 4096
 GROUPS, PER_GROUP = 8, 16
 CLASSES = GROUPS * PER_GROUP  # class c is in group c % GROUPS, so the most frequent tokens lie in different groups
@@ -58,33 +59,36 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Lexicon:
-    """Numbers for the words that a worker meets, with one value a word for each property; bounded."""
+    """Numbers for the words that a worker meets, and arrays of their properties by number; bounded.
 
-    def __init__(self, properties):
+    properties: arrays of one value for each of some words.
+    """
+
+    def __init__(self, properties, dtypes: list):
         self.properties, self.index = properties, {}
-        self.columns = [[] for _ in properties]
-        self.arrays: list[np.ndarray] = []
+        self.columns = [np.zeros(1 << 16, t) for t in dtypes]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         index = self.index
-        try:
-            return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in index:
-                    index[w] = len(index)
-                    for column, f in zip(self.columns, self.properties, strict=True):
-                        column.append(f(w))
-            return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-
-    def values(self, k: int, dtype) -> np.ndarray:
-        return np.array(self.columns[k], dtype)
+        n = np.fromiter(map(index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(n < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(words[i] for i in unknown))
+            a, z = len(index), len(index) + len(new)
+            index.update(zip(new, range(a, z), strict=True))
+            for k, values in enumerate(self.properties(new)):
+                while z > len(self.columns[k]):
+                    self.columns[k] = np.concatenate([self.columns[k], np.zeros_like(self.columns[k])])
+                self.columns[k][a:z] = values
+            n[unknown] = [index[words[i]] for i in unknown]
+        return n
+
+    def values(self, k: int) -> np.ndarray:
+        return self.columns[k][: len(self.index)]
 
     def trim(self) -> None:
         if len(self.index) > CACHE_BOUND:
             self.index.clear()
-            for c in self.columns:
-                c.clear()
 
 
 def token_hash(w: bytes) -> int:
@@ -93,10 +97,13 @@ def token_hash(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w) - (1 << 63)
 
 
-def suffix(w: bytes) -> int:
+def hashes_suffixes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the number of the ending of each word."""
+    import xxhash
     import zlib
 
-    return zlib.crc32(w[-3:]) % SUFFIXES
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)
+    return hashes.view(np.int64), np.fromiter((zlib.crc32(w[-3:]) for w in words), np.int64, len(words)) % SUFFIXES
 
 
 def _groups(texts):
@@ -117,12 +124,12 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(hash, suffix, c) of every token of docs (text); partial counts are summed before the shuffle."""
 
     def run(batches):
-        lex = Lexicon([token_hash, suffix])
+        lex = Lexicon(hashes_suffixes, [np.int64, np.int32])
         total = np.zeros(0, np.int64)
 
         def flush():
             at = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(lex.values(0, np.int64)[at]), pa.array(lex.values(1, np.int32)[at]), pa.array(total[at])], names=["hash", "suffix", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(lex.values(0)[at]), pa.array(lex.values(1)[at]), pa.array(total[at])], names=["hash", "suffix", "c"])
 
         for b in batches:
             for group in _groups(t.as_py() for t in b.column(0)):
@@ -149,9 +156,12 @@ class Classes:
         self.endings = np.array([OWN + ENDINGS + k % (CLASSES - OWN - ENDINGS) for k in range(SUFFIXES)])
         self.endings[endings] = OWN + np.arange(len(endings))
 
+    def of_hashes(self, hashes: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+        own = [self.own.get(h, -1) for h in hashes.tolist()]
+        return np.where(np.array(own, np.int64) >= 0, own, self.endings[suffixes]).astype(np.int64)
+
     def of(self, w: bytes) -> int:
-        k = self.own.get(token_hash(w))
-        return int(self.endings[suffix(w)]) if k is None else k
+        return int(self.of_hashes(*hashes_suffixes([w]))[0])
 
     def column(self) -> Column:
         """The class of rows (hash, suffix)."""
@@ -179,7 +189,7 @@ def encode(docs: DataFrame, training: Column, lexicon: "HeadCounts") -> DataFram
                 stop = np.cumsum(size)
                 begin = stop - size
                 n = lex.numbers([w for ws in group for w in ws])
-                c, count, hashes = lex.values(0, np.uint8)[n], lex.values(1, np.int64)[n], lex.values(2, np.int64)[n]
+                c, count, hashes = (lex.values(k)[n] for k in range(3))
                 short = hashes.astype(np.uint32)
                 head = count >= 0
                 head_log = np.where(head, np.log10(np.maximum(count, 0) + 0.1), 0.0)
@@ -202,7 +212,7 @@ def encode(docs: DataFrame, training: Column, lexicon: "HeadCounts") -> DataFram
 
 
 def positions(batch_classes, batch_hashes, end_class: int):
-    """Arrays over all positions of some texts, about GROUP_TOKENS at a time: text sizes, class, class context, word buckets' hashes."""
+    """Arrays over all positions of some texts, about POSITIONS at a time: text sizes, class, class context, word buckets' hashes."""
     held, size = [], 0
 
     def made():
@@ -216,7 +226,7 @@ def positions(batch_classes, batch_hashes, end_class: int):
     for c, h in zip(batch_classes, batch_hashes, strict=True):
         held.append((c, h))
         size += len(c)
-        if size >= GROUP_TOKENS:
+        if size >= POSITIONS:
             yield made()
             held, size = [], 0
     if held:
@@ -311,11 +321,12 @@ class MaxEnt:
         self.w += rate / self.ACTIVE * np.clip((seen - want) / (want + prior), -0.9, 4.0) - 0.0002 * self.w
 
 
-def summed(parts: DataFrame, vector, length: int, slices: int = 16) -> np.ndarray | None:
+def summed(parts: DataFrame, vector, length: int) -> np.ndarray | None:
     """The sum over all tasks of vector(batches of a task), a float array of some length or None, added on the executors.
 
     Each task sends slices of its vector; slices of one number meet in a shuffle, so the driver takes one vector.
     """
+    slices = min(1024, max(4, length // 65_536))
     step = -(-length // slices)
 
     def run(batches):
@@ -331,10 +342,10 @@ def summed(parts: DataFrame, vector, length: int, slices: int = 16) -> np.ndarra
                 v = np.frombuffer(v.as_py(), np.float32).astype(float)
                 total[k] = total[k] + v if k in total else v
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["slice", "v"])
 
     kind = "slice int, v binary"
-    got = {r.slice: np.frombuffer(r.v) for r in parts.mapInArrow(run, kind).repartition(slices, "slice").mapInArrow(add, kind).collect()}
+    got = {r.slice: np.frombuffer(r.v, np.float32).astype(float) for r in parts.mapInArrow(run, kind).repartition(slices, "slice").mapInArrow(add, kind).collect()}
     return np.concatenate([got[k] for k in sorted(got)]) if got else None
 
 
@@ -432,11 +443,12 @@ class HeadCounts:
         order = np.argsort(head_hash)
         self.classes, self.head_hash, self.head_c = classes, head_hash[order], head_c[order]
 
-    def count(self, w: bytes) -> int:
-        """The training count of a head token; -1: not one."""
-        h = token_hash(w)
-        at = int(np.searchsorted(self.head_hash, h))
-        return int(self.head_c[at]) if at < len(self.head_hash) and self.head_hash[at] == h else -1
+    def properties(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, training count (-1: not a head token) and hash of each word."""
+        hashes, suffixes = hashes_suffixes(words)
+        at = np.minimum(np.searchsorted(self.head_hash, hashes), max(0, len(self.head_hash) - 1))
+        known = self.head_hash[at] == hashes if len(self.head_hash) else np.zeros(len(words), bool)
+        return self.classes.of_hashes(hashes, suffixes), np.where(known, self.head_c[at] if len(self.head_c) else 0, -1), hashes
 
 
 _LIVE: dict = {}
@@ -450,7 +462,7 @@ def _live(packed: bytes) -> tuple[HeadCounts, Lexicon]:
     if key not in _LIVE:
         _LIVE.clear()
         s = pickle.loads(packed)
-        _LIVE[key] = s, Lexicon([s.classes.of, s.count, token_hash])
+        _LIVE[key] = s, Lexicon(s.properties, [np.uint8, np.int64, np.int64])
     return _LIVE[key]
 
 
