@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from typing import Protocol
 
 import numpy as np
@@ -73,6 +74,49 @@ class AgentGenerator:
         return out
 
 
+class Router:
+    """Providers by name pattern: the first pattern that a model's name matches gives the provider."""
+
+    def __init__(self, rules: list[tuple[str, object]]):
+        self.rules = rules
+
+    def provider(self, model: str):
+        for pattern, made in self.rules:
+            if re.search(pattern, model, re.I):
+                return made() if isinstance(made, type) else made
+        raise ValueError(f"no provider for model {model!r}")
+
+
+class ModalityEmbedder:
+    """An embedder for each kind of input; a prompt template may stand before a kind's texts."""
+
+    def __init__(self, by_kind: dict[str, Embedder], templates: dict[str, str] | None = None):
+        self.by_kind, self.templates = by_kind, templates or {}
+
+    def embed_kind(self, kind: str, inputs: list[str]) -> np.ndarray:
+        if kind not in self.by_kind:
+            raise ValueError(f"no embedder for {kind!r}; known: {sorted(self.by_kind)}")
+        template = self.templates.get(kind, "{}")
+        return self.by_kind[kind].embed([template.format(x or "") for x in inputs])
+
+
+def embed_by_kind(df: DataFrame, key: str, kind: str, value: str, embedder: ModalityEmbedder) -> DataFrame:
+    """(key, vector) of df's rows, each by the embedder of its kind."""
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            kinds, values = np.array(b.column(1).to_pylist(), object), b.column(2).to_pylist()
+            out = [None] * b.num_rows
+            for k in dict.fromkeys(kinds):
+                at = np.flatnonzero(kinds == k)
+                for i, v in zip(at, embedder.embed_kind(k, [values[i] for i in at]), strict=True):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "vector"])
+
+    return df.select(key, kind, value).mapInArrow(run, f"{key} {key_type}, vector array<double>")
+
+
 def embed_column(df: DataFrame, key: str, text: str, embedder: Embedder) -> DataFrame:
     """(key, vector) of df's rows."""
     kind = df.schema[key].dataType.simpleString()
@@ -85,16 +129,20 @@ def embed_column(df: DataFrame, key: str, text: str, embedder: Embedder) -> Data
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, vector array<double>")
 
 
-def generate(df: DataFrame, key: str, prompt: str, generator: Generator, tries: int = 2) -> DataFrame:
-    """(key, response); a batch that fails is tried again, then answered one by one, failures become null."""
+def generate(df: DataFrame, key: str, prompt: str, generator: Generator, tries: int = 2, wait: float = 0.0, longest: float = 60.0) -> DataFrame:
+    """(key, response); a batch that fails is tried again, then answered one by one, failures become null.
+
+    wait: seconds before the second try; each further try waits twice as long, at most longest.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def ask(prompts):
-        for _ in range(tries):
+        for n in range(tries):
             try:
                 return generator.generate(prompts)
             except Exception:
-                continue
+                if wait and n + 1 < tries:
+                    time.sleep(min(longest, wait * 2**n))
         return [None] if len(prompts) == 1 else [r for p in prompts for r in ask([p])]
 
     def run(batches):
@@ -102,3 +150,12 @@ def generate(df: DataFrame, key: str, prompt: str, generator: Generator, tries:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ask(b.column(1).to_pylist()) if b.num_rows else [], pa.string())], names=[key, "response"])
 
     return df.select(key, prompt).mapInArrow(run, f"{key} {kind}, response string")
+
+
+def generate_as(df: DataFrame, key: str, prompt: str, generator: Generator, schema: str, **how) -> DataFrame:
+    """(key, parsed): the replies' JSON by a schema; null where a reply has none."""
+    from pyspark.sql import functions as F
+
+    from mnemospark.functions.repair import json_payload, repair_json
+
+    return generate(df, key, prompt, generator, **how).select(key, F.from_json(repair_json(json_payload(F.col("response"))), schema).alias("parsed"))

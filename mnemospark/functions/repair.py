@@ -220,11 +220,14 @@ def repair_json(text: Column) -> Column:
 
 
 def json_payload(text: Column) -> Column:
-    """The JSON object or array in a reply: inside a fence, or from the first opening to the last closing bracket."""
+    """The JSON object or array in a reply: inside a fence, or from the first opening to the last closing bracket.
+
+    Without a closing bracket it goes on to the end, for repair_json to close.
+    """
 
     def of(body: Column) -> Column:
-        outer = F.regexp_extract(body, r"(?s)[{\[].*[}\]]", 0)
-        return F.coalesce(_some(outer), _some(_trim(body)))
+        outer, rest = (F.regexp_extract(body, p, 0) for p in (r"(?s)[{\[].*[}\]]", r"(?s)[{\[].*"))
+        return F.coalesce(_some(outer), _some(rest), _some(_trim(body)))
 
     return _once(F.when(F.contains(text, F.lit("```")), without_fences(F.regexp_extract(text, r"(?s)```.*", 0))).otherwise(text), of)
 

@@ -86,9 +86,41 @@ def fact_id(s: Column, p: Column, o: Column) -> Column:
     return F.concat(F.lit("fact-"), F.md5(F.to_json(F.array(s, p, o)).cast("binary")))
 
 
-def segment_key(name: Column) -> Column:
-    """File-safe key: the first 80 code points with odd ones replaced, and eight hex digits of SHA-1."""
-    return F.concat(F.substring(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), 1, 80), F.lit("_"), F.substring(F.sha1(name.cast("binary")), 1, 8))
+def segment_key(name: Column, box: Column | None = None) -> Column:
+    """File-safe key: the first 80 code points with odd ones replaced, and eight hex digits of the SHA-1 of the name.
+
+    box: the signature of a region; a name with one has a key of its own.
+    """
+    whole = name if box is None else F.when(box.isNull(), name).otherwise(F.concat(name, F.lit("#rc:"), box))
+    return F.concat(F.substring(F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_"), 1, 80), F.lit("-"), F.substring(F.sha1(whole.cast("binary")), 1, 8))
+
+
+def box_signature(start_frame: Column, box: Column) -> Column:
+    """The region of an item as JSON; null where the frame or the box is missing or empty."""
+    numbers = F.array_join(F.transform(box, lambda x: x.cast("string")), ", ")
+    return F.when((F.coalesce(start_frame, F.lit("")) != "") & (F.coalesce(F.size(box), F.lit(0)) > 0), F.concat(F.lit("["), numbers, F.lit("]")))
+
+
+def frame_path(path: Column, prefix: str, root: str) -> Column:
+    """A frame's path under root; the prefix that it was recorded with goes."""
+    bare = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
+    return F.concat(F.lit(root.rstrip("/") + "/"), bare)
+
+
+def required_output(qa_type: Column, formats: dict[str, str]) -> Column:
+    """The output format of a task type: by its whole name, else by the first prefix (a key ending in *)."""
+    exact = F.lit(None).cast("string")
+    for name, told in reversed(formats.items()):
+        test = qa_type.startswith(name[:-1]) if name.endswith("*") else qa_type == name
+        exact = F.when(test, told).otherwise(exact)
+    return exact
+
+
+def asked_question(text: Column, qa_type: Column, formats: dict[str, str]) -> Column:
+    """The question without its media mark, and what its output has to look like."""
+    bare = F.regexp_replace(text, r"^<video>\n", "")
+    told = required_output(qa_type, formats)
+    return F.when(told.isNull(), bare).otherwise(F.concat(bare, F.lit("\n\nOutput requirement: "), told))
 
 
 def duration_bucket(seconds: Column) -> Column:
@@ -195,3 +227,34 @@ def last_turn(turns: Column, role: str) -> Column:
 def final_answer(reply: Column) -> Column:
     """What follows the last 'Answer:'; the whole reply where there is none."""
     return F.trim(F.element_at(F.split(reply, "Answer:"), -1))
+
+
+def entry_span(entries: Column) -> Column:
+    """struct<start_time, end_time> of array<struct<start, end>>: earliest and latest as eight digits; null without both."""
+    code = lambda x: F.concat(F.lpad(x.cast("long").cast("string"), 6, "0"), F.lit("00"))
+    first, last = F.array_min(F.transform(entries, lambda e: e["start"])), F.array_max(F.transform(entries, lambda e: e["end"]))
+    return F.when(first.isNotNull() & last.isNotNull(), F.struct(code(first).alias("start_time"), code(last).alias("end_time")))
+
+
+def progress_line(done: Column, total: Column, width: int = 20) -> Column:
+    """'[####----] 4/8 50%': a line for logs."""
+    share = F.when(total > 0, F.least(done / total, F.lit(1.0))).otherwise(0.0)
+    full = F.floor(share * width).cast("int")
+    return F.concat(F.lit("["), F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), F.lit(width) - full), F.lit("] "), done.cast("string"), F.lit("/"), total.cast("string"), F.lit(" "), F.floor(share * 100).cast("string"), F.lit("%"))
+
+
+def compact(x: Column, most: int) -> Column:
+    """One line of at most most code points; what is cut off shows as dots (a display)."""
+    line = F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line)
+
+
+def as_number(x: Column) -> Column:
+    """A number from text or null; outer blanks do not count."""
+    return F.trim(x.cast("string")).try_cast("double")
+
+
+def as_flag(x: Column) -> Column:
+    """A flag from its usual spellings, else null."""
+    low = F.lower(F.trim(x.cast("string")))
+    return F.when(low.isin("true", "yes", "1", "y", "on"), True).when(low.isin("false", "no", "0", "n", "off"), False)

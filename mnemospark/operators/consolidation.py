@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.operators.similarity import top_k_join
-from mnemospark.session import written
+from mnemospark.session import shared_dir, written
 
 #: How many known triples a new one is shown, and how alike they must be.
 TOP, LEAST = 20, 0.6
@@ -47,12 +48,19 @@ def fold(slices: DataFrame, embed, decide) -> DataFrame:
     """(snapshot_ts, TRIPLES) after every slice of slices (snapshot_ts, TRIPLES).
 
     Slices follow each other in time, so the driver steps through them; each step is a distributed job over its slice
-    and the state, and the state is written after it.
+    and the state. Slices are written by time first, so a step reads its own only, and each state is written to a folder of its time;
+    the result is one scan of those folders.
     """
-    out, known = None, None
-    for (ts,) in slices.select("snapshot_ts").distinct().orderBy("snapshot_ts").collect():
-        new = slices.filter(F.col("snapshot_ts") == ts).select(*TRIPLES)
-        known = written(new if known is None else step(known, new, embed, decide), "consolidated")
-        now = known.withColumn("snapshot_ts", F.lit(ts))
-        out = now if out is None else out.unionByName(now)
-    return out
+    spark = slices.sparkSession
+    root = f"{shared_dir(spark)}/fold-{uuid.uuid4().hex}"
+    slices.select("snapshot_ts", *TRIPLES).write.partitionBy("snapshot_ts").parquet(f"{root}/in")
+    whole = spark.read.schema(slices.select(*TRIPLES, "snapshot_ts").schema).parquet(f"{root}/in")
+    known = None
+    for (ts,) in whole.select("snapshot_ts").distinct().orderBy("snapshot_ts").collect():
+        new = whole.filter(F.col("snapshot_ts") == ts).select(*TRIPLES)
+        path = f"{root}/out/snapshot_ts={ts}"
+        (new if known is None else step(known, new, embed, decide)).select(*TRIPLES).write.parquet(path)
+        known = spark.read.schema(new.schema).parquet(path)
+    if known is None:
+        return slices.select(*TRIPLES, "snapshot_ts")
+    return spark.read.schema(whole.schema).parquet(f"{root}/out")

@@ -19,6 +19,15 @@ def successful(status: Column, answer: Column) -> Column:
     return F.coalesce((status == "success") & (text != "") & (text != NO_ANSWER), F.lit(False))
 
 
+def error_records(rows: DataFrame, message: Column, status: str = "error") -> DataFrame:
+    """Log records of questions (ID and what else is known) that failed: fields that rows lack are empty."""
+    known = [c for c in ("video_id", "type", "duration", "question", "answer") if c in rows.columns]
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in known else F.lit("").alias(c) for c in ("video_id", "type", "duration", "question", "answer")]
+    choices = F.col("choices") if "choices" in rows.columns else F.create_map().cast("map<string,string>")
+    history = F.array().cast("array<string>")
+    return rows.select("ID", F.lit(status).alias("status"), *filled, choices.alias("choices"), message.alias("response"), history.alias("round_history"), F.lit(0).alias("num_rounds"), F.lit(False).alias("evaluate"))
+
+
 def pending(questions: DataFrame, log: DataFrame, key: str, seq: str, ok: Column) -> DataFrame:
     """Questions whose latest record is not a success."""
     return questions.join(latest(log, key, seq).filter(ok).select(key), key, "left_anti")

@@ -50,3 +50,23 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 def require_same_size(*parts: DataFrame) -> None:
     if len(set(sizes := [p.count() for p in parts])) > 1:
         raise ValueError(f"sizes differ: {sizes}")
+
+
+def require_task(df: DataFrame, kind: str, known: list[str]) -> DataFrame:
+    """Task types that nothing handles are an error."""
+    _raise_if(df.filter(~F.col(kind).isin(known) | F.col(kind).isNull()).select(kind).distinct(), f"unhandled {kind}")
+    return df
+
+
+def require_frames(df: DataFrame, key: str, index: str, total: str) -> DataFrame:
+    """Frames must be there, and indices lie among them."""
+    bad = F.col(total).isNull() | (F.col(total) <= 0) | F.col(index).isNull() | (F.col(index) < 0) | (F.col(index) >= F.col(total))
+    _raise_if(df.filter(bad).select(key, index, total), "no such frame")
+    return df
+
+
+def metric_gaps(found: DataFrame, expected: list[str]) -> DataFrame:
+    """(metric, value, problem): expected metrics that found (metric, value) lacks, and found ones that nobody expects."""
+    want = found.sparkSession.createDataFrame([(m, True) for m in expected], "metric string, wanted boolean")
+    x = found.withColumn("there", F.lit(True)).join(F.broadcast(want), "metric", "full")
+    return x.select("metric", "value", F.when(F.col("there").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").otherwise("").alias("problem"))

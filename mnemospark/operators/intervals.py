@@ -34,18 +34,34 @@ def containing_interval(points: DataFrame, intervals: DataFrame, at: str, span:
     return points.join(best, key, "left").select(*points.columns, *[F.col(f"_hit.{c}").alias(c) for c in intervals.columns if c not in on])
 
 
-def asof_backward(queries: DataFrame, snapshots: DataFrame, at: str, ts: str, by: list[str] | None = None) -> DataFrame:
+def asof_backward(queries: DataFrame, snapshots: DataFrame, at: str, ts: str, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
     """Each query row with the latest snapshot time that is not after it.
 
-    One union and one window over the time order of each key: no range join. Without a key all rows would be one
-    window, so by should name a column.
+    No range join: the time range of the snapshots is cut into buckets, the last snapshot of each bucket is carried on to
+    the buckets after it (a few rows a key), and rows meet the snapshots of their own bucket in one window, so a
+    key's rows are spread over many tasks.
     """
     by = by or []
-    marks = snapshots.select(*by, F.col(ts).alias("_t"), F.lit(0).alias("_q"), F.lit(None).cast(queries.select(F.struct("*")).schema[0].dataType).alias("_row")).distinct()
-    asks = queries.select(*by, F.col(at).alias("_t"), F.lit(1).alias("_q"), F.struct("*").alias("_row"))
-    w = Window.partitionBy(*by).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = marks.unionByName(asks).withColumn("snapshot", F.last(F.when(F.col("_q") == 0, F.col("_t")), ignorenulls=True).over(w))
-    return seen.filter("_q = 1").select("_row.*", "snapshot")
+    kind = queries.schema[at].dataType
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double") if kind.typeName() in ("timestamp", "date", "timestamp_ntz") else F.col(c).cast("double")
+    low, high = snapshots.agg(F.min(seconds(ts)), F.max(seconds(ts))).first()
+    low, width = low or 0.0, max(1e-9, ((high or 0.0) - (low or 0.0)) / buckets)
+    bucket = lambda c: F.greatest(F.lit(-1), F.least(F.lit(buckets), F.floor((seconds(c) - F.lit(low)) / F.lit(width)))).cast("int")
+    times = snapshots.select(*by, F.col(ts).alias("_t")).distinct().withColumn("_b", bucket("_t"))
+    asks = queries.select(*by, F.col(at).alias("_t"), F.struct("*").alias("_row")).withColumn("_b", bucket("_t"))
+    # The last snapshot of each bucket, and for each bucket with rows the last one of the buckets before it.
+    lasts = times.groupBy(*by, "_b").agg(F.max("_t").alias("_last"))
+    seats = asks.select(*by, "_b").distinct().unionByName(lasts.select(*by, "_b")).distinct()
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = seats.join(lasts, [*by, "_b"], "left").withColumn("_carry", F.last("_last", ignorenulls=True).over(w)).select(*by, "_b", "_carry")
+    marks = times.select(*by, "_b", "_t", F.lit(0).alias("_q"), F.lit(None).cast(asks.schema["_row"].dataType).alias("_row"))
+    near = Window.partitionBy(*by, "_b").orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = marks.unionByName(asks.withColumn("_q", F.lit(1))).withColumn("_own", F.last(F.when(F.col("_q") == 0, F.col("_t")), ignorenulls=True).over(near))
+    found = seen.filter("_q = 1")
+    same = found["_b"].eqNullSafe(carried["_b"])
+    for c in by:
+        same = same & found[c].eqNullSafe(carried[c])
+    return found.join(carried, same, "left").select(found["_row"].alias("_row"), F.coalesce("_own", "_carry").alias("snapshot")).select("_row.*", "snapshot")
 
 
 def fixed_segments(df: DataFrame, duration: str, unit: int) -> DataFrame:

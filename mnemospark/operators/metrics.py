@@ -18,7 +18,10 @@ def cut_metrics(ranked: DataFrame, labels: DataFrame, ks: list[int]) -> DataFram
 
     One pass: k is a small array exploded over ranked rows up to the largest k; running hits come from one window.
     """
-    n = labels.filter("rel > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"), F.sort_array(F.collect_list("rel"), asc=False).alias("ideal"))
+    good = labels.filter("rel > 0")
+    best = Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id")
+    ideal = good.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= max(ks)).groupBy("query_id").agg(F.sort_array(F.collect_list("rel"), asc=False).alias("ideal"))
+    n = good.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel")).join(ideal, "query_id")
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     j = judged(ranked.filter(F.col("rank") <= max(ks)), labels).withColumn("hit", (F.col("rel") > 0).cast("int"))
     j = j.withColumn("hits", F.sum("hit").over(w)).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter("rank <= k")

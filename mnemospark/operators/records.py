@@ -67,6 +67,16 @@ def head_rows(df: DataFrame, order: list[str], n: int | str | None) -> DataFrame
     return df if not n or n < 0 else df.orderBy(*order).limit(n)
 
 
+def in_languages(df: DataFrame, column: str, languages: list[str]) -> DataFrame:
+    return df.filter(F.col(column).isin(languages))
+
+
+def new_in_round(found: DataFrame, by: str, key: str, round_: str, k: int) -> DataFrame:
+    """The first k new keys of each round: a key counts in the first round that finds it only."""
+    first = found.groupBy(by, key).agg(F.min(round_).alias(round_))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(by, round_).orderBy(key))).filter(F.col("place") <= k)
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows by a seeded hash of key: the same on every run and partitioning (a sampling operator)."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)

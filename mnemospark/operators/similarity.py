@@ -16,6 +16,40 @@ def top_k(df: DataFrame, query: list[float], k: int, vector: str = "embedding",
     return df.withColumn("score", F.round(cosine(F.col(vector), q), 6)).orderBy(F.desc("score"), key).limit(k)
 
 
+def best_pairs(k: int, least: float | None, skip_self: bool, rows: int = 256):
+    """For a table (side, id, vector) with queries on side 0 and keys on side 1: each query's k best keys by cosine.
+
+    Queries are taken rows at a time and only the k best of a row are sorted, so memory is a slice of scores.
+    """
+
+    def best(table: pa.Table) -> pa.Table:
+        side, ids = np.asarray(table["side"]), np.asarray(table["id"])
+        x = np.stack(table["vector"].to_numpy(zero_copy_only=False)).astype(np.float64)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+        a, b, qi, ki = x[side == 0], x[side == 1], ids[side == 0], ids[side == 1]
+        order = np.argsort(ki, kind="stable")  # equal scores then go to the smaller id
+        b, ki = b[order], ki[order]
+        out = [[], [], []]
+        for at in range(0, len(a) if len(b) else 0, rows):
+            s = np.round(a[at : at + rows] @ b.T, 6)
+            if skip_self:
+                s[qi[at : at + rows, None] == ki[None]] = -np.inf
+            if least is not None:
+                s[s < least] = -np.inf
+            cut = np.partition(s, len(ki) - k, axis=1)[:, len(ki) - k] if k < len(ki) else np.full(len(s), -np.inf)
+            for row, q, c in zip(s, qi[at : at + rows], cut, strict=True):
+                near = np.flatnonzero((row >= c) & (row > -np.inf))
+                near = near[np.argsort(-row[near], kind="stable")[:k]]
+                out[0].append(np.full(len(near), q))
+                out[1].append(ki[near])
+                out[2].append(row[near])
+        whole = [np.concatenate([np.zeros(0, t), *o]).astype(t) for o, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
+        return pa.table(dict(zip(("query_id", "key_id", "score"), whole, strict=True)))
+
+    return best
+
+
 def top_k_join(queries: DataFrame, keys: DataFrame, k: int, least: float | None = None, blocks: int | None = None, query_block: int = 2000, key_block: int = 20_000, skip_self: bool = False) -> DataFrame:
     """For each query (query_id, vector) its k best keys (key_id, vector) by cosine: query_id, key_id, score, rank.
 
@@ -28,28 +62,6 @@ def top_k_join(queries: DataFrame, keys: DataFrame, k: int, least: float | None
     left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("kb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "vector")
     right = keys.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("key_id"), F.lit(n_blocks)).cast("int").alias("kb"), F.lit(1).alias("side"), F.col("key_id").alias("id"), "vector")
 
-    def best(table: pa.Table) -> pa.Table:
-        side = np.asarray(table["side"])
-        ids = np.asarray(table["id"])
-        x = np.stack(table["vector"].to_numpy(zero_copy_only=False)).astype(np.float64)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-        a, b = x[side == 0], x[side == 1]
-        qi, ki = ids[side == 0], ids[side == 1]
-        out_q, out_k, out_s = [], [], []
-        if len(a) and len(b):
-            s = np.round(a @ b.T, 6)
-            for row, q in zip(s, qi, strict=True):
-                ok = np.ones(len(ki), bool) if least is None else row >= least
-                if skip_self:
-                    ok &= ki != q
-                at = np.flatnonzero(ok)
-                at = at[np.lexsort((ki[at], -row[at]))[:k]]
-                out_q += [q] * len(at)
-                out_k += ki[at].tolist()
-                out_s += row[at].tolist()
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "key_id": pa.array(out_k, pa.int64()), "score": pa.array(out_s, pa.float64())})
-
-    partial = left.unionByName(right).groupBy("qb", "kb").applyInArrow(best, "query_id long, key_id long, score double")
+    partial = left.unionByName(right).groupBy("qb", "kb").applyInArrow(best_pairs(k, least, skip_self), "query_id long, key_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions.search import place
+
 
 def anchored_windows(df: DataFrame, start: str, width: int, by: list[str]) -> DataFrame:
     """Adds w_start, w_end: tumbling windows whose first one begins at the first row of each group.
@@ -35,6 +37,12 @@ def every_n(df: DataFrame, ordinal: str, n: int, by: list[str]) -> DataFrame:
     return df.withColumn("group_no", F.floor((F.row_number().over(w) - 1) / n).cast("long"))
 
 
+def running_mean(df: DataFrame, value: str, ordinal: list[str], by: list[str]) -> DataFrame:
+    """Adds mean_so_far: the mean of value over the rows of a group up to this one."""
+    w = Window.partitionBy(*by).orderBy(*ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("mean_so_far", F.avg(value).over(w))
+
+
 def linspace_positions(n: Column, m: int) -> Column:
     """The m whole positions of linspace(0, n - 1, m), as an array."""
     if m == 1:
@@ -65,16 +73,19 @@ def contiguous_splits(df: DataFrame, ordinal: str, k: int) -> DataFrame:
     return positions(df, ordinal).withColumn("split", F.floor(F.col("position") / size).cast("int")).drop("position")
 
 
-def positions(df: DataFrame, ordinal: str, buckets: int = 64) -> DataFrame:
-    """Adds position: the 0-based place of each row by ordinal (distinct, not null), by ranges of the ordinal.
+def positions(df: DataFrame, ordinal: str, rows: int = 100_000, most: int = 10_000) -> DataFrame:
+    """Adds position: the 0-based place of each row by ordinal (distinct, not null), by ranges of about rows rows.
 
-    Each range numbers its own rows; the ranges' counts, one row each, give what comes before. So no task sorts all rows.
+    The ranges' bounds are approximate quantiles, so they hold about as many rows each however the ordinals lie. Each range
+    numbers its own rows; the ranges' counts, one row each and at most most of them, give what comes before.
     """
-    low, high = df.agg(F.min(ordinal), F.max(ordinal)).first()
-    if low is None:
-        return df.withColumn("position", F.lit(None).cast("long"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    x = df.withColumn("_b", F.floor((F.col(ordinal) - low) / width))
+    n = df.count()
+    ranges = max(1, min(most, -(-n // rows)))
+    bounds = []
+    if ranges > 1:
+        shares = [k / ranges for k in range(1, ranges)]
+        bounds = sorted(set(df.agg(F.percentile_approx(ordinal, shares, 10 * ranges)).first()[0]))
+    x = df.withColumn("_b", place(F.col(ordinal).cast("long"), bounds, "bigint"))
     before = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     before = before.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))
     w = Window.partitionBy("_b").orderBy(ordinal)

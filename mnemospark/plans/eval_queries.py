@@ -154,9 +154,10 @@ def duration_buckets(spark, sf_dir):
     return clock_events(spark, sf_dir).groupBy(tx.duration_bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("segment_keys", "SELECT page_id, substring(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) || '_' || substring(sha1(url), 1, 8) AS key FROM pages")
+@query("segment_keys", "SELECT page_id, substring(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 1, 80) || '-' || substring(sha1(CASE WHEN page_id % 2 = 0 THEN url || '#rc:[1.0, 2.5]' ELSE url END), 1, 8) AS key FROM pages")
 def segment_keys(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.segment_key(F.col("url")).alias("key"))
+    box = tx.box_signature(F.when(F.col("page_id") % 2 == 0, "f1.jpg"), F.array(F.lit(1.0), F.lit(2.5)))
+    return table(spark, sf_dir, "pages").select("page_id", tx.segment_key(F.col("url"), box).alias("key"))
 
 
 @query("score_pivot", f"WITH {EVENTS_SQL}, s AS (SELECT d % 10 AS dataset, event_type, value FROM ev) SELECT dataset, round(avg(value) FILTER (event_type = 'purchase'), 6) AS purchase, round(avg(value) FILTER (event_type = 'click'), 6) AS click FROM s GROUP BY dataset")

@@ -142,7 +142,9 @@ def weighted_interleave(spark, sf_dir):
 @query("hard_negatives", f"WITH {EVENTS_SQL}, q AS (SELECT user_id, max(value) AS pos FROM ev GROUP BY 1), n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS r FROM ev) SELECT user_id, count(*) AS kept, sum(event_id)::BIGINT AS ids FROM n JOIN q USING (user_id) WHERE r >= 1 AND r < 20 AND value > 1 AND value < pos - 0.5 AND value < pos * 0.95 GROUP BY user_id")
 def hard_negatives(spark, sf_dir):
     e = clock_events(spark, sf_dir)
-    n = e.groupBy("user_id").agg(F.max("value").alias("pos"), F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("less"), F.col("event_id").alias("id"), F.col("value").alias("score")))).alias("neg"))
+    best = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    few = e.withColumn("r", F.row_number().over(best)).filter("r <= 20")  # a limit of a rank: each task keeps 20 a user
+    n = few.groupBy("user_id").agg(F.max("value").alias("pos"), F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("less"), F.col("event_id").alias("id"), F.col("value").alias("score")))).alias("neg"))
     kept = mixing.hard_negatives(F.col("neg"), F.col("pos"), above=1, margin=0.5, ratio=0.95, ranks=(1, 20))
     x = n.select("user_id", F.explode(kept).alias("k"))
     return x.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("k.id").alias("ids"))

@@ -64,7 +64,7 @@ def parse_subtitles(files: DataFrame, last_line: bool = False) -> DataFrame:
     stamp = r"(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)"
     part = lambda k: F.regexp_extract("block", stamp, k).cast("double")
     clock = lambda k: part(k) * 3600 + part(k + 1) * 60 + part(k + 2) + part(k + 3) / 1000
-    lines = F.filter(F.transform(F.split(F.regexp_replace("block", rf"(?s)^.*?{stamp}[^\n]*\n?", ""), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace("block", rf"(?s)^.*?{stamp}[^\n]*\n?", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     text = F.when(F.size(lines) > 0, F.element_at(lines, -1)) if last_line else F.array_join(lines, " ")
     return blocks.filter(F.col("block").rlike(stamp)).select("path", "cue", clock(1).alias("start_seconds"), clock(5).alias("end_seconds"), text.alias("text")).filter(F.coalesce("text", F.lit("")) != "")
 
