@@ -37,6 +37,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -321,10 +322,11 @@ class MaxEnt:
         self.w += rate / self.ACTIVE * np.clip((seen - want) / (want + prior), -0.9, 4.0) - 0.0002 * self.w
 
 
-def summed(parts: DataFrame, vector, length: int) -> np.ndarray | None:
+def summed(parts: DataFrame, vector, length: int, near: int = 32) -> np.ndarray | None:
     """The sum over all tasks of vector(batches of a task), a float array of some length or None, added on the executors.
 
-    Each task sends slices of its vector; slices of one number meet in a shuffle, so the driver takes one vector.
+    Each task sends slices of its vector. Slices of one number meet in a shuffle, first those of ``near`` neighbouring
+    tasks, then the rest, so no task reads more with more tasks, but for one slice of each group; the driver takes one vector.
     """
     slices = min(1024, max(4, length // 65_536))
     step = -(-length // slices)
@@ -333,19 +335,23 @@ def summed(parts: DataFrame, vector, length: int) -> np.ndarray | None:
         v = vector(batches)
         if v is not None:
             cut = [v[a : a + step].astype(np.float32).tobytes() for a in range(0, length, step)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=["slice", "v"])
+            group = np.full(len(cut), TaskContext.get().partitionId() // near, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(group), pa.array(cut, pa.binary())], names=["slice", "near", "v"])
 
     def add(batches):
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for k, g, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 v = np.frombuffer(v.as_py(), np.float32).astype(float)
-                total[k] = total[k] + v if k in total else v
+                total[k, g] = total[k, g] + v if (k, g) in total else v
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["slice", "v"])
+            keys = np.array(list(total), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["slice", "near", "v"])
 
-    kind = "slice int, v binary"
-    got = {r.slice: np.frombuffer(r.v, np.float32).astype(float) for r in parts.mapInArrow(run, kind).repartition(slices, "slice").mapInArrow(add, kind).collect()}
+    kind = "slice int, near int, v binary"
+    first = parts.mapInArrow(run, kind).repartition("slice", "near").mapInArrow(add, kind)
+    whole = first.withColumn("near", F.lit(0)).repartition(slices, "slice").mapInArrow(add, kind)
+    got = {r.slice: np.frombuffer(r.v, np.float32).astype(float) for r in whole.collect()}
     return np.concatenate([got[k] for k in sorted(got)]) if got else None
 
 

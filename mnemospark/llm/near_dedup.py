@@ -6,11 +6,12 @@
 2. Band candidates: nodes meet in the buckets of their band keys. Inside a bucket, packed signatures are compared by
    bit counts, corrected for chance agreement; nodes that look alike at ``loose`` (six standard deviations under the
    threshold) hang together, and a bucket emits one row for each member at most, not its pairs. Buckets above
-   ``block`` members are dealt out as pairs of blocks.
+   ``block`` members are worked on in blocks (``linked``).
 3. Components of those rows are families: any two nodes that are truly linked and met in a band are in one family.
 4. Sets are made again for members of families only (a fixed-size bitmap keeps other texts out before any shuffle).
-   In each family, in pairs of blocks of bounded size, all intersections are counted exactly; links
-   100*|A and B| >= threshold*|A or B| are merged, again one row for each member at most.
+   In each family, in blocks of bounded size, intersections are counted exactly; links
+   100*|A and B| >= threshold*|A or B| are merged, again one row for each member at most. Work in a large group follows
+   its blocks, and what is not connected after a first pass, not the pairs of its blocks.
 5. Components of the confirmed links, with all copies of a class, give component_id.
 
 Bands and rows follow from the threshold, so that the chance that two nodes at it never meet is below 1e-5
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import hold, text_of, texts_of, written
+from mnemospark.llm.common import hold, join_by_size, text_of, texts_of, written
 from mnemospark.llm.components import components
 
 K = 5  # words in a shingle
@@ -257,25 +258,54 @@ def _in_groups(df: DataFrame, keys: list[str], merge, of: str) -> DataFrame:
     return df.select(*keys, "node", of).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a binary, b binary")
 
 
-def _block_pairs(df: DataFrame, blocks: str) -> DataFrame:
-    """Deals a group's members, hashed over its blocks, to pairs of blocks (lo, hi); one block: one pair."""
-    own = F.pmod(F.xxhash64("node"), F.col(blocks))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda k: F.struct(F.least(k, own).alias("lo"), F.greatest(k, own).alias("hi")))
-    return df.withColumn("pair", F.explode(others)).withColumns({"lo": F.col("pair.lo"), "hi": F.col("pair.hi")}).drop("pair")
+def _blocks_of(n: str):
+    """The numbers 0 .. n - 1 as rows."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def linked(df: DataFrame, keys: list[str], merge, of: str) -> DataFrame:
+    """(a, b) rows that connect the nodes of each group (keys) of df (keys, node, of, blocks) as their links do.
+
+    A group of one block is merged as it is. Of a larger one, each block is merged together with the group's first block, so
+    the work grows with the blocks and not with their pairs; that connects what is alike across them. What may be left are
+    links between nodes that are still apart: all members outside a group's largest component, the leftovers, are
+    compared with all members, block by block. Links inside the largest component would connect nothing.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = df.withColumn("own", own)
+    seats = F.when(F.col("own") > 0, F.array("own")).otherwise(F.sequence(F.least(F.lit(1), F.col("blocks") - 1).cast("long"), F.col("blocks") - 1))
+    edges = written(_in_groups(dealt.withColumn("seat", F.explode(seats)), [*keys, "seat"], merge, of).distinct(), "links")
+    many = df.filter("blocks > 1")
+    if many.isEmpty():
+        return edges
+    label = components(edges)
+    apart = written(many.select(*keys, "node", "blocks").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    sizes = apart.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("blocks"))
+    whole = sizes.groupBy(*keys).agg(F.max_by("label", "n").alias("largest"), F.sum("n").alias("members"), F.max("n").alias("most"), F.max("blocks").alias("blocks"))
+    open_ = written(whole.filter("most < members").select(*keys, "largest", F.ceil(F.col("blocks") * (F.col("members") - F.col("most")) / F.col("members")).cast("long").alias("left_blocks"), "members"), "open-groups")
+    if open_.isEmpty():
+        return edges
+    here = join_by_size(dealt.filter("blocks > 1"), open_, keys, "members").join(apart.select(*keys, "node", "label"), [*keys, "node"])
+    left = here.filter(F.col("label") != F.col("largest")).withColumn("lo", F.pmod(F.xxhash64("node", F.lit(1)), F.col("left_blocks"))).withColumn("hi", _blocks_of("blocks"))
+    all_ = here.withColumn("hi", F.col("own")).withColumn("lo", _blocks_of("left_blocks"))
+    columns = [*keys, "lo", "hi", "node", of]
+    seated = left.select(*columns).unionByName(all_.select(*columns)).dropDuplicates([*keys, "lo", "hi", "node"])
+    return edges.unionByName(_in_groups(seated, [*keys, "lo", "hi"], merge, of).distinct())
 
 
 def families(nodes: DataFrame, scheme: Scheme, loose: float, block: int) -> DataFrame:
     """(a, b) rows that hang nodes (node, bands, sig) with alike signatures in a common bucket together."""
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = buckets.join(shared, "key").select("key", "node", F.ceil(F.col("members") / block).cast("long").alias("blocks"))
-    met = met.join(nodes.select("node", "sig"), "node")
+    shared = written(shared.withColumn("blocks", F.ceil(F.col("members") / block).cast("long")), "shared-buckets")
+    met = join_by_size(buckets, shared, ["key"], "members").select("key", "node", "blocks")
+    met = written(met.join(nodes.select("node", "sig"), "node"), "buckets")
 
     def merge(values) -> np.ndarray:
         sig = np.concatenate([np.asarray(v.flatten()) for v in values]).view(np.uint64).reshape(-1, scheme.longs)
         return merged(_Alike(scheme, sig, loose))
 
-    return _in_groups(_block_pairs(met, "blocks"), ["key", "lo", "hi"], merge, "sig").distinct()
+    return linked(met, ["key"], merge, "sig")
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -320,7 +350,7 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
             own += [flat[p:q].view(np.uint64) for p, q in zip(at[:-1], at[1:], strict=True)]
         return merged(_Linked(own, percent))
 
-    return _in_groups(_block_pairs(sets, "blocks"), ["family", "lo", "hi"], merge, "shingles").distinct()
+    return linked(sets, ["family"], merge, "shingles")
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, scheme: Scheme | None = None, block: int = 2048, elements: int = 1_000_000) -> DataFrame:
@@ -334,19 +364,24 @@ def near_dedup(docs: DataFrame, percent: int = 80, scheme: Scheme | None = None,
     loose = p - 6 * (agree * (1 - agree) / scheme.perms) ** 0.5 / (1 - 0.5**scheme.bits)
     signed = written(signatures(docs, scheme), "signatures")
     some = signed.filter(F.col("node").isNotNull())
-    nodes = written(some.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).alias("doc_key"), F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    least_id = F.min(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    nodes = written(some.groupBy("node").agg(least_id.alias("doc_key"), F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "nodes")
     family = components(families(nodes, scheme, loose, block))
-    about = nodes.select("node", "doc_key", "size").join(family, "node").withColumnRenamed("label", "family")
-    load = about.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / elements), F.ceil(F.count(F.lit(1)) / 1024)).cast("long").alias("blocks"))
-    members = about.join(load, "family").select("node", "doc_key", "family", "blocks")
-    links = components(confirmed(family_sets(docs, written(members, "members")), percent))
-    joined = nodes.select("node", "first_id").join(links, "node")
-    least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_node = nodes.select("node", "first_id").join(joined.select("node", "label").join(least, "label").select("node", "component_id"), "node", "left")
-    of_node = of_node.select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    return signed.join(of_node, "node", "left").select(
+    about = written(nodes.select("node", "doc_key", "size").join(family, "node").withColumnRenamed("label", "family"), "family-members")
+    load = about.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / elements), F.ceil(F.count(F.lit(1)) / 1024)).cast("long").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    members = join_by_size(about, load, ["family"], "n").select("node", "doc_key", "family", "blocks")
+    links = components(confirmed(written(family_sets(docs, written(members, "members")), "family-sets"), percent))
+    joined = written(nodes.select("node", "first_id").join(links, "node"), "linked-nodes")
+    least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_label = join_by_size(joined.select("node", "label"), least, ["label"], "n").select("node", "component_id")
+    of_node = nodes.select("node", "first_id", "copies").join(of_label, "node", "left")
+    of_node = written(of_node.select("node", "copies", F.coalesce("component_id", "first_id").alias("component_id")), "node-components")
+    rows = signed.select("doc_id", "n_shingles", "node")
+    some = join_by_size(rows.filter(F.col("node").isNotNull()), of_node, ["node"], "copies")
+    none = rows.filter(F.col("node").isNull()).withColumn("component_id", F.col("doc_id"))
+    return some.select("doc_id", "n_shingles", "component_id").unionByName(none.select("doc_id", "n_shingles", "component_id")).select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "component_id",
         F.when(F.col("n_shingles") > 0, F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(True).alias("kept"),
     )

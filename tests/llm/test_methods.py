@@ -221,6 +221,39 @@ def test_group_of_near_copies_with_small_blocks(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_large_families_that_fall_apart(spark):
+    """Two chains and loose members that look alike by signature, over many small blocks: leftovers meet all members."""
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+    texts = []
+    for chain in range(3):
+        words = [f"c{chain}x{j}" if j % 5 == chain else w for j, w in enumerate(base)]
+        for k in range(25):
+            words = list(words)
+            words[rng.randrange(100)] = f"y{chain}k{k}"
+            texts.append(" ".join(words))
+    sets = _sets(texts)
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2):
+        both = len(a & b)
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            p, q = sorted((find(i), find(j)))
+            root[q] = p
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = near_dedup.signatures(df, near_dedup.scheme_for(85))
+    nodes = signed.select("node", F.lit("one").alias("family"), F.lit(9).cast("long").alias("blocks")).join(df.join(signed, "doc_id").select("node", "doc_id"), "node")
+    sets_of = {r.node: r.doc_id for r in nodes.collect()}
+    rows = [("one", 9, n, near_dedup.shingles(texts[i]).view(np.int64).tolist()) for n, i in sets_of.items()]
+    edges = near_dedup.confirmed(spark.createDataFrame(rows, "family string, blocks long, node binary, shingles array<long>"), 85).collect()
+    own = list(range(len(texts)))
+    top = lambda x: x if own[x] == x else top(own[x])
+    for e in edges:
+        p, q = sorted((top(sets_of[e.a]), top(sets_of[e.b])))
+        own[q] = p
+    assert [top(i) for i in range(len(texts))] == [find(i) for i in range(len(texts))] and len({find(i) for i in range(len(texts))}) > 2
+
+
 def test_pairs_at_the_threshold_share_a_band():
     scheme = near_dedup.scheme_for(80)
     for k in range(12_000):
