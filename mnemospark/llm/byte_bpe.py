@@ -8,8 +8,9 @@ and functions compose associatively: the array is cut into blocks, the blocks' f
 a logarithmic scan over the blocks gives the state that enters each, and one more pass yields the boundaries.
 
 The slices between boundaries go through a cache to pair merging, which runs over all words of a batch that the
-cache lacks at once: rows of part ids, in each step the adjacent pair of lowest rank of every row is merged. Token
-counts of the slices are kept, so decoding maps ids back to bytes and to the documents they came from.
+cache lacks at once: rows of part ids, in each step the adjacent pair of lowest rank of every row is merged. Where each slice
+begins in its text, and how many tokens it has, is kept (``offsets``): with it a span of a text is decoded from the tokens
+of the slices that it touches, and nothing else. A batch is decoded as one run of ids, cut by byte offsets.
 
 Defined results: null and empty text gives no ids, so 0 tokens and the digest of nothing. Further columns are
 ignored; rows that share a doc_id each give a row; an empty table gives an empty result.
@@ -246,6 +247,10 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
+        return [ids for ids, _, _ in self.encode_slices_of(texts)]
+
+    def encode_slices_of(self, texts: list[str], offsets: bool = False):
+        """(ids, starts, counts) of each text; with offsets, where each slice begins (code points) and its tokens."""
         joined = "\0".join(texts) + "\0"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
         gaps = np.cumsum([len(t) + 1 for t in texts]) - 1
@@ -253,18 +258,34 @@ class Vocabulary:
         first_gap = np.searchsorted(starts, gaps)  # each gap is a start, so that texts end there
         at = starts.tolist()
         slices = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)], strict=True)]
-        out, begin = [], 0
+        out, begin, base = [], 0, 0
         for g in first_gap.tolist():
             slices[g] = ""
         ids = self.encode_slices(slices)
-        for g in first_gap.tolist():
-            out.append(list(chain.from_iterable(ids[begin:g])))
-            begin = g + 1
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) if offsets else None
+        for g, t in zip(first_gap.tolist(), texts, strict=True):
+            flat = list(chain.from_iterable(ids[begin:g]))
+            out.append((flat, starts[begin:g] - base, counts[begin:g]) if offsets else (flat, None, None))
+            begin, base = g + 1, base + len(t) + 1
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def decode_batch(self, rows: list[list[int]]) -> list[bytes]:
+        """The bytes of each row: all ids are mapped at once, and the rows are cut by their byte offsets."""
+        flat = list(chain.from_iterable(rows))
+        sizes = np.cumsum([0, *map(len, map(self.bytes.__getitem__, flat))])
+        data, ends = self.decode(flat), sizes[np.cumsum([0, *map(len, rows)])].tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def decode_span(self, ids: list[int], starts, counts, begin: int, end: int) -> bytes:
+        """The bytes of the slices that touch code points begin to end, from their tokens alone."""
+        a = max(0, int(np.searchsorted(starts, begin, "right")) - 1)
+        b = int(np.searchsorted(starts, end, "left"))
+        token = np.cumsum([0, *counts])
+        return self.decode(ids[token[a] : token[max(a, b)]])
+
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -284,15 +305,16 @@ def _vocabulary(path: str) -> Vocabulary:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids: the token ids of every text."""
+    """doc_id, ids, starts, counts: the token ids of every text, where its slices begin and how many tokens each has."""
 
     def run(batches):
         vocab = _vocabulary(path)
         for b in batches:
-            ids = [x for part in text_groups((t.as_py() for t in b.column(1)), BATCH_CHARS) for x in vocab.encode_batch(part)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            rows = [x for part in text_groups((t.as_py() for t in b.column(1)), BATCH_CHARS) for x in vocab.encode_slices_of(part, offsets=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), pa.list_(pa.int32())) for c in cols]], names=["doc_id", "ids", "starts", "counts"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, counts array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -301,7 +323,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         vocab = _vocabulary(path)
         for b in batches:
-            data = [vocab.decode(x or []) for x in b.column(1).to_pylist()]
+            data = vocab.decode_batch([x or [] for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["doc_id", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
@@ -316,10 +338,11 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for part in text_groups((t.as_py() for t in b.column(1)), BATCH_CHARS):
-                for ids in vocab.encode_batch(part):
+                rows = vocab.encode_batch(part)
+                for ids, data in zip(rows, vocab.decode_batch(rows), strict=True):
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
+                    text_sha.append(hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts_of(docs).mapInArrow(run, DIGESTS)

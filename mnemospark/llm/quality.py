@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, bound: int = 20_000,
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) / 1_000_003
     chosen = known.filter(draw < bound / max(1, n))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about bound rows of two numbers
 
     def run(batches):
         for b in batches:

@@ -49,9 +49,36 @@ def test_transition_scan_equals_one_step_at_a_time():
     assert byte_bpe.token_starts(sym).tolist() == out
 
 
-def test_op5_round_trip(spark, sf, docs):
+def _tiktoken():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_op5_equals_library_on_the_table(spark, sf, docs):
+    lib = _tiktoken()
     got = {r.doc_id: r for r in QUERIES["op5_byte_bpe"](spark, sf).collect()}
-    assert all(got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in zip(docs.doc_id, docs.text, strict=True))
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        ids = lib.encode_ordinary(t or "")
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_spans_decode_from_their_slices_alone(spark):
+    texts = ["Hello  world, it's 42 Ünïts of 漢字!\n\n end ", "", "x" * 90, " a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocab = byte_bpe.vocabulary(P.path("byte_bpe_50k.tiktoken"))
+    encoded = byte_bpe.encode(df, P.path("byte_bpe_50k.tiktoken"))
+    for r in encoded.collect():
+        t = texts[r.doc_id]
+        assert sum(r.counts) == len(r.ids) and list(r.starts) == sorted(r.starts)
+        ends = [*r.starts[1:], len(t)]
+        for begin in range(len(t)):
+            end = min(len(t), begin + 7)
+            touched = [(a, z) for a, z in zip(r.starts, ends, strict=True) if a < end and z > begin]
+            assert vocab.decode_span(r.ids, r.starts, r.counts, begin, end) == t[touched[0][0] : touched[-1][1]].encode()
+    assert {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(encoded, P.path("byte_bpe_50k.tiktoken")).collect()} == {k: t.encode() for k, t in enumerate(texts)}
 
 
 def _library_ids(name, texts, special=False):
@@ -384,6 +411,20 @@ def test_op1_held_out(spark, sf):
     assert np.mean([r.predicted == label[r.doc_id] for r in got]) > 0.85
 
 
+def test_op1_equals_a_plain_scorer(spark, sf, docs):
+    """Every score as an intercept and one table entry for each feature and pair, found by counting edges."""
+    table, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(table, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    got = {r.doc_id: r for r in QUERIES["op1_quality_classifier"](spark, sf).collect()}
+    place = lambda edges, v: sum(1 for e in edges if e <= v)
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        x = quality.features(t or "")
+        z = model.intercept + sum(t_[place(e, v)] for t_, e, v in zip(model.tables, model.edges, x, strict=True))
+        for (a, b), t_ in zip(model.pairs, model.pair_tables, strict=True):
+            z += t_[place(model.wide[a], x[a]) * (len(model.wide[b]) + 1) + place(model.wide[b], x[b])]
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-z)), rel_tol=1e-9) and got[i].predicted == (got[i].score >= 0.7)
+
+
 def test_additive_model_finds_a_pair_effect():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 4))
@@ -544,6 +585,15 @@ def test_op8_edits_and_neighbours(spark, sf, docs):
         if len(x.split()) > 100:
             near.append(got[i].near_edited)
     assert 0.5 < np.mean(near) < 0.7
+    # likenesses and fingerprints from the plain sets of places and hashes
+    edited = [x[: len(x) - len(x) // 4] + t[(k + 1) % len(t)][: len(x) // 4] for k, x in enumerate(t)]
+    of = lambda texts: [{h.hash for h in r.s} for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", syncmers.syncmers(F.col("t")).alias("s")).orderBy("k").collect()]
+    share = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    own, other = of(t), of(edited)
+    shown = lambda s: "".join(f"{h:08x}" for h in sorted({h & 0xFFFFFFFF for h in s})[: syncmers.SIZE])
+    for k, i in enumerate(docs.doc_id):
+        assert got[i].near_edited == share(own[k], other[k]) and got[i].near_next == share(own[k], own[(k + 1) % len(t)])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(own[k]), shown(other[k]))
     same = collections.defaultdict(set)
     for i, x in zip(docs.doc_id, t, strict=True):
         same[x].add(got[i].fingerprint)
