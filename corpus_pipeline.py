@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemospark.llm import stages
-from mnemospark.llm.common import table, written
+from mnemospark.llm.common import table
 from mnemospark.llm.packing import best_fit_packing
+from mnemospark.session import finished, mark
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,5 +41,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = mark()
+        docs = finished(stage(spark, docs, sf_dir), f"pipeline-{name}", before)  # a stage's own tables go with it
     return docs
