@@ -43,6 +43,17 @@ class HashEmbedder:
         return np.divide(out, size, out=out, where=size > 0)
 
 
+class LetterEmbedder:
+    """How often each of some letters occurs, whatever its case: a vector that SQL can make as well."""
+
+    def __init__(self, letters: str = "abcdefghilmnorst"):
+        self.letters, self.dimension = letters, len(letters)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        low = [(t or "").lower() for t in texts]
+        return np.array([[t.count(c) for c in self.letters] for t in low], np.float64).reshape(len(texts), self.dimension)
+
+
 class ScriptedGenerator:
     """Answers by rules (pattern, reply); the reply may use the match's groups. Others get a fixed answer."""
 

@@ -39,24 +39,33 @@ def band_hashes(docs: DataFrame, permutations: int = PERMUTATIONS, threshold: fl
     a = rng.randint(1, MERSENNE, permutations, dtype=np.uint64)
     b = rng.randint(0, MERSENNE, permutations, dtype=np.uint64)
 
+    prime = np.uint64(MERSENNE)
+
+    def least(h: np.ndarray) -> np.ndarray:
+        """The least permuted hash of each permutation; the remainder by the Mersenne prime is a shift and an addition."""
+        low = np.full(permutations, LOW32, np.uint64)
+        for at in range(0, len(h), 1024):
+            x = h[at : at + 1024, None] * a + b
+            x = (x & prime) + (x >> np.uint64(61))
+            np.subtract(x, prime, out=x, where=x >= prime)
+            np.minimum(low, (x & np.uint64(LOW32)).min(axis=0), out=low)
+        return low
+
     def run(batches):
         for batch in batches:
-            ids, band, keys = [], [], []
+            ids, keys = [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = _SPLIT.split(text.as_py() or "")
                 if len(words) < ngram:
                     continue  # short texts would all look alike; equal ones are found by content keys
-                grams = {" ".join(words[i : i + ngram]) for i in range(len(words) - ngram + 1)}
-                h = np.array([int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in grams], np.uint64)
-                low = np.full(permutations, LOW32, np.uint64)
-                for at in range(0, len(h), 1024):
-                    x = (h[at : at + 1024, None] * a + b) % np.uint64(MERSENNE) & np.uint64(LOW32)
-                    np.minimum(low, x.min(axis=0), out=low)
-                for j in range(bands):
-                    ids.append(k), band.append(j), keys.append(hashlib.md5(low[j * rows : (j + 1) * rows].tobytes()).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(keys, pa.binary())], names=["id", "band", "key"])
-
-    return docs.select("id", "content").mapInArrow(run, "id long, band int, key binary")
+                grams = {" ".join(g) for g in zip(*(words[i:] for i in range(ngram)), strict=False)}
+                h = np.frombuffer(b"".join(hashlib.sha1(g.encode()).digest()[:4] for g in grams), "<u4").astype(np.uint64)
+                low = least(h)
+                ids.append(k)
+                keys.append([hashlib.md5(low[j : j + rows].tobytes()).digest() for j in range(0, bands * rows, rows)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.binary()))], names=["id", "keys"])
+
+    return docs.select("id", "content").mapInArrow(run, "id long, keys array<binary>").select("id", F.posexplode("keys").alias("band", "key"))
 
 
 def least_labels(edges: DataFrame, most: int = 50) -> DataFrame:

@@ -26,11 +26,14 @@ def round_robin(df: DataFrame, source: str, order: list[str], stop: str = "all_e
     return (out.filter(F.col("turn") < F.col("_least")) if stop == "first_exhausted" else out).drop("_least")
 
 
-def weighted_interleave(df: DataFrame, source: str, order: list[str], weights: dict[str, float]) -> DataFrame:
-    """Adds position_key: a source of weight w has rows at (turn + 1) / w, so a sort by it mixes by weight."""
+def weighted_interleave(df: DataFrame, source: str, order: list[str], weights: dict[str, float], default: float = 1.0) -> DataFrame:
+    """Adds position_key: a source of weight w has rows at (turn + 1) / w, so a sort by it mixes by weight.
+
+    Sources without a weight, null among them, have the default one.
+    """
     w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
     turn = F.row_number().over(Window.partitionBy(source).orderBy(*order))
-    return df.withColumn("position_key", turn / F.element_at(w, F.col(source))).filter(F.col("position_key").isNotNull())
+    return df.withColumn("position_key", turn / F.coalesce(F.try_element_at(w, F.col(source)), F.lit(default)))
 
 
 def capped_by_cluster(df: DataFrame, cluster: str, key: str, cap: int, total: int, seed: int = 0) -> DataFrame:

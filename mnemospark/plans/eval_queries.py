@@ -241,13 +241,17 @@ def qrels_max_positive(spark, sf_dir):
     return metrics.max_positive(q)
 
 
-@query("vector_topk_cosine", f"WITH e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), q AS (SELECT v FROM e WHERE vec_id = (SELECT min(vec_id) FROM e)) SELECT vec_id, label, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e, q ORDER BY score DESC, vec_id LIMIT 10")
+@query("vector_topk_cosine", f"WITH {_RANKED} SELECT query_id, doc_id AS vec_id, label, score FROM ranked JOIN embeddings ON vec_id = doc_id WHERE rank <= 10")
 def vector_topk_cosine(spark, sf_dir):
+    """The ten vectors most like each asked one, and the same for the first of them by the search for one vector."""
     from mnemospark.operators.similarity import top_k
 
     e = table(spark, sf_dir, "embeddings")
-    first = e.select("embedding", "vec_id").orderBy("vec_id").first()
-    return top_k(e, list(first.embedding), 10).select("vec_id", "label", "score")
+    near = _ranked(spark, sf_dir, 10)[0].join(e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    found = near.select("query_id", F.col("doc_id").alias("vec_id"), "label", "score")
+    first = e.filter("vec_id % 20 = 0").select("embedding", "vec_id").orderBy("vec_id").first()
+    one = top_k(e.filter(F.col("vec_id") != first.vec_id), list(first.embedding), 10).select(F.lit(first.vec_id).alias("query_id"), "vec_id", "label", "score")
+    return found.filter(F.col("query_id") != first.vec_id).unionByName(one)
 
 
 @query("vector_minmax_dense", f"WITH {_RANKED} SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 5) ELSE 1 END AS norm FROM (SELECT * FROM ranked WHERE rank <= 50) WINDOW w AS (PARTITION BY query_id)")

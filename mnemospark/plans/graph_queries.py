@@ -133,9 +133,9 @@ def round_robin_interleave(spark, sf_dir):
     return mixing.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"])
 
 
-@query("weighted_interleave", "SELECT doc_id, round(row_number() OVER (PARTITION BY lang ORDER BY doc_id) / CASE lang WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 ELSE 1.0 END, 6)::DOUBLE AS position_key FROM documents WHERE lang IN ('en', 'de', 'fr')")
+@query("weighted_interleave", "SELECT doc_id, round(row_number() OVER (PARTITION BY lang ORDER BY doc_id) / CASE lang WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 ELSE 1.0 END, 6)::DOUBLE AS position_key FROM documents")
 def weighted_interleave(spark, sf_dir):
-    x = mixing.weighted_interleave(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"], {"en": 4, "de": 2, "fr": 1})
+    x = mixing.weighted_interleave(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"], {"en": 4, "de": 2})
     return x.select("doc_id", F.round("position_key", 6).alias("position_key"))
 
 
@@ -176,33 +176,54 @@ def minhash_clusters(spark, sf_dir):
     return clusters(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 
 
-@query("consolidation_fold")
+def _fold_sql(slices: int) -> str:
+    """The fold step by step: the least known id with a new fact's object goes, and its evidence moves on."""
+    out = ["c AS (SELECT c_nationkey % 5 AS ts, c_custkey AS triple_id, lower(c_name) AS s, c_mktsegment AS o, ['c' || c_custkey] AS evidence FROM customer)", "k0 AS (SELECT triple_id, s, o, evidence FROM c WHERE ts = 0)"]
+    for k in range(1, slices):
+        out.append(f"g{k} AS (SELECT k{k - 1}.* FROM k{k - 1} JOIN (SELECT o, min(triple_id) AS triple_id FROM k{k - 1} GROUP BY o) USING (o, triple_id) WHERE o IN (SELECT o FROM c WHERE ts = {k}))")
+        out.append(f"k{k} AS (SELECT * FROM k{k - 1} WHERE triple_id NOT IN (SELECT triple_id FROM g{k}) UNION ALL SELECT c.triple_id, c.s, c.o, c.evidence || coalesce(list_sort(g.evidence), []) FROM c LEFT JOIN g{k} g ON c.o = g.o WHERE c.ts = {k})")
+    each = " UNION ALL ".join(f"SELECT {k}::BIGINT AS snapshot_ts, triple_id, s, 'buys as' AS p, o, array_to_string(evidence, ',') AS evidence FROM k{k}" for k in range(slices))
+    return f"WITH {', '.join(out)} {each}"
+
+
+@query("consolidation_fold", _fold_sql(5))
 def consolidation_fold(spark, sf_dir):
-    """Nations' facts by region as slices; a new fact replaces the most alike known one."""
-    from mnemospark.functions.providers import HashEmbedder, embed_column
+    """Customers' facts in five slices; a new fact replaces the first known one about the same market segment."""
     from mnemospark.operators.consolidation import fold
 
-    n = table(spark, sf_dir, "nation")
-    slices = n.select(F.col("n_regionkey").cast("long").alias("snapshot_ts"), F.col("n_nationkey").cast("long").alias("triple_id"), F.lower("n_name").alias("s"), F.lit("is part of").alias("p"), F.lit("the world").alias("o"), F.array(F.concat_ws("_", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"))).alias("evidence"))
-    embed = lambda df: embed_column(df.withColumn("t", F.concat_ws(" ", "s", "p", "o")), "id", "t", HashEmbedder())
+    c = table(spark, sf_dir, "customer")
+    slices = c.select((F.col("c_nationkey") % 5).cast("long").alias("snapshot_ts"), F.col("c_custkey").cast("long").alias("triple_id"), F.lower("c_name").alias("s"), F.lit("buys as").alias("p"), F.col("c_mktsegment").alias("o"), F.array(F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("evidence"))
+    segments = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # five of them
+    embed = lambda df: df.select("id", F.array(*[F.when(F.col("o") == x, 1.0).otherwise(0.0) for x in segments]).alias("vector"))
     decide = lambda df: df.select("triple_id", "s", "p", "o", F.array(F.get("related", F.lit(0))["triple_id"]).alias("removed"))
     return fold(slices, embed, decide).select("snapshot_ts", "triple_id", "s", "p", "o", F.array_join("evidence", ",").alias("evidence"))
 
 
-@query("agent_rounds")
+_LETTERS = lambda t: "[" + ", ".join(f"(length(lower({t})) - length(replace(lower({t}), '{c}', '')))::DOUBLE" for c in "abcdefghilmnorst") + "]"
+
+
+@query(
+    "agent_rounds",
+    f"""WITH q AS (SELECT item_id AS question_id, 300 + item_id * 10 AS as_of, {_LETTERS("split_part(text, chr(10), 1)")} AS v FROM benchmark),
+    d AS (SELECT doc_id, coalesce(text, '') AS content, doc_id % 3 AS m, {_LETTERS("coalesce(text, '')")} AS v FROM documents),
+    x AS (SELECT question_id, doc_id, m, content, CASE WHEN list_sum(q.v) = 0 OR list_sum(d.v) = 0 THEN 0 ELSE round(list_cosine_similarity(q.v, d.v), 6) END AS score FROM q JOIN d ON doc_id <= as_of),
+    r AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY question_id, m ORDER BY score DESC, doc_id) <= CASE m WHEN 1 THEN 10 ELSE 3 END)
+    SELECT question_id, 3 AS num_rounds, count(*) AS n_items, sha256(string_agg(content, chr(10) || chr(10) ORDER BY m, score DESC, doc_id)) AS context_sha FROM r GROUP BY question_id""",
+)
 def agent_rounds(spark, sf_dir):
-    """Benchmark passages as questions, answered in rounds over three memories by the scripted provider."""
-    from mnemospark.functions.providers import AgentGenerator, HashEmbedder, embed_column
+    """Benchmark passages (their first lines) as questions of different times, answered in rounds over three memories by the scripted provider."""
+    from mnemospark.functions.providers import AgentGenerator, LetterEmbedder, embed_column
     from mnemospark.plans.agent import Memories, answer
 
-    emb = HashEmbedder()
+    emb = LetterEmbedder()
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("doc_id").alias("ts"))
     with_vec = lambda df: df.join(embed_column(df, "item_id", "content", emb), "item_id")
     m = Memories()
     for k, name in enumerate(("episodic", "semantic", "visual")):
         m.register(name, with_vec(docs.filter(F.col("item_id") % 3 == k)))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit(1 << 40).alias("as_of_ts"))
-    return answer(q, m, emb, AgentGenerator()).select("question_id", "num_rounds", F.size("retrieved").alias("n_items"), F.sha2(F.col("context").cast("binary"), 256).alias("context_sha"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), (300 + F.col("item_id") * 10).alias("as_of_ts"))
+    found = answer(q, m, emb, AgentGenerator())
+    return found.select("question_id", "num_rounds", F.size("retrieved").cast("long").alias("n_items"), F.sha2(F.col("context").cast("binary"), 256).alias("context_sha"))
 
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

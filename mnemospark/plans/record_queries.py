@@ -145,11 +145,21 @@ def consolidation_reduction(spark, sf_dir):
     return records.reduction(f, f.select("s", "o").distinct())
 
 
-@query("dense_retrieval")
+_LETTERS = lambda t: "[" + ", ".join(f"(length(lower({t})) - length(replace(lower({t}), '{c}', '')))::DOUBLE" for c in "abcdefghilmnorst") + "]"
+
+
+@query(
+    "dense_retrieval",
+    f"""WITH q AS (SELECT item_id AS query_id, {_LETTERS("coalesce(text, '')")} AS v FROM benchmark), p AS (SELECT doc_id AS key_id, {_LETTERS("coalesce(text, '')")} AS v FROM documents),
+    x AS (SELECT query_id, key_id, CASE WHEN list_sum(q.v) = 0 OR list_sum(p.v) = 0 THEN 0 ELSE round(list_cosine_similarity(q.v, p.v), 6) END AS score FROM q, p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS rank FROM x QUALIFY rank <= 5)
+    SELECT query_id, key_id, rank, score, CASE WHEN max(score) OVER w > min(score) OVER w THEN round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 4) ELSE 1 END AS norm FROM r WINDOW w AS (PARTITION BY query_id)""",
+)
 def dense_retrieval(spark, sf_dir):
-    from mnemospark.functions.providers import HashEmbedder
+    from mnemospark.functions.providers import LetterEmbedder
     from mnemospark.plans.extraction import dense_retrieve
 
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.coalesce("text", F.lit("")).alias("content"))
-    return dense_retrieve(q, p, HashEmbedder(), 5).select("query_id", "key_id", "rank", "score", F.round("norm", 6).alias("norm"))
+    found = dense_retrieve(q, p, LetterEmbedder(), 5)
+    return found.select("query_id", "key_id", F.col("rank").cast("long").alias("rank"), "score", F.round("norm", 4).alias("norm"))
