@@ -32,12 +32,16 @@ def band_shape(threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, s
     return best[1], best[2]
 
 
+def permutation_numbers(permutations: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of the permutations."""
+    rng = np.random.RandomState(SEED)
+    return rng.randint(1, MERSENNE, permutations, dtype=np.uint64), rng.randint(0, MERSENNE, permutations, dtype=np.uint64)
+
+
 def band_hashes(docs: DataFrame, permutations: int = PERMUTATIONS, threshold: float = THRESHOLD, ngram: int = NGRAM) -> DataFrame:
     """(id, band, key) of documents (id, content) with at least ngram tokens."""
     bands, rows = band_shape(threshold, permutations)
-    rng = np.random.RandomState(SEED)
-    a = rng.randint(1, MERSENNE, permutations, dtype=np.uint64)
-    b = rng.randint(0, MERSENNE, permutations, dtype=np.uint64)
+    a, b = permutation_numbers(permutations)
 
     prime = np.uint64(MERSENNE)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as tx
-from mnemospark.operators import gates, graph, mixing, store
+from mnemospark.operators import gates, graph, lsh, mixing, store
 from mnemospark.plans.registry import query
 from mnemospark.plans.tables import EVENTS_SQL, FACTS_SQL, clock_events, star_facts, table
 
@@ -169,11 +169,28 @@ def semantic_snapshots(spark, sf_dir):
     return snapshot_triples(raw).select("snapshot_ts", "id", "subject", "predicate", "object")
 
 
-@query("minhash_clusters")
+def _minhash_sql() -> str:
+    """Signatures by wide integers, buckets by the minima themselves, clusters by reachability."""
+    a, b = lsh.permutation_numbers()
+    bands, rows = lsh.band_shape()
+    listed = lambda x: "[" + ", ".join(map(str, x.tolist())) + "]"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[^A-Za-z_0-9]') AS t FROM documents),
+    g AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS gram FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM w WHERE len(t) >= 5)),
+    s AS (SELECT doc_id, sha1(gram) AS x FROM g),
+    h AS (SELECT doc_id, ('0x' || x[7:8] || x[5:6] || x[3:4] || x[1:2])::BIGINT::HUGEINT AS h FROM s),
+    p AS (SELECT unnest(range({bands * rows})) AS k, unnest({listed(a[: bands * rows])}::HUGEINT[]) AS a, unnest({listed(b[: bands * rows])}::HUGEINT[]) AS b),
+    m AS (SELECT doc_id, k, min(((h * a + b) % 18446744073709551616::HUGEINT % {lsh.MERSENNE})::UBIGINT & {lsh.LOW32}::UBIGINT) AS low FROM h, p GROUP BY ALL),
+    bucket AS (SELECT doc_id, k // {rows} AS band, list(low ORDER BY k) AS key FROM m GROUP BY ALL),
+    e AS (SELECT DISTINCT doc_id AS a, min(doc_id) OVER (PARTITION BY band, key) AS b FROM bucket),
+    both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+    least AS (SELECT a, min(b) AS cluster FROM reach GROUP BY a)
+    SELECT d.doc_id AS id, coalesce(cluster, d.doc_id) AS cluster, coalesce(cluster, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN least ON a = d.doc_id"""
+
+
+@query("minhash_clusters", _minhash_sql())
 def minhash_clusters(spark, sf_dir):
-    from mnemospark.operators.lsh import clusters
-
-    return clusters(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    return lsh.clusters(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 
 
 def _fold_sql(slices: int) -> str:
