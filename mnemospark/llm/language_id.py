@@ -276,7 +276,7 @@ def fit(docs: DataFrame, train: Column, path: str, sample: int = 1500, rounds: i
         .count()
     )
 
-    def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces_of(path)
         totals: dict[str, float] = {}
         for w, c in zip(pdf["word"], pdf["count"], strict=True):

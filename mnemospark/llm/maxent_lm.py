@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import hold, text_of, written
 
-CACHE_BOUND = 500_000
-GROUP_TOKENS, POSITIONS = 500_000, 250_000
+CACHE_BOUND = 300_000
+GROUP_TOKENS, POSITIONS = 250_000, 250_000
 SUFFIXES = 4096
 GROUPS, PER_GROUP = 8, 16
 CLASSES = GROUPS * PER_GROUP  # class c is in group c % GROUPS, so the most frequent tokens lie in different groups

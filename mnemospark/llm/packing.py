@@ -19,6 +19,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,7 +182,7 @@ def _islands(pieces: DataFrame, shards: int, capacity: int, islands: int, epochs
         return pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
 
     def epoch(number: int):
-        def run(key, pdf):
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             shard, island = int(key[0]), int(key[1])
             pdf = ordered(pdf)
             elite = None if pdf["bin"].isna().any() else pdf["bin"].astype(int).tolist()
@@ -201,7 +202,7 @@ def _islands(pieces: DataFrame, shards: int, capacity: int, islands: int, epochs
     best = level.groupBy("shard").agg(F.min_by("island", F.struct("bins", -F.col("fitness"), "island")).alias("island"))
     chosen = level.join(best, ["shard", "island"])
 
-    def place(key, pdf):
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = ordered(pdf)
         pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
         pdf["sequence_id"] = (round_no << 56) + (int(key[0]) << 24) + pdf["bin"].astype("int64")

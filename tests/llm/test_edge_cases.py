@@ -114,3 +114,68 @@ def test_pages(spark):
     assert text[None] == "plain text\nsecond" and text[5] == "kept"
     assert all(r.n_chars == len(r.text) for r in got)
     assert extract(df.limit(0)).collect() == []
+
+
+def test_very_long_text_without_white_space(spark):
+    """A run of 60 000 letters, one of odd characters, and a long number, beside a plain text."""
+    import random
+
+    import numpy as np
+    import zlib
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(60_000)), "漢字%s" % ("ö" * 20_000), "7" * 30_000, "just some plain words that stand here"]
+    d = frame(spark, [(k, t, "en") for k, t in enumerate(texts)])
+    made = operators(spark)
+    assert {r.lang_pred for r in made["language"](d).collect()} <= {"en", "und"}
+    assert {r.doc_id: r.n_shingles for r in made["near"](d).collect()} == {0: 1, 1: 1, 2: 1, 3: 3}
+    ids = {}
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        lib = Tokenizer.from_file(P.path(name))
+        ids[name] = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    got = {r.doc_id: r for r in made["tokens"](d).collect()}
+    assert all(got[k].ids_crc32 == crc([*x, 2]) for k, x in enumerate(ids["byte_bpe_50k.json"]))
+    pieces = {}
+    for r in made["packing"](d).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for k, x in enumerate(ids["word_bpe_49k.json"]):
+        x = [*x, 1]
+        assert sorted(pieces[k]) == [(a, len(x[a : a + 4096]), crc(x[a : a + 4096])) for a in range(0, len(x), 4096)]
+    bpe = {r.doc_id: r for r in made["bpe"](d).collect()}
+    assert all(bpe[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(texts))
+    assert {r.doc_id: r.n_tokens for r in made["lm"](d).collect()} == {0: 2, 1: 2, 2: 2, 3: 8}
+    prints = {r.doc_id: r for r in made["syncmers"](d).collect()}
+    assert all(prints[k].n_chars == len(t) and prints[k].fingerprint for k, t in enumerate(texts))
+
+
+def test_ties_and_repeated_labels(spark):
+    """Equal evidence: the language that sorts first; a text whose labels disagree scores one half or near it."""
+    rows = [(k, "mama papa mama", lang) for k, lang in enumerate(["zz", "aa", "zz", "aa"])]
+    model = language_id.fit(frame(spark, rows), F.lit(True), P.path("piece_bpe_32k.model"), rounds=2)
+    got = language_id.predict(frame(spark, rows), model).collect()
+    assert {r.lang_pred for r in got} == {"aa"} and all(abs(r.score - 0.5) < 1e-9 for r in got)
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, 0)], "doc_id long, quality int")
+    fitted = quality.fit(frame(spark, rows), labels, F.lit(True), rounds=5, pair_rounds=2)
+    assert all(abs(r.score - 0.5) < 1e-6 for r in quality.score(frame(spark, rows), fitted).collect())
+
+
+def test_filters_on_empty_tables_with_clashing_names(spark):
+    from mnemospark.llm import stages
+
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for rows in ([], ROWS):
+        d = frame(spark, rows)
+        known = stages.keep_known_language(d, P.path("piece_bpe_32k.model"))
+        good = stages.keep_good_quality(d, labels)
+        assert known.schema == good.schema == d.schema
+        assert known.count() <= len(rows) and good.count() <= len(rows)
+        assert not known.filter(F.coalesce("text", F.lit("")) == "").collect()
+
+
+def test_html_over_many_chunks_is_one_host(spark):
+    rows = [(k, "http://a.x/", f"<div class='promo'>take {k % 3} of our offers now</div><article><p>own {k} {'word ' * 50}</p></article>") for k in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, extract(df).collect()))
+    assert sorted(map(tuple, extract(df, chunk_bytes=1).collect())) == whole and not any("offers" in r[2] for r in whole)
