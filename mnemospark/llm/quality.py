@@ -26,8 +26,8 @@ from mnemospark.llm.common import hold, text_of, texts_of
 
 FEATURES = [
     "log_chars", "log_words", "mean_word", "long_words", "upper", "digit", "punct", "symbol", "space", "non_ascii",
-    "distinct_words", "top_word", "symbol_words", "bang_words", "bar_words", "line_chars", "line_repeats", "end_marks",
-    "word_end_symbols", "upper_words", "comma_rate", "stop_rate", "short_lines", "longest_word", "pair_repeats",
+    "distinct_words", "top_word", "symbol_words", "line_chars", "line_repeats", "end_marks",
+    "upper_words", "comma_rate", "stop_rate", "short_lines", "longest_word", "pair_repeats",
 ]
 
 _UPPER = np.zeros(256, bool)
@@ -62,9 +62,9 @@ def features(text: str) -> list[float]:
     return [
         np.log1p(chars), np.log1p(len(words)), sum(map(len, words)) / n, share(lambda w: len(w) > 12),
         rate(_UPPER), rate(_DIGIT), rate(_PUNCT), rate(_SYMBOL), rate(_SPACE), rate(_HIGH),
-        len(counts) / n, top, share(lambda w: not w[0].isalnum() and not w[-1].isalnum()), share(lambda w: w[-1] == "!"), share(lambda w: w == "|"),
+        len(counts) / n, top, share(lambda w: not w[0].isalnum() and not w[-1].isalnum()),
         np.log1p(chars / m), 1 - len(set(lines)) / m, sum(x[-1] in ".!?" for x in lines) / m,
-        share(lambda w: w[-1] in "#$%&*|"), share(str.isupper), hist[44] / n, sum(c for w, c in many if len(w) <= 3) / n,
+        share(str.isupper), hist[44] / n, sum(c for w, c in many if len(w) <= 3) / n,
         sum(len(x) < 30 for x in lines) / m, float(min(64, max(map(len, words), default=0))), 1 - pairs / max(1, len(words) - 1) if len(words) > 1 else 0.0,
     ]
 
