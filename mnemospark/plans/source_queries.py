@@ -166,17 +166,54 @@ def concatenated_datasets(spark, sf_dir):
     return mixing.concatenate({"docs": d, "bench": b}).select("subset", "doc_id", "has_text", "item_id")
 
 
-@query("dataset_parsers", "SELECT doc_id::VARCHAR AS label_name, 'Find the video for this caption. ' || source AS query_text, 'msvd' AS name FROM documents UNION ALL SELECT doc_id::VARCHAR, 'Answer the question about the video. ' || source, 'mvbench' FROM documents UNION ALL SELECT lang, source, 'mteb_cluster' FROM documents WHERE lang IS NOT NULL")
+_ASK = "'" + parsers.ANSWER_PROMPT + " '"
+
+
+@query(
+    "dataset_parsers",
+    f"""WITH d AS (SELECT doc_id, source, coalesce(lang, 'xx') AS lang FROM documents),
+    x AS (SELECT 'msvd' AS name, 'Find the video snippet that corresponds to the given summary: ' || source AS query_text, doc_id::VARCHAR AS label_name, 1 AS n, doc_id::VARCHAR AS first_text, NULL AS query_media FROM d
+    UNION ALL SELECT 'mvbench', {_ASK} || source || chr(10) || 'Options:' || chr(10) || '(A) ' || lang || chr(10) || '(B) none', '(B) none', 2, '(A) ' || lang, 's/' || doc_id FROM d
+    UNION ALL SELECT 'nextqa', {_ASK} || source || chr(10) || 'Options:' || chr(10) || '(A) a' || chr(10) || '(B) b' || chr(10) || '(C) ' || lang || chr(10) || '(D) d' || chr(10) || '(E) e', lang, 5, 'a', doc_id || '.mp4' FROM d
+    UNION ALL SELECT 'videomme', {_ASK} || source || chr(10) || 'A. ' || lang || '.' || chr(10) || 'B. two', 'B. two', 2, lang, doc_id || '.mp4' FROM d
+    UNION ALL SELECT 'videommmu', {_ASK} || source || chr(10) || 'Options:' || chr(10) || '(A) A. ' || lang || '.' || chr(10) || '(B) B. two', 'B', 2, lang, 'sub/' || doc_id || '.mp4' FROM d WHERE doc_id % 2 = 0
+    UNION ALL SELECT 'activitynetqa', {_ASK} || source || '? (A) yes; (B) no.', 'no', 2, 'yes', 'v_' || doc_id || '.mp4' FROM d
+    UNION ALL SELECT 'didemo', 'Find a video that includes the following described scenes: ' || source, 'clip' || doc_id, 1, 'clip' || doc_id, NULL FROM d
+    UNION ALL SELECT 'momentseeker', source, 'pos_' || doc_id, 2, 'pos_' || doc_id, 'in.mp4' FROM d
+    UNION ALL SELECT 'visrag', 'Find a document image that matches the given query: ' || source, doc_id || '.png', 1, doc_id || '_' || substr(md5(doc_id || '.png'), 1, 8) || '.png', NULL FROM d
+    UNION ALL SELECT 'image_i2i_vg', chr(10) || 'Look ' || source || chr(10), doc_id || '.png:' || lang, 1, 'Pick "' || lang || '"', 'q.png' FROM d
+    UNION ALL SELECT 'image_cls', 'Look' || chr(10) || ' ' || source || chr(10), lang, 1, lang, 'q.png' FROM d
+    UNION ALL SELECT 'mteb_cluster', source, lang, 0, NULL, NULL FROM d)
+    SELECT name, md5(query_text) AS asked, label_name, n::BIGINT AS n, first_text, query_media FROM x""",
+)
 def dataset_parsers(spark, sf_dir):
-    """Rows of one table through parsers of three shapes; a configuration in a file names the columns."""
-    d = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
-    files.put_file(spark, path := f"{_folder(spark, 'config')}/sets.json", '{"msvd": {"query": "source", "candidates": "array(id)", "label": "id"}}')
+    """Rows of one table, as a dozen datasets would hold them, through their parsers; a configuration file renames columns."""
+    d = table(spark, sf_dir, "documents").select("source", F.coalesce("lang", F.lit("xx")).alias("lang"), F.col("doc_id").cast("string").alias("id"), "doc_id")
+    files.put_file(spark, path := f"{_folder(spark, 'config')}/sets.json", '{"msvd": {"query": "source", "names": "array(id)", "label": "id"}}')
     conf = files.read_config(spark, path)
-    video = parsers.parse(parsers.EVALUATION, "msvd", d, conf["msvd"]).select("label_name", "query_text", F.lit("msvd").alias("name"))
-    choices = d.select(F.col("source").alias("question"), F.col("id").alias("choice_a"), F.lit("").alias("choice_b"), F.lit("x").alias("choice_c"), F.lit(None).cast("string").alias("choice_d"), F.lit("A").alias("answer"), F.lit(None).cast("string").alias("video_path"))
-    picked = parsers.parse(parsers.EVALUATION, "mvbench", choices).select("label_name", "query_text", F.lit("mvbench").alias("name"))
+    mp4 = F.concat("id", F.lit(".mp4"))
+    pair = F.array(F.concat(F.lit("A. "), "lang", F.lit(".")), F.lit("B. two"))
+    q = F.col("source").alias("question")
+    image = [F.lit("q.png").alias("qry_img_path"), F.array(F.concat(F.lit('"'), "lang", F.lit('"'))).alias("tgt_text"), F.lit("Pick<|image_1|>").alias("tgt_inst"), F.array(F.concat("id", F.lit(".png"))).alias("tgt_img_path"), F.col("source").alias("qry_text")]
+    held = {
+        "msvd": d,
+        "mvbench": d.select(q, F.array("lang", F.lit("none")).alias("candidates"), F.lit("none").alias("answer"), F.lit("s").alias("subset"), F.col("id").alias("video")),
+        "nextqa": d.select(q, *[F.lit(x).alias(f"a{k}") if k != 2 else F.col("lang").alias("a2") for k, x in enumerate("abcde")], F.lit(2).alias("answer"), F.col("id").alias("video")),
+        "videomme": d.select(q, pair.alias("options"), F.lit("B").alias("answer"), F.col("id").alias("videoID")),
+        "videommmu": d.select(q, pair.alias("options"), F.lit("B").alias("answer"), "id", F.lit("sub").alias("subset"), F.when(F.col("doc_id") % 2 == 0, "multiple-choice").otherwise("open").alias("question_type")),
+        "activitynetqa": d.select(q, F.lit("no").alias("answer"), F.col("id").alias("video_name")),
+        "didemo": d.select(F.col("source").alias("caption"), F.concat(F.lit("x/clip"), mp4).alias("video")),
+        "momentseeker": d.select(F.col("source").alias("query"), F.array(F.concat(F.lit("pos/"), mp4)).alias("positive_frames"), F.array(F.lit("neg/1.mp4")).alias("negative_frames"), F.lit("in.mp4").alias("input_frames")),
+        "visrag": d.select(F.col("source").alias("query"), F.array(F.concat("id", F.lit(".png"))).alias("corpus_ids")),
+        "image_i2i_vg": d.select(F.lit("<|image_1|> Look").alias("qry_inst"), *image),
+        "image_cls": d.select(F.lit("Look \n<|image_1|>").alias("qry_inst"), *image[:1], F.array("lang").alias("tgt_text"), image[4]),
+    }
+    out = None
+    for name, rows in held.items():
+        one = parsers.parse(parsers.EVALUATION, name, rows, conf.get(name)).select(F.lit(name).alias("name"), F.md5(F.col("query_text").cast("binary")).alias("asked"), "label_name", F.size("cand_names").cast("long").alias("n"), F.get("cand_texts", F.lit(0)).alias("first_text"), "query_media")
+        out = one if out is None else out.unionByName(one)
     trained = parsers.parse(parsers.TRAINING, "mteb_cluster", d.select(F.col("source").alias("text"), F.col("lang").alias("label"), F.array().cast("array<string>").alias("other_labels")), {"name": "mteb_cluster"})
-    return video.unionByName(picked).unionByName(trained.select(F.col("pos_text").alias("label_name"), "query_text", F.col("global_dataset_name").alias("name")))
+    return out.unionByName(trained.select(F.col("global_dataset_name").alias("name"), F.md5(F.col("query_text").cast("binary")).alias("asked"), F.col("pos_text").alias("label_name"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("first_text"), F.lit(None).cast("string").alias("query_media")))
 
 
 @query("unit_files", "SELECT 'unit' || n_nationkey AS unit_id, n_nationkey % 3 = 0 AS has_video FROM nation WHERE n_nationkey % 2 = 0")

@@ -215,9 +215,14 @@ def test_sources(spark, tmp_path):
 
 def test_parsers(spark):
     assert len(parsers.EVALUATION) == 22 and len(parsers.TRAINING) == 17
-    rows = spark.createDataFrame([("What?", "a", "b", None, "", "B", "v.mp4")], "question string, choice_a string, choice_b string, choice_c string, choice_d string, answer string, video_path string")
+    rows = spark.createDataFrame([("What?", ["A. a", "B. b c."], "B", "v")], "question string, options array<string>, answer string, videoID string")
     got = parsers.parse(parsers.EVALUATION, "videomme", rows).first()
-    assert got.cand_names == ["a", "b"] and got.label_name == "b" and got.query_text.endswith("What?")
+    assert (got.cand_names, got.cand_texts, got.label_name, got.query_media) == (["A. a", "B. b c."], ["a", "b c"], "B. b c.", "v.mp4")
+    assert got.query_text.endswith("Question:  What?\nA. a\nB. b c.")
+    picture = spark.createDataFrame([("<|image_1|>Say", "it", "i.png", ["one", "two"])], "qry_inst string, qry_text string, qry_img_path string, tgt_text array<string>")
+    assert parsers.parse(parsers.EVALUATION, "image_qa", picture).first().query_text == "\nSay it\n"
+    clips = spark.createDataFrame([("q", "v/x.mp4", ["f/query", "f/positive_1", "f/n2"])], "query string, video_path string, clips array<string>")
+    assert parsers.parse(parsers.EVALUATION, "moment_retrieval", clips).first().label_name == "f/positive_1"
     with pytest.raises(ValueError):
         parsers.parse(parsers.TRAINING, "nothing", rows)
 
