@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.operators.components import components
+from mnemospark.operators.joins import join_by_size
 from mnemospark.session import written
 
 #: Fixed values of the signature scheme.
@@ -72,28 +74,13 @@ def band_hashes(docs: DataFrame, permutations: int = PERMUTATIONS, threshold: fl
     return docs.select("id", "content").mapInArrow(run, "id long, keys array<binary>").select("id", F.posexplode("keys").alias("band", "key"))
 
 
-def least_labels(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, label): the least node that each node of undirected edges (a, b) reaches; labels live in written tables."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(most):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        far = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        nxt = written(step.join(far, step["label"] == far["via"], "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        labels = nxt.select("node", "label")
-        if nxt.filter("label <> old").isEmpty():
-            return labels
-    raise RuntimeError("labels still move")
-
-
 def clusters(docs: DataFrame) -> DataFrame:
     """(id, cluster, kept): documents that share a band's key are one cluster, its smallest id stays.
 
     In a bucket each member is joined to the bucket's smallest id only, so a large bucket gives as many edges as members.
     """
     hashed = written(band_hashes(docs), "band-hashes")
-    heads = hashed.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    edges = hashed.join(heads, ["band", "key"]).select("a", F.col("id").alias("b")).filter("a <> b").distinct()
-    labels = least_labels(edges)
+    heads = written(hashed.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket-heads")
+    edges = join_by_size(hashed, heads, ["band", "key"], "n").select("a", F.col("id").alias("b")).filter("a <> b").distinct()
+    labels = components(edges)
     return docs.select("id").join(labels, docs["id"] == labels["node"], "left").select("id", F.coalesce("label", "id").alias("cluster"), F.coalesce(F.col("label") == F.col("id"), F.lit(True)).alias("kept"))
