@@ -49,17 +49,21 @@ def snapshot_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends, some.filter("s <> o").select(F.col("s").alias("src"), F.col("o").alias("dst"), F.lit(1.0).alias("weight"))
 
 
-def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, rounds: int, cut: int = 10) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, rounds: int, cut: int = 10, hub: int = 100_000) -> DataFrame:
     """(query_id, id, rank) after a fixed number of power iterations, for all queries at once.
 
     edges (src, dst, weight) are undirected: each row counts both ways, parallel rows add up. reset (query_id, id,
     weight): negative and NaN weights are 0, each query's weights are scaled to sum 1. A vertex without edges gives its
-    rank back to the reset. Shares are computed once; every ``cut`` rounds the ranks are written to the shared folder.
+    rank back to the reset. Shares are computed once; every ``cut`` rounds the ranks are written to the shared folder. The
+    edges of a vertex with more than hub of them are dealt to several salts, and its rank goes to each.
     """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     flat = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    total = flat.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = written(flat.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "ppr-shares")
+    total = flat.groupBy("src").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int")
+    share = written(flat.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), salt.alias("salt"), "salts"), "ppr-shares")
+    hubs = share.filter("salts > 1").select(F.col("src").alias("id"), "salts").distinct()  # at most one of hub edges
+    any_hub = not hubs.isEmpty()
     clean = reset.select("query_id", "id", F.when(F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0), 0.0).otherwise(F.col("weight")).alias("weight"))
     mass = clean.groupBy("query_id").agg(F.sum("weight").alias("mass")).filter("mass > 0")
     p = written(clean.join(mass, "query_id").groupBy("query_id", "id").agg(F.sum(F.col("weight") / F.col("mass")).alias("p")).filter("p > 0"), "ppr-reset")
@@ -68,7 +72,13 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, ro
     loose = written(p.join(share.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("query_id", "id"), "ppr-loose")
     any_loose = not loose.isEmpty()
     for k in range(rounds):
-        moved = rank.join(share, rank["id"] == share["src"]).select("query_id", F.col("dst").alias("id"), (F.col("rank") * F.col("share") * damping).alias("part"))
+        if any_hub:
+            seats = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+            spread = rank.join(F.broadcast(hubs), "id", "left").select("query_id", "id", "rank", seats.alias("seat"))
+            met = spread.join(share, (spread["id"] == share["src"]) & (spread["seat"] == share["salt"]))
+        else:
+            met = rank.join(share, rank["id"] == share["src"])
+        moved = met.select("query_id", F.col("dst").alias("id"), (F.col("rank") * F.col("share") * damping).alias("part"))
         if any_loose:
             lost = rank.join(loose, ["query_id", "id"]).groupBy("query_id").agg(F.sum("rank").alias("lost"))
             home = p.join(lost, "query_id", "left").select("query_id", "id", (F.col("p") * (1 - damping + damping * F.coalesce("lost", F.lit(0.0)))).alias("part"))

@@ -269,3 +269,12 @@ def test_written_tables_can_be_dropped(spark):
     t = written(spark.range(3).toDF("a"), "kept")
     assert t.count() == 3 and shared_dir(spark).rpartition("/")[2] in t.inputFiles()[0]
     assert drop_written(spark) == 1 and drop_written(spark) == 0
+
+
+def test_pagerank_with_salted_hubs(spark):
+    from mnemospark.operators import graph
+
+    edges = spark.createDataFrame([("hub", f"v{k}", 1.0 + k % 3) for k in range(40)] + [("v1", "v2", 2.0), ("v3", "far", 1.0)], "src string, dst string, weight double")
+    reset = spark.createDataFrame([(1, "v1", 1.0), (1, "hub", 2.0), (2, "far", 1.0)], "query_id long, id string, weight double")
+    plain, salted = ({(r.query_id, r.id): round(r.rank, 12) for r in graph.personalised_pagerank(edges, reset, 0.85, 5, hub=n).collect()} for n in (1000, 7))
+    assert plain == salted and len(plain) == 84
