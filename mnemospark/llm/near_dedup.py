@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import hold, join_by_size, text_of, texts_of, written
-from mnemospark.llm.components import components
+from mnemospark.operators.components import components
 
 K = 5  # words in a shingle
 CACHE_BOUND = 400_000
@@ -251,11 +251,11 @@ def _in_groups(df: DataFrame, keys: list[str], merge, of: str) -> DataFrame:
                     if r != k:
                         a.append(nodes[r]), b.append(nodes[k])
             if len(a) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return df.select(*keys, "node", of).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a binary, b binary")
+    return df.select(*keys, "node", of).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
 
 
 def _blocks_of(n: str):
@@ -263,21 +263,22 @@ def _blocks_of(n: str):
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
 
-def linked(df: DataFrame, keys: list[str], merge, of: str) -> DataFrame:
+def linked(df: DataFrame, keys: list[str], merge, of: str, large: bool) -> DataFrame:
     """(a, b) rows that connect the nodes of each group (keys) of df (keys, node, of, blocks) as their links do.
 
-    A group of one block is merged as it is. Of a larger one, each block is merged together with the group's first block, so
-    the work grows with the blocks and not with their pairs; that connects what is alike across them. What may be left are
-    links between nodes that are still apart: all members outside a group's largest component, the leftovers, are
-    compared with all members, block by block. Links inside the largest component would connect nothing.
+    A group of one block is merged as it is. Of a larger one (large: whether there is any), each block is merged together
+    with the group's first block, so the work grows with the blocks and not with their pairs; that connects what is alike
+    across them. What may be left are links between nodes that are still apart: all members outside a group's largest
+    component, the leftovers, are compared with all members, block by block. Links inside the largest component would
+    connect nothing. Only members of large groups are written for the second pass.
     """
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = df.withColumn("own", own)
-    seats = F.when(F.col("own") > 0, F.array("own")).otherwise(F.sequence(F.least(F.lit(1), F.col("blocks") - 1).cast("long"), F.col("blocks") - 1))
-    edges = written(_in_groups(dealt.withColumn("seat", F.explode(seats)), [*keys, "seat"], merge, of).distinct(), "links")
-    many = df.filter("blocks > 1")
-    if many.isEmpty():
-        return edges
+    if not large:
+        return _in_groups(df.drop("blocks"), keys, merge, of).distinct()
+    many = written(df.filter("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))), "large-groups")
+    small = _in_groups(df.filter("blocks = 1").drop("blocks"), keys, merge, of)
+    seats = F.when(F.col("own") > 0, F.array("own")).otherwise(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1))
+    first = _in_groups(many.withColumn("seat", F.explode(seats)), [*keys, "seat"], merge, of)
+    edges = written(small.unionByName(first).distinct(), "links")
     label = components(edges)
     apart = written(many.select(*keys, "node", "blocks").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     sizes = apart.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("blocks"))
@@ -285,7 +286,7 @@ def linked(df: DataFrame, keys: list[str], merge, of: str) -> DataFrame:
     open_ = written(whole.filter("most < members").select(*keys, "largest", F.ceil(F.col("blocks") * (F.col("members") - F.col("most")) / F.col("members")).cast("long").alias("left_blocks"), "members"), "open-groups")
     if open_.isEmpty():
         return edges
-    here = join_by_size(dealt.filter("blocks > 1"), open_, keys, "members").join(apart.select(*keys, "node", "label"), [*keys, "node"])
+    here = join_by_size(many, open_, keys, "members").join(apart.select(*keys, "node", "label"), [*keys, "node"])
     left = here.filter(F.col("label") != F.col("largest")).withColumn("lo", F.pmod(F.xxhash64("node", F.lit(1)), F.col("left_blocks"))).withColumn("hi", _blocks_of("blocks"))
     all_ = here.withColumn("hi", F.col("own")).withColumn("lo", _blocks_of("left_blocks"))
     columns = [*keys, "lo", "hi", "node", of]
@@ -299,13 +300,13 @@ def families(nodes: DataFrame, scheme: Scheme, loose: float, block: int) -> Data
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = written(shared.withColumn("blocks", F.ceil(F.col("members") / block).cast("long")), "shared-buckets")
     met = join_by_size(buckets, shared, ["key"], "members").select("key", "node", "blocks")
-    met = written(met.join(nodes.select("node", "sig"), "node"), "buckets")
+    met = met.join(nodes.select("node", "sig"), "node")
 
     def merge(values) -> np.ndarray:
         sig = np.concatenate([np.asarray(v.flatten()) for v in values]).view(np.uint64).reshape(-1, scheme.longs)
         return merged(_Alike(scheme, sig, loose))
 
-    return linked(met, ["key"], merge, "sig")
+    return linked(met, ["key"], merge, "sig", not shared.filter("blocks > 1").isEmpty())
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -318,7 +319,7 @@ def bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def family_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(family, blocks, node, shingles) of members (node, doc_key, family, blocks)."""
+    """(family, blocks, node, shingles) of members (node, digest, doc_key, family, blocks)."""
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(members.select(F.xxhash64("doc_key").alias("h"))))
 
@@ -334,14 +335,14 @@ def family_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 s = shingles(b.column(2)[k].as_py())
                 if len(s):
                     keys.append(b.column(0)[k].as_py()), nodes.append(xxhash.xxh3_128_digest(s.tobytes())), sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_key", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_key", "digest", "shingles"])
 
-    made = docs.select(key.alias("doc_key"), F.xxhash64(key).alias("h"), text_of().alias("text")).mapInArrow(run, "doc_key long, node binary, shingles array<long>")
-    return made.join(members, ["doc_key", "node"]).select("family", "blocks", "node", "shingles")
+    made = docs.select(key.alias("doc_key"), F.xxhash64(key).alias("h"), text_of().alias("text")).mapInArrow(run, "doc_key long, digest binary, shingles array<long>")
+    return made.join(members, ["doc_key", "digest"]).select("family", "blocks", "node", "shingles")
 
 
-def confirmed(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) rows that join the linked nodes of each family."""
+def confirmed(sets: DataFrame, percent: int, large: bool = True) -> DataFrame:
+    """(a, b) rows that join the linked nodes of each family; large: whether one has several blocks."""
 
     def merge(values) -> np.ndarray:
         own = []
@@ -350,7 +351,7 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
             own += [flat[p:q].view(np.uint64) for p, q in zip(at[:-1], at[1:], strict=True)]
         return merged(_Linked(own, percent))
 
-    return linked(sets, ["family"], merge, "shingles")
+    return linked(sets, ["family"], merge, "shingles", large)
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, scheme: Scheme | None = None, block: int = 2048, elements: int = 1_000_000) -> DataFrame:
@@ -365,17 +366,18 @@ def near_dedup(docs: DataFrame, percent: int = 80, scheme: Scheme | None = None,
     signed = written(signatures(docs, scheme), "signatures")
     some = signed.filter(F.col("node").isNotNull())
     least_id = F.min(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    nodes = written(some.groupBy("node").agg(least_id.alias("doc_key"), F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "nodes")
+    made = some.groupBy(F.col("node").alias("digest")).agg(least_id.alias("doc_key"), F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(made.withColumn("node", F.monotonically_increasing_id()), "nodes")  # a short number for each set
     family = components(families(nodes, scheme, loose, block))
-    about = written(nodes.select("node", "doc_key", "size").join(family, "node").withColumnRenamed("label", "family"), "family-members")
+    about = written(nodes.select("node", "digest", "doc_key", "size").join(family, "node").withColumnRenamed("label", "family"), "family-members")
     load = about.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / elements), F.ceil(F.count(F.lit(1)) / 1024)).cast("long").alias("blocks"), F.count(F.lit(1)).alias("n"))
-    members = join_by_size(about, load, ["family"], "n").select("node", "doc_key", "family", "blocks")
-    links = components(confirmed(written(family_sets(docs, written(members, "members")), "family-sets"), percent))
+    members = written(join_by_size(about, load, ["family"], "n").select("node", "digest", "doc_key", "family", "blocks"), "members")
+    links = components(confirmed(family_sets(docs, members), percent, not members.filter("blocks > 1").isEmpty()))
     joined = written(nodes.select("node", "first_id").join(links, "node"), "linked-nodes")
     least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_label = join_by_size(joined.select("node", "label"), least, ["label"], "n").select("node", "component_id")
-    of_node = nodes.select("node", "first_id", "copies").join(of_label, "node", "left")
-    of_node = written(of_node.select("node", "copies", F.coalesce("component_id", "first_id").alias("component_id")), "node-components")
+    of_node = nodes.select("node", "digest", "first_id", "copies").join(of_label, "node", "left")
+    of_node = written(of_node.select(F.col("digest").alias("node"), "copies", F.coalesce("component_id", "first_id").alias("component_id")), "node-components")
     rows = signed.select("doc_id", "n_shingles", "node")
     some = join_by_size(rows.filter(F.col("node").isNotNull()), of_node, ["node"], "copies")
     none = rows.filter(F.col("node").isNull()).withColumn("component_id", F.col("doc_id"))

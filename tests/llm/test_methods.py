@@ -267,16 +267,12 @@ def test_large_families_that_fall_apart(spark):
         if 100 * both >= 85 * (len(a) + len(b) - both):
             p, q = sorted((find(i), find(j)))
             root[q] = p
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    signed = near_dedup.signatures(df, near_dedup.scheme_for(85))
-    nodes = signed.select("node", F.lit("one").alias("family"), F.lit(9).cast("long").alias("blocks")).join(df.join(signed, "doc_id").select("node", "doc_id"), "node")
-    sets_of = {r.node: r.doc_id for r in nodes.collect()}
-    rows = [("one", 9, n, near_dedup.shingles(texts[i]).view(np.int64).tolist()) for n, i in sets_of.items()]
-    edges = near_dedup.confirmed(spark.createDataFrame(rows, "family string, blocks long, node binary, shingles array<long>"), 85).collect()
+    rows = [("one", 9, k, near_dedup.shingles(t).view(np.int64).tolist()) for k, t in enumerate(texts)]
+    edges = near_dedup.confirmed(spark.createDataFrame(rows, "family string, blocks long, node long, shingles array<long>"), 85).collect()
     own = list(range(len(texts)))
     top = lambda x: x if own[x] == x else top(own[x])
     for e in edges:
-        p, q = sorted((top(sets_of[e.a]), top(sets_of[e.b])))
+        p, q = sorted((top(e.a), top(e.b)))
         own[q] = p
     assert [top(i) for i in range(len(texts))] == [find(i) for i in range(len(texts))] and len({find(i) for i in range(len(texts))}) > 2
 
