@@ -322,11 +322,12 @@ class MaxEnt:
         self.w += rate / self.ACTIVE * np.clip((seen - want) / (want + prior), -0.9, 4.0) - 0.0002 * self.w
 
 
-def summed(parts: DataFrame, vector, length: int, near: int = 32) -> np.ndarray | None:
+def summed(parts: DataFrame, vector, length: int, tasks: int | None = None, near: int = 32) -> np.ndarray | None:
     """The sum over all tasks of vector(batches of a task), a float array of some length or None, added on the executors.
 
     Each task sends slices of its vector. Slices of one number meet in a shuffle, first those of ``near`` neighbouring
     tasks, then the rest, so no task reads more with more tasks, but for one slice of each group; the driver takes one vector.
+    tasks: their number, where known; few of them need no first meeting.
     """
     slices = min(1024, max(4, length // 65_536))
     step = -(-length // slices)
@@ -349,7 +350,9 @@ def summed(parts: DataFrame, vector, length: int, near: int = 32) -> np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["slice", "near", "v"])
 
     kind = "slice int, near int, v binary"
-    first = parts.mapInArrow(run, kind).repartition("slice", "near").mapInArrow(add, kind)
+    first = parts.mapInArrow(run, kind)
+    if tasks is None or tasks > near:
+        first = first.repartition("slice", "near").mapInArrow(add, kind)
     whole = first.withColumn("near", F.lit(0)).repartition(slices, "slice").mapInArrow(add, kind)
     got = {r.slice: np.frombuffer(r.v, np.float32).astype(float) for r in whole.collect()}
     return np.concatenate([got[k] for k in sorted(got)]) if got else None
@@ -372,7 +375,7 @@ def train(trigrams: DataFrame, rounds: int = 14, cells_a_task: int = 100_000) ->
                 cells, n = (np.concatenate(x) for x in zip(*got, strict=True))
                 return pickle.loads(now.value).observed_expected(cells.astype(np.int64), n.astype(float))
 
-        total = summed(held.select("cell", "n"), gradient, 2 * model.w.size + 1)
+        total = summed(held.select("cell", "n"), gradient, 2 * model.w.size + 1, parts)
         if total is None:
             break
         model.step(total, 1.0)
