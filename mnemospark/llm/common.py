@@ -20,11 +20,26 @@ def hold(owner: str, release: Callable[[], object]) -> None:
 
     Workers outlive tasks and stages, so without this a pipeline's worker would hold the caches of all its operators.
     """
-    for other in [k for k in _HELD if k != owner]:
+    others = [k for k in _HELD if k != owner]
+    for other in others:
         _HELD.pop(other)()
+    if others:
+        _give_back()
     _HELD[owner] = release
 
 
+def _give_back() -> None:
+    """Hands memory that is free to the system: the allocator would keep it for this process."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_groups(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
     """Lists of texts of about chars code points, so that work on a batch stays bounded; a longer text is its own."""
     held, size = [], 0

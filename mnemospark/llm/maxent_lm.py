@@ -14,8 +14,8 @@ context times its share of the class:
 * Inside a class a token has (c + 0.1) / (N_class + 0.1 * (V_class + 1)), unseen tokens sharing the last part; a
   class of one token gives 1. So the probabilities of a class sum to one as the baseline's do over all tokens.
 
-Training reads every training text: one pass gives exact token counts, a second one turns all texts into arrays of
-classes and word hashes, which the later passes read instead of the texts. The class features are trained first, on
+One pass over the texts turns all of them into arrays of 64-bit token keys, which the later passes read instead. The
+training texts' arrays give exact token counts. The class features are trained first, on
 the counts of (class two before, class before, class); then the word features, on all positions of all training texts.
 A round of either is distributed: tasks send slices of observed and expected counts by (feature, outcome), slices
 of all tasks are summed on the executors, and the driver takes one sum and makes the gradient step: observed minus
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import hold, text_of, written
 
 CACHE_BOUND = 300_000
-GROUP_TOKENS, POSITIONS = 250_000, 250_000
+GROUP_TOKENS, POSITIONS, COUNTED = 250_000, 250_000, 2_000_000
 SUFFIXES = 4096
 GROUPS, PER_GROUP = 8, 16
 CLASSES = GROUPS * PER_GROUP  # class c is in group c % GROUPS, so the most frequent tokens lie in different groups
@@ -89,22 +89,20 @@ class Lexicon:
 
     def trim(self) -> None:
         if len(self.index) > CACHE_BOUND:
-            self.index.clear()
+            self.clear()
 
-
-def token_hash(w: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
+    def clear(self) -> None:
+        self.index.clear()
 
 
-def hashes_suffixes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the number of the ending of each word."""
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """A 64-bit key of each word: 52 bits of its hash, and in the last 12 the number of its ending."""
     import xxhash
     import zlib
 
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)
-    return hashes.view(np.int64), np.fromiter((zlib.crc32(w[-3:]) for w in words), np.int64, len(words)) % SUFFIXES
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    endings = np.fromiter((zlib.crc32(w[-3:]) for w in words), np.uint64, len(words)) % np.uint64(SUFFIXES)
+    return hashes & ~np.uint64(SUFFIXES - 1) | endings
 
 
 def _groups(texts):
@@ -121,112 +119,110 @@ def _groups(texts):
         yield held
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(hash, suffix, c) of every token of docs (text); partial counts are summed before the shuffle."""
+ENCODED = "doc_id long, learn boolean, n_tokens long, keys binary"
+
+_LEXICON = Lexicon(lambda words: (keys_of(words),), [np.uint64])
+
+
+def _lexicon() -> Lexicon:
+    """The worker's own, from task to task: keys are the same whatever the corpus."""
+    hold("language model", _LEXICON.clear)
+    return _LEXICON
+
+
+def encode(docs: DataFrame, training: Column) -> DataFrame:
+    """ENCODED rows of every text: the keys of its tokens, which all later passes read."""
+
+    def run(batches):
+        lexicon = _lexicon()
+        for b in batches:
+            sizes, keys = [], []
+            for group in _groups(t.as_py() for t in b.column(2)):
+                n = lexicon.numbers([w for ws in group for w in ws])
+                k = lexicon.values(0)[n]
+                at = 0
+                for ws in group:
+                    sizes.append(len(ws))
+                    keys.append(k[at : at + len(ws)].tobytes())
+                    at += len(ws)
+                lexicon.trim()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=[x.split()[0] for x in ENCODED.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("learn"), text_of().alias("text")).mapInArrow(run, ENCODED)
+
+
+def count_tokens(encoded: DataFrame) -> DataFrame:
+    """(hash, c) of every token key of encoded texts; partial counts are summed before the shuffle."""
 
     def run(batches):
-        lex = Lexicon(hashes_suffixes, [np.int64, np.int32])
-        total = np.zeros(0, np.int64)
+        held, size = [], 0
 
         def flush():
-            at = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(lex.values(0)[at]), pa.array(lex.values(1)[at]), pa.array(total[at])], names=["hash", "suffix", "c"])
+            k, c = np.unique(np.frombuffer(b"".join(held), np.uint64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["hash", "c"])
 
         for b in batches:
-            for group in _groups(t.as_py() for t in b.column(0)):
-                n = lex.numbers([w for ws in group for w in ws])
-                more = np.bincount(n, minlength=len(lex.index))
-                more[: len(total)] += total
-                total = more
-                if len(lex.index) > CACHE_BOUND:
+            for k in b.column(0).to_pylist():
+                held.append(k)
+                size += len(k) // 8
+                if size >= COUNTED:
                     yield flush()
-                    lex.trim()
-                    total = np.zeros(0, np.int64)
-        if len(total):
+                    held, size = [], 0
+        if held:
             yield flush()
 
-    partial = docs.select(text_of().alias("text")).mapInArrow(run, "hash long, suffix int, c long")
-    return partial.groupBy("hash").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("c"))
+    return encoded.select("keys").mapInArrow(run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
 class Classes:
-    """Classes of tokens, from the tokens and endings that have one of their own."""
+    """Classes of tokens, from the tokens (as signed keys) and endings that have one of their own."""
 
     def __init__(self, own: list[int], endings: list[int]):
         self.own = {h: k for k, h in enumerate(own)}
+        self.sorted = np.sort(np.array(own, np.int64).view(np.uint64))
+        self.own_class = np.array([self.own[h] for h in self.sorted.view(np.int64).tolist()], np.int64)
         self.endings = np.array([OWN + ENDINGS + k % (CLASSES - OWN - ENDINGS) for k in range(SUFFIXES)])
         self.endings[endings] = OWN + np.arange(len(endings))
 
-    def of_hashes(self, hashes: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
-        own = [self.own.get(h, -1) for h in hashes.tolist()]
-        return np.where(np.array(own, np.int64) >= 0, own, self.endings[suffixes]).astype(np.int64)
+    def of_keys(self, keys: np.ndarray) -> np.ndarray:
+        out = self.endings[(keys & np.uint64(SUFFIXES - 1)).astype(np.int64)]
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
+            own = self.sorted[at] == keys
+            out[own] = self.own_class[at[own]]
+        return out
 
     def of(self, w: bytes) -> int:
-        return int(self.of_hashes(*hashes_suffixes([w]))[0])
+        return int(self.of_keys(keys_of([w]))[0])
 
     def column(self) -> Column:
-        """The class of rows (hash, suffix)."""
-        table = F.array(*[F.lit(int(x)) for x in self.endings])
+        """The class of rows (hash)."""
+        table, ending = F.array(*[F.lit(int(x)) for x in self.endings]), _ending()
         if not self.own:
-            return F.element_at(table, F.col("suffix") + 1)
+            return F.element_at(table, ending + 1)
         own = F.create_map(*[F.lit(x) for h, k in self.own.items() for x in (h, k)])
-        return F.coalesce(F.element_at(own, F.col("hash")), F.element_at(table, F.col("suffix") + 1))
+        return F.coalesce(F.element_at(own, F.col("hash")), F.element_at(table, ending + 1))
 
 
-ENCODED = "doc_id long, learn boolean, n_tokens long, head_log double, head_known long, tail array<struct<hash long, k long>>, classes binary, hashes binary"
+def _ending() -> Column:
+    return F.col("hash").bitwiseAND(F.lit(SUFFIXES - 1)).cast("int")
 
 
-def encode(docs: DataFrame, training: Column, lexicon: "HeadCounts") -> DataFrame:
-    """ENCODED rows of every text: its classes, its word hashes (32 bits), and what the head counts give."""
-    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(lexicon))
-    tail_type = pa.list_(pa.struct([("hash", pa.int64()), ("k", pa.int64())]))
-
-    def run(batches):
-        s, lex = _live(packed.value)
-        for b in batches:
-            cols = [[] for _ in range(6)]
-            for group in _groups(t.as_py() for t in b.column(2)):
-                size = np.array([len(ws) for ws in group])
-                stop = np.cumsum(size)
-                begin = stop - size
-                n = lex.numbers([w for ws in group for w in ws])
-                c, count, hashes = (lex.values(k)[n] for k in range(3))
-                short = hashes.astype(np.uint32)
-                head = count >= 0
-                head_log = np.where(head, np.log10(np.maximum(count, 0) + 0.1), 0.0)
-                cols[0] += size.tolist()
-                cols[1] += np.add.reduceat(head_log, begin).tolist()
-                cols[2] += np.add.reduceat((count > 0).astype(np.int64), begin).tolist()
-                for p, q in zip(begin, stop, strict=True):
-                    cols[3].append(np.unique(hashes[p:q][~head[p:q]], return_counts=True))
-                    cols[4].append(c[p:q].tobytes())
-                    cols[5].append(short[p:q].tobytes())
-                lex.trim()
-            flat = [np.concatenate([np.zeros(0, np.int64), *(t[k] for t in cols[3])]) for k in (0, 1)]
-            ends = np.cumsum([0, *(len(t[0]) for t in cols[3])]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1])], ["hash", "k"])).cast(tail_type)
-            types = (pa.int64(), pa.float64(), pa.int64())
-            made = [b.column(0), b.column(1), *[pa.array(v, t) for v, t in zip(cols[:3], types, strict=True)], tail, pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in ENCODED.replace("struct<hash long, k long>", "s").split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("learn"), text_of().alias("text")).mapInArrow(run, ENCODED)
-
-
-def positions(batch_classes, batch_hashes, end_class: int):
-    """Arrays over all positions of some texts, about POSITIONS at a time: text sizes, class, class context, word buckets' hashes."""
-    held, size = [], 0
+def positions(batch_keys, classes: Classes):
+    """Arrays over all positions of some texts, about POSITIONS at a time: text sizes, keys, class, class context, word hashes before."""
+    end_class, held, size = classes.of(END), [], 0
 
     def made():
-        sizes = np.array([len(c) for c, _ in held])
-        c = np.frombuffer(b"".join(c for c, _ in held), np.uint8).astype(np.int64)
-        h = np.frombuffer(b"".join(h for _, h in held), "<u4")
+        sizes = np.array([len(k) // 8 for k in held])
+        keys = np.frombuffer(b"".join(held), np.uint64)
+        c = classes.of_keys(keys)
         begins = np.cumsum(sizes)[:-1]
         one, two = before(c, begins, end_class)
-        return sizes, c, two * CLASSES + one, before(h, begins, np.uint32(0))
+        return sizes, keys, c, two * CLASSES + one, before((keys >> np.uint64(32)).astype(np.uint32), begins, np.uint32(0))
 
-    for c, h in zip(batch_classes, batch_hashes, strict=True):
-        held.append((c, h))
-        size += len(c)
+    for k in batch_keys:
+        held.append(k)
+        size += len(k) // 8
         if size >= POSITIONS:
             yield made()
             held, size = [], 0
@@ -234,18 +230,18 @@ def positions(batch_classes, batch_hashes, end_class: int):
         yield made()
 
 
-def class_trigrams(encoded: DataFrame, end_class: int) -> DataFrame:
+def class_trigrams(encoded: DataFrame, classes: Classes) -> DataFrame:
     """(cell, n): how often each (class two before, class before, class) occurs in training texts."""
 
     def run(batches):
         total = np.zeros(CLASSES**3, np.int64)
         for b in batches:
-            for _, c, ctx, _ in positions(b.column(0).to_pylist(), b.column(1).to_pylist(), end_class):
+            for _, _, c, ctx, _ in positions(b.column(0).to_pylist(), classes):
                 total += np.bincount(ctx * CLASSES + c, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
-    return encoded.filter("learn").select("classes", "hashes").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return encoded.filter("learn").select("keys").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def before(x: np.ndarray, begins: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -415,12 +411,12 @@ class WordFeatures:
         self.w += (rate / self.ACTIVE * np.clip((seen - want) / (want + prior), -0.9, 4.0)).astype(np.float32)
 
 
-def train_words(encoded: DataFrame, model: MaxEnt, end_class: int, tokens: int, rounds: int = 2) -> WordFeatures:
+def train_words(encoded: DataFrame, model: MaxEnt, classes: Classes, tokens: int, rounds: int = 2) -> WordFeatures:
     """Gradient rounds of the word features over all positions of the training texts; the class features stand."""
     words = WordFeatures(buckets_for(tokens))
     z = model.group_logits()
     sc = encoded.sparkSession.sparkContext
-    learn = encoded.filter("learn").select("classes", "hashes")
+    learn = encoded.filter("learn").select("keys")
     for _ in range(rounds):
         now = sc.broadcast(pickle.dumps((words, z)))
 
@@ -428,7 +424,7 @@ def train_words(encoded: DataFrame, model: MaxEnt, end_class: int, tokens: int,
             words, z = pickle.loads(now.value)
             seen, want, any_ = np.zeros(words.w.size), np.zeros((GROUPS, words.buckets)), False
             for b in batches:
-                for _, c, ctx, before_ in positions(b.column(0).to_pylist(), b.column(1).to_pylist(), end_class):
+                for _, _, c, ctx, before_ in positions(b.column(0).to_pylist(), classes):
                     rows, any_ = words.rows(before_), True
                     p = np.exp(words.log_groups(z[ctx], rows)).T.copy()
                     for r in rows:
@@ -445,66 +441,61 @@ def train_words(encoded: DataFrame, model: MaxEnt, end_class: int, tokens: int,
     return words
 
 
-class HeadCounts:
-    """What reading the texts needs: classes, and the counts of the most frequent tokens."""
-
-    def __init__(self, classes: Classes, head_hash: np.ndarray, head_c: np.ndarray):
-        order = np.argsort(head_hash)
-        self.classes, self.head_hash, self.head_c = classes, head_hash[order], head_c[order]
-
-    def properties(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, training count (-1: not a head token) and hash of each word."""
-        hashes, suffixes = hashes_suffixes(words)
-        at = np.minimum(np.searchsorted(self.head_hash, hashes), max(0, len(self.head_hash) - 1))
-        known = self.head_hash[at] == hashes if len(self.head_hash) else np.zeros(len(words), bool)
-        return self.classes.of_hashes(hashes, suffixes), np.where(known, self.head_c[at] if len(self.head_c) else 0, -1), hashes
-
-
-_LIVE: dict = {}
-
-
-def _live(packed: bytes) -> tuple[HeadCounts, Lexicon]:
-    import hashlib
-
-    hold("language model", _LIVE.clear)
-    key = hashlib.sha256(packed).digest()
-    if key not in _LIVE:
-        _LIVE.clear()
-        s = pickle.loads(packed)
-        _LIVE[key] = s, Lexicon(s.properties, [np.uint8, np.int64, np.int64])
-    return _LIVE[key]
-
-
 class Scorer:
-    """log10 P of the class of each position and of its token's share of the class, but for the token's own count."""
+    """All that scoring takes but for the counts of rare tokens: the model, and the counts of the most frequent tokens."""
 
-    def __init__(self, model: MaxEnt, words: WordFeatures, denominators: np.ndarray, end_class: int):
-        self.words, self.end_class = words, end_class
+    def __init__(self, classes: Classes, model: MaxEnt, words: WordFeatures, denominators: np.ndarray, head: np.ndarray, head_c: np.ndarray):
+        self.classes, self.words = classes, words
         self.group_z = model.group_logits()
         self.in_group = model.log_in_group().astype(np.float32)
         self.log_denominators = np.log10(denominators)
+        keys = head.astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.head, self.head_c = keys[order], head_c[order]
 
     def log10_classes(self, c: np.ndarray, ctx: np.ndarray, before_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """log10 P(class | context) at each position."""
         groups = self.words.log_groups(self.group_z[ctx], self.words.rows(before_))
         return (groups[np.arange(len(c)), c % GROUPS] + self.in_group[ctx, c]) / np.log(10)
 
+    def head_counts(self, keys: np.ndarray) -> np.ndarray:
+        """The training count of each token; -1: not a head token."""
+        if not len(self.head):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.head, keys), len(self.head) - 1)
+        return np.where(self.head[at] == keys, self.head_c[at], -1)
+
+
+SCORED = "row long, doc_id long, n_tokens long, head_log double, head_known long, tail array<struct<hash long, k long>>, class_log double"
+
 
 def score_rows(encoded: DataFrame, scorer: Scorer) -> DataFrame:
-    """class_log of every encoded row, with what the head counts gave."""
+    """SCORED rows: what the model and the head counts give to each text, and its other tokens with their numbers."""
     packed = encoded.sparkSession.sparkContext.broadcast(pickle.dumps(scorer))
-    names = ["row", "doc_id", "n_tokens", "head_log", "head_known"]
+    tail_type = pa.list_(pa.struct([("hash", pa.int64()), ("k", pa.int64())]))
 
     def run(batches):
         s = pickle.loads(packed.value)
         for b in batches:
-            out = []
-            for sizes, c, ctx, before_ in positions(b.column(5).to_pylist(), b.column(6).to_pylist(), s.end_class):
-                log = s.log10_classes(c, ctx, before_) - s.log_denominators[c]
-                out += np.add.reduceat(log, np.cumsum(sizes) - sizes).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.float64())], names=[*names, "class_log"])
+            logs, known, class_log, tails = [], [], [], []
+            for sizes, keys, c, ctx, before_ in positions(b.column(3).to_pylist(), s.classes):
+                stop = np.cumsum(sizes)
+                begin = stop - sizes
+                count = s.head_counts(keys)
+                head = count >= 0
+                logs += np.add.reduceat(np.where(head, np.log10(np.maximum(count, 0) + 0.1), 0.0), begin).tolist()
+                known += np.add.reduceat((count > 0).astype(np.int64), begin).tolist()
+                class_log += np.add.reduceat(s.log10_classes(c, ctx, before_) - s.log_denominators[c], begin).tolist()
+                rare, of = keys[~head].view(np.int64), np.searchsorted(stop, np.flatnonzero(~head), "right")
+                cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
+                tails += [np.unique(rare[p:q], return_counts=True) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+            flat = [np.concatenate([np.zeros(0, np.int64), *(t[k] for t in tails)]) for k in (0, 1)]
+            ends = np.cumsum([0, *(len(t[0]) for t in tails)]).astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1])], ["hash", "k"])).cast(tail_type)
+            made = [*b.columns[:3], pa.array(logs, pa.float64()), pa.array(known, pa.int64()), tail, pa.array(class_log, pa.float64())]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "doc_id", "n_tokens", "head_log", "head_known", "tail", "class_log"])
 
-    return encoded.select(*names, "classes", "hashes").mapInArrow(run, "row long, doc_id long, n_tokens long, head_log double, head_known long, class_log double")
+    return encoded.select("row", "doc_id", "n_tokens", "keys").mapInArrow(run, SCORED)
 
 
 def head_threshold(counts: DataFrame, head: int) -> int:
@@ -533,23 +524,22 @@ class Fitted(NamedTuple):
 
 def fit(docs: DataFrame, training: Column, head: int = 200_000, rounds: int = 14, word_rounds: int = 2) -> Fitted:
     """Learns from the rows of docs (doc_id, text) where training holds; all rows are encoded."""
-    counts = written(count_tokens(docs.filter(training)), "token-counts")
+    encoded = written(encode(docs, training).withColumn("row", F.monotonically_increasing_id()), "encoded-texts")
+    counts = written(count_tokens(encoded.filter("learn")), "token-counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     own = [r.hash for r in counts.orderBy(F.desc("c"), "hash").limit(OWN).collect()]
     rest = counts.filter(~F.col("hash").isin(own)) if own else counts
-    endings = [r.suffix for r in rest.groupBy("suffix").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "suffix").limit(ENDINGS).collect()]
+    endings = [r.ending for r in rest.groupBy(_ending().alias("ending")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "ending").limit(ENDINGS).collect()]
     classes = Classes(own, endings)
     denominators = np.full(CLASSES, 0.1)
     for r in counts.groupBy(classes.column().alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         denominators[r.k] = r.n + 0.1 if r.k < OWN else r.n + 0.1 * (r.v + 1)
     least = head_threshold(counts, head)
     top = counts.filter(F.col("c") >= least).select("hash", "c").toPandas()  # at most head rows of two numbers
-    rows = encode(docs, training, HeadCounts(classes, top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
-    encoded = written(rows.withColumn("row", F.monotonically_increasing_id()), "encoded-texts")
-    end_class = classes.of(END)
-    model = train(class_trigrams(encoded, end_class), rounds)
-    words = train_words(encoded, model, end_class, n, word_rounds)
-    return Fitted(counts, n, v, least, encoded, classes, Scorer(model, words, denominators, end_class))
+    model = train(class_trigrams(encoded, classes), rounds)
+    words = train_words(encoded, model, classes, n, word_rounds)
+    scorer = Scorer(classes, model, words, denominators, top["hash"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
+    return Fitted(counts, n, v, least, encoded, classes, scorer)
 
 
 def score_documents(docs: DataFrame, training: Column, **how) -> DataFrame:
@@ -558,7 +548,7 @@ def score_documents(docs: DataFrame, training: Column, **how) -> DataFrame:
     n, v = fitted.n, fitted.v
     rows = written(score_rows(fitted.encoded, fitted.scorer), "scored-rows")
     rare = fitted.counts.filter(F.col("c") < fitted.least).select("hash", "c")
-    tail = fitted.encoded.select("row", F.explode("tail").alias("t")).select("row", "t.hash", "t.k").join(rare, "hash", "left")
+    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.hash", "t.k").join(rare, "hash", "left")
     of_row = tail.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("tail_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("tail_known"))
     s1 = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
     return rows.join(of_row, "row", "left").select(

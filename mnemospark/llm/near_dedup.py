@@ -33,12 +33,17 @@ from mnemospark.llm.common import hold, join_by_size, text_of, texts_of, written
 from mnemospark.operators.components import components
 
 K = 5  # words in a shingle
-CACHE_BOUND = 400_000
+CACHE_BOUND = 250_000
 BITMAP_BITS = 1 << 24
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _WORDS: dict[bytes, int] = {}
 
 
+def _use_words() -> None:
+    """This worker's word hashes are the cache in use."""
+    hold("near dedup", _WORDS.clear)
+
+
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word; A-Z lower-cased, words split at the six ASCII white space bytes."""
     import xxhash
@@ -139,7 +144,7 @@ def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches):
         import xxhash
 
-        hold("near dedup", _WORDS.clear)
+        _use_words()
         for b in batches:
             n, node, bands, sig = [], [], [], []
             for t in b.column(1):
@@ -326,7 +331,7 @@ def family_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     def run(batches):
         import xxhash
 
-        hold("near dedup", _WORDS.clear)
+        _use_words()
         bits = wanted.value
         for b in batches:
             at = np.asarray(b.column(1)) % BITMAP_BITS

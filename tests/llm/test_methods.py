@@ -645,7 +645,7 @@ def test_language_model_equals_a_plain_scorer(spark):
 
     def class_odds(one, two):
         """P(class) after the words one and two before, feature by feature."""
-        h = [np.array([maxent_lm.token_hash(w) if w is not None else 0]).astype(np.uint32) for w in (one, two)]
+        h = [np.array([int(maxent_lm.keys_of([w])[0]) >> 32 if w is not None else 0], np.uint32) for w in (one, two)]
         c1, c2 = (of(maxent_lm.END if w is None else w) for w in (one, two))
         ctx = c2 * maxent_lm.CLASSES + c1
         z = np.array(s.group_z[ctx], float)
