@@ -37,18 +37,34 @@ def _special(lib):
     return re.compile("|".join(names), re.I) if names else None
 
 
+#: ASCII marks but the apostrophe: both vocabularies split between a letter and a run of them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Chunks(dict):
-    """chunk -> packed ids; prefix stands before each chunk when it is encoded."""
+    """chunk -> packed ids; prefix stands before each chunk when it is encoded.
+
+    Marks that close a chunk after a letter are looked up apart (in tails, by default here), and where the vocabulary folds
+    case an ASCII chunk is looked up in lower case, so far fewer chunks go through the library.
+    """
 
-    def __init__(self, tokenizer, dtype: str, prefix: str, bound: int):
+    def __init__(self, tokenizer, dtype: str, prefix: str, bound: int, tails: "_Chunks | None" = None, folds: bool = False):
         super().__init__()
         self.tokenizer, self.dtype, self.prefix, self.bound = tokenizer, dtype, prefix, bound
+        self.tails, self.folds = self if tails is None else tails, folds
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self.whole(self.prefix + chunk)
+        low = chunk.lower() if self.folds and chunk.isascii() else chunk
+        body = low.rstrip(_MARKS)
+        if body and len(body) < len(low) and body[-1].isalpha() and body[-1].lower().isalpha():
+            out = self[body] + self.tails[low[len(body) :]]
+        elif low != chunk:
+            out = self[low]
+        else:
+            out = self.whole(self.prefix + chunk)
         if len(self) < self.bound and len(chunk) <= LONGEST:
             self[chunk] = out
         return out
@@ -59,7 +75,7 @@ class WordEncoder:
 
     def __init__(self, path: str, dtype: str = "<u4", bound: int = CACHE_BOUND, special: bool = False):
         lib = _library(path, special)
-        self.chunks = _Chunks(lib, dtype, "", bound)
+        self.chunks = _Chunks(lib, dtype, "", bound, folds=True)
         self.chunks[""] = b""
         self.special = _special(lib) if special else None
 
@@ -79,7 +95,8 @@ class ByteEncoder:
     def __init__(self, path: str, dtype: str = "<u2", bound: int = CACHE_BOUND, special: bool = False):
         lib = _library(path, special)
         self.special = _special(lib) if special else None
-        self.spaced, self.bare = _Chunks(lib, dtype, " ", bound), _Chunks(lib, dtype, "", bound)
+        self.bare = _Chunks(lib, dtype, "", bound)
+        self.spaced = _Chunks(lib, dtype, " ", bound, tails=self.bare)
         self.newline = self.bare["\n"]
 
     def _line(self, line: str) -> bytes:
