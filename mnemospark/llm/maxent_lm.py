@@ -151,10 +151,16 @@ def encode(docs: DataFrame, training: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("learn"), text_of().alias("text")).mapInArrow(run, ENCODED)
 
 
+def _without_lexicon() -> None:
+    """Later passes read keys: the worker's words go, and their memory with them."""
+    hold("language model keys", dict)
+
+
 def count_tokens(encoded: DataFrame) -> DataFrame:
     """(hash, c) of every token key of encoded texts; partial counts are summed before the shuffle."""
 
     def run(batches):
+        _without_lexicon()
         held, size = [], 0
 
         def flush():
@@ -234,6 +240,7 @@ def class_trigrams(encoded: DataFrame, classes: Classes) -> DataFrame:
     """(cell, n): how often each (class two before, class before, class) occurs in training texts."""
 
     def run(batches):
+        _without_lexicon()
         total = np.zeros(CLASSES**3, np.int64)
         for b in batches:
             for _, _, c, ctx, _ in positions(b.column(0).to_pylist(), classes):
@@ -421,6 +428,7 @@ def train_words(encoded: DataFrame, model: MaxEnt, classes: Classes, tokens: int
         now = sc.broadcast(pickle.dumps((words, z)))
 
         def gradient(batches):
+            _without_lexicon()
             words, z = pickle.loads(now.value)
             seen, want, any_ = np.zeros(words.w.size), np.zeros((GROUPS, words.buckets)), False
             for b in batches:
@@ -475,6 +483,7 @@ def score_rows(encoded: DataFrame, scorer: Scorer) -> DataFrame:
     tail_type = pa.list_(pa.struct([("hash", pa.int64()), ("k", pa.int64())]))
 
     def run(batches):
+        _without_lexicon()
         s = pickle.loads(packed.value)
         for b in batches:
             logs, known, class_log, tails = [], [], [], []
