@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.operators.joins import join_by_size
+from mnemospark.operators.segmented import prefix
+from mnemospark.session import written
+
 
 def concatenate(parts: dict[str, DataFrame]) -> DataFrame:
     """All parts with a subset column; missing columns become null."""
@@ -17,13 +21,13 @@ def concatenate(parts: dict[str, DataFrame]) -> DataFrame:
 def round_robin(df: DataFrame, source: str, order: list[str], stop: str = "all_exhausted") -> DataFrame:
     """Adds turn (place in its source) and seat (source number): sorted by both, sources alternate.
 
-    first_exhausted: whole turns of the shortest source only. all_exhausted: every row; sources that end drop out.
+    first_exhausted: whole turns of the shortest source only. all_exhausted: every row once; sources that end drop out.
+    ``interleave`` draws with repetition instead.
     """
-    numbered = df.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(*order)).cast("long") - 1)
-    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
-    seats = sizes.select(source, (F.row_number().over(Window.orderBy(source)) - 1).cast("int").alias("seat"), F.min("_n").over(Window.partitionBy()).alias("_least"))
-    out = numbered.join(seats, source)
-    return (out.filter(F.col("turn") < F.col("_least")) if stop == "first_exhausted" else out).drop("_least")
+    sizes = written(df.groupBy(source).agg(F.count(F.lit(1)).alias("_n")), "sources")
+    seats = prefix(sizes, [], [source], position="_seat").select(source, F.col("_seat").cast("int").alias("seat"), "_n")
+    out = join_by_size(prefix(df, [source], order, position="turn"), seats, [source], "_n")
+    return out.filter(F.col("turn") < F.lit(sizes.agg(F.min("_n")).first()[0])) if stop == "first_exhausted" else out
 
 
 def weighted_interleave(df: DataFrame, source: str, order: list[str], weights: dict[str, float], default: float = 1.0) -> DataFrame:
@@ -32,14 +36,71 @@ def weighted_interleave(df: DataFrame, source: str, order: list[str], weights: d
     Sources without a weight, null among them, have the default one.
     """
     w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
-    turn = F.row_number().over(Window.partitionBy(source).orderBy(*order))
-    return df.withColumn("position_key", turn / F.coalesce(F.try_element_at(w, F.col(source)), F.lit(default)))
+    x = prefix(df, [source], order, position="_turn")
+    return x.withColumn("position_key", (F.col("_turn") + 1) / F.coalesce(F.try_element_at(w, F.col(source)), F.lit(default))).drop("_turn")
+
+
+def drawn_seat(position: Column, weights: list[float], seed: int, batch: int = 1) -> Column:
+    """The source that a place is drawn from: a seeded categorical draw, one for each batch of places.
+
+    The draw is the first 32 bits of the MD5 of ``seed:draw`` as a share of 2^32, so any engine can replay it.
+    """
+    share = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.floor(position / batch).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    drawable = [i for i, w in enumerate(weights) if w > 0]
+    seat = F.lit(drawable[-1])
+    for i in reversed(drawable[:-1]):
+        seat = F.when(share < F.lit(sum(weights[: i + 1]) / sum(weights)), F.lit(i)).otherwise(seat)
+    return seat.cast("int")
+
+
+def interleave(df: DataFrame, source: str, order: list[str], sources: list[str], weights: list[float] | None = None, stop: str = "first_exhausted", seed: int = 0, batch: int = 1) -> DataFrame:
+    """One stream of several sources: adds position (place in the stream) and repeat (how often the row came before).
+
+    Without weights the sources take turns; with them each place, or each batch of places, is drawn by weight (``drawn_seat``). A
+    source that ends begins again. first_exhausted stops after the last row of the source that ends first, all_exhausted once every source has
+    ended. A source without rows counts as ended when its turn first comes, and gives nothing.
+
+    Draws are numbered by source with segmented prefix counts and meet the rows by (source, place), so neither a long source nor a
+    short one that comes very often is one task's work. Only one row for each source reaches the driver.
+    """
+    if stop not in ("first_exhausted", "all_exhausted"):
+        raise ValueError(f"unknown stop rule {stop}")
+    if weights is not None and (len(weights) != len(sources) or min(weights) < 0 or sum(weights) <= 0):
+        raise ValueError("weights: one for each source, not negative, not all zero")
+    if weights is not None and stop == "all_exhausted" and min(weights) == 0:
+        raise ValueError("a source of weight 0 never ends")
+    spark = df.sparkSession
+    rows = written(prefix(df.filter(F.col(source).isin(sources)), [source], order, position="_turn"), "turns")
+    sizes = {r[source]: r["n"] for r in rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one a source
+    n = [sizes.get(s, 0) for s in sources]
+    which = min if stop == "first_exhausted" else max
+    if weights is None:
+        length = which(i + max(0, size - 1) * len(sources) for i, size in enumerate(n)) + 1
+        places = spark.range(length).select(F.col("id").alias("position"), (F.col("id") % len(sources)).cast("int").alias("_seat"), F.floor(F.col("id") / len(sources)).cast("long").alias("_nth"))
+    else:
+        total = sum(weights)
+        reach = int(which(max(1, size) * total / w for size, w in zip(n, weights, strict=True) if w > 0) * 1.1) + 100 * batch
+        while True:
+            drawn = spark.range(reach).select(F.col("id").alias("position"), drawn_seat(F.col("id"), weights, seed, batch).alias("_seat"))
+            places = written(prefix(drawn, ["_seat"], ["position"], position="_nth"), "draws")
+            last = F.get(F.array(*[F.lit(max(1, size) - 1).cast("long") for size in n]), F.col("_seat"))
+            ends = [r["position"] for r in places.filter(F.col("_nth") == last).select("position").collect()]  # one a source
+            if ends and (stop == "first_exhausted" or len(ends) == len(sources)):
+                break
+            reach *= 2
+        length = which(ends) + 1
+        places = places.filter(F.col("position") < length)
+    names, counts = F.array(*[F.lit(s) for s in sources]), F.array(*[F.lit(size).cast("long") for size in n])
+    size = F.get(counts, F.col("_seat"))
+    asked = places.filter(size > 0).select("position", F.get(names, F.col("_seat")).alias(source), (F.col("_nth") % size).alias("_turn"), F.floor(F.col("_nth") / size).cast("long").alias("repeat"))
+    often = {s: -(-length // max(1, size)) for s, size in sizes.items()}  # a row of a short source may be most of the stream
+    return join_by_size(asked, rows.withColumn("_often", F.element_at(F.create_map(*[F.lit(x) for kv in often.items() for x in kv]), F.col(source)).cast("long")), [source, "_turn"], "_often").drop("_turn") if often else asked.join(rows, [source, "_turn"]).drop("_turn")
 
 
 def capped_by_cluster(df: DataFrame, cluster: str, key: str, cap: int, total: int, seed: int = 0) -> DataFrame:
     """At most cap rows of each cluster in a seeded order, then others in that order up to total rows (a sampling operator)."""
     h = F.xxhash64(key, F.lit(seed))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(cluster).orderBy(h, key))).withColumn("_late", F.col("_r") > cap)
+    ranked = prefix(df, [cluster], [h, key], position="_r").withColumn("_late", F.col("_r") >= cap)
     return ranked.orderBy("_late", h, key).limit(total).drop("_r", "_late")
 
 
@@ -61,7 +122,7 @@ def hard_negatives(negatives: Column, positive_score: Column, above: float | Non
 def other_label_pools(df: DataFrame, label: str, key: str, per_label: int, seed: int = 0) -> DataFrame:
     """(label, pool): up to per_label seeded rows of every other label as negatives; per_label bounds the pools (sampling)."""
     w = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    few = df.select(label, key).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_label)
-    own = few.groupBy(label).agg(F.sort_array(F.collect_list(key)).alias("own"))
-    other = own.select(F.col(label).alias("_other"), "own")
-    return own.select(label).join(other, F.col(label) != F.col("_other")).groupBy(label).agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("pool"))
+    few = df.select(label, key).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_label)  # a limit of a rank: each task keeps per_label a label
+    whole = few.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), F.col(label).alias("label")))).alias("_all"))  # one row: per_label keys a label
+    others = F.filter("_all", lambda e: ~e["label"].eqNullSafe(F.col(label)))
+    return few.select(label).distinct().join(F.broadcast(whole)).select(label, F.transform(others, lambda e: e["key"]).alias("pool")).filter(F.size("pool") > 0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.search import place
+from mnemospark.operators.segmented import prefix
 
 
 def anchored_windows(df: DataFrame, start: str, width: int, by: list[str]) -> DataFrame:
@@ -33,14 +34,13 @@ def rollup_windows(df: DataFrame, start: str, end: str, text: str, width: int, b
 
 def every_n(df: DataFrame, ordinal: str, n: int, by: list[str]) -> DataFrame:
     """Adds group_no: rows 0..n-1 by ordinal are group 0, and so on."""
-    w = Window.partitionBy(*by).orderBy(ordinal)
-    return df.withColumn("group_no", F.floor((F.row_number().over(w) - 1) / n).cast("long"))
+    return prefix(df, by, [ordinal], position="_pos").withColumn("group_no", F.floor(F.col("_pos") / n).cast("long")).drop("_pos")
 
 
 def running_mean(df: DataFrame, value: str, ordinal: list[str], by: list[str]) -> DataFrame:
     """Adds mean_so_far: the mean of value over the rows of a group up to this one."""
-    w = Window.partitionBy(*by).orderBy(*ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("mean_so_far", F.avg(value).over(w))
+    sums = {"_sum": F.col(value), "_given": F.col(value).isNotNull().cast("long")}
+    return prefix(df, by, ordinal, sums, position="_pos").withColumn("mean_so_far", F.try_divide("_sum", "_given")).drop("_pos", "_sum", "_given")
 
 
 def linspace_positions(n: Column, m: int) -> Column:
@@ -52,18 +52,20 @@ def linspace_positions(n: Column, m: int) -> Column:
 
 def linspace_sample(df: DataFrame, ordinal: list[str], m: int, by: list[str]) -> DataFrame:
     """At most m rows of each group, evenly spread by position."""
-    w = Window.partitionBy(*by)
-    x = df.withColumn("_pos", F.row_number().over(w.orderBy(*ordinal)).cast("long") - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    x = prefix(df, by, ordinal, size="_n", position="_pos")
     return x.filter((F.col("_n") <= m) | F.array_contains(linspace_positions(F.col("_n"), m), F.col("_pos"))).drop("_pos", "_n")
 
 
 def proportional_sample(df: DataFrame, ordinal: list[str], ratio: float, by: list[str]) -> DataFrame:
-    """max(1, int(n * ratio)) rows of each group, evenly spread by position."""
-    w = Window.partitionBy(*by)
-    x = df.withColumn("_pos", F.row_number().over(w.orderBy(*ordinal)).cast("long") - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    """max(1, int(n * ratio)) rows of each group, evenly spread by position.
+
+    Place p is taken when some i has floor(i * (n - 1) / (m - 1)) = p; the only one that can is the least i that does not fall below p.
+    """
+    x = prefix(df, by, ordinal, size="_n", position="_pos")
     x = x.withColumn("_m", F.greatest(F.lit(1), F.floor(F.col("_n") * ratio)).cast("long"))
-    spread = F.expr("transform(sequence(0L, _m - 1), i -> CASE WHEN _m = 1 THEN 0L ELSE CAST(floor(i * (_n - 1) / (_m - 1)) AS BIGINT) END)")
-    return x.filter(F.array_contains(spread, F.col("_pos"))).drop("_pos", "_n", "_m")
+    x = x.withColumn("_i", F.expr("CASE WHEN _m > 1 THEN (CAST(_pos AS DECIMAL(19, 0)) * (_m - 1) + (_n - 2)) DIV (_n - 1) ELSE 0 END"))
+    at = F.expr("CASE WHEN _m > 1 THEN (CAST(_i AS DECIMAL(19, 0)) * (_n - 1)) DIV (_m - 1) ELSE 0 END")
+    return x.filter((F.col("_i") < F.col("_m")) & (at == F.col("_pos"))).drop("_pos", "_n", "_m", "_i")
 
 
 def contiguous_splits(df: DataFrame, ordinal: str, k: int) -> DataFrame:

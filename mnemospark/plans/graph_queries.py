@@ -139,6 +139,37 @@ def weighted_interleave(spark, sf_dir):
     return x.select("doc_id", F.round("position_key", 6).alias("position_key"))
 
 
+_MIX = {"en": 0.5, "de": 0.3, "fr": 0.2}
+
+
+def _interleave_sql(stop: str, drawn: bool, reach: int = 60) -> str:
+    """The stream replayed place by place: draws by MD5, each source's rows by their number modulo its size."""
+    names, upto = list(_MIX), [sum(list(_MIX.values())[: k + 1]) for k in range(len(_MIX))]
+    share = "(('0x' || substr(md5('7:' || pos), 1, 8))::BIGINT / 4294967296.0)"
+    seat = f"CASE WHEN {share} < {upto[0]} THEN 0 WHEN {share} < {upto[1]} THEN 1 ELSE 2 END" if drawn else f"pos % {len(names)}"
+    which = "min" if stop == "first_exhausted" else "max"
+    at = " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(names))
+    return f"""WITH d AS (SELECT doc_id, CASE lang {at} END AS seat, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS turn FROM documents WHERE lang IN {tuple(names)}),
+    size AS (SELECT seat, count(*) AS n FROM d GROUP BY seat),
+    p AS (SELECT pos, {seat} AS seat FROM (SELECT unnest(range({reach} * (SELECT count(*) FROM d))) AS pos)),
+    o AS (SELECT pos, seat, row_number() OVER (PARTITION BY seat ORDER BY pos) - 1 AS nth FROM p),
+    e AS (SELECT {which}(pos) AS last FROM o JOIN size USING (seat) WHERE nth = n - 1)
+    SELECT pos AS position, doc_id, (nth // n)::BIGINT AS repeat FROM o JOIN size USING (seat) JOIN d ON d.seat = o.seat AND d.turn = nth % n WHERE pos <= (SELECT last FROM e)"""
+
+
+def _interleaved(stop: str, drawn: bool):
+    @query(f"interleave_{'drawn' if drawn else 'cycled'}_{stop}", _interleave_sql(stop, drawn))
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+        x = mixing.interleave(docs, "lang", ["doc_id"], list(_MIX), list(_MIX.values()) if drawn else None, stop, seed=7)
+        return x.select("position", "doc_id", "repeat")
+
+
+for _stop in ("first_exhausted", "all_exhausted"):
+    for _drawn in (False, True):
+        _interleaved(_stop, _drawn)
+
+
 @query("hard_negatives", f"WITH {EVENTS_SQL}, q AS (SELECT user_id, max(value) AS pos FROM ev GROUP BY 1), n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS r FROM ev) SELECT user_id, count(*) AS kept, sum(event_id)::BIGINT AS ids FROM n JOIN q USING (user_id) WHERE r >= 1 AND r < 20 AND value > 1 AND value < pos - 0.5 AND value < pos * 0.95 GROUP BY user_id")
 def hard_negatives(spark, sf_dir):
     e = clock_events(spark, sf_dir)
