@@ -35,7 +35,7 @@ def centroids(keys: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8
     return c
 
 
-def _cells_of(rows: DataFrame, key: str, c: np.ndarray, probes: int) -> DataFrame:
+def dealt_to_cells(rows: DataFrame, key: str, c: np.ndarray, probes: int) -> DataFrame:
     """(key, vector, cell): each row once for each of its probes nearest cells."""
     packed = rows.sparkSession.sparkContext.broadcast(c)  # cells by dimensions
 
@@ -53,7 +53,7 @@ def _cells_of(rows: DataFrame, key: str, c: np.ndarray, probes: int) -> DataFram
 def build(keys: DataFrame, cells: int = 64, sample: int = 20_000) -> tuple[np.ndarray, DataFrame]:
     """(centroids, rows of all keys with their cell)."""
     c = centroids(keys, cells, sample)
-    return c, _cells_of(keys, "key_id", c, 1)
+    return c, dealt_to_cells(keys, "key_id", c, 1)
 
 
 def search(index: tuple[np.ndarray, DataFrame], queries: DataFrame, k: int, probes: int = 8, block: int = 20_000, skip_self: bool = False) -> DataFrame:
@@ -61,7 +61,7 @@ def search(index: tuple[np.ndarray, DataFrame], queries: DataFrame, k: int, prob
     c, indexed = index
     sizes = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = indexed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("key_id"), F.col("blocks")).cast("int"))  # sizes: one row a cell
-    asks = _cells_of(queries, "query_id", c, min(probes, max(1, len(c)))).join(F.broadcast(sizes), "cell")
+    asks = dealt_to_cells(queries, "query_id", c, min(probes, max(1, len(c)))).join(F.broadcast(sizes), "cell")
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = lambda df, n, key: df.select("cell", "block", F.lit(n).alias("side"), F.col(key).alias("id"), "vector")
     both = side(asks, 0, "query_id").unionByName(side(dealt, 1, "key_id"))

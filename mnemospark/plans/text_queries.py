@@ -9,11 +9,12 @@ from mnemospark.functions import repair, timecode
 from mnemospark.functions import text as tx
 from mnemospark.functions import vectors as vec
 from mnemospark.functions.providers import HashEmbedder, ModalityEmbedder, Router, ScriptedGenerator, embed_by_kind, generate_as
-from mnemospark.operators import evallog, gates, metrics, mixing, postings, records, store, vector_index, windows
+from mnemospark.operators import evallog, gates, graph_index, metrics, mixing, postings, records, similarity_lsh, store, vector_index, windows
 from mnemospark.plans import captioning, extraction, reasoning
 from mnemospark.plans.eval_queries import _RANKED, _ranked
 from mnemospark.plans.registry import query
 from mnemospark.plans.tables import EVENTS_SQL, FACTS_SQL, clock_events, star_facts, table
+from mnemospark.session import written
 from mnemospark.sources.captions import day_of_file
 
 _HMS = lambda s: f"lpad(({s} // 3600)::VARCHAR, 2, '0') || lpad(({s} // 60 % 60)::VARCHAR, 2, '0') || lpad(({s} % 60)::VARCHAR, 2, '0')"
@@ -260,8 +261,6 @@ def unit_and_late_scores(spark, sf_dir):
 @query("vector_index_search", "SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, (SELECT count(*) FROM embeddings) AS indexed, true AS recall_reached FROM embeddings")
 def vector_index_search(spark, sf_dir):
     """Every vector is in the index; ids divisible by 20 search it; the recall against the exact search is 0.9 or more."""
-    from mnemospark.session import written
-
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     keys, asks = e.withColumnRenamed("vec_id", "key_id"), e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
     c, rows = vector_index.build(keys, cells=16)
@@ -271,6 +270,42 @@ def vector_index_search(spark, sf_dir):
     return asks.agg(F.count(F.lit(1)).alias("queries")).withColumns({"indexed": F.lit(rows.count()), "recall_reached": F.lit(reached)})
 
 
+_NEAREST_SQL = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, round(list_cosine_similarity(q.v, k.v), 6) AS score FROM e q JOIN e k ON q.vec_id <> k.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, key_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS rank FROM x QUALIFY rank <= 10"
+
+
+@query("vector_graph_search", _NEAREST_SQL)
+def vector_graph_search(spark, sf_dir):
+    """Ids divisible by 20 search the neighbour graph over all vectors; the twin ranks every vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    c, nodes = graph_index.build(e.withColumnRenamed("vec_id", "key_id"))
+    asks = e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = graph_index.search((c, written(nodes, "graph-index")), asks, 10, skip_self=True)
+    return found.select("query_id", "key_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _word_vectors(spark, sf_dir):
+    """(id, vector): 64 signed counts of a document's distinct words by their MD5."""
+    words = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    h = F.md5(F.col("w").cast("binary"))
+    x = words.select("id", (F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % 64).alias("i"), F.when(F.substring(h, 3, 1) < "8", 1.0).otherwise(-1.0).alias("n"))
+    return x.groupBy("id").agg(F.array(*[F.sum(F.when(F.col("i") == k, F.col("n")).otherwise(0.0)) for k in range(64)]).alias("vector"))
+
+
+@query(
+    "similar_text_pairs",
+    """WITH words AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL),
+    sums AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 2))::INT % 64 AS i, sum(CASE WHEN substr(md5(w), 3, 1) < '8' THEN 1 ELSE -1 END) AS n FROM words GROUP BY ALL),
+    vecs AS (SELECT doc_id, list(coalesce(n, 0)::DOUBLE ORDER BY k) AS v FROM (SELECT doc_id, unnest(range(64)) AS k FROM (SELECT DISTINCT doc_id FROM words)) LEFT JOIN (SELECT doc_id, i AS k, n FROM sums) USING (doc_id, k) GROUP BY doc_id),
+    cls AS (SELECT min(doc_id) AS id, v FROM vecs WHERE list_inner_product(v, v) > 0 GROUP BY v)
+    SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM cls a JOIN cls b ON a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.9""",
+)
+def similar_text_pairs(spark, sf_dir):
+    """Documents by their words' signs: all pairs of distinct vectors at a cosine of 0.9, found through probed bands."""
+    cls = similarity_lsh.classes(_word_vectors(spark, sf_dir))
+    rows = written(cls.select(F.col("class_id").alias("id"), "vector"), "word-vectors")
+    return similarity_lsh.similar_pairs(rows, 0.9, recall=0.9999)
+
+
 @query("raising_gates", "SELECT unnest(['columns', 'duplicate', 'frames', 'sizes', 'task', 'unknown']) AS gate, true AS raised")
 def raising_gates(spark, sf_dir):
     """Each gate lets good rows pass and stops bad ones."""
