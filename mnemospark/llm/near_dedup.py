@@ -343,7 +343,8 @@ def family_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_key", "digest", "shingles"])
 
     made = docs.select(key.alias("doc_key"), F.xxhash64(key).alias("h"), text_of().alias("text")).mapInArrow(run, "doc_key long, digest binary, shingles array<long>")
-    return made.join(members, ["doc_key", "digest"]).select("family", "blocks", "node", "shingles")
+    once = made.dropDuplicates(["doc_key", "digest"])  # repeated rows of a document are one set; they fold before the shuffle
+    return once.join(members, ["doc_key", "digest"]).select("family", "blocks", "node", "shingles")
 
 
 def confirmed(sets: DataFrame, percent: int, large: bool = True) -> DataFrame:
