@@ -3,9 +3,9 @@
 A text becomes a row of tokens: words, and each CJK character by itself. Of its k-token windows (after k-1 leading
 pads, so short texts have windows too) those stay whose least s-token substring lies at the window's first or last
 place: closed syncmers. The choice looks at nothing but the window itself, so an edit changes only the anchors that
-touch it, and equal passages keep their anchors wherever they stand. The likeness of two texts is exact: the distinct
-syncmers (64 bits each) that both have, as a share of those that either has. The printed fingerprint is a short form
-that no likeness is made from: the ``size`` smallest anchor hashes (32 bits each) as hexadecimal text.
+touch it, and equal passages keep their anchors wherever they stand. The fingerprint of a text is the set of all its
+anchors (32 bits each), printed ascending as 8 hexadecimal digits each. The likeness of two fingerprints is the number of anchors that
+both have as a share of those that either has, so it follows from the printed forms alone; nothing is cut.
 
 The next document by id comes from buckets of neighbouring rows in the order of (doc_id, hash of the text). Their bounds
 are quantiles of the keys themselves, so outliers, null ids and ids that repeat make no bucket larger than others: a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import text_of, written
 
-K, S, SIZE = 5, 2, 128
+K, S = 5, 2
 MOST_BUCKETS = 65_536
 _CJK = r"[⺀-鿿가-힯豈-﫿]"
 
@@ -72,19 +72,10 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
     return F.filter(numbered, lambda x: x["hash"].isNotNull())
 
 
-def distinct_anchors(text: Column) -> Column:
-    """The hashes of all syncmers of a text, each once."""
-    return F.array_distinct(F.filter(anchors(text), lambda h: h.isNotNull()))
-
-
-def short_form(all_anchors: Column, size: int = SIZE) -> Column:
-    """The smallest distinct anchors, 32 bits each, ascending."""
-    short = F.transform(all_anchors, lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
-    return F.slice(F.sort_array(F.array_distinct(short)), 1, size)
-
-
-def sketch(text: Column, size: int = SIZE) -> Column:
-    return short_form(distinct_anchors(text), size)
+def fingerprint(text: Column) -> Column:
+    """All anchors of a text, 32 bits each, distinct and ascending."""
+    short = F.transform(F.filter(anchors(text), lambda h: h.isNotNull()), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.array_sort(F.array_distinct(short))
 
 
 def as_text(sk: Column) -> Column:
@@ -92,7 +83,7 @@ def as_text(sk: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the distinct anchors of a and b together that both have."""
+    """Share of the anchors of two fingerprints together that both have; 1 for two empty ones."""
     share = let(F.size(F.array_intersect(a, b)), lambda both: both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(share)
 
@@ -136,23 +127,23 @@ def with_next(rows: DataFrame, columns: list[str], made: dict[str, Column], per_
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every whole text."""
-    return docs.select("doc_id", as_text(sketch(text_of())).alias("fingerprint"))
+    return docs.select("doc_id", as_text(fingerprint(text_of())).alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited form (last quarter from the next document's beginning)."""
     text = text_of()
     rows = docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.xxhash64(text).alias("tie"))
-    near = with_next(rows, ["text", "anchors"], {"anchors": distinct_anchors(F.col("text"))})
+    near = with_next(rows, ["text", "anchors"], {"anchors": fingerprint(F.col("text"))})
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
-    edited = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "anchors", "next_anchors", distinct_anchors(F.col("edited")).alias("edited_anchors"))
+    edited = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "anchors", "next_anchors", fingerprint(F.col("edited")).alias("edited_anchors"))
     return edited.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(short_form(F.col("anchors"))).alias("fingerprint"),
-        as_text(short_form(F.col("edited_anchors"))).alias("edited_fingerprint"),
+        as_text(F.col("anchors")).alias("fingerprint"),
+        as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
         likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )

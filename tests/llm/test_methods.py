@@ -248,6 +248,18 @@ def test_group_of_near_copies_with_small_blocks(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_repeated_rows_of_a_document_reach_a_group_once(spark, monkeypatch):
+    words = [f"w{k}" for k in range(200)]
+    rows = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(" ".join(words)).alias("text"))
+    docs = rows.unionByName(spark.createDataFrame([(9, " ".join([*words[:-1], "last"])), (8, "quite another text of more than five words")], "doc_id long, text string"))
+    seen = []
+    plain = near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda sets, *a: (seen.append(sets.count()), plain(sets, *a))[1])
+    got = near_dedup.near_dedup(docs.repartition(6), 85).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {(r.doc_id, r.component_id, r.kept, r["count"]) for r in got} == {(7, 7, True, 30_000), (9, 7, False, 1), (8, 8, True, 1)}
+    assert seen == [2]
+
+
 def test_large_families_that_fall_apart(spark):
     """Two chains and loose members that look alike by signature, over many small blocks: leftovers meet all members."""
     rng = random.Random(11)
@@ -542,7 +554,7 @@ def test_likenesses_are_exact_on_long_texts(spark):
     texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(6000)] + passage) for _ in range(3)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     edited = [t[: len(t) - len(t) // 4] + texts[(k + 1) % 3][: len(t) // 4] for k, t in enumerate(texts)]
-    sets = [[{x.hash for x in r.s} for r in spark.createDataFrame(list(enumerate(x)), "k int, t string").select("k", syncmers.syncmers(F.col("t")).alias("s")).orderBy("k").collect()] for x in (texts, edited)]
+    sets = [[{x.hash & 0xFFFFFFFF for x in r.s} for r in spark.createDataFrame(list(enumerate(x)), "k int, t string").select("k", syncmers.syncmers(F.col("t")).alias("s")).orderBy("k").collect()] for x in (texts, edited)]
     share = lambda a, b: len(a & b) / len(a | b)
     for r in syncmers.edited_fingerprints(df).collect():
         k = r.doc_id
@@ -583,13 +595,15 @@ def test_op8_edits_and_neighbours(spark, sf, docs):
     assert 0.5 < np.mean(near) < 0.7
     # likenesses and fingerprints from the plain sets of places and hashes
     edited = [x[: len(x) - len(x) // 4] + t[(k + 1) % len(t)][: len(x) // 4] for k, x in enumerate(t)]
-    of = lambda texts: [{h.hash for h in r.s} for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", syncmers.syncmers(F.col("t")).alias("s")).orderBy("k").collect()]
+    of = lambda texts: [{h.hash & 0xFFFFFFFF for h in r.s} for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", syncmers.syncmers(F.col("t")).alias("s")).orderBy("k").collect()]
     share = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
     own, other = of(t), of(edited)
-    shown = lambda s: "".join(f"{h:08x}" for h in sorted({h & 0xFFFFFFFF for h in s})[: syncmers.SIZE])
+    shown = lambda s: "".join(f"{h:08x}" for h in sorted(s))
     for k, i in enumerate(docs.doc_id):
         assert got[i].near_edited == share(own[k], other[k]) and got[i].near_next == share(own[k], own[(k + 1) % len(t)])
         assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(own[k]), shown(other[k]))
+        a, b, c = ({f[j : j + 8] for j in range(0, len(f), 8)} for f in (got[i].fingerprint, got[i].edited_fingerprint, got[docs.doc_id[(k + 1) % len(t)]].fingerprint))
+        assert (got[i].near_edited, got[i].near_next) == (share(a, b), share(a, c))  # from the returned columns alone
     same = collections.defaultdict(set)
     for i, x in zip(docs.doc_id, t, strict=True):
         same[x].add(got[i].fingerprint)
