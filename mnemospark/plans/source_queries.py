@@ -358,3 +358,41 @@ def appended_log_stream(spark, sf_dir):
         stream = streams.folder(spark, f"{root}/in", "event_id long, user_id long, event_type string")
         streams.appended(stream, f"{root}/out", f"{root}/mark").awaitTermination()
     return latest(spark.read.parquet(f"{root}/out"), "user_id", "event_id").select("user_id", F.col("event_id").alias("last_event"), "event_type")
+
+
+@query("versioned_vector_store", "SELECT 'chunk-' || md5(text) AS hash_id, any_value(text) AS content, length(any_value(text))::DOUBLE AS size FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING min(doc_id) % 7 <> 0 OR bool_or(doc_id % 3 = 0)")
+def versioned_vector_store(spark, sf_dir):
+    """A stream of changes over a versioned store: two thirds of the documents arrive, every seventh is deleted, the last third brings some back."""
+    from mnemospark.streaming import streams
+    from mnemospark.sources.versioned import VectorStore
+
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", tx.chunk_id(F.col("text")).alias("hash_id"), F.col("text").alias("content"))
+    first = d.groupBy("hash_id").agg(F.min("doc_id").alias("first"), F.any_value("content").alias("content"))
+    root = _folder(spark, "versions")
+    embed = lambda df: df.select("hash_id", "content", F.array(F.length("content").cast("double")).alias("embedding"))
+    arrivals = [first.select("hash_id", "content", F.lit(False).alias("gone")), first.filter("first % 7 = 0").select("hash_id", F.lit(None).cast("string").alias("content"), F.lit(True).alias("gone")), d.filter("doc_id % 3 = 0").select("hash_id", "content", F.lit(False).alias("gone"))]
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{root}/in")
+        changes = streams.folder(spark, f"{root}/in", "hash_id string, content string, gone boolean")
+        streams.maintain_store(changes, f"{root}/store", embed, f"{root}/mark").awaitTermination()
+    return VectorStore(spark, f"{root}/store").read().select("hash_id", "content", F.col("embedding")[0].alias("size"))
+
+
+_STAYS = "kept AS (SELECT * FROM facts WHERE length(chunk) % 2 = 1 OR right(chunk, 1) IN ('0', '3', '6'))"
+
+
+@query("incremental_graph", f"WITH {FACTS_SQL}, {_STAYS} SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT s AS src, o AS dst FROM kept WHERE s <> o UNION ALL SELECT o, s FROM kept WHERE s <> o) GROUP BY ALL")
+def incremental_graph(spark, sf_dir):
+    """The fact graph after chunks were added, taken out and added again by signed counts; the twin builds it from what stays."""
+    from mnemospark.operators.graph_delta import IncrementalGraph
+
+    facts = star_facts(spark, sf_dir)
+    g = IncrementalGraph(spark, _folder(spark, "graph"))
+    odd = F.length("chunk") % 2 == 1
+    back = F.substring("chunk", -1, 1).isin("0", "3", "6")
+    g.add(facts.filter(odd))
+    g.add(facts)  # what is there is not counted twice
+    g.delete(facts.filter(~odd).select("chunk"))
+    g.add(facts.filter(~odd & back))
+    g.compact(most=2)
+    return g.weights()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mnemospark.operators.store import missing
+from mnemospark.sources.versioned import VectorStore
 
 
 def folder(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -35,6 +36,22 @@ def upsert_store(incoming: DataFrame, store_path: str, embed, checkpoint: str) -
     return incoming.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def maintain_store(changes: DataFrame, store_path: str, embed, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Keeps a VectorStore after a stream of changes (hash_id, content, gone): gone ids are deleted, others inserted.
+
+    The number of the batch is a mark of the version it makes, so a batch that runs again after a restart changes nothing. In one batch
+    the deletion of an id comes before its insertion.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        store = VectorStore(df.sparkSession, store_path)
+        store.delete(df.filter("gone").select("hash_id"), mark=(f"{name}-delete", number))
+        store.insert(df.filter("NOT gone"), embed, mark=(f"{name}-insert", number))
+        store.table.compact(most=8)
+
+    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums for each event type and window; rows later than the watermark are dropped by it."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
