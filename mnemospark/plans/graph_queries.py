@@ -247,6 +247,29 @@ def consolidation_fold(spark, sf_dir):
     return fold(slices, embed, decide).select("snapshot_ts", "triple_id", "s", "p", "o", F.array_join("evidence", ",").alias("evidence"))
 
 
+@query("consolidation_stream", _fold_sql(5))
+def consolidation_stream(spark, sf_dir):
+    """The same fold as keyed state of a stream: five slices arrive in three runs, each going on from the checkpoint of the one before."""
+    import uuid
+
+    from mnemospark.session import shared_dir
+    from mnemospark.streaming import consolidate as keyed
+    from mnemospark.streaming.streams import folder
+
+    c = table(spark, sf_dir, "customer")
+    day = F.col("c_nationkey").cast("long") % 5
+    at = F.timestamp_seconds((day + 1) * 86_400)  # a watermark begins at the epoch, and what is not after it is late
+    facts = c.select(F.col("c_mktsegment").alias("topic"), at.alias("ts"), F.col("c_custkey").cast("long").alias("triple_id"), F.lower("c_name").alias("s"), F.lit("buys as").alias("p"), F.col("c_mktsegment").alias("o"), F.array(F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("evidence"))
+    root = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+    decide = lambda new, known: (new, [known[0]["triple_id"]])
+    for first, last in ((0, 1), (2, 2), (3, 4)):
+        facts.filter(F.unix_timestamp("ts").between((first + 1) * 86_400, (last + 1) * 86_400)).write.mode("append").parquet(f"{root}/in")
+        keyed.consolidate(folder(spark, f"{root}/in", "topic string, ts timestamp, " + keyed.FACT), f"{root}/log", f"{root}/mark", decide).awaitTermination()
+    log = spark.read.schema(keyed.LOG).parquet(f"{root}/log")
+    held = keyed.snapshots(log, facts.select("ts"))
+    return held.select((F.unix_timestamp("ts") / 86_400 - 1).cast("long").alias("snapshot_ts"), "triple_id", "s", "p", "o", F.array_join("evidence", ",").alias("evidence"))
+
+
 _LETTERS = lambda t: "[" + ", ".join(f"(length(lower({t})) - length(replace(lower({t}), '{c}', '')))::DOUBLE" for c in "abcdefghilmnorst") + "]"
 
 

@@ -396,3 +396,17 @@ def incremental_graph(spark, sf_dir):
     g.add(facts.filter(~odd & back))
     g.compact(most=2)
     return g.weights()
+
+
+@query("ranged_json_array", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, text, lang FROM documents")
+def ranged_json_array(spark, sf_dir):
+    """All documents as one JSON array in one file, read back by byte ranges."""
+    from mnemospark.operators.segmented import prefix
+    from mnemospark.sources.json_ranges import read_array
+
+    d = prefix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), [], ["doc_id"], size="n")
+    first, last = F.col("position") == 0, F.col("position") == F.col("n") - 1
+    line = F.concat(F.when(first, "[\n").otherwise(""), F.to_json(F.struct("doc_id", "text", "lang")), F.when(last, "\n]").otherwise(","))
+    root = _folder(spark, "array")
+    d.select("position", line.alias("value")).coalesce(1).sortWithinPartitions("position").select("value").write.text(root)  # one file, as it comes
+    return read_array(spark, f"{root}/part-*", "doc_id long, text string, lang string", range_bytes=100_000).select("pos", "doc_id", "text", "lang")

@@ -306,6 +306,56 @@ def similar_text_pairs(spark, sf_dir):
     return similarity_lsh.similar_pairs(rows, 0.9, recall=0.9999)
 
 
+_PARTS_OF = "[" + ", ".join(f"v[{16 * i + 1}:{16 * i + 16}]" for i in range(4)) + "]"
+_BEST_DOT = lambda i: "list_max(list_transform(k.p, lambda y: list_inner_product(q.p[" + str(i) + "], y)))"
+
+
+@query("late_interaction_search", f"WITH e AS (SELECT vec_id, {_PARTS_OF} AS p FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)), x AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, round({' + '.join(_BEST_DOT(i) for i in range(1, 5))}, 6) AS score FROM e q JOIN e k ON q.vec_id <> k.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, key_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS rank FROM x QUALIFY rank <= 10")
+def late_interaction_search(spark, sf_dir):
+    """Embeddings as four vectors of sixteen components each; ids divisible by 20 ask all rows."""
+    from mnemospark.operators.late_interaction import late_top_k
+
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*[F.slice(v, 16 * i + 1, 16) for i in range(4)]).alias("vectors"))
+    found = late_top_k(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "key_id"), 10, skip_self=True)
+    return found.select("query_id", "key_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_LINE = "'(' || s || ', ' || p || ', ' || o || ')'"
+
+
+@query("fuzzy_nearest_facts", f"WITH {FACTS_SQL} SELECT DISTINCT c_custkey::BIGINT AS c_custkey, {_LINE} AS found FROM customer JOIN facts ON s = lower(c_name) WHERE c_custkey % 20 = 0")
+def fuzzy_nearest_facts(spark, sf_dir):
+    """Facts about customers (keys divisible by 20) as a reply spells them badly, matched against all facts."""
+    from mnemospark.operators.fuzzy import nearest_texts
+
+    facts = star_facts(spark, sf_dir).withColumn("text", tx.triple_line(F.col("s"), F.col("p"), F.col("o")))
+    spelled = F.concat(F.lit("["), F.upper(F.substring("s", 1, 1)), F.expr("substring(s, 2)"), F.lit("; "), F.col("p"), F.lit(";  "), F.col("o"), F.lit("]"))
+    of = table(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.lower("c_name").alias("s"))
+    asked = written(facts.join(of, "s").select("c_custkey", spelled.alias("text")).distinct(), "spelled")
+    return asked.join(nearest_texts(asked, facts), "text").select("c_custkey", "found")
+
+
+@query("observed_progress", """WITH w AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+    SELECT 'documents' AS stage, count(*) AS rows, count(*) FILTER (text IS NULL) AS nulls, count(*) FILTER (coalesce(length(text), 0) = 0) AS failures FROM documents
+    UNION ALL SELECT 'words', count(*), count(*) FILTER (lang IS NULL), count(*) FILTER (word = '') FROM w
+    UNION ALL SELECT 'counts', count(*), count(*) FILTER (word IS NULL), 0 FROM t""")
+def observed_progress(spark, sf_dir):
+    """A word count whose stages are watched while it runs; the rows are what the callback was told."""
+    from mnemospark.operators.progress import Progress
+
+    told = {}
+    p = Progress(lambda stage, seen: told.update({stage: seen}))
+    docs = p.stage(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "documents", F.coalesce(F.length("text"), F.lit(0)) == 0)
+    words = p.stage(docs.filter("text IS NOT NULL").select("doc_id", "lang", F.explode(F.split("text", " ")).alias("word")), "words", F.col("word") == "")
+    counts = p.stage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts", F.lit(False))
+    counts.write.format("noop").mode("overwrite").save()
+    p.report()
+    nulls = {"documents": "nulls_text", "words": "nulls_lang", "counts": "nulls_word"}
+    return spark.createDataFrame([(s, told[s]["rows"], told[s][c], told[s]["failures"]) for s, c in nulls.items()], "stage string, rows long, nulls long, failures long")
+
+
 @query("raising_gates", "SELECT unnest(['columns', 'duplicate', 'frames', 'sizes', 'task', 'unknown']) AS gate, true AS raised")
 def raising_gates(spark, sf_dir):
     """Each gate lets good rows pass and stops bad ones."""

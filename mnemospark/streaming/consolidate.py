@@ -4,7 +4,7 @@ State of a topic: its facts, and those of time slices that are not complete yet.
 time, which a timer tells; then its facts are decided against what was known before the slice, never against each other.
 Facts that a new one replaces go by value (all copies), and their evidence moves to the new one. What comes out is a log
 of additions and removals; ``snapshots`` reads from it what held after each slice. State and timers are in the checkpoint, so a
-restart goes on where the stream stopped. State of a task is what its topics hold.
+restart goes on where the stream stopped. A fact whose time is not after the watermark (the epoch at first) comes too late and is dropped. State of a task is what its topics hold.
 """
 
 from __future__ import annotations
@@ -81,16 +81,21 @@ class _Consolidate(StatefulProcessor):
 
 
 def consolidated(facts: DataFrame, decide: Decide, top: int = 20, late: str = "0 seconds") -> DataFrame:
-    """The log of a stream of facts (topic, ts, triple_id, s, p, o, evidence)."""
-    facts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """The log of a stream of facts (topic, ts, triple_id, s, p, o, evidence); the query needs STATE_STORE."""
     keyed = facts.withWatermark("ts", late).groupBy("topic")
     return keyed.transformWithState(_Consolidate(decide, top), LOG, "Append", "EventTime")
 
 
 def consolidate(facts: DataFrame, path: str, checkpoint: str, decide: Decide, top: int = 20) -> StreamingQuery:
     """Appends the log to Parquet under path, exactly once, and stops when all that has arrived is worked off."""
-    log = consolidated(facts, decide, top)
-    return log.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    conf, name = facts.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, STATE_STORE)  # a query keeps the settings that it starts with
+    try:
+        out = consolidated(facts, decide, top).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        return out.outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
 
 
 def snapshots(log: DataFrame, times: DataFrame) -> DataFrame:
