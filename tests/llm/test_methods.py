@@ -462,6 +462,13 @@ def test_no_element_of_an_article_goes_by_part_of_its_class():
     assert html_text.main_texts([page]) == ["Title\nkept words"]
 
 
+def test_formulas_objects_and_scripts_inside_a_paragraph():
+    page = "<article><p>energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> rules</p><p>see <object data='x'>the figure</object> and <canvas>a chart</canvas></p><p>one <script>var x = '</p>';</script>line<style>p{}</style>s</p></article>"
+    assert html_text.main_texts([page]) == ["energy E=m rules\nsee the figure and a chart\none lines"]
+    assert html_text.main_texts(["<article><p>before <svg><path></p><p>after</p></article><footer>x</footer>"]) == ["before\nafter"]
+    assert html_text.main_texts(["<article><p>before <script>never ends"]) == ["before"]
+
+
 def test_the_array_decides_containers_that_it_has_seen(spark):
     """Adverts of a few texts, some of them rare, and a box whose texts are all unique, on 150 pages and on 20."""
     rng = random.Random(7)
