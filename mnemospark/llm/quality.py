@@ -177,23 +177,25 @@ def feature_rows(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, bound: int = 20_000, salt: int = 11, **how) -> AdditiveModel:
-    """Fits on labelled rows (labels: doc_id, quality 0 or 1) where train holds, about bound of them at most.
+    """Fits on labelled rows (labels: doc_id, quality 0 or 1) where train holds, about bound of them and never more than twice as many.
 
-    docs may hold x (feature_rows) in place of text. A doc_id with several labels counts with each.
+    A doc_id with both labels counts with each; equal labels and equal rows of one doc_id count once. Where one doc_id has
+    very many texts, a draw by row hash keeps 2 * bound rows in all.
     """
-    known = labels.filter(train & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    known = labels.filter(train & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) / 1_000_003
     chosen = known.filter(draw < bound / max(1, n))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about bound rows of two numbers
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # about bound rows of two numbers
+    texts = texts.withColumn("h", F.xxhash64("doc_id", "text", F.lit(salt))).dropDuplicates(["doc_id", "quality", "h"])
 
     def run(batches):
         for b in batches:
-            x = [features(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+            x = [features(t.as_py()) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "quality", "h", "x"])
 
-    rows = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), text_of().alias("text")).mapInArrow(run, "doc_id long, quality int, x array<double>")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.quality))  # bounded by bound
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "h", "text").mapInArrow(run, "doc_id long, quality int, h long, x array<double>")
+    got = sorted(rows.orderBy("h").limit(2 * bound).collect(), key=lambda r: (r.doc_id, r.quality, r.h))
     x = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
     return AdditiveModel(**how).fit(x, np.array([r.quality for r in got], float))
 
