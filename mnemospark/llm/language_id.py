@@ -264,11 +264,15 @@ class Model:
 
 
 def fit(docs: DataFrame, train: Column, path: str, sample: int = 1500, rounds: int = 4, smooth: float = 0.05, salt: int = 7) -> Model:
-    """Learns from the rows of docs (doc_id, text, lang) where train holds; at most about sample documents a language."""
+    """Learns from the rows of docs (doc_id, text, lang) where train holds; at most about sample documents a language.
+
+    Rows are drawn by a hash of id and text, so rows that share an id, or have none, are drawn one by one; equal rows count once.
+    """
     known = docs.filter(train & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", "n", (F.lit(float(sample)) / F.col("n")).alias("share"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) / 1_000_003
-    chosen = join_by_size(known, share, ["lang"], "n").filter(draw < F.col("share"))
+    row = F.xxhash64("doc_id", "text", F.lit(salt))
+    chosen = join_by_size(known.withColumn("h", row), share, ["lang"], "n").filter(F.pmod("h", F.lit(1_000_003)) / 1_000_003 < F.col("share"))
+    chosen = chosen.dropDuplicates(["lang", "h"])
     words = (
         chosen.select("lang", F.explode(F.split(F.lower(text_of()), r"[^\p{L}]+")).alias("word"))
         .filter(F.col("word") != "")

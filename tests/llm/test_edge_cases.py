@@ -179,3 +179,17 @@ def test_html_over_many_chunks_is_one_host(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     whole = sorted(map(tuple, extract(df).collect()))
     assert sorted(map(tuple, extract(df, chunk_bytes=1).collect())) == whole and not any("offers" in r[2] for r in whole)
+
+
+def test_fits_stay_bounded_when_one_id_has_most_rows(spark, monkeypatch):
+    """50 000 rows of one id, equal ones and different ones, labelled over and over: the fit sees a bounded number of distinct rows."""
+    hot = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("the same words again")).otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"))).alias("text"), F.lit("en").alias("lang"))
+    some = spark.range(100, 200).select(F.col("id").alias("doc_id"), F.concat(F.lit("other words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    docs = hot.unionByName(some)
+    labels = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit(1).alias("quality")).unionByName(some.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    seen = []
+    plain = quality.AdditiveModel.fit
+    monkeypatch.setattr(quality.AdditiveModel, "fit", lambda self, x, y: (seen.append(len(x)), plain(self, x, y))[1])
+    quality.fit(docs, labels, F.lit(True), bound=400, rounds=2, pair_rounds=1)
+    assert 100 < seen[0] <= 800
+    assert language_id.fit(docs, F.lit(True), P.path("piece_bpe_32k.model"), sample=60, rounds=1).langs == ["en"]
