@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.operators.joins import join_by_size
 from mnemospark.session import written
 
 
@@ -59,10 +60,10 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, ro
     """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     flat = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    total = flat.groupBy("src").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("salts"))
+    total = flat.groupBy("src").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("salts"), F.count(F.lit(1)).alias("size"))
     salt = F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int")
-    share = written(flat.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), salt.alias("salt"), "salts"), "ppr-shares")
-    hubs = share.filter("salts > 1").select(F.col("src").alias("id"), "salts").distinct()  # at most one of hub edges
+    share = written(join_by_size(flat, total, ["src"], "size").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), salt.alias("salt"), "salts"), "ppr-shares")
+    hubs = share.filter("salts > 1").select(F.col("src").alias("id"), "salts").distinct()  # at most one of hub edges; joined as their size allows
     any_hub = not hubs.isEmpty()
     clean = reset.select("query_id", "id", F.when(F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0), 0.0).otherwise(F.col("weight")).alias("weight"))
     mass = clean.groupBy("query_id").agg(F.sum("weight").alias("mass")).filter("mass > 0")
@@ -74,7 +75,7 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, ro
     for k in range(rounds):
         if any_hub:
             seats = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-            spread = rank.join(F.broadcast(hubs), "id", "left").select("query_id", "id", "rank", seats.alias("seat"))
+            spread = rank.join(hubs, "id", "left").select("query_id", "id", "rank", seats.alias("seat"))
             met = spread.join(share, (spread["id"] == share["src"]) & (spread["seat"] == share["salt"]))
         else:
             met = rank.join(share, rank["id"] == share["src"])

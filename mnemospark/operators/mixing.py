@@ -119,6 +119,45 @@ def hard_negatives(negatives: Column, positive_score: Column, above: float | Non
     return reduce(F.filter, tests, picked)
 
 
+def hard_negative_chain(
+    rows: DataFrame,
+    wanted: int,
+    same_document: bool = False,
+    positive_ranks: tuple[int, int] | None = None,
+    positive_above: float | None = None,
+    below: float | None = None,
+    margin: float | None = None,
+    ratio: float | None = None,
+    ranks: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Negatives of each query after all filters; queries left with fewer than 80 % of wanted go.
+
+    rows: positive_id, positive_score, negatives and by_positive (array<struct<id, score>> in the rank order of the query and of its
+    positive), earlier (the same, or null: what to use when no negative is left). In this order: negatives of the positive's document
+    go (same_document; ids are ``document-part``), those in a range of the positive's ranks, and those that lead its ranking with a score above a
+    limit; then the scores' bounds hold; then a slice of ranks is taken.
+    """
+    id_of = lambda x: x["id"]
+    gone = F.array().cast("array<string>")
+    if positive_ranks is not None:
+        gone = F.concat(gone, F.transform(F.slice("by_positive", positive_ranks[0] + 1, positive_ranks[1] - positive_ranks[0]), id_of))
+    if positive_above is not None:
+        first_low = F.array_position(F.transform("by_positive", lambda x: ~(x["score"] > positive_above)), True)
+        lead = F.when(first_low == 0, F.size("by_positive")).otherwise(first_low - 1).cast("int")
+        gone = F.concat(gone, F.transform(F.slice("by_positive", F.lit(1), lead), id_of))
+    left = rows.withColumn("_gone", gone)
+    kept = F.filter("negatives", lambda n: ~F.array_contains("_gone", n["id"]))
+    if same_document:
+        document = F.regexp_replace("positive_id", "-[^-]*$", "")
+        kept = F.filter(kept, lambda n: ~F.startswith(n["id"], document))
+    kept = hard_negatives(kept, F.col("positive_score"), below=below, margin=margin, ratio=ratio)
+    left = left.withColumn("_kept", kept).withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.coalesce("earlier", F.col("_kept"))))
+    if ranks is not None:
+        left = left.withColumn("_kept", F.slice("_kept", ranks[0] + 1, ranks[1] - ranks[0]))
+    enough = left.filter((F.size("_kept") > 0) & (F.size("_kept") >= 0.8 * wanted))
+    return enough.withColumn("negatives", F.col("_kept")).drop("_kept", "_gone")
+
+
 def other_label_pools(df: DataFrame, label: str, key: str, per_label: int, seed: int = 0) -> DataFrame:
     """(label, pool): up to per_label seeded rows of every other label as negatives; per_label bounds the pools (sampling)."""
     w = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.operators.joins import join_by_size
+
 
 def postings(pairs: DataFrame, keys: list[str], item: str, block: int = 4096) -> DataFrame:
     """(keys, n, block, items): the distinct items of each key, sorted, with their number over all blocks.
@@ -13,7 +15,7 @@ def postings(pairs: DataFrame, keys: list[str], item: str, block: int = 4096) ->
     """
     once = pairs.select(*keys, F.col(item).alias("item")).distinct()
     sizes = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    dealt = once.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / block)))
+    dealt = join_by_size(once, sizes.withColumn("size", F.col("n")), keys, "size").withColumn("block", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / block)))
     return dealt.groupBy(*keys, "n", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as tx
 from mnemospark.functions import vectors as vec
 from mnemospark.operators import evallog, metrics
+from mnemospark.operators.segmented import prefix
 from mnemospark.operators.similarity import top_k_join
 from mnemospark.plans.registry import query
 from mnemospark.plans.tables import EVENTS_SQL, clock_events, table
@@ -85,7 +86,7 @@ def questions_by_video(spark, sf_dir):
 @query("manifest_select", "WITH m AS (SELECT row_number() OVER (ORDER BY item_id DESC) AS ordinal, item_id AS doc_id FROM benchmark) SELECT ordinal, doc_id, lang FROM m JOIN documents USING (doc_id)")
 def manifest_select(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    m = b.select(F.row_number().over(Window.orderBy(F.desc("item_id"))).cast("long").alias("ordinal"), F.col("item_id").alias("doc_id"))
+    m = prefix(b, [], [F.desc("item_id")]).select((F.col("position") + 1).alias("ordinal"), F.col("item_id").alias("doc_id"))
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return evallog.select_manifest(d, m.join(d.select("doc_id"), "doc_id", "left_semi"), "doc_id").select("ordinal", "doc_id", "lang")
 

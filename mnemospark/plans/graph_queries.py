@@ -181,6 +181,30 @@ def hard_negatives(spark, sf_dir):
     return x.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("k.id").alias("ids"))
 
 
+@query(
+    "hard_negative_chain",
+    f"""WITH {EVENTS_SQL}, r AS (SELECT user_id, event_id, value, (event_id % 50) || '-' || event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rk FROM ev),
+    pos AS (SELECT user_id, split_part(id, '-', 1) AS doc, value AS pos FROM r WHERE rk = 1),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pr FROM r WHERE rk BETWEEN 2 AND 40),
+    lead AS (SELECT user_id, coalesce(min(pr) FILTER (event_id % 10 <= 4), 40) AS low FROM n GROUP BY user_id),
+    k AS (SELECT n.*, row_number() OVER (PARTITION BY user_id ORDER BY rk) - 1 AS i FROM n JOIN pos USING (user_id) JOIN lead USING (user_id)
+          WHERE NOT starts_with(id, doc) AND NOT (pr >= 2 AND pr < 6) AND pr >= low AND value < pos - 0.1 AND value < pos * 0.95)
+    SELECT user_id, count(*) AS kept, sum(event_id)::BIGINT AS ids FROM k WHERE i >= 1 AND i < 9 GROUP BY user_id HAVING count(*) >= 6.4""",
+)
+def hard_negative_chain(spark, sf_dir):
+    """Users as queries: their largest event is the positive, the next 39 the negatives, events by id the positive's ranking."""
+    e = clock_events(spark, sf_dir)
+    best = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    few = e.withColumn("r", F.row_number().over(best)).filter("r <= 40").withColumn("id", F.concat((F.col("event_id") % 50).cast("string"), F.lit("-"), F.col("event_id").cast("string")))
+    rest = lambda order: F.array_sort(F.collect_list(F.when(F.col("r") > 1, F.struct(order, "id", "value", (F.col("event_id") % 10).cast("double").alias("near")))))
+    each = few.groupBy("user_id").agg(F.max_by("id", -F.col("r")).alias("positive_id"), F.max("value").alias("positive_score"), rest("r").alias("n"), rest("event_id").alias("p"))
+    pairs = lambda c, score: F.transform(c, lambda x: F.struct(x["id"].alias("id"), x[score].alias("score")))
+    rows = each.select("user_id", "positive_id", "positive_score", pairs("n", "value").alias("negatives"), pairs("p", "near").alias("by_positive"), F.lit(None).cast("array<struct<id: string, score: double>>").alias("earlier"))
+    kept = mixing.hard_negative_chain(rows, 8, same_document=True, positive_ranks=(2, 6), positive_above=4, margin=0.1, ratio=0.95, ranks=(1, 9))
+    x = kept.select("user_id", F.explode("negatives").alias("k"))
+    return x.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.substring_index("k.id", "-", -1).cast("long")).alias("ids"))
+
+
 @query("corpus_entity_stats", "WITH e AS (SELECT unnest(string_split(text, ' ')) AS e FROM benchmark) SELECT round(avg(length(e)), 4) AS avg_ent_chars, round(avg(len(regexp_split_to_array(e, '\\s+'))), 4) AS avg_ent_words FROM e")
 def corpus_entity_stats(spark, sf_dir):
     from mnemospark.sources.sinks import corpus_statistics

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as tx
 from mnemospark.operators import gates, mixing, records, store
+from mnemospark.operators.segmented import prefix
 from mnemospark.plans.registry import query
 from mnemospark.plans.tables import EVENTS_SQL, FACTS_SQL, clock_events, star_facts, table
 from mnemospark.session import shared_dir, written
@@ -66,7 +67,7 @@ def merge_embedding_splits(spark, sf_dir):
 def rows_by_asked_order(spark, sf_dir):
     """Point lookups keep the order asked for; ids that the store lacks stay, without a row."""
     e = table(spark, sf_dir, "embeddings")
-    ids = e.select(F.row_number().over(Window.orderBy("label", F.desc("vec_id"))).cast("long").alias("ordinal"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("hash_id"))
+    ids = prefix(e, [], ["label", F.desc("vec_id")]).select((F.col("position") + 1).alias("ordinal"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("hash_id"))
     held = e.filter("vec_id % 4 <> 0").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("hash_id"), F.col("vec_id").alias("found"))
     return store.rows_in_order(held, ids).select("ordinal", "found")
 
@@ -149,7 +150,7 @@ def indexed_rows(spark, sf_dir):
     n = table(spark, sf_dir, "nation").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda e: F.struct(e["n_name"].alias("n_name")))).alias("value"))
     n.coalesce(1).write.text(path)
     rows = files.indexed_rows(spark, path, "n_name: string").withColumn("pos", F.col("pos").cast("long"))
-    manifest = rows.filter("pos % 2 = 1").select(F.row_number().over(Window.orderBy(F.desc("pos"))).cast("long").alias("ordinal"), "pos")
+    manifest = prefix(rows.filter("pos % 2 = 1"), [], [F.desc("pos")]).select((F.col("position") + 1).alias("ordinal"), "pos")
     return select_manifest(gates.require_known(rows, rows, "pos"), manifest, "pos").select("ordinal", "pos", "n_name")
 
 
@@ -238,7 +239,7 @@ def image_folder(spark, sf_dir):
     for r in table(spark, sf_dir, "nation").collect():  # 25 rows
         files.put_file(spark, f"{root}/frame{r.n_nationkey}.jpg", r.n_name)
     images = captions.natural_order(files.read_images(spark, root), "path")
-    return images.select("frame_index", F.length("content").cast("long").alias("n_bytes"), F.row_number().over(Window.orderBy("frame_index")).cast("long").alias("place"))
+    return prefix(images, [], ["frame_index"]).select("frame_index", F.length("content").cast("long").alias("n_bytes"), (F.col("position") + 1).alias("place"))
 
 
 @query("graph_files", f"WITH {FACTS_SQL} SELECT src, dst, count(*) AS n FROM (SELECT s AS src, o AS dst FROM facts WHERE s <> o) GROUP BY ALL")
@@ -401,7 +402,6 @@ def incremental_graph(spark, sf_dir):
 @query("ranged_json_array", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, text, lang FROM documents")
 def ranged_json_array(spark, sf_dir):
     """All documents as one JSON array in one file, read back by byte ranges."""
-    from mnemospark.operators.segmented import prefix
     from mnemospark.sources.json_ranges import read_array
 
     d = prefix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), [], ["doc_id"], size="n")

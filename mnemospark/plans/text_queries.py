@@ -10,6 +10,7 @@ from mnemospark.functions import text as tx
 from mnemospark.functions import vectors as vec
 from mnemospark.functions.providers import HashEmbedder, ModalityEmbedder, Router, ScriptedGenerator, embed_by_kind, generate_as
 from mnemospark.operators import evallog, gates, graph_index, metrics, mixing, postings, records, similarity_lsh, store, vector_index, windows
+from mnemospark.operators.segmented import prefix
 from mnemospark.plans import captioning, extraction, reasoning
 from mnemospark.plans.eval_queries import _RANKED, _ranked
 from mnemospark.plans.registry import query
@@ -185,7 +186,7 @@ def new_in_round(spark, sf_dir):
 def input_order_restored(spark, sf_dir):
     """Rows handled in order of time, given back in the order in which they came."""
     e = clock_events(spark, sf_dir)
-    asked = e.select("event_id", F.row_number().over(Window.orderBy("value", "event_id")).cast("long").alias("ordinal"))
+    asked = prefix(e.select("event_id", "value"), [], ["value", "event_id"]).select("event_id", (F.col("position") + 1).alias("ordinal"))
     timed = e.select(F.col("event_id").alias("hash_id"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
     return store.rows_in_order(timed, asked.withColumnRenamed("event_id", "hash_id")).select("ordinal", F.col("hash_id").alias("event_id"), "before")
 
@@ -506,10 +507,11 @@ def memory_updates(spark, sf_dir):
     return out
 
 
-@query("metric_gaps", "SELECT unnest(['mIoU', 'F1', 'recall']) AS metric, unnest([0.5, NULL, NULL])::DOUBLE AS value, unnest(['', 'missing', 'missing']) AS problem UNION ALL SELECT 'extra', 2.0, 'unexpected'")
+@query("metric_gaps", "SELECT 'mIoU' AS metric, count(*)::DOUBLE AS value, '' AS problem FROM events UNION ALL SELECT unnest(['F1', 'recall']), NULL, 'missing' UNION ALL SELECT 'extra', max(event_id)::DOUBLE, 'unexpected' FROM events")
 def metric_gaps(spark, sf_dir):
-    """Metrics of a scorer's log against those that are expected."""
-    log = table(spark, sf_dir, "region").limit(1).select(tx.metric_block(F.lit("mIoU: 0.5\nextra: 2\n"), ["mIoU", "F1", "recall", "extra"]).alias("m"))
+    """Metrics of a log, written from the events, against those that are expected."""
+    lines = F.concat(F.lit("mIoU: "), F.count(F.lit(1)).cast("string"), F.lit("\nextra: "), F.max("event_id").cast("string"), F.lit("\n"))
+    log = table(spark, sf_dir, "events").agg(lines.alias("log")).select(tx.metric_block(F.col("log"), ["mIoU", "F1", "recall", "extra"]).alias("m"))
     return gates.metric_gaps(log.select(F.explode("m").alias("metric", "value")), ["mIoU", "F1", "recall"])
 
 

@@ -193,6 +193,23 @@ def test_mixing(spark):
     assert [x.id for x in got] == [2]
 
 
+def test_hard_negative_chain(spark):
+    kind = "q int, positive_id string, positive_score double, negatives array<struct<id: string, score: double>>, by_positive array<struct<id: string, score: double>>, earlier array<struct<id: string, score: double>>"
+    neg = [("d1-2", 0.9), ("d2-1", 0.8), ("d3-1", 0.7), ("d4-1", 0.6), ("d5-1", 0.5)]
+    by = [("d5-1", 0.95), ("d4-1", 0.4), ("d2-1", 0.99)]
+    df = spark.createDataFrame([(1, "d1-1", 1.0, neg, by, None), (2, "d1-1", 0.1, neg, by, [("old", 0.2)]), (3, "d1-1", 0.1, neg, by, None), (4, "d9-1", 1.0, [], [], None)], kind)
+
+    def kept(wanted=1, **how):
+        return {r.q: [n.id for n in r.negatives] for r in mixing.hard_negative_chain(df, wanted, **how).collect()}
+
+    assert kept(same_document=True)[1] == ["d2-1", "d3-1", "d4-1", "d5-1"]
+    assert kept(positive_above=0.9)[1] == ["d1-2", "d2-1", "d3-1", "d4-1"]  # only what leads the ranking
+    assert kept(positive_ranks=(1, 3))[1] == ["d1-2", "d3-1", "d5-1"]
+    assert kept(margin=0.25, ranks=(1, 9)) == {1: ["d4-1", "d5-1"]}  # the slice comes after the bounds
+    assert kept(ratio=0.85) == {1: ["d2-1", "d3-1", "d4-1", "d5-1"], 2: ["old"]}  # what was used before, where nothing is left
+    assert kept(wanted=6) == {1: [n for n, _ in neg], 2: [n for n, _ in neg], 3: [n for n, _ in neg]} and kept(wanted=7) == {}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"text": "a", "start_time": "9000000", "end_time": "09001000", "date": "DAY1"}, {"text": "b", "date": "DAY12", "start_time": "11094300", "end_time": "11095800"}]))
     got = captions.read_captions(spark, {"30sec": str(tmp_path / "c.json"), "odd": "nowhere"}).orderBy("idx").collect()
