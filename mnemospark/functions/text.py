@@ -188,6 +188,21 @@ def plain_punctuation(x: Column) -> Column:
     return out
 
 
+#: Characters that training texts lose, the plain forms of single ones, and replacements of several characters, in their order.
+LOST_CHARACTERS = "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\u00ad"
+PLAIN_CHARACTERS = {" ": "\x0b\x0c\u0085", "-": "‐‑⁃‒–—―−－⁻", '"': "“”„‟", "'": "‘’‚‛՚Ꞌꞌ＇`´′‵", "/": "⁄∕"}
+PLAIN_SEQUENCES = {"″": "''", "‶": "''", "‴": "'''", "‷": "'''", "⁗": "''''", "…": "...", " . . . ": " ... "}
+
+
+def plain_text(x: Column) -> Column:
+    """A training text without control characters, with one form of hyphens, quotes, slashes and ellipses."""
+    froms, tos = "".join(PLAIN_CHARACTERS.values()), "".join(k * len(v) for k, v in PLAIN_CHARACTERS.items())
+    out = F.translate(x, froms + LOST_CHARACTERS, tos)
+    for k, v in PLAIN_SEQUENCES.items():
+        out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
 def extracted_entities(raw: Column) -> Column:
     """array<string> of '"named_entities": [...]' in a reply; empty where it is not there or broken."""
     got = F.from_json(F.regexp_extract(raw, r'(?s)"named_entities"\s*:\s*(\[[^\]]*\])', 1), "array<string>")

@@ -165,3 +165,52 @@ def other_label_pools(df: DataFrame, label: str, key: str, per_label: int, seed:
     whole = few.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), F.col(label).alias("label")))).alias("_all"))  # one row: per_label keys a label
     others = F.filter("_all", lambda e: ~e["label"].eqNullSafe(F.col(label)))
     return few.select(label).distinct().join(F.broadcast(whole)).select(label, F.transform(others, lambda e: e["key"]).alias("pool")).filter(F.size("pool") > 0)
+
+
+def draw_share(seed: int, salt: Column, key: Column) -> Column:
+    """A seeded draw from [0, 1): the first 32 bits of the MD5 of ``seed:salt:key``, so any engine can replay it."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), salt.cast("string"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def drawn_places(n: int, size: Column, seed: int, key: Column, salt: int = 0) -> Column:
+    """array<long> of n places below size, one from each of n equal parts: none twice where size allows it; empty if size is 0."""
+    if n < 1:
+        return F.array().cast("array<long>")
+    size = size.cast("long")
+    border = lambda i: F.floor(i * size / F.lit(n))
+    one = lambda i: (border(i) + F.floor(draw_share(seed, i + salt, key) * (border(i + 1) - border(i)))).cast("long")
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), one)).otherwise(F.array().cast("array<long>"))
+
+
+def sampled(values: Column, n: int, seed: int, key: Column, salt: int = 0) -> Column:
+    """n drawn elements of an array, none twice where it has as many; empty if it is."""
+    return F.transform(drawn_places(n, F.coalesce(F.size(values), F.lit(0)), seed, key, salt), lambda i: F.get(values, i.cast("int")))
+
+
+def label_contrasts(rows: DataFrame, label: str, text: str, order: list[str], n: int, seed: int = 0) -> DataFrame:
+    """Adds same (a drawn text of the row's label), others (n drawn texts of other labels) and n_label (rows of the label).
+
+    All rows of all labels are drawn from: rows are numbered by (label, order), a draw is a place among them (places of
+    the own label are skipped), and drawn places meet their texts in one join. No pool of texts is gathered for a label, so a label with
+    most of the rows, or very many labels, cost no more than others; places that come often, because few rows have another label, are joined
+    by size. others has none twice where there are n, repeats where there are fewer, and is empty where all rows have one label. Rows without a label go.
+    """
+    labelled = rows.filter(F.col(label).isNotNull())
+    sizes = written(labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "labels")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    rest = F.lit(total) - F.col("_n")
+    often = F.coalesce(F.try_divide(F.col("_n").cast("double"), rest.cast("double")), F.lit(0.0))
+    every = sizes.agg(F.sum(often)).first()[0] or 0.0
+    starts = prefix(sizes, [], [label], sums={"_upto": F.col("_n")}, position="_rank").select(label, "_n", F.col("_n").alias("n_label"), (F.col("_upto") - F.col("_n")).alias("_start"), F.ceil(1 + n * (F.lit(every) - often)).cast("long").alias("_often"))
+    placed = join_by_size(prefix(labelled, [label], order, position="_place"), starts, [label], "_n")
+    base = written(placed.withColumn("_at", F.col("_start") + F.col("_place")), "labelled")
+    same = F.col("_start") + F.floor(draw_share(seed, F.lit(0), F.col("_at")) * F.col("n_label"))
+    places = drawn_places(n, F.lit(total) - F.col("n_label"), seed, F.col("_at"), salt=1)
+    others = F.transform(places, lambda u: F.when(u < F.col("_start"), u).otherwise(u + F.col("n_label")))
+    asks = base.select(F.col("_at").alias("_row"), F.posexplode(F.concat(F.array(same.cast("long")), others)).alias("_slot", "_at"))
+    met = join_by_size(asks, base.select("_at", F.col(text).alias("_text"), "_often"), ["_at"], "_often")
+    got = met.groupBy(F.col("_row").alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_slot", "_text"))).alias("_got"))  # n + 1 a row
+    out = base.join(got, "_at").withColumn("same", F.col("_got")[0]["_text"])
+    out = out.withColumn("others", F.transform(F.slice("_got", 2, n), lambda g: g["_text"]) if n else F.array().cast("array<string>"))
+    return out.select(*rows.columns, "same", "others", "n_label")

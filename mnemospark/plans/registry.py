@@ -36,6 +36,7 @@ from mnemospark.plans import graph_queries  # noqa: E402, F401
 from mnemospark.plans import record_queries  # noqa: E402, F401
 from mnemospark.plans import source_queries  # noqa: E402, F401
 from mnemospark.plans import text_queries  # noqa: E402, F401
+from mnemospark.plans import training_queries  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def dataset_parsers(spark, sf_dir):
     for name, rows in held.items():
         one = parsers.parse(parsers.EVALUATION, name, rows, conf.get(name)).select(F.lit(name).alias("name"), F.md5(F.col("query_text").cast("binary")).alias("asked"), "label_name", F.size("cand_names").cast("long").alias("n"), F.get("cand_texts", F.lit(0)).alias("first_text"), "query_media")
         out = one if out is None else out.unionByName(one)
-    trained = parsers.parse(parsers.TRAINING, "mteb_cluster", d.select(F.col("source").alias("text"), F.col("lang").alias("label"), F.array().cast("array<string>").alias("other_labels")), {"name": "mteb_cluster"})
+    trained = parsers.parse(parsers.TRAINING, "mteb_cluster", d.select(F.col("source").alias("title"), F.col("lang").alias("label")), {"data_format": "s2s"})
     return out.unionByName(trained.select(F.col("global_dataset_name").alias("name"), F.md5(F.col("query_text").cast("binary")).alias("asked"), F.col("pos_text").alias("label_name"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("first_text"), F.lit(None).cast("string").alias("query_media")))
 
 

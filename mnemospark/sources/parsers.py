@@ -1,6 +1,6 @@
 """Registry of dataset parsers: each brings a dataset's rows to one schema for evaluation or training.
 
-Parsers are declarative: column expressions for the common schema over the dataset's own columns. register() adds more.
+Evaluation sets are declared here, training sets in ``sources.training``: column expressions for the common schema over the dataset's own columns.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.sources.training import TRAINING
+
 EVALUATION: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
-TRAINING: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
 
 
 def register(registry: dict, *names: str):
@@ -106,24 +107,6 @@ for name, shape in DATASETS.items():
     register(EVALUATION, name)(_evaluation(shape))
 
 
-def _training(query: str, pos: str, neg: str = "cast(array() as array<string>)", media: str | None = None):
-    def run(rows: DataFrame, conf: dict) -> DataFrame:
-        name = conf.get("name", "")
-        image: Column = F.expr(conf.get("media", media)) if conf.get("media", media) else F.lit(None).cast("string")
-        out = rows.select(F.expr(conf.get("query", query)).alias("query_text"), image.alias("query_media"), F.expr(conf.get("pos", pos)).alias("pos_text"), F.expr(conf.get("neg", neg)).cast("array<string>").alias("neg_text"), F.lit(name).alias("global_dataset_name"))
-        return out.filter("query_text is not null and pos_text is not null")
-
-    return run
-
-
-register(TRAINING, "beir", "berri", "mteb_training")(_training("query", "pos", "neg"))
-register(TRAINING, "cls", "mteb_cluster")(_training("text", "label", "other_labels"))
-register(TRAINING, "didemo", "msrvtt", "msvd", "llavahound_caption")(_training("caption", "video_id"))
-register(TRAINING, "llavahound_qa", "mmeb", "docmatix", "gui")(_training("question", "answer", media="image_path"))
-register(TRAINING, "pixmo", "ssv2")(_training("''", "label", media="path"))
-register(TRAINING, "vidore", "visrag")(_training("query", "page_text", media="page_path"))
-
-
 def multiple_choice_rows(rows: DataFrame, duration: str | None = None) -> DataFrame:
     """Evaluation rows from a benchmark's Parquet: fields renamed, option letters stripped, one duration class if given."""
     opt = lambda k: F.regexp_replace(F.get("options", F.lit(k)), r"^\s*[A-Z][.)]\s*", "")
