@@ -34,6 +34,7 @@ from mnemospark.plans import time_queries  # noqa: E402, F401  (registers its qu
 from mnemospark.plans import eval_queries  # noqa: E402, F401
 from mnemospark.plans import graph_queries  # noqa: E402, F401
 from mnemospark.plans import record_queries  # noqa: E402, F401
+from mnemospark.plans import report_queries  # noqa: E402, F401
 from mnemospark.plans import source_queries  # noqa: E402, F401
 from mnemospark.plans import text_queries  # noqa: E402, F401
 from mnemospark.plans import training_queries  # noqa: E402, F401
