@@ -70,6 +70,11 @@ def alphanumerics(x: Column) -> Column:
     return F.length(F.regexp_replace(x, r"[^A-Za-z0-9]", ""))
 
 
+def seeded_hash(seed: int, *key: Column) -> Column:
+    """MD5 of ``seed:key``, the parts of the key joined by colons: an order or a draw that any engine can replay."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key]).cast("binary"))
+
+
 def with_title(title: Column, text: Column) -> Column:
     """'Title. text'; the title's closing dots and spaces are not doubled."""
     bare = F.regexp_replace(title, r"[. ]+$", "")

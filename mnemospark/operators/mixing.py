@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions.text import seeded_hash
 from mnemospark.operators.joins import join_by_size
 from mnemospark.operators.segmented import prefix
 from mnemospark.session import written
@@ -99,7 +100,7 @@ def interleave(df: DataFrame, source: str, order: list[str], sources: list[str],
 
 def capped_by_cluster(df: DataFrame, cluster: str, key: str, cap: int, total: int, seed: int = 0) -> DataFrame:
     """At most cap rows of each cluster in a seeded order, then others in that order up to total rows (a sampling operator)."""
-    h = F.xxhash64(key, F.lit(seed))
+    h = seeded_hash(seed, F.col(key))
     ranked = prefix(df, [cluster], [h, key], position="_r").withColumn("_late", F.col("_r") >= cap)
     return ranked.orderBy("_late", h, key).limit(total).drop("_r", "_late")
 
@@ -160,7 +161,7 @@ def hard_negative_chain(
 
 def other_label_pools(df: DataFrame, label: str, key: str, per_label: int, seed: int = 0) -> DataFrame:
     """(label, pool): up to per_label seeded rows of every other label as negatives; per_label bounds the pools (sampling)."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    w = Window.partitionBy(label).orderBy(seeded_hash(seed, F.col(key)), key)
     few = df.select(label, key).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_label)  # a limit of a rank: each task keeps per_label a label
     whole = few.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), F.col(label).alias("label")))).alias("_all"))  # one row: per_label keys a label
     others = F.filter("_all", lambda e: ~e["label"].eqNullSafe(F.col(label)))
@@ -169,8 +170,7 @@ def other_label_pools(df: DataFrame, label: str, key: str, per_label: int, seed:
 
 def draw_share(seed: int, salt: Column, key: Column) -> Column:
     """A seeded draw from [0, 1): the first 32 bits of the MD5 of ``seed:salt:key``, so any engine can replay it."""
-    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), salt.cast("string"), key.cast("string")).cast("binary"))
-    return F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    return F.conv(F.substring(seeded_hash(seed, salt, key), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
 def drawn_places(n: int, size: Column, seed: int, key: Column, salt: int = 0) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.text import chunk_id, label_normalise, valid_triples
+from mnemospark.functions.text import chunk_id, label_normalise, seeded_hash, valid_triples
 
 _NONE = "array<array<string>>"
 
@@ -79,7 +79,7 @@ def new_in_round(found: DataFrame, by: str, key: str, round_: str, k: int) -> Da
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows by a seeded hash of key: the same on every run and partitioning (a sampling operator)."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(seeded_hash(seed, F.col(key)), key).limit(n)
 
 
 def aligned(left: DataFrame, right: DataFrame, ordinal: str, check: list[str]) -> DataFrame:

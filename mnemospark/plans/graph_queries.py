@@ -49,12 +49,15 @@ def _ppr_sql(edges: str, reset: str, d: float, rounds: int) -> str:
     return ", ".join(out)
 
 
-_SEEDS = "seeds AS (SELECT 'q1' AS query_id, lower(n_name) AS id, 1.0 AS weight FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'q2', lower(r_name), 1.0 FROM region WHERE r_regionkey = 1)"
+# Questions: every supplier whose key is divisible by 20, asked about itself and, by half the weight, its nation.
+_SEEDS = "seeds AS (SELECT 'q' || s_suppkey AS query_id, unnest([lower(s_name), lower(n_name)]) AS id, unnest([1.0, 0.5]) AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 20 = 0)"
 
 
 def _seeds(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.lit("q1").alias("query_id"), F.lower("n_name").alias("id"), F.lit(1.0).alias("weight"))
-    return n.unionByName(table(spark, sf_dir, "region").filter("r_regionkey = 1").select(F.lit("q2").alias("query_id"), F.lower("r_name").alias("id"), F.lit(1.0).alias("weight")))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    asked = table(spark, sf_dir, "supplier").filter("s_suppkey % 20 = 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    each = F.explode(F.array(F.struct(F.lower("s_name").alias("id"), F.lit(1.0).alias("weight")), F.struct(F.lower("n_name").alias("id"), F.lit(0.5).alias("weight"))))
+    return asked.select(F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("query_id"), each.alias("e")).select("query_id", "e.id", "e.weight")
 
 
 _SNAPSHOT = "se AS (SELECT s AS src, o AS dst, 1.0 AS weight FROM facts WHERE s <> o AND s <> '' AND o <> '')"
@@ -70,13 +73,13 @@ def ppr_uniform(spark, sf_dir):
 _ALL_EDGES = "ae AS (SELECT src, dst, weight FROM fe UNION ALL SELECT chunk, entity, 1.0 FROM pe)"
 
 
-@query("ppr_weighted", f"WITH {FACTS_SQL}, {_FACT_EDGES}, {_PASSAGES}, {_ALL_EDGES}, {_SEEDS}, resets AS (SELECT query_id, id, weight FROM seeds UNION ALL SELECT query_id, chunk, 0.05 * (length(chunk) % 3) FROM (SELECT DISTINCT chunk FROM pe), (SELECT DISTINCT query_id FROM seeds)), {_ppr_sql('ae', 'resets', 0.5, 12)} SELECT query_id, id, round(rank, 8) AS rank FROM r12 WHERE starts_with(id, 'chunk-')")
+@query("ppr_weighted", f"WITH {FACTS_SQL}, {_FACT_EDGES}, {_PASSAGES}, {_ALL_EDGES}, {_SEEDS}, resets AS (SELECT query_id, id, weight FROM seeds UNION ALL SELECT DISTINCT query_id, chunk, 0.05 * (length(chunk) % 3) FROM pe JOIN seeds ON entity = id), {_ppr_sql('ae', 'resets', 0.5, 12)} SELECT query_id, id, round(rank, 8) AS rank FROM r12 WHERE starts_with(id, 'chunk-')")
 def ppr_weighted(spark, sf_dir):
-    """Passages by weighted ranks; reset weights are phrase seeds and a twentieth of passage scores."""
+    """Passages by weighted ranks; reset weights are phrase seeds and, for passages that hold one of them, a twentieth of their score."""
     facts = star_facts(spark, sf_dir)
     seeds = _seeds(spark, sf_dir)
-    chunks = facts.select("chunk").distinct().join(F.broadcast(seeds.select("query_id").distinct()))  # two queries
-    passages = chunks.select("query_id", F.col("chunk").alias("id"), (F.lit(0.05) * (F.length("chunk") % 3)).alias("weight"))
+    held = graph.passage_edges(facts).join(seeds.select("query_id", F.col("id").alias("entity")), "entity").select("query_id", "chunk").distinct()
+    passages = held.select("query_id", F.col("chunk").alias("id"), (F.lit(0.05) * (F.length("chunk") % 3)).alias("weight"))
     r = graph.personalised_pagerank(graph.all_edges(facts), seeds.unionByName(passages), 0.5, 12)
     return r.filter(F.col("id").startswith("chunk-")).select("query_id", "id", F.round("rank", 8).alias("rank"))
 
@@ -299,14 +302,14 @@ _LETTERS = lambda t: "[" + ", ".join(f"(length(lower({t})) - length(replace(lowe
 
 @query(
     "agent_rounds",
-    f"""WITH q AS (SELECT item_id AS question_id, 300 + item_id * 10 AS as_of, {_LETTERS("split_part(text, chr(10), 1)")} AS v FROM benchmark),
+    f"""WITH q AS (SELECT item_id AS question_id, (item_id + 1) * (SELECT max(doc_id) FROM documents) // (SELECT count(*) FROM benchmark) AS as_of, {_LETTERS("text")} AS v FROM benchmark),
     d AS (SELECT doc_id, coalesce(text, '') AS content, doc_id % 3 AS m, {_LETTERS("coalesce(text, '')")} AS v FROM documents),
     x AS (SELECT question_id, doc_id, m, content, CASE WHEN list_sum(q.v) = 0 OR list_sum(d.v) = 0 THEN 0 ELSE round(list_cosine_similarity(q.v, d.v), 6) END AS score FROM q JOIN d ON doc_id <= as_of),
     r AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY question_id, m ORDER BY score DESC, doc_id) <= CASE m WHEN 1 THEN 10 ELSE 3 END)
     SELECT question_id, 3 AS num_rounds, count(*) AS n_items, sha256(string_agg(content, chr(10) || chr(10) ORDER BY m, score DESC, doc_id)) AS context_sha FROM r GROUP BY question_id""",
 )
 def agent_rounds(spark, sf_dir):
-    """Benchmark passages (their first lines) as questions of different times, answered in rounds over three memories by the scripted provider."""
+    """Benchmark passages as questions, their times spread over all documents, answered in rounds over three memories by the scripted provider."""
     from mnemospark.functions.providers import AgentGenerator, LetterEmbedder, embed_column
     from mnemospark.plans.agent import Memories, answer
 
@@ -316,7 +319,10 @@ def agent_rounds(spark, sf_dir):
     m = Memories()
     for k, name in enumerate(("episodic", "semantic", "visual")):
         m.register(name, with_vec(docs.filter(F.col("item_id") % 3 == k)))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), (300 + F.col("item_id") * 10).alias("as_of_ts"))
+    asked = table(spark, sf_dir, "benchmark")
+    last, n = docs.agg(F.max("ts")).first()[0] or 0, asked.count()
+    line = F.regexp_replace("text", r"\s+", " ")  # the scripted provider reads one line
+    q = asked.select(F.col("item_id").alias("question_id"), line.alias("question"), F.expr(f"((item_id + 1) * {last}L) div {max(1, n)}L").alias("as_of_ts"))
     found = answer(q, m, emb, AgentGenerator())
     return found.select("question_id", "num_rounds", F.size("retrieved").cast("long").alias("n_items"), F.sha2(F.col("context").cast("binary"), 256).alias("context_sha"))
 

@@ -63,14 +63,11 @@ def head_and_language(spark, sf_dir):
     return records.head_rows(records.head_rows(d, ["doc_id"], "all"), ["doc_id"], "100")
 
 
-@query("seeded_yes_no", "SELECT least(50, count(*)) AS n, true AS again FROM conversations WHERE role IN ('user', 'assistant')")
+@query("seeded_yes_no", "SELECT conv_id, turn FROM conversations WHERE role IN ('user', 'assistant') ORDER BY md5('3:' || conv_id || ':' || turn), conv_id || ':' || turn LIMIT 50")
 def seeded_yes_no(spark, sf_dir):
-    """A seeded sample of the rows with one of two answers: the same rows whatever the partitioning."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant")).withColumn("key", F.xxhash64("conv_id", "turn", "text"))
-    one = records.seeded_sample(c, "key", 50, 3)
-    two = records.seeded_sample(c.repartition(7), "key", 50, 3)
-    total = lambda df, n: df.agg(F.count(F.lit(1)).alias(n), F.sum(F.col("key").cast("decimal(38,0)")).alias(f"{n}_sum"))
-    return total(one, "n").join(F.broadcast(total(two, "m"))).select("n", F.col("n_sum").eqNullSafe(F.col("m_sum")).alias("again"))
+    """A seeded sample of the rows with one of two answers."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    return records.seeded_sample(c.withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", 50, 3).select("conv_id", "turn")
 
 
 @query("question_texts", "SELECT doc_id, coalesce(lang, '') || '? (A) ' || source || CASE WHEN doc_id % 2 = 0 THEN ' (C) third' ELSE '' END AS shown, CASE WHEN doc_id % 3 = 0 THEN 'q' || chr(10) || chr(10) || 'Output requirement: seconds' WHEN doc_id % 3 = 1 THEN 'q' || chr(10) || chr(10) || 'Output requirement: prose' ELSE 'q' END AS asked, CASE WHEN doc_id % 2 = 0 THEN 'Given a phrase, retrieve synonymous or relevant phrases that best match this phrase.' ELSE 'Given a question, retrieve relevant documents that best answer the question.' END AS instruction FROM documents")
@@ -148,18 +145,22 @@ def ranking_ndcg_graded(spark, sf_dir):
     return metrics.cut_metrics(r, graded, [1, 5, 10]).select("query_id", "k", F.round("ndcg", 6).alias("ndcg"), F.round("ndcg_exp", 6).alias("ndcg_exp"))
 
 
-@query("capped_clusters", "WITH c AS (SELECT label, least(count(*), 10) AS n FROM embeddings GROUP BY label) SELECT label, n FROM c")
+@query(
+    "capped_clusters",
+    """WITH h AS (SELECT label, vec_id, md5('0:' || vec_id) AS h FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, vec_id) > 10 AS late FROM h)
+    SELECT label, vec_id FROM r QUALIFY row_number() OVER (ORDER BY late, h, vec_id) <= (SELECT count(*) FROM r WHERE NOT late) + 25""",
+)
 def capped_clusters(spark, sf_dir):
-    """Ten rows of each cluster, in a seeded order, where the total leaves no room for more."""
+    """Ten rows of each cluster in a seeded order, then 25 more of any."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id")
     total = e.groupBy("label").count().agg(F.sum(F.least("count", F.lit(10)))).first()[0] or 0
-    return mixing.capped_by_cluster(e, "label", "vec_id", 10, total).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return mixing.capped_by_cluster(e, "label", "vec_id", 10, total + 25).select("label", "vec_id")
 
 
-@query("negative_pools", "WITH c AS (SELECT label, least(count(*), 5) AS n FROM embeddings GROUP BY label) SELECT a.label, sum(b.n)::BIGINT AS n FROM c a JOIN c b ON a.label <> b.label GROUP BY a.label")
+@query("negative_pools", "WITH c AS (SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) <= 5), l AS (SELECT DISTINCT label FROM c) SELECT l.label, count(*) AS n, string_agg(vec_id, ',' ORDER BY vec_id) AS pool FROM l JOIN c ON l.label IS DISTINCT FROM c.label GROUP BY l.label")
 def negative_pools(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id")
-    return mixing.other_label_pools(e, "label", "vec_id", 5).select("label", F.size("pool").cast("long").alias("n"))
+    return mixing.other_label_pools(e, "label", "vec_id", 5).select("label", F.size("pool").cast("long").alias("n"), F.array_join("pool", ",").alias("pool"))
 
 
 @query("running_mean", f"WITH {EVENTS_SQL} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) + 0.00031, 3) AS mean FROM ev")
