@@ -17,8 +17,8 @@ context times its share of the class:
 One pass over the texts turns all of them into arrays of 64-bit token keys, which the later passes read instead. The
 training texts' arrays give exact token counts. The class features are trained first, on
 the counts of (class two before, class before, class); then the word features, on all positions of all training texts.
-A round of either is distributed: tasks send slices of observed and expected counts by (feature, outcome), slices
-of all tasks are summed on the executors, and the driver takes one sum and makes the gradient step: observed minus
+A round of either is distributed: tasks send slices of observed and expected counts by (feature, outcome), for words only of the
+buckets that they met, slices of all tasks are summed on the executors, and a gradient step is made: observed minus
 expected, scaled by the expected. Scoring is one pass over the arrays, in batches, with sparse gathers of the active
 features' weights.
 
@@ -414,38 +414,116 @@ class WordFeatures:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def step(self, seen: np.ndarray, want: np.ndarray, rate: float = 1.0, prior: float = 4.0) -> None:
-        self.w += (rate / self.ACTIVE * np.clip((seen - want) / (want + prior), -0.9, 4.0)).astype(np.float32)
+    @staticmethod
+    def moved(seen: np.ndarray, want: np.ndarray, rate: float = 1.0, prior: float = 4.0) -> np.ndarray:
+        """What a gradient step adds to the weights of buckets with these observed and expected counts."""
+        return (rate / WordFeatures.ACTIVE * np.clip((seen - want) / (want + prior), -0.9, 4.0)).astype(np.float32)
 
 
-def train_words(encoded: DataFrame, model: MaxEnt, classes: Classes, tokens: int, rounds: int = 2) -> WordFeatures:
-    """Gradient rounds of the word features over all positions of the training texts; the class features stand."""
+TOUCHED, SLICE = 250_000, 4096  # buckets that a worker holds sums of before it hands them on, and buckets of a slice
+
+
+class TouchedSums:
+    """Observed and expected counts by group of the buckets met so far: memory follows them, whatever the size of the model."""
+
+    def __init__(self, buckets: int):
+        self.place = np.full(buckets, -1, np.int32)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.met, self.sums = np.zeros(0, np.int64), np.zeros((2 * GROUPS, 0))
+
+    def add(self, rows: list[np.ndarray], group: np.ndarray, p: np.ndarray) -> None:
+        """Positions with their active buckets, their group, and each group's probability (groups x positions)."""
+        fresh = np.unique(np.concatenate([r[self.place[r] < 0] for r in rows]))
+        if len(fresh):
+            self.place[fresh] = np.arange(len(self.met), len(self.met) + len(fresh))
+            self.met = np.concatenate([self.met, fresh])
+            self.sums = np.hstack([self.sums, np.zeros((2 * GROUPS, len(fresh)))])
+        n = len(self.met)
+        for r in rows:
+            at = self.place[r].astype(np.int64)
+            self.sums[:GROUPS] += np.bincount(group * n + at, minlength=GROUPS * n).reshape(GROUPS, n)
+            for g in range(GROUPS):
+                self.sums[GROUPS + g] += np.bincount(at, p[g], n)
+
+    def drained(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(slice, buckets in it, their sums) of all that was met, which is forgotten."""
+        order = np.argsort(self.met)
+        met, sums = self.met[order], self.sums[:, order].T.astype(np.float32)
+        self.place[met] = -1
+        self._empty()
+        cuts = np.append(np.flatnonzero(np.diff(met // SLICE, prepend=-1)), len(met))
+        return [(int(met[i] // SLICE), (met[i:j] % SLICE).astype(np.int32), sums[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+SLICED = "slice int, near int, at binary, v binary"
+
+
+def _sliced(parts: list[tuple[int, np.ndarray, np.ndarray]], near: int) -> pa.RecordBatch:
+    columns = [pa.array([k for k, _, _ in parts], pa.int32()), pa.array([near] * len(parts), pa.int32()), pa.array([at.tobytes() for _, at, _ in parts], pa.binary()), pa.array([v.tobytes() for _, _, v in parts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "near", "at", "v"])
+
+
+def merged(parts: DataFrame, finish) -> DataFrame:
+    """SLICED rows added up by (slice, near), which parts are sorted by: one slice at a time is held. finish: what a slice's sums become."""
+
+    def whole(key, total):
+        at = np.flatnonzero(total.any(axis=1))
+        return _sliced([(key[0], at.astype(np.int32), finish(total[at]).astype(np.float32))], key[1])
+
+    def run(batches):
+        key, total = None, None
+        for b in batches:
+            for k, g, at, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if key != (k, g):
+                    if key is not None:
+                        yield whole(key, total)
+                    key, total = (k, g), np.zeros((SLICE, 2 * GROUPS))
+                at = np.frombuffer(at.as_py(), np.int32)
+                total[at] += np.frombuffer(v.as_py(), np.float32).reshape(len(at), -1)
+        if key is not None:
+            yield whole(key, total)
+
+    return parts.mapInArrow(run, SLICED)
+
+
+def train_words(encoded: DataFrame, model: MaxEnt, classes: Classes, tokens: int, rounds: int = 2, near: int = 32, touched: int = TOUCHED) -> WordFeatures:
+    """Gradient rounds of the word features over all positions of the training texts; the class features stand.
+
+    A task hands on sums of the buckets that it met, sorted into slices of the model, and does so whenever it holds more than touched of them. Slices meet in
+    a shuffle, first those of ``near`` neighbouring tasks, then the rest; the step is made where a slice's sum is, and the driver takes
+    what it adds to the weights.
+    """
     words = WordFeatures(buckets_for(tokens))
     z = model.group_logits()
     sc = encoded.sparkSession.sparkContext
     learn = encoded.filter("learn").select("keys")
+    slices = -(-words.buckets // SLICE)
     for _ in range(rounds):
         now = sc.broadcast(pickle.dumps((words, z)))
 
         def gradient(batches):
             _without_lexicon()
             words, z = pickle.loads(now.value)
-            seen, want, any_ = np.zeros(words.w.size), np.zeros((GROUPS, words.buckets)), False
+            sums, group = TouchedSums(words.buckets), TaskContext.get().partitionId() // near
             for b in batches:
                 for _, _, c, ctx, before_ in positions(b.column(0).to_pylist(), classes):
-                    rows, any_ = words.rows(before_), True
-                    p = np.exp(words.log_groups(z[ctx], rows)).T.copy()
-                    for r in rows:
-                        seen += np.bincount(r * GROUPS + c % GROUPS, minlength=len(seen))
-                        for g in range(GROUPS):
-                            want[g] += np.bincount(r, p[g], words.buckets)
-            return np.append(seen, want.T.ravel()) if any_ else None
-
-        total = summed(learn, gradient, 2 * words.w.size)
-        if total is None:
-            break
-        words.step(*total.reshape(2, words.buckets, GROUPS))
+                    rows = words.rows(before_)
+                    sums.add(rows, c % GROUPS, np.exp(words.log_groups(z[ctx], rows)).T.copy())
+                    if len(sums.met) > touched:
+                        yield _sliced(sums.drained(), group)
+            if len(sums.met):
+                yield _sliced(sums.drained(), group)
+
+        first = learn.mapInArrow(gradient, SLICED).repartition("slice", "near").sortWithinPartitions("slice", "near")
+        second = merged(first, lambda v: v).withColumn("near", F.lit(0)).repartition(slices, "slice").sortWithinPartitions("slice")
+        steps = merged(second, lambda v: WordFeatures.moved(v[:, :GROUPS], v[:, GROUPS:])).select("slice", "at", "v").collect()  # of the weights' own size
+        for r in steps:
+            words.w[r.slice * SLICE + np.frombuffer(r.at, np.int32)] += np.frombuffer(r.v, np.float32).reshape(-1, GROUPS)
         now.unpersist()
+        if not steps:
+            break
     return words
 
 

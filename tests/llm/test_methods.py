@@ -716,3 +716,47 @@ def test_op4_sql_twin(spark, sf):
     names = [d[0] for d in cur.description]
     got = QUERIES["op4_exact_dedup"](spark, sf).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(cur.fetchall())
+
+
+def test_touched_sums_equal_dense_sums():
+    """Sums of the buckets met, handed on in pieces, are the dense sums."""
+    import numpy as np
+
+    from mnemospark.llm import maxent_lm as m
+
+    rng = np.random.default_rng(5)
+    buckets, n = 1 << 15, 3000
+    dense = np.zeros((buckets, 2 * m.GROUPS))
+    got = np.zeros_like(dense)
+    sums = m.TouchedSums(buckets)
+    for k in range(7):
+        rows = [rng.integers(0, buckets, n) if k % 2 else rng.integers(0, 50, n) for _ in range(3)]
+        group, p = rng.integers(0, m.GROUPS, n), rng.random((m.GROUPS, n))
+        sums.add(rows, group, p)
+        for r in rows:
+            np.add.at(dense, (r, group), 1)
+            for g in range(m.GROUPS):
+                np.add.at(dense, (r, m.GROUPS + g), p[g])
+        if k % 3 == 2 or k == 6:
+            for s, at, v in sums.drained():
+                got[s * m.SLICE + at] += v
+            assert len(sums.met) == 0 and (sums.place == -1).all() and sums.drained() == []
+    assert np.allclose(got, dense, atol=1e-2, rtol=1e-4)
+
+
+def test_word_training_does_not_depend_on_pieces(spark, sf):
+    """The weights are the same however often a task hands its sums on and however few neighbours meet first."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from mnemospark.llm import maxent_lm as m
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    encoded = m.encode(docs, F.lit(True)).cache()
+    classes = m.Classes([], [])
+    model = m.train(m.class_trigrams(encoded, classes), 2)
+    one = m.train_words(encoded, model, classes, 4_000_000)
+    two = m.train_words(encoded.repartition(5), model, classes, 4_000_000, near=2, touched=100)
+    assert one.w.any() and np.allclose(one.w, two.w, atol=1e-4)
+    assert not m.train_words(encoded.limit(0), model, classes, 0).w.any()
+    encoded.unpersist()
