@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import hold, text_of, written
 
 CACHE_BOUND = 300_000
-GROUP_TOKENS, POSITIONS, COUNTED = 250_000, 250_000, 2_000_000
+GROUP_TOKENS, POSITIONS, COUNTED = 100_000, 100_000, 1_000_000
 SUFFIXES = 4096
 GROUPS, PER_GROUP = 8, 16
 CLASSES = GROUPS * PER_GROUP  # class c is in group c % GROUPS, so the most frequent tokens lie in different groups
