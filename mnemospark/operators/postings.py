@@ -19,6 +19,11 @@ def postings(pairs: DataFrame, keys: list[str], item: str, block: int = 4096) ->
     return dealt.groupBy(*keys, "n", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
 
+def whole(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, items): the blocks of each key as one sorted list, for readers that want a row a key; such a row is as long as its set."""
+    return blocks.groupBy(*keys, "n").agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("items"))
+
+
 def entity_chunk_sets(facts: DataFrame, **how) -> DataFrame:
     """The chunks of each phrase of facts (chunk, s, p, o)."""
     return postings(facts.select("chunk", F.explode(F.array("s", "o")).alias("entity")), ["entity"], "chunk", **how)
