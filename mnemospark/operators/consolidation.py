@@ -29,7 +29,7 @@ def step(known: DataFrame, new: DataFrame, embed: Callable[[DataFrame], DataFram
     near = top_k_join(vec(new, "query_id"), vec(known, "key_id"), TOP, LEAST)
     told = known.select(F.col("triple_id").alias("key_id"), F.struct(*TRIPLES[:4]).alias("t"), "evidence")
     related = near.join(told, "key_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "t"))).alias("r"))
-    asked = new.join(related, new["triple_id"] == related["query_id"]).select(*TRIPLES[:4], F.transform("r", lambda x: x["t"]).alias("related"))
+    asked = written(new.join(related, new["triple_id"] == related["query_id"]).select(*TRIPLES[:4], F.transform("r", lambda x: x["t"]).alias("related")), "asked")
     decided = written(decide(asked), "decisions")
     valid = decided.join(asked.select("triple_id", "related"), "triple_id").select("triple_id", F.explode(F.filter("related", lambda t: F.array_contains(F.col("removed"), t["triple_id"]))).alias("t"))
     gone = valid.select("triple_id", "t.s", "t.p", "t.o").distinct()

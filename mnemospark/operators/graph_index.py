@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.operators.similarity import top_k_join
 from mnemospark.operators.vector_index import centroids, dealt_to_cells
 
 SHARD_ROWS = 20_000
@@ -232,3 +233,13 @@ def search(index: tuple[np.ndarray, DataFrame], queries: DataFrame, k: int, beam
     each = Window.partitionBy("query_id")
     ranked = partial.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), "key_id"))).withColumn("compared", F.sum("compared").over(each))
     return ranked.filter(F.col("rank") <= k).select("query_id", "key_id", "score", "rank", "compared")
+
+
+def completed(found: DataFrame, queries: DataFrame, keys: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """(query_id, key_id, score, rank): the exact k best, from what search found.
+
+    The k-th score found is a floor: every key is compared with each query by matrix product, and only those that reach the floor are held. A query for which fewer
+    than k were found has no floor. The work is all pairs of queries and keys.
+    """
+    floors = found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("floor")).alias("floor"))
+    return top_k_join(queries.join(floors, "query_id", "left"), keys, k, skip_self=skip_self)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.vectors import cosine
+from mnemospark.session import written
 
 
 def top_k(df: DataFrame, query: list[float], k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -50,18 +51,133 @@ def best_pairs(k: int, least: float | None, skip_self: bool, rows: int = 256):
     return best
 
 
-def top_k_join(queries: DataFrame, keys: DataFrame, k: int, least: float | None = None, blocks: int | None = None, query_block: int = 2000, key_block: int = 20_000, skip_self: bool = False) -> DataFrame:
+PACK = 4096  # vectors of one packed row
+_MICRO = 1_000_000  # scores have six places
+
+
+def classes(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(seat, vector, members) of rows (id, vector): equal vectors are one class with its most smallest ids; without most, members is empty and the least floor is kept."""
+    if most is None:
+        one = rows.groupBy("vector").agg(F.min("floor").alias("floor")).withColumn("members", F.array().cast("array<long>"))
+    else:
+        w = Window.partitionBy("vector").orderBy("id")
+        few = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)  # a limit of a rank: each task keeps most a vector
+        one = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members"))
+    return written(one.select(F.monotonically_increasing_id().alias("seat"), *one.columns), "vector-classes")
+
+
+def packed(rows: DataFrame, parts: int, size: int = PACK) -> DataFrame:
+    """(seats, first, data) of rows (seat, first, vector): size unit vectors a row as bytes, in parts partitions."""
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            while n >= size:
+                t = pa.Table.from_batches(held)
+                yield _pack(t.slice(0, size))
+                held, n = t.slice(size).to_batches(), n - size
+        if n:
+            yield _pack(pa.Table.from_batches(held))
+
+    return rows.select("seat", "first", "vector").repartition(parts).mapInArrow(run, "seats binary, first binary, data binary").repartition(parts)
+
+
+def _pack(t: pa.Table) -> pa.RecordBatch:
+    x = np.stack(t["vector"].to_numpy(zero_copy_only=False)).astype(np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    whole = lambda c: np.asarray(t[c]).astype(np.int64).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (whole("seat"), whole("first"), x.tobytes())], names=["seats", "first", "data"])
+
+
+def _best_of_packs(k: int, least: float | None, rows: int = 256):
+    """For rows of one pack of queries and one of keys each: each query's k best key seats over the packs that follow each other.
+
+    The k best so far of a pack of queries are held and only keys that reach the k-th of them are sorted, so a task's memory is a slice of scores and what
+    leaves it is k rows a query, whatever the number of its packs of keys.
+    """
+
+    def merged(best, s, seats, first, floor):
+        cut = np.maximum(best[0][:, -1], floor)  # -inf while there are fewer than k
+        if least is not None:
+            cut = np.maximum(cut, least)
+        if k < s.shape[1] and (cut == -np.inf).any() or k < s.shape[1] // 8 and np.count_nonzero(s >= cut[:, None]) > 4 * k * len(s):
+            cut = np.maximum(cut, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+        r, c = np.nonzero(s >= cut[:, None])
+        have = np.nonzero(best[0] > -np.inf)
+        row = np.concatenate([have[0], r])
+        score = np.concatenate([best[0][have], s[r, c]])
+        tie = np.concatenate([best[1][have], first[c]])
+        seat = np.concatenate([best[2][have], seats[c]])
+        order = np.lexsort((tie, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        few = place < k
+        row, place, order = row[few], place[few], order[few]
+        for held, value, none in zip(best, (score, tie, seat), (-np.inf, 0, 0), strict=True):
+            held[:] = none
+            held[row, place] = value[order]
+
+    def out(ids, best):
+        at = np.nonzero(best[0] > -np.inf)
+        for lo in range(0, len(at[0]), 50_000):
+            r, c = at[0][lo : lo + 50_000], at[1][lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(best[2][r, c]), pa.array(best[1][r, c]), pa.array(best[0][r, c])], names=["query", "key", "first", "score"])
+
+    def run(batches):
+        raw = x = ids = best = floors = None
+        for b in batches:
+            for asked, ask, floor, seats, first, data in zip(*(b.column(c) for c in ("q_seats", "q_data", "q_floors", "seats", "first", "data")), strict=True):
+                if asked.as_py() != raw:
+                    if raw is not None:
+                        yield from out(ids, best)
+                    raw = asked.as_py()
+                    ids = np.frombuffer(raw, np.int64)
+                    floors = np.where((m := np.frombuffer(floor.as_py(), np.int64)) > -_MICRO - 1, m / _MICRO - 1e-9, -np.inf)
+                    x = np.frombuffer(ask.as_py(), np.float64).reshape(len(ids), -1)
+                    best = [np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64)]
+                seats, first = np.frombuffer(seats.as_py(), np.int64), np.frombuffer(first.as_py(), np.int64)
+                keys = np.frombuffer(data.as_py(), np.float64).reshape(len(seats), -1)
+                for at in range(0, len(ids), rows):
+                    s = np.round(x[at : at + rows] @ keys.T, 6)
+                    merged([c[at : at + rows] for c in best], s, seats, first, floors[at : at + rows])
+        if raw is not None:
+            yield from out(ids, best)
+
+    return run
+
+
+def top_k_join(queries: DataFrame, keys: DataFrame, k: int, least: float | None = None, blocks: int | None = None, query_block: int = 2000, key_block: int = 20_000, skip_self: bool = False, wanted: int | None = None) -> DataFrame:
     """For each query (query_id, vector) its k best keys (key_id, vector) by cosine: query_id, key_id, score, rank.
 
-    Both sides are dealt to blocks (about query_block and key_block rows); a task holds one block of keys and one of queries and returns each query's best k
-    from them by matrix product, so what is shuffled is k rows a query and block, never all pairs. Ties go to the
-    smaller key id, on scores rounded to six places.
+    Equal vectors are one class on either side, of which the k smallest ids suffice. Classes are packed to rows of some thousand vectors and
+    packs meet packs in a Cartesian product, so vectors are shuffled once and never copied for their partners; a task goes through a share of the keys
+    (at most about 64 MB of them) and keeps each query's k best so far by matrix product, so what is shuffled is k rows a query and share.
+    Ties go to the smaller key id, on scores rounded to six places. wanted: the caller reads the first ranks only, so no others are made. Queries may have
+    a floor, a score that k of their keys are known to reach: then no key below it is held.
     """
-    n_blocks = blocks or max(8, -(-keys.count() // key_block))
-    q_blocks = max(1, -(-queries.count() // query_block))
-    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("kb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "vector")
-    right = keys.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("key_id"), F.lit(n_blocks)).cast("int").alias("kb"), F.lit(1).alias("side"), F.col("key_id").alias("id"), "vector")
-
-    partial = left.unionByName(right).groupBy("qb", "kb").applyInArrow(best_pairs(k, least, skip_self), "query_id long, key_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    k = min(k, wanted or k)
+    some = k + 1 if skip_self else k  # a query may find itself
+    floor = F.col("floor") if "floor" in queries.columns else F.lit(None).cast("double")
+    asks = queries.select(F.col("query_id").alias("id"), "vector", floor.alias("floor"))
+    known = classes(keys.select(F.col("key_id").alias("id"), "vector"), some)
+    asked = classes(asks)
+    sizes = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("w")).first()
+    shares = blocks or max(1, min(8, -(-sizes.n // key_block)), -(-sizes.n * (sizes.w or 0) * 8 // (64 << 20)))
+    micro = F.coalesce(F.round(F.col("floor") * _MICRO).cast("long"), F.lit(-_MICRO - 1))
+    left = packed(asked.withColumn("first", micro), max(1, -(-asked.count() // query_block)), query_block).select(F.col("seats").alias("q_seats"), F.col("data").alias("q_data"), F.col("first").alias("q_floors"))
+    right = packed(known.withColumn("first", F.col("members")[0]), shares, min(PACK, key_block))
+    met = left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(_best_of_packs(some, least), "query long, key long, first long, score double")
+    best = met.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first"))).filter(F.col("_r") <= some)
+    hits = best.join(known.select(F.col("seat").alias("key"), "members"), "key").select("query", "score", F.explode("members").alias("key_id"))
+    hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key_id"))).filter(F.col("_r") <= some)
+    few = written(hits.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_r", "key_id", "score"))).alias("hits")), "hits")  # some of a query at most
+    own = asks.join(asked.select("vector", F.col("seat").alias("query")), "vector").select(F.col("id").alias("query_id"), "query")
+    if skip_self:
+        others = F.filter("hits", lambda h: h["key_id"] != F.col("query_id"))
+        own = own.join(few, "query").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("_p", "h"))
+    else:
+        own = own.join(few, "query").select("query_id", F.posexplode("hits").alias("_p", "h"))
+    return own.select("query_id", "h.key_id", "h.score", (F.col("_p") + 1).alias("rank"))
