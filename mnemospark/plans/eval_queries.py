@@ -274,5 +274,5 @@ def knn_threshold_edges(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings")
     v = F.transform("embedding", lambda x: x.cast("double")).alias("vector")
-    near = top_k_join(e.select(F.col("vec_id").alias("query_id"), v), e.select(F.col("vec_id").alias("key_id"), v), 2047, 0.25, skip_self=True)
+    near = top_k_join(e.select(F.col("vec_id").alias("query_id"), v), e.select(F.col("vec_id").alias("key_id"), v), 2047, 0.25, skip_self=True, wanted=101)  # synonym_edges keeps the first 101
     return synonym_edges(near, 0.25)
