@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,16 +51,39 @@ def snapshot_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends, some.filter("s <> o").select(F.col("s").alias("src"), F.col("o").alias("dst"), F.lit(1.0).alias("weight"))
 
 
-def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, rounds: int, cut: int = 10, hub: int = 100_000) -> DataFrame:
-    """(query_id, id, rank) after a fixed number of power iterations, for all queries at once.
+#: Vertices of at most so many neighbours are compared whole, to find those that have the same ones.
+FEW = 4
 
-    edges (src, dst, weight) are undirected: each row counts both ways, parallel rows add up. reset (query_id, id,
-    weight): negative and NaN weights are 0, each query's weights are scaled to sum 1. A vertex without edges gives its
-    rank back to the reset. Shares are computed once; every ``cut`` rounds the ranks are written to the shared folder. The
-    edges of a vertex with more than hub of them are dealt to several salts, and its rank goes to each.
+
+class Ranks(NamedTuple):
+    """Ranks by class of twins: inflow (query_id, class, flow) is what each member of a class gets from its neighbours, home (query_id, id, class, part) what
+    a seed gets from the reset besides; members (id, class, size) are the classes of more than one vertex, all other classes are their vertex."""
+
+    inflow: DataFrame
+    home: DataFrame
+    members: DataFrame
+
+
+def twins(flat: DataFrame) -> DataFrame:
+    """(id, class, size): vertices of flat (src, dst, weight, both ways) with the same few neighbours by the same weights, where there are several; class is the least."""
+    near = flat.join(flat.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= FEW).select("src"), "src")
+    near = written(near.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "weight"))).alias("near")), "ppr-near")
+    alike = near.groupBy("near").agg(F.min("src").alias("class"), F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("_n", F.col("size"))
+    return written(join_by_size(near, alike, ["near"], "_n").select(F.col("src").alias("id"), "class", "size"), "ppr-twins")
+
+
+def ranks_by_class(edges: DataFrame, reset: DataFrame, damping: float, rounds: int, cut: int = 10, hub: int = 100_000) -> Ranks:
+    """The ranks of personalised_pagerank, whose rounds run over classes of twins; rounds: at least one.
+
+    Vertices with the same neighbours by the same weights give and get the same, so a class counts as one vertex that holds the sum of its members' ranks
+    and resets. In the end its inflow is divided by its size, and a member's own reset part is added.
     """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    flat = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    flat = written(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "ppr-edges")
+    members = twins(flat)
+    alone = flat.join(members.filter("id <> class").select(F.col("id").alias("src")), "src", "left_anti")  # a class goes by its least member
+    to = members.select(F.col("id").alias("dst"), "class")
+    flat = alone.join(to, "dst", "left").select("src", F.coalesce("class", "dst").alias("dst"), "weight").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     total = flat.groupBy("src").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("salts"), F.count(F.lit(1)).alias("size"))
     salt = F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int")
     share = written(join_by_size(flat, total, ["src"], "size").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), salt.alias("salt"), "salts"), "ppr-shares")
@@ -67,7 +91,10 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, ro
     any_hub = not hubs.isEmpty()
     clean = reset.select("query_id", "id", F.when(F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0), 0.0).otherwise(F.col("weight")).alias("weight"))
     mass = clean.groupBy("query_id").agg(F.sum("weight").alias("mass")).filter("mass > 0")
-    p = written(clean.join(mass, "query_id").groupBy("query_id", "id").agg(F.sum(F.col("weight") / F.col("mass")).alias("p")).filter("p > 0"), "ppr-reset")
+    seeds = clean.join(mass, "query_id").groupBy("query_id", "id").agg(F.sum(F.col("weight") / F.col("mass")).alias("p")).filter("p > 0")
+    seeds = written(seeds.join(members.select("id", "class"), "id", "left").select("query_id", "id", F.coalesce("class", "id").alias("class"), "p"), "ppr-reset")
+    p = seeds.groupBy("query_id", F.col("class").alias("id")).agg(F.sum("p").alias("p"))
+    p = written(p, "ppr-class-reset")
     rank = p.select("query_id", "id", F.col("p").alias("rank"))
     # Only seeds can lack edges: rank reaches other vertices along edges alone.
     loose = written(p.join(share.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("query_id", "id"), "ppr-loose")
@@ -80,16 +107,68 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, ro
         else:
             met = rank.join(share, rank["id"] == share["src"])
         moved = met.select("query_id", F.col("dst").alias("id"), (F.col("rank") * F.col("share") * damping).alias("part"))
+        kept = F.lit(1 - damping)
+        own = lambda df: df
         if any_loose:
             lost = rank.join(loose, ["query_id", "id"]).groupBy("query_id").agg(F.sum("rank").alias("lost"))
-            home = p.join(lost, "query_id", "left").select("query_id", "id", (F.col("p") * (1 - damping + damping * F.coalesce("lost", F.lit(0.0)))).alias("part"))
-        else:
-            home = p.select("query_id", "id", (F.col("p") * (1 - damping)).alias("part"))
+            kept = 1 - damping + damping * F.coalesce("lost", F.lit(0.0))
+            own = lambda df, lost=lost: df.join(lost, "query_id", "left")
+        if k == rounds - 1:
+            break
+        home = own(p).select("query_id", "id", (F.col("p") * kept).alias("part"))
         # One shuffle a round: both parts are summed together, in part before it.
         rank = moved.unionByName(home).groupBy("query_id", "id").agg(F.sum("part").alias("rank"))
-        if k % cut == cut - 1 and k < rounds - 1:
+        if k % cut == cut - 1:
             rank = written(rank, "ppr-ranks")
-    return rank
+    flow = moved.groupBy("query_id", F.col("id").alias("class")).agg(F.sum("part").alias("flow"))
+    sizes = members.filter("id = class").select("class", "size")
+    inflow = flow.join(sizes, "class", "left").select("query_id", "class", (F.col("flow") / F.coalesce("size", F.lit(1))).alias("flow"))
+    home = own(seeds).select("query_id", "id", "class", (F.col("p") * kept).alias("part"))
+    return Ranks(written(inflow, "ppr-inflow"), written(home, "ppr-home"), members)
+
+
+def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, rounds: int, cut: int = 10, hub: int = 100_000) -> DataFrame:
+    """(query_id, id, rank) after a fixed number (one or more) of power iterations, for all queries at once.
+
+    edges (src, dst, weight) are undirected: each row counts both ways, parallel rows add up. reset (query_id, id,
+    weight): negative and NaN weights are 0, each query's weights are scaled to sum 1. A vertex without edges gives its
+    rank back to the reset. Rounds run over classes of twins (ranks_by_class), and only the result has a row for each vertex. Shares are computed once;
+    every ``cut`` rounds the ranks are written to the shared folder. The edges of a vertex with more than hub of them are dealt to several salts, and its rank goes to each.
+    """
+    r = ranks_by_class(edges, reset, damping, rounds, cut, hub)
+    one = r.inflow.join(r.members.select("class").distinct(), "class", "left_anti").select("query_id", F.col("class").alias("id"), "flow")
+    each = one.unionByName(r.inflow.join(r.members, "class").select("query_id", "id", "flow"))
+    plain = each.join(r.home.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.col("flow").alias("rank"))
+    seeds = r.home.join(r.inflow, ["query_id", "class"], "left").select("query_id", "id", (F.col("part") + F.coalesce("flow", F.lit(0.0))).alias("rank"))
+    return plain.unionByName(seeds)
+
+
+def best_triples(triples: DataFrame, r: Ranks, most: int, digits: int = 8) -> DataFrame:
+    """(query_id, s, p, o, score) of each query's most best triples (s, p, o) by rank of subject plus rank of object, rounded; of equals the first by s, p, o.
+
+    Triples whose ends are of the same two classes score alike, but for seeds that have twins. So the first most of such a group suffice, and
+    the triples of those seeds are scored one by one.
+    """
+    ends = ["s", "p", "o"]
+    of = lambda c: r.members.select(F.col("id").alias(c), F.col("class").alias(f"_{c}"))
+    known = triples.select(*ends).distinct().join(of("s"), "s", "left").join(of("o"), "o", "left")
+    known = written(known.select(*ends, F.coalesce("_s", "s").alias("cs"), F.coalesce("_o", "o").alias("co")), "triple-classes")
+    first = Window.partitionBy("cs", "co").orderBy(*ends)
+    few = known.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most).drop("_r")  # a limit of a rank: each task keeps most a group
+    seeds = r.home.join(r.members.select("id", "size"), "id", "left")
+    own = seeds.filter("size IS NULL").select("query_id", "class", F.col("part").alias("flow"))
+    rank = written(r.inflow.unionByName(own).groupBy("query_id", "class").agg(F.sum("flow").alias("rank")), "class-ranks")
+    by_class = F.explode(F.array_distinct(F.array("cs", "co"))).alias("class")
+    score = lambda rows, keys: rows.select(*keys, by_class, F.when(F.col("cs") == F.col("co"), 2.0).otherwise(1.0).alias("times"))
+    plain = score(few, ends).join(rank, "class").groupBy("query_id", *ends).agg(F.sum(F.col("rank") * F.col("times")).alias("score"))
+    with_twins = seeds.filter("size IS NOT NULL").select("query_id", "id", "part")
+    at_seed = known.withColumn("id", F.explode(F.array_distinct(F.array("s", "o")))).join(with_twins, "id")
+    at_seed = at_seed.groupBy("query_id", *ends, "cs", "co").agg(F.sum(F.when(F.col("s") == F.col("o"), 2.0).otherwise(1.0) * F.col("part")).alias("part"))
+    flow = score(at_seed, ["query_id", *ends, "part"]).join(rank, ["query_id", "class"], "left")
+    special = flow.groupBy("query_id", *ends, "part").agg(F.sum(F.coalesce("rank", F.lit(0.0)) * F.col("times")).alias("flow")).select("query_id", *ends, (F.col("flow") + F.col("part")).alias("score"))
+    all_ = plain.unionByName(special).groupBy("query_id", *ends).agg(F.round(F.max("score"), digits).alias("score"))  # a seed's part is never negative
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), *ends)
+    return all_.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= most).drop("_r")
 
 
 def triple_scores(triples: DataFrame, rank: DataFrame) -> DataFrame:

@@ -88,11 +88,8 @@ def ppr_weighted(spark, sf_dir):
 def semantic_retrieve(spark, sf_dir):
     facts = star_facts(spark, sf_dir)
     _, edges = graph.snapshot_graph(facts)
-    rank = graph.personalised_pagerank(edges, _seeds(spark, sf_dir), 0.85, 20)
-    triples = facts.select("s", "p", "o").distinct().withColumn("triple_id", tx.fact_id(F.col("s"), F.col("p"), F.col("o")))
-    x = graph.triple_scores(triples, rank).withColumn("score", F.round("score", 8))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "s", "p", "o")
-    return x.withColumn("_r", F.row_number().over(w)).filter("_r <= 10").select("query_id", "s", "p", "o", "score")
+    ranks = graph.ranks_by_class(edges, _seeds(spark, sf_dir), 0.85, 20)
+    return graph.best_triples(facts, ranks, 10).select("query_id", "s", "p", "o", "score")
 
 
 @query("delete_refcount", f"WITH {FACTS_SQL}, gone AS (SELECT * FROM facts WHERE chunk IN ('chunk-c1', 'chunk-s0')), stay AS (SELECT * FROM facts WHERE chunk NOT IN ('chunk-c1', 'chunk-s0')) SELECT entity FROM (SELECT DISTINCT unnest([s, o]) AS entity FROM gone) WHERE entity NOT IN (SELECT unnest([s, o]) FROM stay)")
