@@ -52,7 +52,7 @@ COVERED = "host string, stream long, n long, blocks array<struct<path long, doub
 MOST_BROADCAST = 50_000  # streams whose decisions are broadcast; more of them meet their rows in a shuffle
 MAIN, ASIDE, SUSPECT, OPEN = "main", "aside", "suspect", "open"
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(?:/?[a-zA-Z]|!)[^>]*\Z""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>=]+|=)*+)>|<(?:/?[a-zA-Z]|!)[^>]*\Z""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Without text of their own: scripts and styles, drawings, frames, form controls. They stand inside a line and do not end its block.
 _RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select"}
@@ -63,6 +63,9 @@ _INLINE |= {"object", "canvas", "picture", "audio", "video", "ruby", "rt", "rp",
 _SPACED = {"br", "td", "th"}
 _ASIDE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "button"}
 _ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
+# Start tags that end an open element of these names, whose end tag may be left out.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ENDS |= {n: {"p"} for n in ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul")}
 _READER_WORDS = {"comment", "comments", "disqus", "replies", "reply"}
 _SUSPECT_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies",
@@ -111,8 +114,8 @@ def read_page(source: str) -> Page:
     page = Page([], [], [], [])
     stream, parts, open_, blocks = page
     held: list[str] = []
-    stack: list[tuple[str, str, int]] = []
-    zone, path, at, end = OPEN, 0, 0, len(source)
+    stack: list[tuple[str, str, int, int]] = []
+    zone, path, asides, at, end = OPEN, 0, 0, 0, len(source)  # asides: elements around that are aside or suspect, forms not counted
 
     def flush() -> None:
         words = html.unescape("".join(held)).split()
@@ -152,23 +155,33 @@ def read_page(source: str) -> Page:
                     if stack[k][1] != zone:
                         flush()
                     del stack[k:]
-                    zone, path = stack[-1][1:] if stack else (OPEN, 0)
+                    zone, path, asides = stack[-1][1:] if stack else (OPEN, 0, 0)
                     break
         elif name in _RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            if close is None and stack:  # without an end of its own it ends with its parent
+            again = re.compile(rf"<{re.escape(name)}[\s/>]", re.I).search(source, at) if m[3].rstrip().endswith("/") else None
+            if m[3].rstrip().endswith("/") and (name == "svg" or close is None or again and again.start() < close.start()):
+                pass  # closed in its own tag: what follows is not its content
+            elif close is None and stack:  # without an end of its own it ends with its parent
                 parent = re.compile(rf"</{re.escape(stack[-1][0])}\s*>", re.I).search(source, at)
                 at = parent.start() if parent else end
             else:
                 at = close.end() if close else end
         elif name not in _VOID and not m[3].rstrip().endswith("/"):
+            while stack and stack[-1][0] in _ENDS.get(name, ()):
+                before = zone
+                stack.pop()
+                if (stack[-1][1] if stack else OPEN) != before:
+                    flush()
+                zone, path, asides = stack[-1][1:] if stack else (OPEN, 0, 0)
             kind = _kind(name, m[3], zone == MAIN)
-            if zone != ASIDE and kind and kind != zone:
+            if kind and kind != zone and (zone != ASIDE or kind == MAIN and not asides):  # a form around the whole page hides no article
                 flush()
                 zone = kind
+            asides += kind in (ASIDE, SUSPECT) and name != "form"
             if zone in (OPEN, SUSPECT) and name not in ("html", "body"):
                 path = _path(path, name, m[3])
-            stack.append((name, zone, path))
+            stack.append((name, zone, path, asides))
         if around in (OPEN, SUSPECT) or zone in (OPEN, SUSPECT):
             open_.append(token)
     flush()
