@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from mnemospark.operators.segmented import prefix
+from mnemospark.session import written
 
 RANGE_BYTES = 16 << 20
+RANGES = 1000  # about so many of all files, as long as a range is no longer than RANGE_BYTES: each costs a task
 ELEMENT = "path string, offset long, element string"
 _QUOTE, _ESCAPE, _COMMA = 0x22, 0x5C, 0x2C
 
@@ -165,11 +167,12 @@ class JsonRanges(DataSource):
 
 
 def plan_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> list[list]:
-    """The byte ranges of all files under path (a file, folder or pattern) with the state that enters each."""
+    """The byte ranges of all files under path (a file, folder or pattern) with the state that enters each; of large files they are longer than range_bytes."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [s for g in (fs.globStatus(at) or []) for s in ([g] if g.isFile() else fs.listStatus(g.getPath())) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    range_bytes = max(range_bytes, min(RANGE_BYTES, sum(s.getLen() for s in found) // RANGES))
     ranges = [(s.getPath().toString(), start, min(range_bytes, s.getLen() - start)) for s in found for start in range(0, s.getLen(), range_bytes)]
     if not ranges:
         return []
@@ -203,6 +206,7 @@ def json_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
 def read_array(spark: SparkSession, path: str, schema: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(path, pos, fields) of files that hold one JSON array of objects each; pos is the place in the file's array."""
     parsed = json_elements(spark, path, range_bytes).select("path", "offset", F.from_json("element", f"struct<{schema}>").alias("r"))
+    parsed = written(parsed, "array-elements")  # places take several passes; files are read and parsed once
     return prefix(parsed, ["path"], ["offset"], position="pos").select("path", "pos", "r.*")
 
 
