@@ -10,9 +10,11 @@ Strings of special tokens in a text are ordinary text, as the vocabularies' own
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import re
+import sys
 
 import numpy as np
 
@@ -85,6 +87,34 @@ class WordEncoder:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes are themselves, the others follow from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return dict(zip([*sorted(plain), *(b for b in range(256) if b not in plain)], [*map(chr, sorted(plain)), *map(chr, range(256, 512 - len(plain)))], strict=True))
+
+
+class _Letters(_Chunks):
+    """_Chunks of a byte-level vocabulary: a chunk of letters alone is one piece, so the library's model takes it without a search for pieces.
+
+    Only below U+0250, where all letters are such in every Unicode version.
+    """
+
+    def __init__(self, tokenizer, dtype: str, prefix: str, bound: int, tails: "_Chunks | None" = None):
+        super().__init__(tokenizer, dtype, prefix, bound, tails)
+        self.model, self.letters = tokenizer.model, _byte_letters()
+        self.before = prefix.translate(self.letters)
+        self.code = {"<u2": "H", "<u4": "I"}[dtype] if sys.byteorder == "little" else None
+        if any(t.content.isalpha() for t in tokenizer.get_added_tokens_decoder().values()):  # such a token is found inside a chunk
+            self.code = None
+
+    def whole(self, text: str) -> bytes:
+        word = text[len(self.prefix) :]
+        if self.code is None or not text.startswith(self.prefix) or not word.isalpha() or max(word) >= "\u0250":
+            return super().whole(text)
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array.array(self.code, [t.id for t in self.model.tokenize(self.before + piece)]).tobytes()
+
+
 #: A run of white space with the word after it. U+001C to U+001F are white space to Python alone.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
@@ -95,8 +125,8 @@ class ByteEncoder:
     def __init__(self, path: str, dtype: str = "<u2", bound: int = CACHE_BOUND, special: bool = False):
         lib = _library(path, special)
         self.special = _special(lib) if special else None
-        self.bare = _Chunks(lib, dtype, "", bound)
-        self.spaced = _Chunks(lib, dtype, " ", bound, tails=self.bare)
+        self.bare = _Letters(lib, dtype, "", bound)
+        self.spaced = _Letters(lib, dtype, " ", bound, tails=self.bare)
         self.newline = self.bare["\n"]
 
     def _line(self, line: str) -> bytes:
