@@ -31,6 +31,7 @@ Defined results: null and empty text is one end token. Without training texts al
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import pickle
 from typing import NamedTuple
@@ -38,7 +39,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.common import hold, text_of, written
@@ -136,17 +137,17 @@ def encode(docs: DataFrame, training: Column) -> DataFrame:
     def run(batches):
         lexicon = _lexicon()
         for b in batches:
-            sizes, keys = [], []
-            for group in _groups(t.as_py() for t in b.column(2)):
+            done = 0
+            for group in _groups(t.as_py() for t in b.column(2)):  # a group of texts is a batch, so keys of many texts are never held
                 n = lexicon.numbers([w for ws in group for w in ws])
                 k = lexicon.values(0)[n]
-                at = 0
-                for ws in group:
-                    sizes.append(len(ws))
-                    keys.append(k[at : at + len(ws)].tobytes())
-                    at += len(ws)
+                sizes = [len(ws) for ws in group]
+                ends = np.cumsum(sizes).tolist()
+                keys = [k[z - size : z].tobytes() for z, size in zip(ends, sizes, strict=True)]
+                ids, learn = (b.column(i).slice(done, len(sizes)) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, learn, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=[x.split()[0] for x in ENCODED.split(", ")])
+                done += len(sizes)
                 lexicon.trim()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=[x.split()[0] for x in ENCODED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("learn"), text_of().alias("text")).mapInArrow(run, ENCODED)
 
@@ -156,6 +157,26 @@ def _without_lexicon() -> None:
     hold("language model keys", dict)
 
 
+def _each(column: pa.Array):
+    """The values of a column one by one: a list would hold a batch's keys a second time."""
+    return (x.as_py() for x in column)
+
+
+BATCH_ROWS = 1000  # texts that pass between Spark and a worker at once
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """While it holds, jobs pass at most so many rows at once to Python: their buffers, on both sides, hold whole texts or their keys."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def count_tokens(encoded: DataFrame) -> DataFrame:
     """(hash, c) of every token key of encoded texts; partial counts are summed before the shuffle."""
 
@@ -168,7 +189,7 @@ def count_tokens(encoded: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["hash", "c"])
 
         for b in batches:
-            for k in b.column(0).to_pylist():
+            for k in _each(b.column(0)):
                 held.append(k)
                 size += len(k) // 8
                 if size >= COUNTED:
@@ -243,8 +264,8 @@ def class_trigrams(encoded: DataFrame, classes: Classes) -> DataFrame:
         _without_lexicon()
         total = np.zeros(CLASSES**3, np.int64)
         for b in batches:
-            for _, _, c, ctx, _ in positions(b.column(0).to_pylist(), classes):
-                total += np.bincount(ctx * CLASSES + c, minlength=len(total))
+            for _, _, c, ctx, _ in positions(_each(b.column(0)), classes):
+                np.add.at(total, ctx * CLASSES + c, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
@@ -508,7 +529,7 @@ def train_words(encoded: DataFrame, model: MaxEnt, classes: Classes, tokens: int
             words, z = pickle.loads(now.value)
             sums, group = TouchedSums(words.buckets), TaskContext.get().partitionId() // near
             for b in batches:
-                for _, _, c, ctx, before_ in positions(b.column(0).to_pylist(), classes):
+                for _, _, c, ctx, before_ in positions(_each(b.column(0)), classes):
                     rows = words.rows(before_)
                     sums.add(rows, c % GROUPS, np.exp(words.log_groups(z[ctx], rows)).T.copy())
                     if len(sums.met) > touched:
@@ -565,7 +586,7 @@ def score_rows(encoded: DataFrame, scorer: Scorer) -> DataFrame:
         s = pickle.loads(packed.value)
         for b in batches:
             logs, known, class_log, tails = [], [], [], []
-            for sizes, keys, c, ctx, before_ in positions(b.column(3).to_pylist(), s.classes):
+            for sizes, keys, c, ctx, before_ in positions(_each(b.column(3)), s.classes):
                 stop = np.cumsum(sizes)
                 begin = stop - sizes
                 count = s.head_counts(keys)
@@ -631,9 +652,10 @@ def fit(docs: DataFrame, training: Column, head: int = 200_000, rounds: int = 14
 
 def score_documents(docs: DataFrame, training: Column, **how) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text of docs; learns where training holds."""
-    fitted = fit(docs, training, **how)
+    with small_batches(docs.sparkSession):
+        fitted = fit(docs, training, **how)
+        rows = written(score_rows(fitted.encoded, fitted.scorer), "scored-rows")
     n, v = fitted.n, fitted.v
-    rows = written(score_rows(fitted.encoded, fitted.scorer), "scored-rows")
     rare = fitted.counts.filter(F.col("c") < fitted.least).select("hash", "c")
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.hash", "t.k").join(rare, "hash", "left")
     of_row = tail.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("tail_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("tail_known"))

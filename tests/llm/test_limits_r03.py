@@ -26,3 +26,24 @@ def test_words_of_letters_skip_the_search_for_pieces():
     for text in (*words, " ".join(words), "\n".join(words)):
         assert np.frombuffer(e.encode(text), "<u2").tolist() == real.encode(text, add_special_tokens=False).ids, text
     assert all(max(t) >= "ɐ" for t in e.bare.tokenizer.seen)
+
+
+def test_language_model_passes_small_batches(spark):
+    """No more than BATCH_ROWS texts reach a worker at once, and the setting is as before afterwards."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from mnemospark.llm import maxent_lm as M
+
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 30)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    with M.small_batches(spark, 50):
+        met = docs.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").collect()
+        assert max(r.n for r in met) == 50 and sum(r.n for r in met) == 300
+        encoded = M.encode(docs, F.col("doc_id") % 10 != 0)
+        sizes = {r.doc_id: (r.n_tokens, len(r["keys"]), r.learn) for r in encoded.collect()}
+    assert sizes == {k: (n := len(t.split()) + 1, 8 * n, k % 10 != 0) for k, t in rows}
+    assert spark.conf.get(name) == was
