@@ -192,25 +192,30 @@ def label_contrasts(rows: DataFrame, label: str, text: str, order: list[str], n:
     """Adds same (a drawn text of the row's label), others (n drawn texts of other labels) and n_label (rows of the label).
 
     All rows of all labels are drawn from: rows are numbered by (label, order), a draw is a place among them (places of
-    the own label are skipped), and drawn places meet their texts in one join. No pool of texts is gathered for a label, so a label with
+    the own label are skipped), and drawn places meet their texts in one join. Until then only keys are sorted and joined; texts are
+    written once, and shuffled once to that join and once from it, together with the row's own columns. No pool of texts is gathered for a label, so a label with
     most of the rows, or very many labels, cost no more than others; places that come often, because few rows have another label, are joined
     by size. others has none twice where there are n, repeats where there are fewer, and is empty where all rows have one label. Rows without a label go.
     """
-    labelled = rows.filter(F.col(label).isNotNull())
+    labelled = written(rows.filter(F.col(label).isNotNull()).withColumn("_id", F.monotonically_increasing_id()), "labelled")
     sizes = written(labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "labels")
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     rest = F.lit(total) - F.col("_n")
     often = F.coalesce(F.try_divide(F.col("_n").cast("double"), rest.cast("double")), F.lit(0.0))
     every = sizes.agg(F.sum(often)).first()[0] or 0.0
-    starts = prefix(sizes, [], [label], sums={"_upto": F.col("_n")}, position="_rank").select(label, "_n", F.col("_n").alias("n_label"), (F.col("_upto") - F.col("_n")).alias("_start"), F.ceil(1 + n * (F.lit(every) - often)).cast("long").alias("_often"))
-    placed = join_by_size(prefix(labelled, [label], order, position="_place"), starts, [label], "_n")
-    base = written(placed.withColumn("_at", F.col("_start") + F.col("_place")), "labelled")
+    starts = prefix(sizes, [], [label], sums={"_upto": F.col("_n")}, position="_rank").select(label, "_n", F.col("_n").alias("n_label"), (F.col("_upto") - F.col("_n")).alias("_start"), F.ceil(2 + n * (F.lit(every) - often)).cast("long").alias("_often"))
+    keys = labelled.select("_id", *dict.fromkeys([label, *order]))
+    placed = join_by_size(prefix(keys, [label], order, position="_place"), starts, [label], "_n")
+    base = written(placed.select("_id", "n_label", "_start", "_often", (F.col("_start") + F.col("_place")).alias("_at")), "places")
     same = F.col("_start") + F.floor(draw_share(seed, F.lit(0), F.col("_at")) * F.col("n_label"))
     places = drawn_places(n, F.lit(total) - F.col("n_label"), seed, F.col("_at"), salt=1)
     others = F.transform(places, lambda u: F.when(u < F.col("_start"), u).otherwise(u + F.col("n_label")))
-    asks = base.select(F.col("_at").alias("_row"), F.posexplode(F.concat(F.array(same.cast("long")), others)).alias("_slot", "_at"))
-    met = join_by_size(asks, base.select("_at", F.col(text).alias("_text"), "_often"), ["_at"], "_often")
-    got = met.groupBy(F.col("_row").alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_slot", "_text"))).alias("_got"))  # n + 1 a row
-    out = base.join(got, "_at").withColumn("same", F.col("_got")[0]["_text"])
-    out = out.withColumn("others", F.transform(F.slice("_got", 2, n), lambda g: g["_text"]) if n else F.array().cast("array<string>"))
-    return out.select(*rows.columns, "same", "others", "n_label")
+    asks = base.select(F.col("_at").alias("_row"), F.posexplode(F.concat(F.array("_at", same.cast("long")), others)).alias("_slot", "_at"))
+    found = written(join_by_size(asks, base.select("_at", "_id", "_often"), ["_at"], "_often").select("_row", "_slot", "_id"), "drawn")
+    whole = labelled.join(base.select("_id", "_often", "n_label"), "_id")
+    met = join_by_size(found, whole, ["_id"], "_often")
+    own = F.when(F.col("_slot") == 0, F.struct(*rows.columns, "n_label"))
+    drawn = F.when(F.col("_slot") > 0, F.struct("_slot", F.col(text).alias("_text")))
+    got = met.select("_row", own.alias("_own"), drawn.alias("_drawn")).groupBy("_row").agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list("_drawn")).alias("_got"))  # n + 1 a row
+    others = F.transform(F.slice("_got", 2, n), lambda g: g["_text"]) if n else F.array().cast("array<string>")
+    return got.select(*[F.col("_own")[c].alias(c) for c in rows.columns], F.col("_got")[0]["_text"].alias("same"), others.alias("others"), F.col("_own")["n_label"].alias("n_label"))

@@ -266,7 +266,9 @@ def _against_texts(rows: DataFrame, conf: dict, name: str, text: Column, label:
     """Positives are texts of the same label, negatives texts of others; where there is no other label, the text's second half."""
     n, prompt = conf.get("num_hardneg", 0), conf.get("query_prompt", "")
     x = rows.withColumn("_text", text).withColumn("_label", label).filter("_text is not null")
-    x = label_contrasts(x, "_label", "_text", conf.get("order", ["_text"]), n, conf.get("seed", 0))
+    order = conf.get("order", ["_text"])
+    x = x.select(*dict.fromkeys(["_text", "_label", *order, *conf.get("carry", [])]))  # what the text was made of stays behind
+    x = label_contrasts(x, "_label", "_text", order, n, conf.get("seed", 0))
     x = x if alone else x.filter("n_label > 1")
     half = F.array_repeat(F.substring("_text", F.floor(F.length("_text") / 2).cast("int") + 1, F.length("_text")), n)
     others = F.when(F.size("others") > 0, F.col("others")).otherwise(half)

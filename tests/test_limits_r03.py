@@ -1,8 +1,8 @@
-"""What keeps similarity joins inside their limits."""
+"""What keeps queries inside their limits of time and disk."""
 
 import numpy as np
 
-from mnemospark.operators import similarity_lsh
+from mnemospark.operators import mixing, similarity_lsh
 
 
 def test_all_pairs_by_packed_blocks(spark, monkeypatch):
@@ -16,3 +16,15 @@ def test_all_pairs_by_packed_blocks(spark, monkeypatch):
     got = [(r.a, r.b) for r in similarity_lsh.similar_pairs(rows, 0.995, whole=9000).collect()]
     assert len(got) == len(set(got)) and set(got) == {(3 * int(a), 3 * int(b)) for a, b in zip(i, j, strict=True)}
     assert similarity_lsh.similar_pairs(rows.limit(0), 0.9, whole=1).collect() == []
+
+
+def test_label_contrasts_place_rows_by_keys_alone(spark, monkeypatch):
+    """No text is sorted or written to number the rows; rows alike in all columns stay rows of their own."""
+    seen, real = [], mixing.prefix
+    monkeypatch.setattr(mixing, "prefix", lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k))
+    rows = [(k % 3, "ab"[k % 2], f"t{k % 6}", None) for k in range(12)]
+    got = mixing.label_contrasts(spark.createDataFrame(rows, "id long, label string, t string, more string"), "label", "t", ["id"], 2).collect()
+    assert len(seen) == 2 and not any({"t", "more"} & set(c) for c in seen)
+    assert sorted((r.id, r.label, r.t) for r in got) == sorted(r[:3] for r in rows)
+    of = {t: label for _, label, t, _ in rows}
+    assert all(r.n_label == 6 and r.more is None and of[r.same] == r.label and [of[t] != r.label for t in r.others] == [True] * 2 for r in got)
