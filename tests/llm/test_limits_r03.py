@@ -47,3 +47,18 @@ def test_language_model_passes_small_batches(spark):
         sizes = {r.doc_id: (r.n_tokens, len(r["keys"]), r.learn) for r in encoded.collect()}
     assert sizes == {k: (n := len(t.split()) + 1, 8 * n, k % 10 != 0) for k, t in rows}
     assert spark.conf.get(name) == was
+
+
+def test_keys_leave_a_worker_by_groups_of_texts(spark):
+    """A batch of several groups comes back in as many batches, with each text's own keys."""
+    from pyspark.sql import functions as F
+
+    from mnemospark.llm import maxent_lm as M
+
+    rows = [(k, " ".join(f"w{(k * 7 + i) % 50}" for i in range(9_000 + k))) for k in range(30)]
+    assert sum(len(t.split()) for _, t in rows) > 2 * M.GROUP_TOKENS
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in M.encode(docs, F.col("doc_id") % 10 != 0).collect()}
+    assert len(got) == 30
+    for k, t in rows:
+        assert (got[k].learn, got[k].n_tokens, bytes(got[k]["keys"])) == (k % 10 != 0, len(t.split()) + 1, M.keys_of(M.words_of(t)).tobytes())
