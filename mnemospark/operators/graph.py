@@ -127,20 +127,43 @@ def ranks_by_class(edges: DataFrame, reset: DataFrame, damping: float, rounds: i
     return Ranks(written(inflow, "ppr-inflow"), written(home, "ppr-home"), members)
 
 
-def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, rounds: int, cut: int = 10, hub: int = 100_000) -> DataFrame:
+#: Members of a class that meet its ranks in one place, and rows of a task where they do.
+SEATS, ROWS = 1000, 1_000_000
+
+
+def _to_members(flows: DataFrame, members: DataFrame) -> DataFrame:
+    """(query_id, id, rank) of each of members (id, class, size) by the flow of its class in flows (query_id, class, flow).
+
+    The result may have far more rows than both, so members are dealt to seats, a class's flows go to each of its seats, and the tasks follow the rows to come.
+    """
+    seats = F.ceil(F.col("size") / SEATS).cast("int")
+    classes = members.groupBy("class").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    of = flows.join(classes, "class")
+    tasks = -(-(of.agg(F.sum("n")).first()[0] or 0) // ROWS) or 1
+    left = of.select("query_id", "class", F.col("flow").alias("rank"), F.explode(F.sequence(F.lit(0), seats - 1)).alias("seat")).repartition(tasks, "class", "seat")
+    right = members.select("id", "class", F.pmod(F.xxhash64("id"), seats).cast("int").alias("seat")).repartition(tasks, "class", "seat")
+    return left.join(right, ["class", "seat"]).select("query_id", "id", "rank")
+
+
+def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float, rounds: int, cut: int = 10, hub: int = 100_000, digits: int | None = None) -> DataFrame:
     """(query_id, id, rank) after a fixed number (one or more) of power iterations, for all queries at once.
 
     edges (src, dst, weight) are undirected: each row counts both ways, parallel rows add up. reset (query_id, id,
     weight): negative and NaN weights are 0, each query's weights are scaled to sum 1. A vertex without edges gives its
     rank back to the reset. Rounds run over classes of twins (ranks_by_class), and only the result has a row for each vertex. Shares are computed once;
     every ``cut`` rounds the ranks are written to the shared folder. The edges of a vertex with more than hub of them are dealt to several salts, and its rank goes to each.
+    digits: ranks are rounded, once a class where its members share them.
     """
     r = ranks_by_class(edges, reset, damping, rounds, cut, hub)
-    one = r.inflow.join(r.members.select("class").distinct(), "class", "left_anti").select("query_id", F.col("class").alias("id"), "flow")
-    each = one.unionByName(r.inflow.join(r.members, "class").select("query_id", "id", "flow"))
-    plain = each.join(r.home.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.col("flow").alias("rank"))
-    seeds = r.home.join(r.inflow, ["query_id", "class"], "left").select("query_id", "id", (F.col("part") + F.coalesce("flow", F.lit(0.0))).alias("rank"))
-    return plain.unionByName(seeds)
+    rounded = lambda c: c if digits is None else F.round(c, digits)
+    asked = r.home.select("id").distinct()
+    flat = r.inflow.select("query_id", "class", rounded(F.col("flow")).alias("flow"))
+    one = flat.join(r.members.select("class").distinct(), "class", "left_anti").select("query_id", F.col("class").alias("id"), F.col("flow").alias("rank"))
+    # Only vertices that some query has in its reset can be among the seeds; all other members, by far the most, pass without a look at them.
+    some = one.unionByName(_to_members(flat, r.members.join(asked, "id", "left_semi")))
+    plain = some.join(r.home.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    seeds = r.home.join(r.inflow, ["query_id", "class"], "left").select("query_id", "id", rounded(F.col("part") + F.coalesce("flow", F.lit(0.0))).alias("rank"))
+    return plain.unionByName(seeds).unionByName(_to_members(flat, r.members.join(asked, "id", "left_anti")))
 
 
 def best_triples(triples: DataFrame, r: Ranks, most: int, digits: int = 8) -> DataFrame:

@@ -66,8 +66,7 @@ _SNAPSHOT = "se AS (SELECT s AS src, o AS dst, 1.0 AS weight FROM facts WHERE s
 @query("ppr_uniform", f"WITH {FACTS_SQL}, {_SNAPSHOT}, {_SEEDS}, {_ppr_sql('se', 'seeds', 0.85, 20)} SELECT query_id, id, round(rank, 8) AS rank FROM r20")
 def ppr_uniform(spark, sf_dir):
     _, edges = graph.snapshot_graph(star_facts(spark, sf_dir))
-    r = graph.personalised_pagerank(edges, _seeds(spark, sf_dir), 0.85, 20)
-    return r.select("query_id", "id", F.round("rank", 8).alias("rank"))
+    return graph.personalised_pagerank(edges, _seeds(spark, sf_dir), 0.85, 20, digits=8)
 
 
 _ALL_EDGES = "ae AS (SELECT src, dst, weight FROM fe UNION ALL SELECT chunk, entity, 1.0 FROM pe)"
