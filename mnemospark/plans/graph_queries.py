@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as tx
 from mnemospark.operators import gates, graph, lsh, mixing, store
+from mnemospark.operators.graph_hubs import ranks_through_hubs, small
 from mnemospark.plans.registry import query
 from mnemospark.plans.tables import EVENTS_SQL, FACTS_SQL, clock_events, star_facts, table
+from mnemospark.session import written
 
 _FACT_EDGES = "fe AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT s AS src, o AS dst FROM facts WHERE s <> o UNION ALL SELECT o, s FROM facts WHERE s <> o) GROUP BY ALL)"
 _PASSAGES = "pe AS (SELECT DISTINCT chunk, unnest([s, o]) AS entity FROM facts)"
@@ -74,13 +76,24 @@ _ALL_EDGES = "ae AS (SELECT src, dst, weight FROM fe UNION ALL SELECT chunk, ent
 
 @query("ppr_weighted", f"WITH {FACTS_SQL}, {_FACT_EDGES}, {_PASSAGES}, {_ALL_EDGES}, {_SEEDS}, resets AS (SELECT query_id, id, weight FROM seeds UNION ALL SELECT DISTINCT query_id, chunk, 0.05 * (length(chunk) % 3) FROM pe JOIN seeds ON entity = id), {_ppr_sql('ae', 'resets', 0.5, 12)} SELECT query_id, id, round(rank, 8) AS rank FROM r12 WHERE starts_with(id, 'chunk-')")
 def ppr_weighted(spark, sf_dir):
-    """Passages by weighted ranks; reset weights are phrase seeds and, for passages that hold one of them, a twentieth of their score."""
+    """Passages by weighted ranks; reset weights are phrase seeds and, for passages that hold one of them, a twentieth of their score.
+
+    Suppliers of one nation have its passages in common, so these are a set; passages of another seed that are not among them are a question's own. Questions with the same seeds are asked once.
+    """
     facts = star_facts(spark, sf_dir)
     seeds = _seeds(spark, sf_dir)
-    held = graph.passage_edges(facts).join(seeds.select("query_id", F.col("id").alias("entity")), "entity").select("query_id", "chunk").distinct()
-    passages = held.select("query_id", F.col("chunk").alias("id"), (F.lit(0.05) * (F.length("chunk") % 3)).alias("weight"))
-    r = graph.personalised_pagerank(graph.all_edges(facts), seeds.unionByName(passages), 0.5, 12)
-    return r.filter(F.col("id").startswith("chunk-")).select("query_id", "id", F.round("rank", 8).alias("rank"))
+    each = seeds.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("asked"), F.min(F.when(F.col("weight") == 0.5, F.col("id"))).alias("set_id"))
+    asked = written(each.withColumn("first", F.min("query_id").over(Window.partitionBy("asked"))), "ppr-asked")
+    one = asked.filter("query_id = first").select("query_id", "set_id", F.explode("asked").alias("e")).select("query_id", "set_id", "e.id", "e.weight")
+    held = written(graph.passage_edges(facts).join(seeds.select(F.col("id").alias("entity")).distinct(), "entity").select("entity", F.col("chunk").alias("id"), (F.lit(0.05) * (F.length("chunk") % 3)).alias("weight")), "ppr-held")
+    common = one.select("query_id", "set_id").distinct().filter("set_id IS NOT NULL")
+    sets = held.join(common.select(F.col("set_id").alias("entity")).distinct(), "entity", "left_semi").select(F.col("entity").alias("set_id"), "id", "weight")
+    rest = one.filter("set_id IS NULL OR id <> set_id").select("query_id", "set_id", F.col("id").alias("entity")).join(held, "entity").select("query_id", "set_id", "id", "weight").distinct()
+    rest = rest.join(sets.select("set_id", "id"), ["set_id", "id"], "left_anti").select("query_id", "id", "weight")
+    reset = one.select("query_id", "id", "weight").unionByName(rest)
+    r = ranks_through_hubs(graph.all_edges(facts), reset, 0.5, 12, common.withColumn("weight", F.lit(1.0)), sets, wanted=F.col("id").startswith("chunk-"))
+    to = asked.select(F.col("first").alias("query_id"), F.col("query_id").alias("to"))
+    return r.join(small(to), "query_id").select(F.col("to").alias("query_id"), "id", F.round("rank", 8).alias("rank"))
 
 
 @query("semantic_retrieve", f"WITH {FACTS_SQL}, {_SNAPSHOT}, {_SEEDS}, {_ppr_sql('se', 'seeds', 0.85, 20)}, t AS (SELECT DISTINCT s, p, o FROM facts), sc AS (SELECT query_id, s, p, o, sum(rank * times) AS score FROM (SELECT s, p, o, unnest(list_distinct([s, o])) AS id, CASE WHEN s = o THEN 2 ELSE 1 END AS times FROM t) JOIN r20 USING (id) GROUP BY ALL) SELECT query_id, s, p, o, round(score, 8) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, s, p, o) <= 10")
