@@ -19,6 +19,9 @@ from mnemospark.session import written
 #: Reset sets that have walks of their own; beyond, each question holds its sets' rows itself. And numbers in a block of questions or of vertices.
 MOST_SETS, BLOCK = 200, 250_000
 
+#: Rows of a task of a round. And vertices of more neighbours are not compared with others.
+ROWS, MOST_NEAR = 1_000_000, 10_000
+
 #: Rows that a join with the result broadcasts; more meet it in a shuffle.
 MOST_ROWS = 200_000
 
@@ -99,11 +102,24 @@ def _products(batches):
             yield pa.RecordBatch.from_arrays([queries.take(row), ids.take(col), pa.array(rank.ravel())], names=["query_id", "id", "rank"])
 
 
+def twins(flat: DataFrame, few: int) -> tuple[DataFrame, bool]:
+    """(id, class, size) of vertices of flat (src, dst, weight, both ways) with the same more than few and at most MOST_NEAR neighbours by the same weights, and whether there are any; class is the least."""
+    edge = F.struct("dst", "weight")
+    # Sums of hashes first: only vertices that agree in these gather their neighbours.
+    mark = flat.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("dst", "weight").cast("decimal(38,0)")).alias("mark")).filter((F.col("n") > few) & (F.col("n") <= MOST_NEAR))
+    mark = written(mark, "hub-marks")
+    maybe = mark.join(mark.groupBy("n", "mark").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("n", "mark"), ["n", "mark"], "left_semi").select("src")
+    near = written(flat.join(maybe, "src").groupBy("src").agg(F.sort_array(F.collect_list(edge)).alias("near")), "hub-near")
+    alike = near.groupBy("near").agg(F.min("src").alias("class"), F.count(F.lit(1)).alias("size"), F.collect_list("src").alias("ids")).filter("size > 1")
+    members = written(alike.select(F.explode("ids").alias("id"), "class", "size"), "hub-twins")
+    return members, not members.isEmpty()
+
+
 def ranks_through_hubs(edges: DataFrame, reset: DataFrame, damping: float, rounds: int, shared: DataFrame, sets: DataFrame, wanted: Column | None = None, hubs: int = 32, leaf: int = 4) -> DataFrame:
     """(query_id, id, rank) as graph.personalised_pagerank gives them, for vertices whose column id passes wanted (all: None).
 
     Besides its rows of reset (query_id, id, weight) a question has sets in common with others: shared (query_id, set_id, weight) times sets (set_id, id,
-    weight). Hubs are the so many vertices of most edges. Vertices of at most leaf neighbours, none of which is such a vertex, have no state: a walk passes them in a double step between their
+    weight). Vertices with the same neighbours by the same weights are one class. Hubs are the so many vertices of most edges. Vertices of at most leaf neighbours, none of which is such a vertex, have no state: a walk passes them in a double step between their
     neighbours. What the rounds hold grows with hubs, sets and what questions reach without a hub. The result comes from products of packed blocks of
     questions and of vertices, each pair in one task, so it is never shuffled; only questions' own parts are joined to it, as their size allows.
     """
@@ -115,10 +131,17 @@ def ranks_through_hubs(edges: DataFrame, reset: DataFrame, damping: float, round
         reset = reset.select("query_id", "id", _clean(F.col("weight")).alias("weight")).unionByName(each.select("query_id", "id", (F.col("c") * _clean(F.col("weight"))).alias("weight")))
         sets, names = sets.limit(0), []
     end = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("weight").cast("double").alias("weight"))
-    both = edges.select(F.explode(F.array(end("src", "dst"), end("dst", "src"))).alias("e")).select("e.*")
-    flat = written(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "hub-flat")
+    flat = edges.select(F.explode(F.array(end("src", "dst"), end("dst", "src"))).alias("e")).select("e.*")
+    flat = written(flat.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "hub-flat")
+    members, any_twins = twins(flat, leaf)
+    of_class = members.select("id", "class")
+    if any_twins:  # a class is one vertex with all its members' edges
+        for c in ("src", "dst"):
+            flat = flat.join(of_class.withColumnRenamed("id", c), c, "left").withColumn(c, F.coalesce("class", c)).drop("class")
+        flat = written(flat.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "hub-classes")
+    classes = members.select(F.col("class").alias("id"), F.col("size").alias("members")).distinct()
     degree = written(flat.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")), "hub-degree")
-    top = [r[0] for r in degree.orderBy(F.desc("n"), "id").limit(hubs).collect()]
+    top = [r[0] for r in degree.join(classes, "id", "left_anti").orderBy(F.desc("n"), "id").limit(hubs).collect()]
     is_hub = lambda c: F.col(c).isin(top) if top else F.lit(False)
     of = lambda c: degree.select(F.col("id").alias(c), F.col("total").alias(f"{c}_total"), (~is_hub("id") & (F.col("n") <= leaf)).alias(f"{c}_few"), F.col("n").alias("size"))
     edge = join_by_size(join_by_size(flat, of("src"), ["src"], "size"), of("dst"), ["dst"], "size")
@@ -143,6 +166,9 @@ def ranks_through_hubs(edges: DataFrame, reset: DataFrame, damping: float, round
     part = written(heavy.join(mass, "query_id").select("query_id", "set_id", (F.col("c") / F.col("mass")).alias("c")), "hub-parts")
     own = own.join(mass, "query_id").select(F.lit(_QUERY).alias("kind"), F.col("query_id").cast("string").alias("key"), "id", (F.col("p") / F.col("mass")).alias("p"))
     start = own.unionByName(lot.select(F.lit(_SET).alias("kind"), F.col("set_id").cast("string").alias("key"), "id", "p")).filter("p > 0 AND id IS NOT NULL")
+    at_members = start.join(of_class.drop("class"), "id", "left_semi")
+    if any_twins:
+        start = start.join(of_class, "id", "left").groupBy("kind", "key", F.coalesce("class", "id").alias("id")).agg(F.sum("p").alias("p"))
     start = start.join(degree.select("id", "n"), "id", "left").join(leaves.select(F.col("leaf").alias("id"), "near"), "id", "left")
     start = written(start.select("kind", "key", "id", "p", F.col("n").isNull().alias("loose"), "near"), "hub-start")
     names = [str(n) for n in names]
@@ -152,27 +178,27 @@ def ranks_through_hubs(edges: DataFrame, reset: DataFrame, damping: float, round
     of_hubs = spark.createDataFrame([(_HUB, h, h) for h in top], "kind int, key string, id string")
     from_hubs = step.filter(is_hub("src") & ~is_hub("dst")).select(F.lit(_HUB).alias("kind"), F.col("src").alias("key"), F.col("dst").alias("id"), "one", "two")
     near = start.filter("near IS NOT NULL").select(*source, "p", F.explode("near").alias("e")).select(*source, F.col("e.id").alias("id"), (F.col("p") * F.col("e.out") * damping).alias("p"))
-    plain = step.filter(~is_hub("src") & ~is_hub("dst"))
-    state = [written(start.filter(F.col("near").isNull() & ~is_hub("id")).select(*source, "id", "p"), "hub-walks")]
+    plain = step.filter(~is_hub("src") & ~is_hub("dst")).withColumnRenamed("src", "id")
+    # Small tables meet in many rows, so the tasks follow those to come.
+    tasks = -(-plain.count() * (len(top) + len(names)) // ROWS) or 1
+    plain = plain.repartition(tasks, "id")
+    # A state has the mass of this step and of the one before, so every other one is written.
+    state = start.filter(F.col("near").isNull() & ~is_hub("id")).select(*source, "id", "p", F.lit(0.0).alias("before"))
+    walks = of_hubs.select(*source, "id", F.lit(1.0).alias("p"), F.lit(0.0).alias("before"), F.lit(0).alias("t")).unionByName(state.withColumn("t", F.lit(0)))
     for t in range(1, steps):
-        into = []
-        for k, name in ((1, "one"), (2, "two")):
-            if t >= k:
-                moved = state[t - k].join(plain.filter(f"{name} > 0").select(F.col("src").alias("id"), "dst", name), "id")
-                into.append(moved.select(*source, F.col("dst").alias("id"), (F.col("p") * F.col(name)).alias("p")))
-            if t == k:
-                into.append(from_hubs.filter(f"{name} > 0").select(*source, "id", F.col(name).alias("p")))
+        moved = state.repartition(tasks, "id").join(plain, "id").select(*source, F.col("dst").alias("id"), (F.col("p") * F.col("one") + F.col("before") * F.col("two")).alias("p"))
         if t == 1:
-            into.append(near.filter(~is_hub("id")))
-        all_ = into[0]
-        for df in into[1:]:
-            all_ = all_.unionByName(df)
-        state.append(written(all_.groupBy(*source, "id").agg(F.sum("p").alias("p")), "hub-walks"))
-    walks = of_hubs.select(*source, "id", F.lit(1.0).alias("p"), F.lit(0).alias("t"))
-    for t, df in enumerate(state):
-        walks = walks.unionByName(df.select(*source, "id", "p", F.lit(t).alias("t")))
-    by_step = lambda p, t: F.array(*[F.coalesce(F.sum(F.when(t == k, p)), F.lit(0.0)) for k in range(steps)])
-    walks = written(walks.groupBy(*source, "id").agg(by_step(F.col("p"), F.col("t")).alias("x")), "hub-series")
+            moved = moved.unionByName(near.filter(~is_hub("id")))
+        if t <= 2:
+            moved = moved.unionByName(from_hubs.select(*source, "id", F.col("one" if t == 1 else "two").alias("p")))
+        both = moved.withColumn("before", F.lit(0.0)).unionByName(state.select(*source, "id", F.lit(0.0).alias("p"), F.col("p").alias("before")))
+        state = both.groupBy(*source, "id").agg(F.sum("p").alias("p"), F.sum("before").alias("before")).filter("p > 0 OR before > 0")
+        if t % 2 == 0 or t == rounds:
+            state = written(state, "hub-walks")
+            walks = walks.unionByName(state.withColumn("t", F.lit(t)))
+    at = [F.when(F.col("t") == k, F.col("p")) if k % 2 == 0 or k == rounds else F.when(F.col("t") == k + 1, F.col("before")) for k in range(steps)]
+    walks = walks.repartition(-(-walks.count() // ROWS) or 1, *source, "id")
+    walks = written(walks.groupBy(*source, "id").agg(F.array(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in at]).alias("x")), "hub-series")
 
     # What first comes to each hub, by steps.
     x = [F.col("x")[k] for k in range(steps)]
@@ -181,6 +207,7 @@ def ranks_through_hubs(edges: DataFrame, reset: DataFrame, damping: float, round
     met = walks.join(to_hub, "id").groupBy(*source, "hub").agg(F.array(*[F.sum(c) for c in comes]).alias("f"))
     first = start.filter(F.col("near").isNull() & is_hub("id")).select(*source, F.col("id").alias("hub"), "p", F.lit(0).alias("t"))
     first = first.unionByName(near.filter(is_hub("id")).select(*source, F.col("id").alias("hub"), "p", F.lit(1).alias("t")))
+    by_step = lambda p, t: F.array(*[F.coalesce(F.sum(F.when(t == k, p)), F.lit(0.0)) for k in range(steps)])
     met = written(met.unionByName(first.groupBy(*source, "hub").agg(by_step(F.col("p"), F.col("t")).alias("f"))), "hub-met")
     between = np.zeros((steps, len(top), len(top)))
     place = {h: i for i, h in enumerate(top)}
@@ -207,12 +234,18 @@ def ranks_through_hubs(edges: DataFrame, reset: DataFrame, damping: float, round
     packed = written(packed, "hub-questions")
 
     # Vertices, by hubs and sets; a leaf's series is its neighbours' of a step before.
-    core = walks.filter(wanted)
-    asked = leaves.select(F.col("leaf").alias("id"), "near").filter(wanted)
+    core = walks if any_twins else walks.filter(wanted)
+    asked = leaves.select(F.col("leaf").alias("id"), "near")
+    asked = asked.join(classes, "id", "left").filter(wanted | F.col("members").isNotNull()).select("id", "near") if any_twins else asked.filter(wanted)
     into = asked.select(F.col("id").alias("leaf"), F.explode("near").alias("e")).select("leaf", F.col("e.id").alias("id"), F.col("e.into").alias("into"))
     later = into.join(walks, "id").groupBy(*source, F.col("leaf").alias("id")).agg(F.array(F.lit(0.0), *[F.sum(x[k] * F.col("into") * damping) for k in range(steps - 1)]).alias("x"))
-    at_first = start.filter("near IS NOT NULL").filter(wanted).select(*source, "id", F.array(F.col("p"), *[F.lit(0.0)] * (steps - 1)).alias("x"))
-    seen = written(core.unionByName(later).unionByName(at_first), "hub-seen")
+    first_step = lambda df: df.select(*source, "id", F.array(F.col("p"), *[F.lit(0.0)] * (steps - 1)).alias("x"))
+    seen = core.unionByName(later).unionByName(first_step(start.filter("near IS NOT NULL").filter(wanted)))
+    if any_twins:  # each member has an even part of its class's inflow, and its own reset
+        even = F.array(F.lit(0.0), *[x[k] / F.col("size") for k in range(1, steps)]).alias("x")
+        expanded = seen.join(members.withColumnRenamed("id", "member").withColumnRenamed("class", "id"), "id").select(*source, F.col("member").alias("id"), even)
+        seen = seen.join(classes, "id", "left_anti").unionByName(expanded).unionByName(first_step(at_members)).filter(wanted)
+    seen = written(seen, "hub-seen")
     ids = seen.select("id").distinct().count()
     alone = mine(_QUERY, seen).select("id").distinct().select(F.lit(_QUERY).alias("kind"), F.lit(None).cast("string").alias("key"), "id", null.alias("x"))
     vertices = dealt(seen.filter(F.col("kind") != _QUERY).unionByName(alone), "id", blocks(ids))

@@ -85,7 +85,9 @@ def ppr_weighted(spark, sf_dir):
     each = seeds.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("asked"), F.min(F.when(F.col("weight") == 0.5, F.col("id"))).alias("set_id"))
     asked = written(each.withColumn("first", F.min("query_id").over(Window.partitionBy("asked"))), "ppr-asked")
     one = asked.filter("query_id = first").select("query_id", "set_id", F.explode("asked").alias("e")).select("query_id", "set_id", "e.id", "e.weight")
-    held = written(graph.passage_edges(facts).join(seeds.select(F.col("id").alias("entity")).distinct(), "entity").select("entity", F.col("chunk").alias("id"), (F.lit(0.05) * (F.length("chunk") % 3)).alias("weight")), "ppr-held")
+    entities = written(one.select(F.col("id").alias("entity")).distinct(), "ppr-entities")
+    held = facts.select("chunk", F.explode(F.array("s", "o")).alias("entity")).join(small(entities), "entity").distinct()
+    held = written(held.select("entity", F.col("chunk").alias("id"), (F.lit(0.05) * (F.length("chunk") % 3)).alias("weight")), "ppr-held")
     common = one.select("query_id", "set_id").distinct().filter("set_id IS NOT NULL")
     sets = held.join(common.select(F.col("set_id").alias("entity")).distinct(), "entity", "left_semi").select(F.col("entity").alias("set_id"), "id", "weight")
     rest = one.filter("set_id IS NULL OR id <> set_id").select("query_id", "set_id", F.col("id").alias("entity")).join(held, "entity").select("query_id", "set_id", "id", "weight").distinct()
